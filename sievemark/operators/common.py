@@ -47,3 +47,19 @@ def run_id(*cols: str) -> Column:
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A test table by name."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoints to the shared folder named by spark.checkpoint.dir.
+
+    Only where the session names none (as in tests on one machine) a temporary folder is set.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            import tempfile
+
+            folder = tempfile.mkdtemp()
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
