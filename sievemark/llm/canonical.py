@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections.abc import Callable
 
@@ -86,8 +87,8 @@ def match_values(values: DataFrame, column: str, reference: DataFrame, entry: st
 
     refs = reference.where(F.col(entry).isNotNull()).select(F.col(entry).alias("entry"), _squash(fold(F.col(entry))).alias("_name")).where("_name <> ''").dropDuplicates(["entry"])
     postings = refs.select("entry", F.explode(_grams(F.col("_name"))).alias("gram"))
-    total = refs.select(F.count(F.lit(1)).alias("_n"))
-    idf = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("_df")).crossJoin(total).select("gram", F.log(1 + F.col("_n") / F.col("_df")).alias("idf"), F.log(1 + F.col("_n")).alias("top"))
+    n = refs.count()
+    idf = postings.groupBy("gram").agg(F.log(1 + F.lit(float(n)) / F.count(F.lit(1))).alias("idf"))
     weighted = postings.join(idf, "gram")
     norms = weighted.groupBy("entry").agg(F.sqrt(F.sum(F.pow("idf", F.lit(2)))).alias("_norm"))
     index = weighted.join(norms, "entry").join(refs, "entry").select("gram", "entry", "_name", "idf", (F.col("idf") / F.col("_norm")).alias("w"))
@@ -95,11 +96,10 @@ def match_values(values: DataFrame, column: str, reference: DataFrame, entry: st
     distinct = exploded.select("phrase").distinct()
     grams = distinct.select("phrase", F.size(_grams(F.col("phrase"))).alias("_m"), F.explode(_grams(F.col("phrase"))).alias("gram"))
     hits = grams.join(index, "gram")
-    # grams outside the list weigh as much as the rarest gram of it
-    ceiling = refs.select(F.log(1 + F.count(F.lit(1))).alias("_top"))
+    top = math.log(1 + n)  # grams outside the list weigh as much as the rarest gram of it
     inside = hits.groupBy("phrase", "_m", "entry", "_name").agg(F.sum(F.col("idf") * F.col("w")).alias("dot"))
     length = grams.join(idf.select("gram", "idf"), "gram").groupBy("phrase").agg(F.sum(F.pow("idf", F.lit(2))).alias("_in"), F.count(F.lit(1)).alias("_k"))
-    scored = inside.join(length, "phrase").crossJoin(ceiling).select("phrase", "entry", "_name", (F.col("dot") / F.sqrt(F.col("_in") + (F.col("_m") - F.col("_k")) * F.pow("_top", F.lit(2)))).alias("score"))
+    scored = inside.join(length, "phrase").select("phrase", "entry", "_name", (F.col("dot") / F.sqrt(F.col("_in") + (F.col("_m") - F.col("_k")) * F.lit(top * top))).alias("score"))
     ranked = scored.groupBy("phrase").agg(F.max(F.struct("score", (-F.xxhash64("entry")).alias("_t"), "entry", "_name")).alias("b"), F.slice(F.sort_array(F.collect_list("score"), asc=False), 2, 1).alias("_2"))
     close = F.least(F.lit(edits), F.when(F.length("b._name") < 6, 1).when(F.length("b._name") < 10, 2).otherwise(3))
     lead = F.col("b.score") - F.coalesce(F.try_element_at("_2", F.lit(1)), F.lit(0.0))

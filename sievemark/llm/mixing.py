@@ -179,8 +179,8 @@ def mix_sources(
 
     used = mix.groupBy("source").agg(F.sum("n_tokens").alias("drawn_tokens"), (F.max("repeat_no") + 1).alias("most_repeats"))
     facts = spark.createDataFrame([(p.source, float(p.target), size[p.source][1], size[p.source][0], bool(p.drawn == p.blocks * p.repeats)) for p in plan] or [], "source string, target_share double, n_documents long, source_tokens long, exhausted boolean")
-    whole = used.select(F.sum("drawn_tokens").alias("_all"))
-    report = facts.join(used, "source", "left").crossJoin(whole).select(
+    everything = F.sum(F.coalesce("drawn_tokens", F.lit(0))).over(Window.partitionBy(F.lit(1)))  # over one row per listed source
+    report = facts.join(used, "source", "left").withColumn("_all", everything).select(
         "source", "target_share", "n_documents", "source_tokens", F.coalesce("drawn_tokens", F.lit(0)).alias("drawn_tokens"),
         F.round(F.coalesce("drawn_tokens", F.lit(0)) / F.col("_all"), 6).alias("actual_share"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), "exhausted",
     )
