@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut_lineage
+
 # The lattice: integer < decimal < string, boolean < string, array < string, object < string.
 _BITS = {"boolean": 1, "integer": 2, "decimal": 4, "string": 8, "array": 16, "object": 32}
 
@@ -75,7 +77,7 @@ def schema_changes(values: DataFrame) -> DataFrame:
     then the first name, each field once. A new type of a renamed field is also a retyped
     case under the new name. new_field is '' except for renamed.
     """
-    schemas = file_schemas(values)
+    schemas = cut_lineage(file_schemas(values))  # one row per file and field, read in several places
     files = schemas.groupBy("feed", "file_id").agg(F.min("exported_at").alias("exported_at"))
     w = Window.partitionBy("feed").orderBy("exported_at", "file_id")
     order = files.select("feed", "file_id", "exported_at", F.lag("file_id").over(w).alias("before"), F.lead("file_id").over(w).alias("after"))
@@ -93,8 +95,11 @@ def schema_changes(values: DataFrame) -> DataFrame:
     sides = order.select("feed", F.col("file_id").alias("pair"), F.explode(F.array(F.struct(F.col("file_id").alias("of"), F.lit(True).alias("newer")), F.struct(F.col("before").alias("of"), F.lit(False).alias("newer")))).alias("s")).where("s.of IS NOT NULL")
     candidates = moved.select("feed", F.col("file_id").alias("pair"), "field", F.col("new_type").isNotNull().alias("newer"))
     wanted = sides.select("feed", "pair", F.col("s.of").alias("file_id"), F.col("s.newer").alias("newer")).join(candidates, ["feed", "pair", "newer"])
-    shown = values.where("query IS NOT NULL").groupBy("feed", "file_id", "query", "field").agg(F.min(_comparable(F.col("kind"), F.col("value"))).alias("v"))
-    held = shown.join(wanted, ["feed", "file_id", "field"])
+    held = (
+        values.where("query IS NOT NULL").join(wanted, ["feed", "file_id", "field"])
+        .groupBy("feed", "pair", "newer", "query", "field").agg(F.min(_comparable(F.col("kind"), F.col("value"))).alias("v"))
+    )
+    held = cut_lineage(held)  # only fields that came or went
     old, new = held.where("NOT newer").select("feed", "pair", "query", F.col("field").alias("gone"), F.col("v").alias("old_v")), held.where("newer").select("feed", "pair", "query", F.col("field").alias("came"), F.col("v").alias("new_v"))
     # a line has a handful of fields, so the pairs within one query are few
     same = old.join(new, ["feed", "pair", "query"]).groupBy("feed", "pair", "gone", "came").agg(F.avg((F.col("old_v") == F.col("new_v")).cast("int")).alias("share")).where("share > 0.5")
