@@ -17,7 +17,7 @@ def _written_type(v: Column) -> Column:
     return (
         F.when(s == "VOID", F.lit(None).cast("string")).when(s == "BOOLEAN", "boolean").when(s == "BIGINT", "integer").when(s == "STRING", "string")
         .when(s.startswith("ARRAY"), "array").when(s.startswith("OBJECT"), "object")
-        .when(s.rlike("^DECIMAL\\([0-9]+,0\\)$"), "integer").otherwise("decimal")
+        .when(s.rlike("^DECIMAL\\((19|[2-9][0-9]),0\\)$"), "integer").otherwise("decimal")  # whole numbers too long for a bigint; 41.0 is DECIMAL(2,0)
     )
 
 

@@ -38,7 +38,8 @@ def orphan_references(refs: DataFrame, nodes: DataFrame, ref: str, at: str, key:
 
     A reference is missing if its key occurs in no record, late if all records of it start
     after the reference, otherwise deleted. Null and empty references and references without
-    a time are no cases. Keys are compared as exact strings. Other columns of refs are kept.
+    a time are no cases. Keys are compared as exact strings. Other columns of refs are kept,
+    but for an own column ``state``, which is replaced; repeated rows stay repeated.
 
     Skew-aware split: references are counted per key (partial counts are combined before the
     shuffle); keys with more than ``heavy`` references are answered by a broadcast of just
@@ -47,6 +48,7 @@ def orphan_references(refs: DataFrame, nodes: DataFrame, ref: str, at: str, key:
     given up and every key takes the shuffle join, where adaptive execution splits what is
     left of the skew.
     """
+    refs = refs.drop("state")
     asked = refs.where(F.col(ref).isNotNull() & (F.col(ref) != "") & F.col(at).isNotNull())
     life = lifetimes(nodes, key, start, end)
     counts = asked.groupBy(F.col(ref).alias("_hot")).count().where(F.col("count") > heavy).select("_hot")
