@@ -68,7 +68,8 @@ def match_values(values: DataFrame, column: str, reference: DataFrame, entry: st
     entry is null for values that name no entry of the list. Values are counted first, so
     a value that holds a third of all rows is handled once; then they are folded, cut
     into phrases (repeated phrases again only once) and squashed to letters and digits.
-    Phrases of at least ``shortest`` characters meet the list in an inverted index of
+    Phrases of at least ``shortest`` characters, and not so short or long that more than
+    ``edits`` edits would be needed for any entry, meet the list in an inverted index of
     character bigrams and trigrams, and are scored by cosine under inverse document frequency of the list.
     A phrase is accepted when its best score reaches ``threshold`` and leads the second
     entry by ``margin``, and an exact check finds at most ``edits`` edits (one for entries
@@ -83,11 +84,11 @@ def match_values(values: DataFrame, column: str, reference: DataFrame, entry: st
     split = counted.select(column, "n_rows", F.array_distinct(phrases(fold(F.col(column)))).alias("_p"))
     names = F.transform("_p", _squash)
     both = F.array_distinct(F.concat(names, F.transform(names, lambda x: F.translate(x, "".join(_DIGITS), "".join(_DIGITS.values())))))
-    exploded = split.select(column, F.explode(F.filter(both, lambda x: (F.length(x) >= shortest) & x.rlike("\\p{L}"))).alias("phrase"))
-
     refs = reference.where(F.col(entry).isNotNull()).select(F.col(entry).alias("entry"), _squash(fold(F.col(entry))).alias("_name")).where("_name <> ''").dropDuplicates(["entry"])
     postings = refs.select("entry", F.explode(_grams(F.col("_name"))).alias("gram"))
-    n = refs.count()
+    n, least, most = refs.agg(F.count(F.lit(1)), F.coalesce(F.min(F.length("_name")), F.lit(0)), F.coalesce(F.max(F.length("_name")), F.lit(0))).first()
+    fits = lambda x: F.length(x).between(max(shortest, least - edits), most + edits) & x.rlike("\\p{L}")
+    exploded = split.select(column, F.explode(F.filter(both, fits)).alias("phrase"))
     idf = postings.groupBy("gram").agg(F.log(1 + F.lit(float(n)) / F.count(F.lit(1))).alias("idf"))
     weighted = postings.join(idf, "gram")
     norms = weighted.groupBy("entry").agg(F.sqrt(F.sum(F.pow("idf", F.lit(2)))).alias("_norm"))
@@ -113,5 +114,5 @@ def match_values(values: DataFrame, column: str, reference: DataFrame, entry: st
 
 def map_rows(rows: DataFrame, column: str, matched: DataFrame) -> DataFrame:
     """The rows whose value was matched, with ``entry``. Equal values share one lookup; a hot
-    value is one skewed key, which adaptive execution splits."""
-    return rows.join(matched.where("entry IS NOT NULL").select(column, "entry"), column)
+    value is one skewed key, which adaptive execution splits. An own column ``entry`` of the rows is replaced."""
+    return rows.drop("entry").join(matched.where("entry IS NOT NULL").select(column, "entry"), column)

@@ -21,6 +21,7 @@ READ_UTF8 = ["cp1252", "latin_1", "cp1250", "cp1251", "mac_roman", "cp437", "cp8
 READ_8BIT = ["cp1252", "cp1250", "mac_roman", "cp437", "cp850"]
 WRITTEN_8BIT = ["cp1252", "cp1250", "mac_roman", "cp850", "cp437"]
 UTF8_BONUS = 3.0  # nats: correct text rarely forms a valid multi-byte sequence by chance
+WEAK = -2.0  # nats that a run may speak against the way that explains the rest of its text
 LOST = "�"
 _ISLAND = re.compile(r"(?:[^\x00-\x7f]|&(?:[A-Za-z]{2,8}|#[0-9]{2,5}|#x[0-9A-Fa-f]{2,4});)+")
 
@@ -224,7 +225,8 @@ def examine(model: PairModel, text: str, cache: dict, floor: float, typical: flo
         if got:
             runs.append((a, b, got))
             for way, (gain, _) in got.items():
-                seen[way, raw] = max(gain, seen.get((way, raw), 0.0))
+                if gain >= floor:
+                    seen[way, raw] = max(gain, seen.get((way, raw), 0.0))
     evidence: dict[str, float] = {}
     for (way, _), gain in seen.items():  # a run counts once however often the text repeats it
         evidence[way] = evidence.get(way, 0.0) + gain
@@ -257,12 +259,12 @@ def _examine_run(model: PairModel, left: str, written: str, run: str, space: str
         if not multi and not plain:
             continue  # an entity was never read byte by byte
         gain = before - model.chain(full[:a] + restored + full[b:]) + (UTF8_BONUS if multi else 0.0)
-        if gain >= floor and gain > out.get(way, (0.0, ""))[0]:
+        if gain >= min(floor, WEAK) and gain > out.get(way, (-99.0, ""))[0]:
             out[way] = (gain, full[1:a] + restored + full[b : len(full) - 1])
     return out
 
 
-def repair_encoding(docs: DataFrame, key: str = "doc_id", text: str = "text", floor: float = 1.2, accept: float = 4.5, accept_utf8: float = 1.2, typical: float = 4.5) -> DataFrame:
+def repair_encoding(docs: DataFrame, key: str = "doc_id", text: str = "text", floor: float = 1.2, accept: float = 4.5, accept_utf8: float = 1.2, typical: float = 3.5) -> DataFrame:
     """One row per damaged text: ``doc_id, way, evidence, n_runs, n_lost, text``.
 
     A text is damaged if it holds a replacement character or if some way of wrong decoding
@@ -297,7 +299,7 @@ def repair_encoding(docs: DataFrame, key: str = "doc_id", text: str = "text", fl
                 best = max(ok - {"lost"} or ok, key=lambda w: (evidence[w], w))
                 pieces, at, n, lost = [], 0, 0, s.count(LOST)
                 for a, z, ways in runs:
-                    good = [(ways[w][0] + (w == best) * 2.0, w) for w in ways if w in ok and w != "lost"]
+                    good = [(ways[w][0] + (w == best) * 2.0, w) for w in ways if w in ok and w != "lost" and (w == best or ways[w][0] >= floor)]
                     if good:
                         pieces += [s[at:a], ways[max(good)[1]][1]]
                         at, n = z, n + 1

@@ -182,6 +182,6 @@ def mix_sources(
     everything = F.sum(F.coalesce("drawn_tokens", F.lit(0))).over(Window.partitionBy(F.lit(1)))  # over one row per listed source
     report = facts.join(used, "source", "left").withColumn("_all", everything).select(
         "source", "target_share", "n_documents", "source_tokens", F.coalesce("drawn_tokens", F.lit(0)).alias("drawn_tokens"),
-        F.round(F.coalesce("drawn_tokens", F.lit(0)) / F.col("_all"), 6).alias("actual_share"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), "exhausted",
+        F.round(F.coalesce("drawn_tokens", F.lit(0)) / F.nullif(F.col("_all"), F.lit(0)), 6).alias("actual_share"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), "exhausted",
     )
     return mix, report
