@@ -36,10 +36,10 @@ class _Stock:
             i -= 1
         return self.sizes[i] if i >= 0 else 0
 
-    def smallest(self, n: int, without: int) -> list[int]:
-        """The n smallest items besides one item of size ``without``."""
+    def smallest(self, n: int, without: int, above: int = 0) -> list[int]:
+        """The n smallest items larger than ``above`` besides one item of size ``without``."""
         out: list[int] = []
-        for s in self.sizes:
+        for s in self.sizes[bisect_right(self.sizes, above) :]:
             out += [s] * min(n - len(out), self.count[s] - (s == without))
             if len(out) >= n:
                 break
@@ -53,11 +53,10 @@ def _best_pair(stock: _Stock, item: int, room: int) -> tuple[int, int]:
     free = lambda s: stock.count[s] - (s == item)
     while i <= j:
         a, b = stock.sizes[j], stock.sizes[i]
-        if a + b > room:
+        if a + b > room or not free(a):
             j -= 1
         else:
-            usable = free(a) >= (2 if a == b else 1) and free(b) >= 1
-            if usable and a + b > best:
+            if free(b) >= (2 if a == b else 1) and a + b > best:
                 best, pair = a + b, (a, b)
             i += 1
     return pair
@@ -68,8 +67,8 @@ def reduce_by_dominance(stock: _Stock, capacity: int) -> list[tuple[int, Pattern
 
     Sizes are visited from the largest. With an item j, the set {j} is fixed if nothing
     else fits; {j, largest partner} if at most one more item fits or the pair fills the
-    container, or if two fit but no two sum to more than the partner; {j, a, b} if two fit and
-    the best pair holds the partner itself. A set that dominates one item dominates its equals as long as
+    container, or if two fit but no two sum to more than the partner; {j, a, b} if two fit,
+    the best pair holds the partner itself, and no two items larger than b fit together. A set that dominates one item dominates its equals as long as
     both sizes last (taking items away never adds alternatives), so it is fixed that many times at once;
     the work depends on the number of sizes, not of items.
     """
@@ -96,7 +95,7 @@ def reduce_by_dominance(stock: _Stock, capacity: int) -> list[tuple[int, Pattern
                     a, b = _best_pair(stock, s, room)
                     if partner >= a + b:
                         members = (s, partner)
-                    elif a == partner:
+                    elif a == partner and sum(stock.smallest(2, s, above=b) or [capacity]) > room:
                         members = (s, a, b)
                 if not members:
                     break
