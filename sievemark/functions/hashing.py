@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Offset basis and prime of 128-bit FNV-1a.
 OFFSET, PRIME, MASK = 0x6C62272E07BB014262B821756295C58D, (1 << 88) + 315, (1 << 128) - 1
@@ -21,7 +22,7 @@ def fnv(data: bytes) -> int:
     return h
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def content_hash(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """32 hex characters of a text's UTF-8 bytes; null for null. Equal texts of a batch are hashed once."""
     for s in texts:
