@@ -66,9 +66,15 @@ def compact(t: Column) -> Column:
 
 
 def shingles(toks: Column, width: int) -> Column:
-    """Distinct runs of ``width`` tokens; fewer tokens than that stand for themselves."""
+    """Distinct runs of ``width`` tokens; fewer tokens than that stand for themselves.
+
+    Shifted copies of the array are zipped: a lambda that sliced the array would evaluate
+    it anew for every shingle.
+    """
     n = F.size(toks) - (width - 1)
-    return F.array_distinct(F.when(n < 1, toks).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice(toks, i, width), " "))))
+    zipped = F.arrays_zip(*[F.slice(toks, k + 1, F.greatest(n, F.lit(0))).alias(f"t{k}") for k in range(width)])
+    runs = F.transform(zipped, lambda z: F.concat_ws(" ", *[z[f"t{k}"] for k in range(width)]))
+    return F.array_distinct(F.when(n < 1, toks).otherwise(runs))
 
 
 def share(part: Column, whole: Column) -> Column:
