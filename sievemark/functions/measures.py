@@ -24,7 +24,8 @@ def expected_ctr(position: Column) -> Column:
 
 def recoverable_clicks(impressions: Column, clicks: Column, position: Column) -> Column:
     """Expected clicks, rounded, less the actual ones; not below 0."""
-    return F.greatest(F.round(impressions * expected_ctr(position)).cast("long") - clicks, F.lit(0))
+    lost = F.round(impressions * expected_ctr(position)).cast("long") - clicks
+    return F.when(lost.isNotNull(), F.greatest(lost, F.lit(0)))
 
 
 def percent_delta(now: Column, before: Column) -> Column:
@@ -34,7 +35,7 @@ def percent_delta(now: Column, before: Column) -> Column:
 
 def demand(impressions: Column) -> Column:
     """Impressions by ten, at most 100."""
-    return F.least(F.floor(impressions / 10), F.lit(100)).cast("int")
+    return F.when(impressions.isNotNull(), F.least(F.floor(impressions / 10), F.lit(100))).cast("int")
 
 
 def position_gap(best: Column) -> Column:

@@ -79,7 +79,7 @@ def shingles(toks: Column, width: int) -> Column:
 
 def share(part: Column, whole: Column) -> Column:
     """Floor percent, at most 100; null where the whole is 0."""
-    return F.least(F.floor(part * 100 / F.nullif(whole, F.lit(0))).cast("int"), F.lit(100))
+    return F.when(whole != 0, F.least(F.floor(part * 100 / F.nullif(whole, F.lit(0))).cast("int"), F.lit(100)))
 
 
 def is_fact(token: Column) -> Column:

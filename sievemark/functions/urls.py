@@ -28,25 +28,36 @@ def normal_path(path: Column) -> Column:
     return F.when(joined == "", "/").when(path.endswith("/"), F.concat(F.lit("/"), joined, F.lit("/"))).otherwise(F.concat(F.lit("/"), joined))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value evaluated once. Written out, a value that is used in several
+    places is repeated in each, and nested uses multiply."""
+    return F.transform(F.array(value), body)[0]
+
+
 def url_parts(url: Column) -> Column:
     """struct<scheme, host, port, path, query>, or null for anything but an http(s) URL.
 
     Host in lower case without outer dots; default port, fragment and empty query dropped;
     credentials and ports that aren't numbers up to 65535 are refused.
     """
-    u = F.trim(url)
-    g = lambda i: F.regexp_extract(u, _URL, i)
-    scheme = F.lower(g(1))
-    authority = F.regexp_replace(F.trim(g(2)), "^\\.+|\\.+$", "")
-    v6 = authority.startswith("[")
-    host = F.lower(F.when(v6, F.regexp_extract(authority, "^\\[([^\\]]*)\\]", 1)).otherwise(F.regexp_extract(authority, "^(.+?)(?::[0-9]*)?$", 1)))
-    port_text = F.when(v6, F.regexp_extract(authority, "^\\[[^\\]]*\\](.*)$", 1)).otherwise(F.regexp_extract(authority, "^.+?(:[0-9]*)$", 1))
-    number = F.when(port_text.rlike("^:[0-9]{1,9}$"), F.substring(port_text, 2, 9).cast("int"))
-    good_port = (port_text == "") | F.coalesce(number <= 65535, F.lit(False))
-    ok = (scheme != "") & ~authority.contains("@") & (host != "") & good_port
-    port = F.when((number != F.when(scheme == "https", 443).otherwise(80)), number)
-    query = F.nullif(F.trim(g(4)), F.lit(""))
-    return F.when(ok, F.struct(scheme.alias("scheme"), host.alias("host"), port.alias("port"), normal_path(g(3)).alias("path"), query.alias("query")))
+    def build(u: Column) -> Column:
+        scheme = F.lower(F.regexp_extract(u, _URL, 1))
+        authority = F.regexp_replace(F.trim(F.regexp_extract(u, _URL, 2)), "^\\.+|\\.+$", "")
+        return let(F.struct(scheme.alias("s"), authority.alias("a"), F.regexp_extract(u, _URL, 3).alias("p"), F.regexp_extract(u, _URL, 4).alias("q")), split)
+
+    def split(x: Column) -> Column:
+        v6 = x["a"].startswith("[")
+        host = F.lower(F.when(v6, F.regexp_extract(x["a"], "^\\[([^\\]]*)\\]", 1)).otherwise(F.regexp_extract(x["a"], "^(.+?)(?::[0-9]*)?$", 1)))
+        port = F.when(v6, F.regexp_extract(x["a"], "^\\[[^\\]]*\\](.*)$", 1)).otherwise(F.regexp_extract(x["a"], "^.+?(:[0-9]*)$", 1))
+        return let(F.struct(host.alias("h"), port.alias("t"), F.when(port.rlike("^:[0-9]{1,9}$"), F.substring(port, 2, 9).cast("int")).alias("n")), lambda y: finish(x, y))
+
+    def finish(x: Column, y: Column) -> Column:
+        good = (y["t"] == "") | F.coalesce(y["n"] <= 65535, F.lit(False))
+        ok = (x["s"] != "") & ~x["a"].contains("@") & (y["h"] != "") & good
+        port = F.when(y["n"] != F.when(x["s"] == "https", 443).otherwise(80), y["n"])
+        return F.when(ok, F.struct(x["s"].alias("scheme"), y["h"].alias("host"), port.alias("port"), let(x["p"], normal_path).alias("path"), F.nullif(F.trim(x["q"]), F.lit("")).alias("query")))
+
+    return let(F.trim(url), build)
 
 
 def origin(p: Column) -> Column:
@@ -62,19 +73,21 @@ def url_text(p: Column) -> Column:
 
 def canonical_url(url: Column) -> Column:
     """One spelling per URL identity; null for anything but an http(s) URL."""
-    return url_text(url_parts(url))
+    return let(url_parts(url), url_text)
 
 
 def join_url(base: Column, href: Column) -> Column:
     """href as an absolute URL on the page ``base``; null if it names no page."""
-    b, h = url_parts(base), F.trim(href)
-    parent = F.concat(F.regexp_replace(b["path"], "/[^/]*$", ""), F.lit("/"))
-    target = (
-        F.when((h == "") | h.startswith("#") | h.rlike("^(javascript|mailto|tel|data):"), F.lit(None).cast("string"))
-        .when(h.rlike("(?i)^https?://"), h).when(h.startswith("//"), F.concat(b["scheme"], F.lit(":"), h))
-        .when(h.startswith("?"), F.concat(origin(b), b["path"], h)).when(h.startswith("/"), F.concat(origin(b), h)).otherwise(F.concat(origin(b), parent, h))
-    )
-    return canonical_url(target)
+    def build(x: Column) -> Column:
+        b, h = x["b"], x["h"]
+        parent = F.concat(F.regexp_replace(b["path"], "/[^/]*$", ""), F.lit("/"))
+        return (
+            F.when((h == "") | h.startswith("#") | h.rlike("^(javascript|mailto|tel|data):"), F.lit(None).cast("string"))
+            .when(h.rlike("(?i)^https?://"), h).when(h.startswith("//"), F.concat(b["scheme"], F.lit(":"), h))
+            .when(h.startswith("?"), F.concat(origin(b), b["path"], h)).when(h.startswith("/"), F.concat(origin(b), h)).otherwise(F.concat(origin(b), parent, h))
+        )
+
+    return canonical_url(let(F.struct(url_parts(base).alias("b"), F.trim(href).alias("h")), build))
 
 
 def without_slashes(url: Column) -> Column:
