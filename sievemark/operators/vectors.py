@@ -38,7 +38,7 @@ def _blocks(df: DataFrame, key: str, vector: str, name: str) -> DataFrame:
     return df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long"), vector).mapInArrow(pack, f"dim long, {name}_ids array<long>, {name} binary")
 
 
-def nearest(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10, least: float = -1.0) -> DataFrame:
+def nearest(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10, least: float = -1.0, lots: int = 32) -> DataFrame:
     """``query_id, hit_id, cosine, rank``: the k nearest other rows of each query, at least ``least``.
 
     Exact, in blocks: every block of 2048 queries meets every block of 2048 rows as one
@@ -59,7 +59,11 @@ def nearest(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str
                 ok = (top >= least).ravel() & np.isfinite(top).ravel()
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, order.shape[1])[ok]), pa.array(vi[order].ravel()[ok]), pa.array(top.ravel()[ok])], names=["query_id", "hit_id", "cosine"])
 
-    hits = q.join(v, "dim").select("q_ids", "q", "v_ids", "v").repartition(64).mapInArrow(multiply, "query_id long, hit_id long, cosine double")
+    # all blocks of a length would meet under one key: row blocks are dealt to lots, query blocks (one
+    # part in a hundred, say) go to every lot; nothing is broadcast
+    v = v.withColumn("lot", F.pmod(F.xxhash64(F.col("v_ids")[0]), F.lit(lots)).cast("int"))
+    q = q.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
+    hits = q.hint("merge").join(v, ["dim", "lot"]).select("q_ids", "q", "v_ids", "v").mapInArrow(multiply, "query_id long, hit_id long, cosine double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "hit_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 
