@@ -175,7 +175,8 @@ def mix_sources(
     begin = F.greatest(F.col("start"), F.col("block_no") * block)
     stop = F.least(F.col("start") + F.col("n_tokens"), (F.col("block_no") + 1) * block)
     stretches = stretches.select("source", "block_no", key, (begin - F.col("start")).alias("token_start"), (stop - begin).alias("n_tokens"))
-    mix = drawn_slots.join(stretches, ["source", "block_no"]).select("shard", "slot", "source", "block_no", "repeat_no", key, "token_start", "n_tokens")
+    # Spark sizes the slots by the few rows of range(): without the hint it would broadcast them, however many
+    mix = drawn_slots.hint("merge").join(stretches, ["source", "block_no"]).select("shard", "slot", "source", "block_no", "repeat_no", key, "token_start", "n_tokens")
 
     used = mix.groupBy("source").agg(F.sum("n_tokens").alias("drawn_tokens"), (F.max("repeat_no") + 1).alias("most_repeats"))
     facts = spark.createDataFrame([(p.source, float(p.target), size[p.source][1], size[p.source][0], bool(p.drawn == p.blocks * p.repeats)) for p in plan] or [], "source string, target_share double, n_documents long, source_tokens long, exhausted boolean")
