@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..operators.common import cut_lineage, prefix_offsets
 from .tokens import VOCABULARY, count_tokens, token_slice
@@ -209,20 +210,34 @@ def pack_documents(docs: DataFrame, specs: DataFrame, key: str = "doc_id", text:
 
 
 def attach_text(packed: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """Adds each piece's text; pieces of a cut text join to the whole text."""
-    joined = packed.join(docs.select(key, text), key)
-    one = F.max("piece").over(Window.partitionBy("spec_id", key)) == 0
-    rows = joined.withColumn("_whole", one)
-    keep = [*packed.columns]
-    schema = T.StructType([*[packed.schema[c] for c in keep], T.StructField("text", T.StringType())])
+    """Adds each piece's text; pieces of a cut text join to the whole text.
+
+    Pieces are gathered per document (their number is bounded by its length), so a text is
+    moved and tokenized once, however many pieces it was cut into.
+    """
+    cols = ["spec_id", "container_id", "piece", "token_start", "n_tokens"]
+    schema = T.StructType([*[packed.schema[c] for c in packed.columns], T.StructField("text", T.StringType())])
+    rows = packed.groupBy(key).agg(F.collect_list(F.struct(*cols)).alias("_pieces")).join(docs.select(key, F.col(text).alias("_text")), key).select(key, "_pieces", "_text")
+    order = packed.columns
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            body, whole = b.column(text).to_pylist(), b.column("_whole").to_pylist()
-            at, n = b.column("token_start").to_pylist(), b.column("n_tokens").to_pylist()
-            cut = [i for i, w in enumerate(whole) if not w]
-            for i, t in zip(cut, token_slice([body[i] for i in cut], [at[i] for i in cut], [at[i] + n[i] for i in cut], vocabulary)):
-                body[i] = t
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(body, pa.string())], names=[*keep, "text"])
-
-    return rows.select(*keep, F.col(text), "_whole").mapInArrow(slices, schema)
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                out: dict[str, list] = {c: [] for c in [*order, "text"]}
+                which: list[int] = []
+                for i, (pieces, body) in enumerate(zip(part.column("_pieces").to_pylist(), part.column("_text").to_pylist())):
+                    cut = {p["spec_id"] for p in pieces if p["piece"] > 0}
+                    parts = [p for p in pieces if p["spec_id"] in cut]
+                    known = iter(token_slice(body, [(p["token_start"], p["token_start"] + p["n_tokens"]) for p in parts], vocabulary) if parts else [])
+                    for p in pieces:
+                        which.append(i)
+                        for c in cols:
+                            out[c].append(p[c])
+                        out["text"].append(next(known) if p["spec_id"] in cut else body)
+                keys = part.column(key).take(pa.array(which, pa.int64()))
+                names = [*order, "text"]
+                fields = to_arrow_schema(schema)
+                yield pa.RecordBatch.from_arrays([keys if c == key else pa.array(out[c], fields.field(c).type) for c in names], names=names)
+
+    return rows.mapInArrow(slices, schema)

@@ -46,20 +46,18 @@ def count_tokens(df: DataFrame, text: str, path: str = VOCABULARY, name: str = "
     return df.select(*keep, text).mapInArrow(count, schema)
 
 
-def token_slice(texts: list[str], start: list[int], end: list[int], path: str = VOCABULARY) -> list[str]:
-    """The text of tokens start..end of each text. A cut inside a character moves to its
-    first byte, so that neighbouring slices join to the whole text."""
+def token_slice(text: str, ranges: list[tuple[int, int]], path: str = VOCABULARY) -> list[str]:
+    """The text of each range of tokens. A cut inside a character moves to its first byte, so
+    that neighbouring slices join to the whole text."""
     enc = encoding(path)
-    out, last, data, ends = [], None, b"", np.zeros(1, np.int64)
-    for t, a, b in zip(texts, start, end):
-        if t is not last:
-            parts = enc.decode_tokens_bytes(enc.encode_ordinary(t))
-            data, ends, last = b"".join(parts), np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int64), t
-        at = []
-        for k in (a, b):
-            i = int(ends[min(k, len(ends) - 1)])
-            while i < len(data) and data[i] & 0xC0 == 0x80:
-                i -= 1
-            at.append(i)
-        out.append(data[at[0] : at[1]].decode())
-    return out
+    parts = enc.decode_tokens_bytes(enc.encode_ordinary(text))
+    data = b"".join(parts)
+    ends = np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int64)
+
+    def place(k: int) -> int:
+        i = int(ends[min(k, len(ends) - 1)])
+        while 0 < i < len(data) and data[i] & 0xC0 == 0x80:
+            i -= 1
+        return i
+
+    return [data[place(a) : place(b)].decode() for a, b in ranges]

@@ -69,14 +69,14 @@ def test_documents(spark):
     specs = spark.createDataFrame([(1, 50), (1, 50), (2, 700), (3, 0), (4, None)], "spec_id int, capacity_tokens int")
     packed = pack_documents(docs, specs, buckets=3)
     rows = attach_text(packed, docs).collect()
+    size = [len(encoding().encode_ordinary(t or "")) for t in texts]
     for spec, capacity in ((1, 50), (2, 700)):
         mine = [x for x in rows if x.spec_id == spec]
         assert {x.doc_id for x in mine} == set(range(len(texts)))
         fill, whole = {}, {}
         for x in sorted(mine, key=lambda x: (x.doc_id, x.piece)):
-            n = len(encoding().encode_ordinary(texts[x.doc_id] or ""))
             if x.container_id is None:
-                assert n == 0
+                assert size[x.doc_id] == 0
                 continue
             fill[x.container_id] = fill.get(x.container_id, 0) + x.n_tokens
             whole.setdefault(x.doc_id, []).append(x)
@@ -84,7 +84,7 @@ def test_documents(spark):
         assert len(fill) <= 1 + 1.05 * sum(fill.values()) / capacity
         for d, xs in whole.items():
             n = sum(x.n_tokens for x in xs)
-            assert n == len(encoding().encode_ordinary(texts[d])) and (len(xs) == 1 or n > capacity) and all(x.n_tokens == capacity for x in xs[:-1])
+            assert n == size[d] and (len(xs) == 1 or n > capacity) and all(x.n_tokens == capacity for x in xs[:-1])
             assert "".join(x.text for x in xs) == texts[d]
     assert {x.spec_id for x in rows} == {1, 2}
 
