@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLOTS = 1 << 19  # counters of the pair table: a fixed size, whatever the corpus
+ROWS, SLOTS = 3, 1 << 18  # counters of the pair table, a count-min sketch: a fixed size, whatever the corpus
+MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)  # any odd numbers
 # Names of 8-bit encodings. Texts read under one of the first row that were
 # written in UTF-8, or under the second row written in the third.
 READ_UTF8 = ["cp1252", "latin_1", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "iso8859_2", "cp1253", "cp1254", "iso8859_15", "koi8_r", "cp866"]
@@ -26,25 +27,29 @@ LOST = "�"
 _ISLAND = re.compile(r"(?:[^\x00-\x7f]|&(?:[A-Za-z]{2,8}|#[0-9]{2,5}|#x[0-9A-Fa-f]{2,4});)+")
 
 
-def _slot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Counter of a pair of code points; single characters have b = 2**21 - 1."""
+def _slots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The counters of a pair of code points, one per row of the sketch; single characters
+    have b = 2**21 - 1."""
     key = (a.astype(np.uint64) << np.uint64(21)) | b.astype(np.uint64)
-    return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(45)).astype(np.int64)
+    mixed = key[None, :] * MULTIPLIERS[:, None]
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= MULTIPLIERS[::-1, None]
+    return (mixed >> np.uint64(46)).astype(np.int64) + np.arange(ROWS)[:, None] * SLOTS
 
 
 _SINGLE = (1 << 21) - 1
 
 
 def pair_counts(df: DataFrame, text: str) -> np.ndarray:
-    """Counts of adjacent characters and single characters over all texts, hashed to SLOTS counters.
+    """Counts of adjacent characters and single characters over all texts, in a sketch of ROWS x SLOTS counters.
 
     Pairs of two ASCII characters aren't counted: no wrong decoding makes them. Counting is per batch,
-    then per counter, so at most SLOTS rows are shuffled per task and reach the driver. The
+    then per counter, so at most ROWS x SLOTS rows are shuffled per task and reach the driver. The
     last element is the number of characters.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(SLOTS, np.int64), 0
+        total, n = np.zeros(ROWS * SLOTS, np.int64), 0
         for b in batches:
             for t in b.column(0):
                 if not t.is_valid:
@@ -55,17 +60,17 @@ def pair_counts(df: DataFrame, text: str) -> np.ndarray:
                 n += len(c)
                 ascii_counts = np.bincount(c[c < 128], minlength=128)
                 codes = np.flatnonzero(ascii_counts)
-                np.add.at(total, _slot(codes, np.full(len(codes), _SINGLE)), ascii_counts[codes])
+                np.add.at(total, _slots(codes, np.full(len(codes), _SINGLE)), ascii_counts[codes][None, :])
                 high = c[c > 127]
-                np.add.at(total, _slot(high, np.full(len(high), _SINGLE)), 1)
+                np.add.at(total, _slots(high, np.full(len(high), _SINGLE)), 1)
                 wide = np.r_[32, c, 32]  # a text stands between spaces
                 i = np.flatnonzero((wide[:-1] > 127) | (wide[1:] > 127))
-                np.add.at(total, _slot(wide[i], wide[i + 1]), 1)
+                np.add.at(total, _slots(wide[i], wide[i + 1]), 1)
         slot = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[slot, SLOTS]), pa.array(np.r_[total[slot], n])], names=["slot", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[slot, ROWS * SLOTS]), pa.array(np.r_[total[slot], n])], names=["slot", "n"])
 
     sums = df.select(text).mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    out = np.zeros(SLOTS + 1, np.int64)
+    out = np.zeros(ROWS * SLOTS + 1, np.int64)
     t = sums.toArrow()
     out[np.asarray(t.column("slot"))] = np.asarray(t.column("n"))
     return out
@@ -87,7 +92,11 @@ class PairModel:
     def count(self, a: int, b: int) -> float:
         v = self._c.get((a, b))
         if v is None:
-            v = self._c[(a, b)] = float(self.counts[_slot(np.array([a]), np.array([b]))[0]])
+            # the least of the rows, and no more than either character alone: collisions can't lend a pair counts
+            v = float(self.counts[_slots(np.array([a]), np.array([b]))[:, 0]].min())
+            if b != _SINGLE:
+                v = min(v, self.count(a, _SINGLE) if a != 32 else v, self.count(b, _SINGLE) if b != 32 else v)
+            self._c[(a, b)] = v
         return v
 
     def rarity(self, b: int) -> float:
