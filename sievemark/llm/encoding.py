@@ -267,6 +267,9 @@ def _examine_run(model: PairModel, left: str, written: str, run: str, space: str
         multi = way.startswith("utf-8")
         if not multi and not plain:
             continue  # an entity was never read byte by byte
+        fresh = [x for x in restored if ord(x) > 127 and x not in inside]
+        if len(fresh) < 3 and any(not model.count(ord(x), _SINGLE) for x in fresh):
+            continue  # one or two characters that no text holds are no restored text
         gain = before - model.chain(full[:a] + restored + full[b:]) + (UTF8_BONUS if multi else 0.0)
         if gain >= min(floor, WEAK) and gain > out.get(way, (-99.0, ""))[0]:
             out[way] = (gain, full[1:a] + restored + full[b : len(full) - 1])
