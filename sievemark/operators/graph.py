@@ -3,6 +3,8 @@ in the shared folder, so a lost executor costs a step and not the whole loop."""
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,8 +41,8 @@ def link_weight(location: Column, template_frequency: Column) -> Column:
     return w * F.when(template_frequency >= TEMPLATE_MIN, TEMPLATE_FACTOR).otherwise(1.0)
 
 
-def depths(edges: DataFrame, seeds: DataFrame, most: int = 64) -> DataFrame:
-    """``node, depth``: fewest hops from any seed (column ``node``), up to ``most``.
+def depths(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``node, depth``: fewest hops from any seed (column ``node``), however many.
 
     One frontier join and one anti join with the nodes seen so far per level; ends when a
     level finds nothing. Nodes that no seed reaches are absent.
@@ -48,7 +50,7 @@ def depths(edges: DataFrame, seeds: DataFrame, most: int = 64) -> DataFrame:
     e = _edges(edges).distinct()
     seen = cut_lineage(seeds.where("node IS NOT NULL").select("node", F.lit(0).alias("depth")).distinct())
     front = seen
-    for level in range(1, most + 1):
+    for level in count(1):
         found = e.join(front.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
         front = cut_lineage(found.withColumn("depth", F.lit(level)))
         if front.isEmpty():

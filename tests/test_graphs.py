@@ -76,6 +76,12 @@ def test_near_duplicates_lose_no_link(spark):
     assert near_duplicate_classes(docs.limit(0)).count() == 0
 
 
+def test_depth_of_a_long_chain(spark):
+    chain = [(f"p{i}", f"p{i + 1}") for i in range(67)]
+    got = {x.node: x.depth for x in depths(edges(spark, [*chain, ("far", "p0"), ("p67", "p3")]), spark.createDataFrame([("p0",)], "node string")).collect()}
+    assert got == {f"p{i}": i for i in range(68)}
+
+
 def test_nearest_against_brute_force(spark):
     r = random.Random(1)
     rows = [(i, [r.gauss(0, 1) for _ in range(8)], 1) for i in range(300)] + [(300, None, 1), (301, [0.0] * 8, 1), (302, [1.0, None], 1), (303, [1.0] * 3, 1), (None, [1.0] * 8, 1)]
