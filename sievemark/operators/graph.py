@@ -26,10 +26,11 @@ def degrees(edges: DataFrame) -> DataFrame:
     return e.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("x")).groupBy("x.node").agg(F.sum("x.o").alias("outbound"), F.sum("x.i").alias("inbound"))
 
 
-def template_frequency(edges: DataFrame, n_pages: int) -> DataFrame:
-    """Edges with ``template_frequency``: how often target and place meet, where that is at least
-    three times and on half of the pages; else null."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("dst", F.coalesce("location", F.lit("contextual"))))
+def template_frequency(edges: DataFrame, n_pages: int | Column, within: tuple[str, ...] = ()) -> DataFrame:
+    """Edges with ``template_frequency``: how often target and place meet among edges of equal
+    ``within``, where that is at least three times and on half of the pages; else null, as where
+    the number of pages is."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(*within, "dst", F.coalesce("location", F.lit("contextual"))))
     return edges.withColumn("template_frequency", F.when((n >= TEMPLATE_MIN) & (2 * n >= n_pages), n))
 
 

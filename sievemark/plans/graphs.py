@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.urls import url_parts
 from ..operators import graph as G
 from ..operators import similarity as S
 from ..operators import vectors as V
@@ -26,9 +27,13 @@ def link_degrees(s: SparkSession, d: str) -> DataFrame:
 
 
 def link_templates(s: SparkSession, d: str) -> DataFrame:
-    """Links whose target and place repeat, with their weight."""
-    e = _links(s, d)
-    t = G.template_frequency(e, 6)
+    """Links whose target and place repeat on the linking site, with their weight. A site's pages
+    are its URLs that any snapshot found indexable, as links aren't kept by snapshot."""
+    site = lambda url: url_parts(url)["host"]
+    pages = table(s, d, "pages").select("url", "indexable").withColumn("site", site(F.col("url"))).where("site IS NOT NULL")
+    sizes = pages.groupBy("site").agg(F.greatest(F.countDistinct(F.when(F.col("indexable") == "indexable", F.col("url"))), F.lit(1)).alias("n_pages"))
+    e = _links(s, d).withColumn("site", site(F.regexp_replace("src", "^url:", ""))).join(sizes, "site", "left")
+    t = G.template_frequency(e, F.col("n_pages"), ("site",))
     return t.select("edge_id", "src", "dst", "template_frequency", F.round(G.link_weight(F.lit("nav"), F.col("template_frequency")), 6).alias("weight"))
 
 

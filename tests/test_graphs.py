@@ -5,7 +5,7 @@ import pytest
 from sievemark.operators.graph import components, degrees, depths, page_rank, template_frequency
 from sievemark.operators.similarity import near_duplicate_classes, similar_pairs
 from sievemark.operators.vectors import keyword_retrieve, lexical_embedding, nearest, retrieve
-from sievemark.plans import dsl
+from sievemark.plans import dsl, graphs
 
 EDGES = "src string, dst string, location string, node string, rank double"
 
@@ -82,6 +82,19 @@ def test_depth_of_a_long_chain(spark):
     assert got == {f"p{i}": i for i in range(68)}
 
 
+def test_template_links_need_half_of_a_sites_pages(spark, tmp_path):
+    url = lambda site, n: f"url:https://{site}.example/{n}"
+    link = lambda i, src, dst: (i, src, dst, "url", "url", "http")
+    links = [(url(site, n), url(site, "hub")) for site in ("small", "large", "closed", "away") for n in range(4)] + [(url("small", 0), url("small", "x"))] * 2 + [(url("small", n), url("large", "hub")) for n in range(2)]
+    pages = [("s1", f"https://{site}.example/{n}", "indexable") for site, most in (("small", 8), ("large", 9)) for n in range(most)]
+    pages += [("s2", *p[1:]) for p in pages] + [("s1", f"https://small.example/no{n}", "noindex") for n in range(9)] + [("s1", "https://closed.example/", "noindex"), ("s1", None, "indexable"), ("s1", "no url", "indexable")]
+    spark.createDataFrame([link(i, *x) for i, x in enumerate(links)], "edge_id long, source string, target string, source_kind string, target_kind string, evidence_source string").write.parquet(f"{tmp_path}/fact_edges.parquet")
+    spark.createDataFrame(pages, "snapshot_id string, url string, indexable string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = graphs.link_templates(spark, str(tmp_path)).collect()
+    assert len(got) == len(links)
+    assert {(x.src, x.dst): (x.template_frequency, x.weight) for x in got} == {(a, b): (4, 0.075) if a.split("/")[2] in ("small.example", "closed.example") and b == f"{a.rsplit('/', 1)[0]}/hub" else (None, 0.3) for a, b in links}
+
+
 def test_nearest_against_brute_force(spark):
     r = random.Random(1)
     rows = [(i, [r.gauss(0, 1) for _ in range(8)], 1) for i in range(300)] + [(300, None, 1), (301, [0.0] * 8, 1), (302, [1.0, None], 1), (303, [1.0] * 3, 1), (None, [1.0] * 8, 1)]
