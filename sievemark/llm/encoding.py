@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,6 +24,7 @@ READ_8BIT = ["cp1252", "cp1250", "mac_roman", "cp437", "cp850"]
 WRITTEN_8BIT = ["cp1252", "cp1250", "mac_roman", "cp850", "cp437"]
 UTF8_BONUS = 3.0  # nats: correct text rarely forms a valid multi-byte sequence by chance
 WEAK = -2.0  # nats that a run may speak against the way that explains the rest of its text
+BOUND = 6.0  # nats of mutual information between the characters of a sequence that stands for one that no text holds
 LOST = "�"
 _ISLAND = re.compile(r"(?:[^\x00-\x7f]|&(?:[A-Za-z]{2,8}|#[0-9]{2,5}|#x[0-9A-Fa-f]{2,4});)+")
 
@@ -109,7 +111,11 @@ class PairModel:
     def surprise(self, a: int, b: int) -> float:
         return 0.0 if a < 128 and b < 128 else self.rarity(b) - self.mi(a, b)
 
-    def chain(self, s: str) -> float:
+    def chain(self, s: str, stand_in: dict[str, str] | None = None) -> float:
+        """Surprise of a text; characters of ``stand_in`` count as their sequence does from outside."""
+        if stand_in:
+            first, last = [ord(stand_in.get(x, x)[0]) for x in s], [ord(stand_in.get(x, x)[-1]) for x in s]
+            return sum(map(self.surprise, last, first[1:]))
         c = [ord(x) for x in s]
         return sum(map(self.surprise, c, c[1:]))
 
@@ -217,6 +223,34 @@ def inverses(s: str) -> list[tuple[str, str]]:
     return [(way, r) for r, way in found.items()]
 
 
+@lru_cache(None)
+def sequence_of(ch: str, way: str) -> str:
+    """What a character becomes when it is decoded wrongly in that way, for ways of UTF-8."""
+    s = ch
+    for step in reversed(way.split(", ")):
+        read: dict[int, str] = {}
+        for c, i in _bytes_of(step.removeprefix("utf-8 read as ")).items():
+            read.setdefault(i, c)
+        s = "".join(read[i] if i > 127 else chr(i) for i in s.encode())
+    return s
+
+
+def stand_ins(model: PairModel, inside: str, fresh: list[str], way: str) -> dict[str, str]:
+    """Of the restored characters that no text holds, those whose sequence in the text speaks
+    for itself, with that sequence: three or four bytes of UTF-8 (two are formed by ordinary
+    letters), no word, and characters that keep to each other (BOUND)."""
+    out = {}
+    for x in fresh:
+        if ord(x) < 0x800 or model.count(ord(x), _SINGLE) or unicodedata.category(x) in ("Cn", "Co", "Cs", "Cc"):
+            continue
+        written = [sequence_of(x, way), sequence_of(x, way.replace("cp1252", "latin_1"))]  # cp1252 undoes both
+        for s in [*written, *map(str.lower, written)]:
+            word = s.isalpha() and (s.islower() or s.isupper() or s.istitle())
+            if s in inside and not word and min(model.mi(ord(a), ord(b)) for a, b in zip(s, s[1:])) >= BOUND:
+                out[x] = s
+    return out
+
+
 def examine(model: PairModel, text: str, cache: dict, floor: float, typical: float) -> tuple[dict[str, float], list[tuple[int, int, dict[str, tuple[float, str]]]]]:
     """Evidence by way and the examined runs (start, end, {way: (gain, restored)})."""
     seen: dict[tuple[str, str], float] = {}
@@ -268,9 +302,10 @@ def _examine_run(model: PairModel, left: str, written: str, run: str, space: str
         if not multi and not plain:
             continue  # an entity was never read byte by byte
         fresh = [x for x in restored if ord(x) > 127 and x not in inside]
-        if len(fresh) < 3 and any(not model.count(ord(x), _SINGLE) for x in fresh):
-            continue  # one or two characters that no text holds are no restored text
-        gain = before - model.chain(full[:a] + restored + full[b:]) + (UTF8_BONUS if multi else 0.0)
+        known = stand_ins(model, inside, fresh, way) if multi else {}
+        if len(fresh) < 3 and any(not model.count(ord(x), _SINGLE) and x not in known for x in fresh):
+            continue  # one or two characters that no text holds and no bound sequence stands for are no restored text
+        gain = before - model.chain(full[:a] + restored + full[b:], known) + (UTF8_BONUS if multi else 0.0)
         if gain >= min(floor, WEAK) and gain > out.get(way, (-99.0, ""))[0]:
             out[way] = (gain, full[1:a] + restored + full[b : len(full) - 1])
     return out

@@ -49,3 +49,13 @@ def test_round_trips_and_segments():
         for read in ("latin_1", "mac_roman", "koi8_r", "cp866"):
             assert t in {r for _, r in inverses(t.encode().decode(read))}
     assert segment([-1, 2, -1, 3, -9, 4]) == (1, 4, 4) and segment([-1, -2]) == (0, 0, 0)
+
+
+def test_a_single_damaged_symbol_that_no_text_holds(spark):
+    texts = [" ".join(random.Random(i).choice(CLEAN) for _ in range(3)) for i in range(300)]
+    symbols = {3: ("😀", "cp1252"), 40: ("日", "latin_1"), 77: ("☃", "latin_1"), 110: ("🎉🚀⚙", "cp1252"), 150: ("✓", "mac_roman")}
+    want = {i: f"{texts[i]} done {x} here" for i, (x, _) in symbols.items()}
+    rows = [f"{t} done {symbols[i][0].encode().decode(symbols[i][1]) if i in symbols else 'well'} here" for i, t in enumerate(texts)]
+    rows += ["il a dit « passé…» à « demain »", "в Азії рак і ёлка, ЁРШИ", "l’été…», c’est l’é"]
+    got = {r.doc_id: r.text for r in repair_encoding(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert got == want
