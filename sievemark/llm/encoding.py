@@ -15,8 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ROWS, SLOTS = 3, 1 << 18  # counters of the pair table, a count-min sketch: a fixed size, whatever the corpus
-MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)  # any odd numbers
+FLUSH = 1 << 20  # pairs that a task holds before it counts them
 # Names of 8-bit encodings. Texts read under one of the first row that were
 # written in UTF-8, or under the second row written in the third.
 READ_UTF8 = ["cp1252", "latin_1", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "iso8859_2", "cp1253", "cp1254", "iso8859_15", "koi8_r", "cp866"]
@@ -29,29 +28,29 @@ LOST = "�"
 _ISLAND = re.compile(r"(?:[^\x00-\x7f]|&(?:[A-Za-z]{2,8}|#[0-9]{2,5}|#x[0-9A-Fa-f]{2,4});)+")
 
 
-def _slots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The counters of a pair of code points, one per row of the sketch; single characters
-    have b = 2**21 - 1."""
-    key = (a.astype(np.uint64) << np.uint64(21)) | b.astype(np.uint64)
-    mixed = key[None, :] * MULTIPLIERS[:, None]
-    mixed ^= mixed >> np.uint64(29)
-    mixed *= MULTIPLIERS[::-1, None]
-    return (mixed >> np.uint64(46)).astype(np.int64) + np.arange(ROWS)[:, None] * SLOTS
+_SINGLE = (1 << 21) - 1
 
 
-_SINGLE = (1 << 21) - 1
+def _keys(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+    """Keys of pairs of code points; single characters have b = 2**21 - 1."""
+    return (a.astype(np.int64) << 21) | b
 
 
 def pair_counts(df: DataFrame, text: str) -> np.ndarray:
-    """Counts of adjacent characters and single characters over all texts, in a sketch of ROWS x SLOTS counters.
+    """Exact counts of adjacent characters and single characters over all texts: the sorted keys, the
+    count of each, and as the last element the number of characters.
 
-    Pairs of two ASCII characters aren't counted: no wrong decoding makes them. Counting is per batch,
-    then per counter, so at most ROWS x SLOTS rows are shuffled per task and reach the driver. The
-    last element is the number of characters.
+    Pairs of two ASCII characters aren't counted: no wrong decoding makes them. Counting is per FLUSH
+    pairs, then per key; one row per distinct pair reaches the driver, 16 bytes each.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(ROWS * SLOTS, np.int64), 0
+        ascii_counts, held, size, n = np.zeros(128, np.int64), [], 0, 0
+
+        def counted() -> pa.RecordBatch:
+            keys, counts = np.unique(np.concatenate([np.empty(0, np.int64), *held]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], names=["key", "n"])
+
         for b in batches:
             for t in b.column(0):
                 if not t.is_valid:
@@ -60,22 +59,24 @@ def pair_counts(df: DataFrame, text: str) -> np.ndarray:
                 if not len(c):
                     continue
                 n += len(c)
-                ascii_counts = np.bincount(c[c < 128], minlength=128)
-                codes = np.flatnonzero(ascii_counts)
-                np.add.at(total, _slots(codes, np.full(len(codes), _SINGLE)), ascii_counts[codes][None, :])
-                high = c[c > 127]
-                np.add.at(total, _slots(high, np.full(len(high), _SINGLE)), 1)
-                wide = np.r_[32, c, 32]  # a text stands between spaces
+                ascii_counts += np.bincount(c[c < 128], minlength=128)
+                wide = np.r_[np.uint32(32), c, np.uint32(32)]  # a text stands between spaces
                 i = np.flatnonzero((wide[:-1] > 127) | (wide[1:] > 127))
-                np.add.at(total, _slots(wide[i], wide[i + 1]), 1)
-        slot = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[slot, ROWS * SLOTS]), pa.array(np.r_[total[slot], n])], names=["slot", "n"])
-
-    sums = df.select(text).mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    out = np.zeros(ROWS * SLOTS + 1, np.int64)
-    t = sums.toArrow()
-    out[np.asarray(t.column("slot"))] = np.asarray(t.column("n"))
-    return out
+                if len(i):
+                    held += [_keys(c[c > 127], _SINGLE), _keys(wide[i], wide[i + 1].astype(np.int64))]
+                    size += len(held[-2]) + len(held[-1])
+                if size >= FLUSH:
+                    yield counted()
+                    held, size = [], 0
+        yield counted()
+        codes = np.flatnonzero(ascii_counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[_keys(codes, _SINGLE), -1]), pa.array(np.r_[ascii_counts[codes], n])], names=["key", "n"])
+
+    t = df.select(text).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    keys, counts = np.asarray(t.column("key")), np.asarray(t.column("n"))
+    order = np.argsort(keys)
+    order = order[keys[order] >= 0]
+    return np.r_[keys[order], counts[order], counts[keys < 0].sum()].astype(np.int64)
 
 
 class PairModel:
@@ -88,16 +89,16 @@ class PairModel:
     """
 
     def __init__(self, counts: np.ndarray, smooth: float = 0.5) -> None:
-        self.counts, self.n, self.smooth = counts, max(int(counts[-1]), 1), smooth
+        half = len(counts) // 2
+        self.keys, self.counts, self.n, self.smooth = counts[:half], counts[half:-1], max(int(counts[-1]), 1), smooth
         self._c: dict[tuple[int, int], float] = {}
 
     def count(self, a: int, b: int) -> float:
         v = self._c.get((a, b))
         if v is None:
-            # the least of the rows, and no more than either character alone: collisions can't lend a pair counts
-            v = float(self.counts[_slots(np.array([a]), np.array([b]))[:, 0]].min())
-            if b != _SINGLE:
-                v = min(v, self.count(a, _SINGLE) if a != 32 else v, self.count(b, _SINGLE) if b != 32 else v)
+            key = (a << 21) | b
+            i = int(np.searchsorted(self.keys, key))
+            v = float(self.counts[i]) if i < len(self.keys) and self.keys[i] == key else 0.0
             self._c[(a, b)] = v
         return v
 
@@ -323,8 +324,8 @@ def repair_encoding(docs: DataFrame, key: str = "doc_id", text: str = "text", fl
 
     Adjacent pairs are scored by mutual information counted over all texts (pair_counts),
     stretches of more than ``typical`` surprise are isolated by maximum-scoring segments, and inverse
-    mappings are tried inside them. The model is a table of fixed size sent to every task;
-    texts aren't shuffled.
+    mappings are tried inside them. The model is a table of all distinct pairs sent to every
+    task; texts aren't shuffled.
     """
     counts = pair_counts(docs, text)
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("way", T.StringType()), T.StructField("evidence", T.DoubleType()), T.StructField("n_runs", T.IntegerType()), T.StructField("n_lost", T.IntegerType()), T.StructField("text", T.StringType())])

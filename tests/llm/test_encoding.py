@@ -1,8 +1,9 @@
 import random
+from collections import Counter
 
 import numpy as np
 
-from sievemark.llm.encoding import inverses, pair_counts, repair_encoding, segment
+from sievemark.llm.encoding import PairModel, inverses, pair_counts, repair_encoding, segment
 
 CLEAN = ["Der Prüfer hört früh über schöne Städte und Brücken", "L’élève répète la règle près de la forêt", "El año próximo añadirá más información aquí", "Não há opções; a descrição está à espera", "Żółta gęś powtarza się na każdej stronie", "It’s “free” — that’s all we can’t measure", "Ελέγξτε τον τίτλο της σελίδας", "見出しと要約を確認する。", "SÃO, MAÇÃ, ÂMBITO, ATENÇÃO", "Ondelu® © 2026, 5 °C, ½ page, &eacute; and &uuml; in HTML"]
 
@@ -59,3 +60,14 @@ def test_a_single_damaged_symbol_that_no_text_holds(spark):
     rows += ["il a dit « passé…» à « demain »", "в Азії рак і ёлка, ЁРШИ", "l’été…», c’est l’é"]
     got = {r.doc_id: r.text for r in repair_encoding(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
     assert got == want
+
+
+def test_pairs_are_counted_exactly_however_many(spark):
+    r = random.Random(9)
+    texts = ["".join(chr(r.randrange(0x4E00, 0x9FA0)) for _ in range(1000)) for _ in range(700)]
+    rare = [(0x4E00 + i, 0xAC00 + i) for i in range(300)]
+    texts += [chr(b) + " " + chr(a) for a, b in rare for _ in range(9)]
+    model = PairModel(pair_counts(spark.createDataFrame([(t,) for t in texts], "text string"), "text"))
+    want = Counter(p for t in texts for p in zip(map(ord, t), map(ord, t[1:])))
+    assert len(want) > 600_000 and all(model.count(a, b) == 0 for a, b in rare)
+    assert all(model.count(*p) == want[p] for p in r.sample(sorted(want), 3000))
