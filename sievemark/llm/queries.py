@@ -84,6 +84,6 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_unmatched, p7_containers, p7_texts, p7_fill, p8_mix, p8_shares, p8_exact_mix, p8_exact_shares, p9_found, p9_restored)
+    f.__name__: f for f in (p1_found, p1_unmatched, p7_containers, p7_texts, p7_fill, p8_exact_mix, p8_exact_shares, p8_mix, p8_shares, p9_found, p9_restored)
 }
 SQL: dict[str, str] = {}

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from sievemark.llm.mixing import mix_sources, permute, plan_shares, shard_counts
+from sievemark.llm.queries import QUERIES
 from sievemark.llm.tokens import VOCABULARY
 
 needs_vocabulary = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary")
@@ -62,3 +63,14 @@ def test_empty(spark):
     weights = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
     mix, report = mix_sources(docs, weights)
     assert mix.count() == 0 and [r.drawn_tokens for r in report.collect()] == [0]
+
+
+@needs_vocabulary
+def test_first_query_meets_the_shares(spark, tmp_path):
+    sizes = {"large": (0.6, 400), "middle": (0.3, 200), "few": (0.1, 8)}
+    docs = [(i, f"text number {i} " * 60, s) for i, s in enumerate(s for s, (_, n) in sizes.items() for _ in range(n))]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(s, w, 2) for s, (w, _) in sizes.items()], "source string, target_share double, max_repeats int").write.parquet(f"{tmp_path}/source_weights.parquet")
+    mix = QUERIES[next(k for k in QUERIES if k.startswith("p8_"))](spark, str(tmp_path)).groupBy("source").sum("n_tokens").collect()
+    total = sum(r[1] for r in mix)
+    assert all(abs(r[1] / total - sizes[r[0]][0]) < 0.01 for r in mix) and len(mix) == 3
