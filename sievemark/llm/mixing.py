@@ -80,6 +80,24 @@ def permute(index: np.ndarray, size: int, seed: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
+def draw_without_replacement(rng: np.random.Generator, total: np.ndarray, n: int) -> np.ndarray:
+    """How many blocks of each source are among n drawn from all, for any number of blocks."""
+    blocks = int(total.sum())
+    if blocks < EXACT_BELOW:
+        return rng.multivariate_hypergeometric(total, n, method="marginals")
+    # Each block is taken or not by itself; those too many or too few, about the root of n, are then
+    # picked one by one. All sets of n blocks stay equally likely, so the distribution is the same.
+    got = rng.binomial(total, n / blocks)
+    surplus = int(got.sum()) - n
+    pool = got if surplus > 0 else total - got
+    picked = np.empty(0, np.int64)
+    while len(picked) < abs(surplus):
+        new = np.r_[picked, rng.integers(0, int(pool.sum()), abs(surplus) - len(picked))]
+        picked = new[np.sort(np.unique(new, return_index=True)[1])]
+    moved = np.bincount(np.searchsorted(np.cumsum(pool), picked, side="right"), minlength=len(pool))
+    return got - moved if surplus > 0 else got + moved
+
+
 def shard_counts(totals: np.ndarray, shard: int, n_shards: int, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(blocks of each source in a shard, blocks of each source in all earlier shards).
 
@@ -92,12 +110,7 @@ def shard_counts(totals: np.ndarray, shard: int, n_shards: int, size: int, seed:
     while b - a > 1:
         m = (a + b) // 2
         left_size = min(m * size, blocks) - a * size
-        if total.sum() < EXACT_BELOW:
-            left = np.random.default_rng([seed, a, b]).multivariate_hypergeometric(total, left_size, method="marginals")
-        else:  # so many draws leave no visible chance: the proportional part, remainders to the first sources
-            left = total * left_size // total.sum()
-            for i in np.argsort(left - total * (left_size / total.sum()), kind="stable")[: left_size - int(left.sum())]:
-                left[i] += 1
+        left = draw_without_replacement(np.random.default_rng([seed, a, b]), total, left_size)
         if shard < m:
             total, b = left, m
         else:

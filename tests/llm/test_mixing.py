@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from sievemark.llm import mixing
 from sievemark.llm.mixing import mix_sources, permute, plan_shares, shard_counts
 from sievemark.llm.queries import QUERIES
 from sievemark.llm.tokens import VOCABULARY
@@ -74,3 +75,15 @@ def test_first_query_meets_the_shares(spark, tmp_path):
     mix = QUERIES[next(k for k in QUERIES if k.startswith("p8_"))](spark, str(tmp_path)).groupBy("source").sum("n_tokens").collect()
     total = sum(r[1] for r in mix)
     assert all(abs(r[1] / total - sizes[r[0]][0]) < 0.01 for r in mix) and len(mix) == 3
+
+
+def test_large_totals_are_drawn_too(monkeypatch):
+    totals, size = np.array([3 * 10**9, 5, 2 * 10**9 - 5]), 10**9
+    drawn = [[shard_counts(totals, s, 5, size, seed)[0] for s in range(5)] for seed in range(20)]
+    assert all((sum(d) == totals).all() and all(x.sum() == size and (x >= 0).all() for x in d) for d in drawn)
+    assert len({int(d[0][0]) for d in drawn}) == 20
+    monkeypatch.setattr(mixing, "EXACT_BELOW", 0)
+    few = np.array([600, 3, 397])
+    got = np.array([shard_counts(few, 0, 2, 500, seed)[0] for seed in range(3000)])
+    mean, var = 500 * few / 1000, 500 * few / 1000 * (1 - few / 1000) * 500 / 999
+    assert (abs(got.mean(0) - mean) < 5 * (var / 3000) ** 0.5).all() and (abs(got.var(0) / var - 1) < 0.15).all()
