@@ -47,11 +47,13 @@ def similar_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", widt
 
 
 def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
-    """``key, class_id, n_links``: the class of every text with tokens, by links between
-    representatives and their connected components. class_id is the smallest key of the class, n_links the
-    links of the text's representative; a text like no other is its own class."""
+    """``key, class_id, n_links``: the class of every text, by links between representatives and
+    their connected components. class_id is the smallest key of the class, n_links the
+    links of the text's representative; a text like no other is its own class, as is one without tokens."""
     links, member = similar_pairs(docs, key, text, width, threshold)
     links = cut_lineage(links)
     classes = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    return member.join(classes.join(degree, "node"), member["rep"] == F.col("node"), "left").select(key, F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    found = member.join(classes.join(degree, "node"), member["rep"] == F.col("node"), "left").select(key, F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    bare = docs.select(key, F.coalesce(F.size(tokens(F.col(text))), F.lit(0)).alias("_n")).where("_n <= 0")
+    return found.unionByName(bare.select(key, F.col(key).alias("class_id"), F.lit(0).cast(found.schema["n_links"].dataType).alias("n_links")))

@@ -76,6 +76,12 @@ def test_near_duplicates_lose_no_link(spark):
     assert near_duplicate_classes(docs.limit(0)).count() == 0
 
 
+def test_texts_without_tokens_are_classes_of_their_own(spark):
+    texts = ["one two three four five six", None, "", "  ", "?! …", "a b c", "one two three four five six", "zz"]
+    rows = near_duplicate_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(map(tuple, rows)) == [(i, 0 if i == 6 else i, 0) for i in range(len(texts))]
+
+
 def test_depth_of_a_long_chain(spark):
     chain = [(f"p{i}", f"p{i + 1}") for i in range(67)]
     got = {x.node: x.depth for x in depths(edges(spark, [*chain, ("far", "p0"), ("p67", "p3")]), spark.createDataFrame([("p0",)], "node string")).collect()}
