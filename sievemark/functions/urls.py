@@ -121,7 +121,7 @@ def locale_of(path: Column, locales: list[str] = PAGE_LOCALES) -> Column:
 def city_family(path: Column) -> Column:
     """struct<family, city> of [locale]/(category|services)/slug/city, else null."""
     s = segments(path)
-    rest = F.when(F.try_element_at(s, F.lit(1)).isin(FAMILY_LOCALES), F.slice(s, 2, 99)).otherwise(s)
+    rest = F.when(F.try_element_at(s, F.lit(1)).isin(FAMILY_LOCALES), F.slice(s, 2, F.greatest(F.size(s), F.lit(1)))).otherwise(s)
     at = lambda i: F.try_element_at(rest, F.lit(i))
     city = at(3)
     ok = (F.size(rest) == 3) & at(1).isin("category", "services") & (city.contains("-") | (F.octet_length(city) >= 4))

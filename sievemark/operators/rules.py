@@ -86,7 +86,7 @@ def alternates(p: DataFrame) -> DataFrame:
 def locale_groups(p: DataFrame) -> DataFrame:
     """Locale twins of which some declare no alternates: one finding per group."""
     loc = locale_of(F.col("_path"))
-    rest = F.array_join(F.when(loc.isNull(), segments(F.col("_path"))).otherwise(F.slice(segments(F.col("_path")), 2, 99)), "/")
+    rest = F.array_join(F.when(loc.isNull(), segments(F.col("_path"))).otherwise(F.slice(segments(F.col("_path")), 2, F.greatest(F.size(segments(F.col("_path"))), F.lit(1)))), "/")
     g = p.where("_html").groupBy("_host", rest.alias("_rest")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.coalesce(loc, F.lit(""))).alias("k"), F.bool_or(F.coalesce(F.size("alternates") <= 0, F.lit(True))).alias("bare"), F.min("_url").alias("_url"))
     return _finding(g.where("n >= 2 AND k >= 2 AND bare"), "I18N-002", "warn", F.concat(F.lit("/"), F.col("_rest")))
 

@@ -32,26 +32,30 @@ def snapshot_changes(records: DataFrame, pairs: DataFrame, key: str, value: Colu
     ``records`` has ``snapshot_id``, ``key`` and the columns that ``value`` reads; without a
     value records can only be added or removed. snapshot_id is the newer one of the pair.
 
-    Both snapshots of a pair are laid over each other with signs +1 and -1; rows whose signs
-    cancel are identical and vanish, which is EXCEPT ALL both ways in one pass. The residues
-    meet by key (the full join, as an aggregate): a key left on one side only is added or
-    removed, unless an identical row of it cancelled, then its set of values changed. One
-    shuffle on (pair, key) serves both steps, so a site with a third of all rows is spread by
-    its keys. Repeated rows of a snapshot count once; null values equal each other; rows
-    without a key or outside all pairs are left out.
+    Rows go once to the place of their site and key and only there take part in two pairs, as
+    the newer and as the older side. Repeated rows of a snapshot count once; then every (pair,
+    key, value) has a signed count, +1 for the newer side and -1 for the older one. What sums
+    to 0 is identical and vanishes: EXCEPT ALL both ways, in one pass. The residues of both sides meet in a
+    full join by key, at the same place: a key left on one side only is added or removed, unless an
+    identical row of it vanished, then its set of values changed, as for a key left on both.
+    A site with a third of all rows is spread by its keys. Null values equal each
+    other; rows without a key or outside all pairs are left out.
     """
     v = F.lit(None).cast("string") if value is None else value
     rows = records.where(F.col(key).isNotNull()).select("snapshot_id", F.col(key).alias("record_key"), v.alias("_value"))
-    two = pairs.where("older IS NOT NULL").select(
-        F.explode(F.array(F.struct(F.col("newer").alias("of"), F.lit(True).alias("new")), F.struct(F.col("older").alias("of"), F.lit(False).alias("new")))).alias("side"), F.col("newer").alias("pair")
-    )
-    laid = rows.join(two, rows["snapshot_id"] == two["side.of"]).select("pair", "record_key", "_value", F.col("side.new").alias("_new"))
-    met = laid.repartition("pair", "record_key").groupBy("pair", "record_key", "_value").agg(F.bool_or("_new").alias("_in_new"), F.bool_or(~F.col("_new")).alias("_in_old"))
-    keys = met.groupBy("pair", "record_key").agg(
-        F.bool_or("_in_new").alias("_new"), F.bool_or("_in_old").alias("_old"), F.bool_or(F.col("_in_new") != F.col("_in_old")).alias("_residue")
-    )
-    return keys.where("_residue").select(
-        F.col("pair").alias("snapshot_id"),
-        "record_key",
-        F.when(~F.col("_old"), "added").when(~F.col("_new"), "removed").otherwise("changed").alias("change"),
-    )
+    # each snapshot once, with the pair that it ends and the pair that it begins
+    roles = pairs.select("site", F.explode(F.array(F.struct(F.col("newer").alias("of"), F.when(F.col("older").isNotNull(), F.col("newer")).alias("ends"), F.lit(None).cast("string").alias("begins")), F.struct(F.col("older").alias("of"), F.lit(None).cast("string").alias("ends"), F.col("newer").alias("begins")))).alias("r"))
+    roles = roles.where("r.of IS NOT NULL").groupBy("site", F.col("r.of").alias("_of")).agg(F.max("r.ends").alias("_ends"), F.max("r.begins").alias("_begins"))
+    placed = rows.join(roles, rows["snapshot_id"] == roles["_of"]).select("site", "record_key", "_value", "_ends", "_begins").repartition("site", "record_key")
+    sides = F.array(F.struct(F.col("_ends").alias("pair"), F.lit(1).alias("sign")), F.struct(F.col("_begins").alias("pair"), F.lit(-1).alias("sign")))
+    laid = placed.select("site", "record_key", "_value", F.explode(sides).alias("s")).select("site", "record_key", "_value", "s.*").where("pair IS NOT NULL")
+    at = ["site", "record_key", "pair"]
+    sums = laid.groupBy(*at, "_value").agg((F.max(F.greatest("sign", F.lit(0))) + F.min(F.least("sign", F.lit(0)))).alias("left"))
+    some = lambda c: F.bool_or(c)
+    keyed = sums.groupBy(*at).agg(some(F.col("left") > 0).alias("_plus"), some(F.col("left") < 0).alias("_minus"), some(F.col("left") == 0).alias("_same"))
+    new, old = keyed.where("_plus").select(*at, F.col("_same").alias("_n")), keyed.where("_minus").select(*at, F.col("_same").alias("_o"))
+    met = new.join(old, at, "full")
+    return met.select(
+        F.col("pair").alias("snapshot_id"), "record_key",
+        F.when(F.coalesce("_n", "_o") | (F.col("_n").isNotNull() & F.col("_o").isNotNull()), "changed").when(F.col("_o").isNull(), "added").otherwise("removed").alias("change"),
+    )

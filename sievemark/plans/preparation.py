@@ -90,26 +90,29 @@ def p3_change_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---- 4: references
-def _references(spark: SparkSession, d: str) -> DataFrame:
+def _references(spark: SparkSession, d: str, kinds: bool = False) -> DataFrame:
     e = table(spark, d, "fact_edges")
-    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("ref"), F.col(f"{s}_kind").alias("kind")) for s in ("source", "target")])
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("ref"), *([F.col(f"{s}_kind").alias("kind")] if kinds else [])) for s in ("source", "target")])
     return e.select("edge_id", "observed_at", F.explode(sides).alias("_s")).select("edge_id", "observed_at", "_s.*")
 
 
-def _orphans(spark: SparkSession, d: str) -> DataFrame:
-    return orphan_references(_references(spark, d), table(spark, d, "search_nodes"), "ref", "observed_at", "id", "loaded_at", "deleted_at")
+_NODES = ("ref", "observed_at", "id", "loaded_at", "deleted_at")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """References without a valid node at the time of the edge."""
-    return _orphans(spark, d).select("edge_id", "side", "state").distinct()
+    return orphan_references(_references(spark, d), table(spark, d, "search_nodes"), *_NODES).select("edge_id", "side", "state").distinct()
 
 
 def p4_orphan_counts(spark: SparkSession, d: str) -> DataFrame:
     """References and orphans per side, kind and month; repeated edges count once."""
-    keys = ["edge_id", "observed_at", "side", "ref", "kind"]
-    refs = _references(spark, d).where("ref IS NOT NULL AND ref <> '' AND observed_at IS NOT NULL")
-    return orphan_counts(_orphans(spark, d).dropDuplicates(keys), refs.dropDuplicates(keys), ["side", "kind"], "observed_at")
+    return orphan_counts(_references(spark, d, True), table(spark, d, "search_nodes"), ["side", "kind"], *_NODES)
+
+
+def p4_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Orphans that came through the broadcast of the heavy keys and through the shuffle of all others."""
+    found = orphan_references(_references(spark, d), table(spark, d, "search_nodes"), *_NODES)
+    return found.groupBy("path").agg(F.countDistinct("ref").alias("n_keys"), F.count(F.lit(1)).alias("n_orphans"))
 
 
 # ---- 5: nested records
@@ -170,7 +173,7 @@ def p6_union_table(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p2_found, p2_rolling_totals, p2_late_corrections, p3_found, p3_change_counts, p4_found, p4_orphan_counts, p5_found, p5_records, p5_prompts, p5_list_values, p6_found, p6_change_log, p6_union_table)
+    for f in (p2_found, p2_rolling_totals, p2_late_corrections, p3_found, p3_change_counts, p4_found, p4_orphan_counts, p4_paths, p5_found, p5_records, p5_prompts, p5_list_values, p6_found, p6_change_log, p6_union_table)
 }
 
 # ---- SQL
@@ -241,6 +244,10 @@ SQL: dict[str, str] = {
     "p3_change_counts": f"WITH {_CHANGES} SELECT snapshot_id, record_kind, count(*) FILTER (change = 'added') AS n_added, count(*) FILTER (change = 'removed') AS n_removed, count(*) FILTER (change = 'changed') AS n_changed FROM changes GROUP BY ALL",
     "p4_found": f"WITH {_ORPHANS} SELECT DISTINCT edge_id, side, state FROM orphans",
     "p4_orphan_counts": f"WITH {_ORPHANS} SELECT t.*, coalesce(o.n_missing, 0) AS n_missing, coalesce(o.n_deleted, 0) AS n_deleted, coalesce(o.n_late, 0) AS n_late FROM (SELECT side, kind, strftime(observed_at, '%Y-%m') AS month, count(*) AS n_references FROM refs GROUP BY ALL) t LEFT JOIN (SELECT side, kind, strftime(observed_at, '%Y-%m') AS month, count(*) FILTER (state = 'missing') AS n_missing, count(*) FILTER (state = 'deleted') AS n_deleted, count(*) FILTER (state = 'late') AS n_late FROM orphans GROUP BY ALL) o ON t.side = o.side AND t.kind IS NOT DISTINCT FROM o.kind AND t.month = o.month",
+    "p4_paths": """WITH r AS (SELECT observed_at AS t, source AS ref FROM fact_edges UNION ALL SELECT observed_at, target FROM fact_edges), a AS (SELECT * FROM r WHERE ref IS NOT NULL AND ref <> '' AND t IS NOT NULL),
+      h AS (SELECT ref FROM a GROUP BY ref HAVING count(*) > 1 ORDER BY count(*) DESC, ref LIMIT 1000),
+      o AS (SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM search_nodes n WHERE n.id = a.ref AND n.loaded_at <= a.t AND (n.deleted_at IS NULL OR n.deleted_at > a.t)))
+      SELECT CASE WHEN ref IN (SELECT ref FROM h) THEN 'heavy' ELSE 'light' END AS path, count(DISTINCT ref) AS n_keys, count(*) AS n_orphans FROM o GROUP BY 1""",
     "p5_found": f"WITH {_FILES} SELECT file_id, branch, position::INT AS position, sub_position::INT AS sub_position FROM ({_branch_sql()})",
     "p5_list_values": f"WITH {_FILES} SELECT file_id, branch, position::INT AS position, sub_position::INT AS sub_position, value FROM ({_branch_sql()}) WHERE sub_position >= 0",
     "p5_records": f"WITH {_FILES} SELECT file_id, branch, position::INT AS position, r.query, r.url, r.provider, r.kind, r.period, r.user_agent, r.referer, r.source_url, {', '.join(f'r.{c}::BIGINT AS {c}' for c in _WHOLE)}, round(r.position::DOUBLE, 4) AS rank_position FROM ({_RECORDS})",

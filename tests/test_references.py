@@ -26,16 +26,24 @@ def brute(refs, nodes):
     return out
 
 
-@pytest.mark.parametrize("heavy", [10**6, 30])
-def test_against_brute_force(spark, heavy):
+@pytest.mark.parametrize("most", [1, 3, 1000])
+def test_against_brute_force(spark, most):
     r = random.Random(3)
     t = lambda: T0 + timedelta(hours=r.randrange(200))
     ids = ["hot", *"abcdefgh"]
     nodes = [(r.choice(ids + [None, ""]), r.choice([None, t(), t(), t()]), r.choice([None, t()])) for _ in range(60)]
     refs = [(i, r.choice(["hot"] * 4 + ids + ["zz", None, "", " a"]), r.choice([t(), t(), t(), None])) for i in range(300)]
-    got = run(spark, refs, nodes, heavy=heavy)
+    got = run(spark, refs, nodes, most=most)
     assert got == brute(refs, nodes) and {s for _, s in got} == {"missing", "late", "deleted"}
-    assert run(spark, refs, nodes, heavy=heavy, broadcast_rows=0) == got
+
+
+def test_heavy_keys_and_long_lives_take_their_paths(spark):
+    many = [("long", T0 + timedelta(hours=2 * k), T0 + timedelta(hours=2 * k + 1)) for k in range(150)]
+    refs = [(i, k, T0 + timedelta(hours=i % 40)) for i, k in enumerate(["hot"] * 50 + ["long"] * 40 + ["rare"] * 2 + ["one"])]
+    r, n = spark.createDataFrame([(*x, "old", "own") for x in refs], REFS), spark.createDataFrame([(*x, "r") for x in [*many, ("one", T0, None)]], NODES)
+    got = orphan_references(r, n, "ref", "at", "id", "loaded_at", "deleted_at", most=2).collect()
+    # the second key is heavy too, but has more lifetimes than the broadcast takes
+    assert {(x.ref, x.path) for x in got} == {("hot", "heavy"), ("long", "light"), ("rare", "light")} and {(x.n, x.state) for x in got} == brute(refs, many + [("one", T0, None)])
 
 
 def test_edges_of_a_lifetime_and_repeats(spark):
@@ -48,5 +56,4 @@ def test_empty_and_counts(spark):
     assert run(spark, [], []) == set()
     refs = spark.createDataFrame([(1, "a", T0, "s", "k"), (2, "b", T0, "s", None), (3, "b", T0 + timedelta(40), "s", "k")], REFS)
     nodes = spark.createDataFrame([("b", T0 + timedelta(30), None, "r")], NODES)
-    bad = orphan_references(refs, nodes, "ref", "at", "id", "loaded_at", "deleted_at")
-    assert {tuple(r) for r in orphan_counts(bad, refs, ["id"], "at").collect()} == {("k", "2026-01", 1, 1, 0, 0), (None, "2026-01", 1, 0, 0, 1), ("k", "2026-02", 1, 0, 0, 0)}
+    assert {tuple(r) for r in orphan_counts(refs.union(refs), nodes, ["id"], "ref", "at", "id", "loaded_at", "deleted_at").collect()} == {("k", "2026-01", 1, 1, 0, 0), (None, "2026-01", 1, 0, 0, 1), ("k", "2026-02", 1, 0, 0, 0)}
