@@ -9,24 +9,26 @@ from .common import cut_lineage
 
 # The lattice: integer < decimal < string, boolean < string, array < string, object < string.
 _BITS = {"boolean": 1, "integer": 2, "decimal": 4, "string": 8, "array": 16, "object": 32}
+_FLOATING = 64  # beside decimal: a number written with an exponent or of more than 38 digits
+_DECIMAL = "^DECIMAL\\(([0-9]+),([0-9]+)\\)$"
 
 
-def _written_type(v: Column) -> Column:
-    """Type of a JSON value as written; null for a JSON null."""
-    s = F.schema_of_variant(v)
+def _bits(s: Column) -> Column:
+    """Type bit of a JSON value as written, by its variant schema; null for a JSON null."""
     return (
-        F.when(s == "VOID", F.lit(None).cast("string")).when(s == "BOOLEAN", "boolean").when(s == "BIGINT", "integer").when(s == "STRING", "string")
-        .when(s.startswith("ARRAY"), "array").when(s.startswith("OBJECT"), "object")
-        .when(s.rlike("^DECIMAL\\((19|[2-9][0-9]),0\\)$"), "integer").otherwise("decimal")  # whole numbers too long for a bigint; 41.0 is DECIMAL(2,0)
+        F.when(s == "VOID", F.lit(None).cast("int")).when(s == "BIGINT", 2).when(s == "STRING", 8).when(s == "BOOLEAN", 1).when(s.startswith("ARRAY"), 16).when(s.startswith("OBJECT"), 32)
+        .when(s.rlike("^DECIMAL\\((19|[2-9][0-9]),0\\)$"), 2)  # whole numbers too long for a bigint; 41.0 is DECIMAL(2,0)
+        .when(s.startswith("DECIMAL"), 4).otherwise(4 + _FLOATING)
     )
 
 
 def promote(bits: Column) -> Column:
     """Least type of the lattice above all types in a set of type bits."""
+    plain = bits.bitwiseAND(F.lit(_FLOATING - 1))
     exact = F.lit(None).cast("string")
     for name, bit in _BITS.items():
-        exact = F.when(bits == bit, name).otherwise(exact)
-    return F.coalesce(exact, F.when(bits == _BITS["integer"] + _BITS["decimal"], "decimal").otherwise("string"))
+        exact = F.when(plain == bit, name).otherwise(exact)
+    return F.coalesce(exact, F.when(plain == _BITS["integer"] + _BITS["decimal"], "decimal").otherwise("string"))
 
 
 def _comparable(kind: Column, text: Column) -> Column:
@@ -37,36 +39,35 @@ def _comparable(kind: Column, text: Column) -> Column:
     return F.coalesce(number.cast("string"), F.regexp_replace(plain, "\\s*[|,;]\\s*", "|"))
 
 
-def file_values(lines: DataFrame) -> DataFrame:
-    """One row per line and non-null field: ``feed, file_id, exported_at, line_no, query,
-    field, kind, value`` (JSON text, strings unquoted).
+def _parsed(lines: DataFrame, *more: str) -> DataFrame:
+    """The readable lines with their object ``_v``.
 
     A byte order mark before the object is ignored; a line that still isn't one JSON object
-    is unreadable and left out, as are lines without feed or file. Repeated lines count once
-    per file and line number.
+    is unreadable and left out, as are lines without feed or file.
     """
     body = F.regexp_replace(F.trim("body"), "^﻿+", "")
-    once = lines.where("feed IS NOT NULL AND file_id IS NOT NULL").select("feed", "file_id", "exported_at", "line_no", F.try_parse_json(body).alias("_v")).where(F.schema_of_variant("_v").startswith("OBJECT"))
-    spark = lines.sparkSession
-    each = once.withColumn("query", F.try_variant_get("_v", "$.query", "string")).lateralJoin(spark.tvf.variant_explode(F.col("_v").outer()))
-    kind = _written_type(F.col("value"))
-    return each.select("feed", "file_id", "exported_at", "line_no", "query", F.col("key").alias("field"), kind.alias("kind"), F.col("value").cast("string").alias("value")).where("kind IS NOT NULL")
+    return lines.where("feed IS NOT NULL AND file_id IS NOT NULL").select("feed", "file_id", "exported_at", *more, F.try_parse_json(body).alias("_v")).where(F.schema_of_variant("_v").startswith("OBJECT"))
 
 
-def file_schemas(values: DataFrame) -> DataFrame:
-    """``feed, file_id, exported_at, field, type``: each file's fields, folded over its lines.
+def _members(parsed: DataFrame) -> DataFrame:
+    return parsed.lateralJoin(parsed.sparkSession.tvf.variant_explode(F.col("_v").outer()))
 
-    The fold is a bit_or of type bits, so it is combined map-side; exported_at is the file's
-    earliest one.
+
+def file_schemas(lines: DataFrame) -> DataFrame:
+    """``feed, file_id, exported_at, field, bits, whole, scale, type``: each file's fields, folded over its lines.
+
+    A file has a field if any line of it holds a non-null value there; repeated lines change
+    nothing. whole and scale are the most digits before and after the point. The fold takes a line's values one by one,
+    first per type as written, so it is combined map-side; exported_at is the file's earliest one.
     """
-    kinds = F.lit(0)
-    for name, bit in _BITS.items():
-        kinds = F.when(F.col("kind") == name, bit).otherwise(kinds)
-    folded = values.groupBy("feed", "file_id", "field").agg(F.bit_or(kinds).alias("bits"), F.min("exported_at").alias("exported_at"))
-    return folded.select("feed", "file_id", "exported_at", "field", "bits", promote(F.col("bits")).alias("type"))
+    each = _members(_parsed(lines)).select("feed", "file_id", "exported_at", F.col("key").alias("field"), F.schema_of_variant("value").alias("_s")).where("_s <> 'VOID'")
+    written = each.groupBy("feed", "file_id", "field", "_s").agg(F.min("exported_at").alias("exported_at"))
+    p, s = (F.regexp_extract("_s", _DECIMAL, k).try_cast("int") for k in (1, 2))
+    folded = written.groupBy("feed", "file_id", "field").agg(F.bit_or(_bits(F.col("_s"))).alias("bits"), F.max(F.when(F.col("_s") == "BIGINT", 19).otherwise(p - s)).alias("whole"), F.max(s).alias("scale"), F.min("exported_at").alias("exported_at"))
+    return folded.select("feed", "file_id", "exported_at", "field", "bits", "whole", "scale", promote(F.col("bits")).alias("type"))
 
 
-def schema_changes(values: DataFrame) -> DataFrame:
+def schema_changes(lines: DataFrame) -> DataFrame:
     """Every change of a file against the file before it in its feed.
 
     Gives ``feed, file_id, exported_at, field, new_field, change, old_type, new_type`` with change
@@ -76,61 +77,105 @@ def schema_changes(values: DataFrame) -> DataFrame:
     same values for more than half of the queries that have both; the best partner counts,
     then the first name, each field once. A new type of a renamed field is also a retyped
     case under the new name. new_field is '' except for renamed.
+
+    Lines are read once for the schemas. A second reading takes only files in which fields
+    came and others went, or the files before them, and of those only these fields.
     """
-    schemas = cut_lineage(file_schemas(values))  # one row per file and field, read in several places
+    schemas = cut_lineage(file_schemas(lines))  # one row per file and field, read in several places
     files = schemas.groupBy("feed", "file_id").agg(F.min("exported_at").alias("exported_at"))
     w = Window.partitionBy("feed").orderBy("exported_at", "file_id")
     order = files.select("feed", "file_id", "exported_at", F.lag("file_id").over(w).alias("before"), F.lead("file_id").over(w).alias("after"))
-    slim = schemas.select("feed", "file_id", "field", "type")
     # each file's fields once as the newer and once as the older side of a pair, met by (pair, field)
-    placed = slim.join(order, ["feed", "file_id"]).select(
+    placed = schemas.select("feed", "file_id", "field", "type").join(order, ["feed", "file_id"]).select(
         "feed", "field", "type", F.explode(F.array(F.struct(F.when(F.col("before").isNotNull(), F.col("file_id")).alias("pair"), F.lit(True).alias("newer")), F.struct(F.col("after").alias("pair"), F.lit(False).alias("newer")))).alias("s")
     ).where("s.pair IS NOT NULL")
     met = placed.groupBy("feed", F.col("s.pair").alias("file_id"), "field").agg(
         F.max(F.when(F.col("s.newer"), F.col("type"))).alias("new_type"), F.max(F.when(~F.col("s.newer"), F.col("type"))).alias("old_type")
     )
-    moved = met.where("new_type IS NULL OR old_type IS NULL")
-
-    # values of fields that came or went, met by (pair, query)
-    sides = order.select("feed", F.col("file_id").alias("pair"), F.explode(F.array(F.struct(F.col("file_id").alias("of"), F.lit(True).alias("newer")), F.struct(F.col("before").alias("of"), F.lit(False).alias("newer")))).alias("s")).where("s.of IS NOT NULL")
-    candidates = moved.select("feed", F.col("file_id").alias("pair"), "field", F.col("new_type").isNotNull().alias("newer"))
-    wanted = sides.select("feed", "pair", F.col("s.of").alias("file_id"), F.col("s.newer").alias("newer")).join(candidates, ["feed", "pair", "newer"])
-    held = (
-        values.where("query IS NOT NULL").join(wanted, ["feed", "file_id", "field"])
-        .groupBy("feed", "pair", "newer", "query", "field").agg(F.min(_comparable(F.col("kind"), F.col("value"))).alias("v"))
-    )
-    held = cut_lineage(held)  # only fields that came or went
-    old, new = held.where("NOT newer").select("feed", "pair", "query", F.col("field").alias("gone"), F.col("v").alias("old_v")), held.where("newer").select("feed", "pair", "query", F.col("field").alias("came"), F.col("v").alias("new_v"))
-    # a line has a handful of fields, so the pairs within one query are few
-    same = old.join(new, ["feed", "pair", "query"]).groupBy("feed", "pair", "gone", "came").agg(F.avg((F.col("old_v") == F.col("new_v")).cast("int")).alias("share")).where("share > 0.5")
+    # one row per pair with the fields of its two files that differ
+    differ = F.when(F.col("new_type").isNull() | F.col("old_type").isNull() | (F.col("new_type") != F.col("old_type")), F.struct("field", "old_type", "new_type"))
+    pairs = cut_lineage(met.groupBy("feed", "file_id").agg(F.collect_list(differ).alias("_f")).where(F.size("_f") > 0).join(order.select("feed", "file_id", "exported_at", "before"), ["feed", "file_id"]))
+    gone, came = F.filter("_f", lambda x: x["new_type"].isNull()), F.filter("_f", lambda x: x["old_type"].isNull())
+
+    # values of fields that went and came in the same file, met by (pair, query)
+    names = lambda a: F.transform(a, lambda x: x["field"])
+    sides = pairs.where((F.size(gone) > 0) & (F.size(came) > 0)).select(
+        "feed", F.col("file_id").alias("pair"), F.explode(F.array(F.struct(F.col("file_id").alias("of"), F.lit(True).alias("newer"), names(came).alias("names")), F.struct(F.col("before").alias("of"), F.lit(False).alias("newer"), names(gone).alias("names")))).alias("s")
+    )
+    wanted = sides.groupBy("feed", F.col("s.of").alias("file_id")).agg(F.collect_list(F.struct("pair", "s.newer", "s.names")).alias("_w"))  # at most two a file
+    read = _parsed(lines).join(wanted, ["feed", "file_id"]).withColumn("query", F.try_variant_get("_v", "$.query", "string")).where("query IS NOT NULL")
+    kept = _members(read).where(F.exists("_w", lambda x: F.array_contains(x["names"], F.col("key")))).select("feed", "query", F.col("key").alias("field"), F.schema_of_variant("value").alias("_s"), F.col("value").cast("string").alias("value"), F.explode(F.filter("_w", lambda x: F.array_contains(x["names"], F.col("key")))).alias("x"))
+    held = kept.where("_s <> 'VOID'").groupBy("feed", F.col("x.pair").alias("pair"), "query", F.col("x.newer").alias("newer"), "field").agg(F.min(_comparable(promote(_bits(F.col("_s"))), F.col("value"))).alias("v"))
+    # a query has a handful of fields in two files, so the pairs within it are few
+    both = held.groupBy("feed", "pair", "query").agg(F.collect_list(F.when(~F.col("newer"), F.struct("field", "v"))).alias("_o"), F.collect_list(F.when(F.col("newer"), F.struct("field", "v"))).alias("_n"))
+    tried = both.select("feed", "pair", F.explode("_o").alias("o"), "_n").select("feed", "pair", "o", F.explode("_n").alias("n"))
+    same = tried.groupBy("feed", "pair", F.col("o.field").alias("gone"), F.col("n.field").alias("came")).agg(F.avg((F.col("o.v") == F.col("n.v")).cast("int")).alias("share")).where("share > 0.5").repartition("feed", "pair")
     best = same.withColumn("_a", F.row_number().over(Window.partitionBy("feed", "pair", "gone").orderBy(F.desc("share"), "came"))).withColumn("_b", F.row_number().over(Window.partitionBy("feed", "pair", "came").orderBy(F.desc("share"), "gone"))).where("_a = 1 AND _b = 1")
-    renamed = best.select("feed", F.col("pair").alias("file_id"), "gone", "came")
-
-    went = moved.join(renamed.select("feed", "file_id", F.explode(F.array("gone", "came")).alias("field")), ["feed", "file_id", "field"], "left_anti")
-    t_old, t_new = moved.select("feed", "file_id", F.col("field").alias("gone"), F.col("old_type").alias("_o")), moved.select("feed", "file_id", F.col("field").alias("came"), F.col("new_type").alias("_n"))
-    named = renamed.join(t_old, ["feed", "file_id", "gone"]).join(t_new, ["feed", "file_id", "came"])
-    parts = [
-        went.select("feed", "file_id", "field", F.lit("").alias("new_field"), F.when(F.col("old_type").isNull(), "added").otherwise("removed").alias("change"), "old_type", "new_type"),
-        met.where("old_type <> new_type").select("feed", "file_id", "field", F.lit("").alias("new_field"), F.lit("retyped").alias("change"), "old_type", "new_type"),
-        named.select("feed", "file_id", F.col("gone").alias("field"), F.col("came").alias("new_field"), F.lit("renamed").alias("change"), F.col("_o").alias("old_type"), F.col("_n").alias("new_type")),
-        named.where("_o <> _n").select("feed", "file_id", F.col("came").alias("field"), F.lit("").alias("new_field"), F.lit("retyped").alias("change"), F.col("_o").alias("old_type"), F.col("_n").alias("new_type")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.join(order.select("feed", "file_id", "exported_at"), ["feed", "file_id"])
-
-
-def union_table(values: DataFrame) -> DataFrame:
+    renamed = best.groupBy("feed", F.col("pair").alias("file_id")).agg(F.collect_list(F.struct("gone", "came")).alias("_r"))
+
+    none = F.array().cast("array<struct<gone:string,came:string>>")
+    all_ = pairs.join(renamed, ["feed", "file_id"], "left").withColumn("_r", F.coalesce("_r", none))
+    types = lambda column, kind: F.map_from_entries(F.transform(column, lambda x: F.struct(x["field"], x[kind])))
+    case = lambda field, new, change, old_type, new_type: F.struct(field.alias("field"), new.alias("new_field"), F.lit(change).alias("change"), old_type.alias("old_type"), new_type.alias("new_type"))
+    blank, null = F.lit(""), F.lit(None).cast("string")
+    cases = all_.withColumns({"_go": types(gone, "old_type"), "_ne": types(came, "new_type")}).select(
+        "feed", "file_id", "exported_at",
+        F.explode(F.concat(
+            F.transform(F.filter(came, lambda x: ~F.exists("_r", lambda r: r["came"] == x["field"])), lambda x: case(x["field"], blank, "added", null, x["new_type"])),
+            F.transform(F.filter(gone, lambda x: ~F.exists("_r", lambda r: r["gone"] == x["field"])), lambda x: case(x["field"], blank, "removed", x["old_type"], null)),
+            F.transform(F.filter("_f", lambda x: x["new_type"].isNotNull() & x["old_type"].isNotNull()), lambda x: case(x["field"], blank, "retyped", x["old_type"], x["new_type"])),
+            F.transform("_r", lambda r: case(r["gone"], r["came"], "renamed", F.col("_go")[r["gone"]], F.col("_ne")[r["came"]])),
+            F.transform(F.filter("_r", lambda r: F.col("_go")[r["gone"]] != F.col("_ne")[r["came"]]), lambda r: case(r["came"], blank, "retyped", F.col("_go")[r["gone"]], F.col("_ne")[r["came"]])),
+        )).alias("c"),
+    )
+    return cases.select("feed", "file_id", "exported_at", "c.*")
+
+
+def _column_type(kind: str, bits: int, whole: int | None, scale: int | None) -> str:
+    """Spark type that holds every value of a field without losing a digit; numbers written with
+    an exponent or of more than 38 digits are doubles, as JSON readers see them."""
+    whole, scale = whole or 0, scale or 0
+    if kind == "boolean":
+        return "boolean"
+    if kind == "integer":
+        return "bigint" if whole <= 19 and not bits & _FLOATING else "decimal(38,0)"
+    if kind == "decimal":
+        return "double" if bits & _FLOATING else f"decimal({max(whole + scale, 1)},{scale})" if whole + scale <= 38 else "string"
+    return "string"
+
+
+def union_schema(lines: DataFrame) -> list[tuple[str, str]]:
+    """(field, Spark type) of the union of all files' schemas, by name; one row per field reaches the driver."""
+    folded = file_schemas(lines).groupBy("field").agg(F.bit_or("bits").alias("bits"), F.max("whole").alias("whole"), F.max("scale").alias("scale"))
+    rows = folded.select("field", "bits", "whole", "scale", promote(F.col("bits")).alias("type")).orderBy("field").collect()
+    return [(r["field"], _column_type(r["type"], r["bits"], r["whole"], r["scale"])) for r in rows]
+
+
+def _member(name: str) -> Column:
+    quote = "'" if "'" not in name else '"'
+    if quote in name:  # both kinds of quotes: no path can spell it
+        return F.element_at(F.from_json(F.to_json("_v"), "map<string,string>"), F.lit(name))
+    return F.try_variant_get("_v", f"$[{quote}{name}{quote}]", "string")
+
+
+def union_table(lines: DataFrame) -> DataFrame:
     """All readable lines as one table with one column per field, cast to the union schema.
 
-    The union schema folds the types of all files through the lattice; it is read by the
-    driver as one row per field name (field names are few, not data). ``query`` and ``url``
-    keep their names; a line's repeated copies (same feed, file, line number) become one row.
+    The union schema folds the types of all files through the lattice; whole numbers beyond
+    64 bits are decimal(38,0), decimals have the digits that the widest value needs; a number in a column of text has
+    no zeros after its last digit behind the point. A line that is
+    delivered again (same feed, file and line number) is one row, the one delivered last; equal times
+    are decided by the text. Lines without a number are told apart by their text. Names
+    that differ only in case are one column each, as Spark can't tell them: the second is called name_2.
     """
-    folded = file_schemas(values).groupBy("field").agg(promote(F.bit_or("bits")).alias("type")).orderBy("field").collect()
-    spark_type = {"boolean": "boolean", "integer": "bigint", "decimal": "double"}
-    wide = values.groupBy("feed", "file_id", "exported_at", "line_no").agg(F.collect_list(F.struct("field", "value")).alias("_kv"))
-    first = lambda name: F.try_element_at(F.filter("_kv", lambda x: x["field"] == name), F.lit(1))["value"]
-    keep = {"feed", "file_id", "exported_at", "line_no"}
-    return wide.select("feed", "file_id", "exported_at", "line_no", *[first(r["field"]).try_cast(spark_type.get(r["type"], "string")).alias(r["field"] if r["field"].lower() not in keep else f"field_{r['field']}") for r in folded])
+    delivered = F.col("delivered_at") if "delivered_at" in lines.columns else F.lit(None).cast("timestamp").alias("delivered_at")
+    rows = lines.where("feed IS NOT NULL AND file_id IS NOT NULL").where(F.schema_of_variant(F.try_parse_json(F.regexp_replace(F.trim("body"), "^﻿+", ""))).startswith("OBJECT"))
+    last = rows.groupBy("feed", "file_id", "line_no", F.when(F.col("line_no").isNull(), F.col("body")).alias("_text")).agg(F.max(F.struct(delivered, F.col("body").alias("body"), F.col("exported_at").alias("exported_at"))).alias("m"))
+    once = _parsed(last.select("feed", "file_id", "line_no", "m.exported_at", "m.body"), "line_no")
+    taken, columns = {"feed": 1, "file_id": 1, "exported_at": 1, "line_no": 1}, []
+    for name, kind in union_schema(lines):
+        low = name.lower()
+        taken[low] = taken.get(low, 0) + 1
+        own = low in ("feed", "file_id", "exported_at", "line_no")
+        columns.append(_member(name).try_cast(kind).alias(f"field_{name}" if own else name if taken[low] == 1 else f"{name}_{taken[low]}"))
+    return once.select("feed", "file_id", "exported_at", "line_no", *columns)

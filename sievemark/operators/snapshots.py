@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut_lineage
+
+BROADCAST_SNAPSHOTS = 200_000  # a table of snapshots of at most this many rows is sent to all tasks, a larger one is shuffled
+
 
 def plain_hash(value: Column) -> Column:
     """One notation for a hash value: no algorithm or 0x prefix, lower case. Null stays null."""
@@ -46,6 +50,8 @@ def snapshot_changes(records: DataFrame, pairs: DataFrame, key: str, value: Colu
     # each snapshot once, with the pair that it ends and the pair that it begins
     roles = pairs.select("site", F.explode(F.array(F.struct(F.col("newer").alias("of"), F.when(F.col("older").isNotNull(), F.col("newer")).alias("ends"), F.lit(None).cast("string").alias("begins")), F.struct(F.col("older").alias("of"), F.lit(None).cast("string").alias("ends"), F.col("newer").alias("begins")))).alias("r"))
     roles = roles.where("r.of IS NOT NULL").groupBy("site", F.col("r.of").alias("_of")).agg(F.max("r.ends").alias("_ends"), F.max("r.begins").alias("_begins"))
+    roles = cut_lineage(roles)
+    roles = F.broadcast(roles) if roles.count() <= BROADCAST_SNAPSHOTS else roles
     placed = rows.join(roles, rows["snapshot_id"] == roles["_of"]).select("site", "record_key", "_value", "_ends", "_begins").repartition("site", "record_key")
     sides = F.array(F.struct(F.col("_ends").alias("pair"), F.lit(1).alias("sign")), F.struct(F.col("_begins").alias("pair"), F.lit(-1).alias("sign")))
     laid = placed.select("site", "record_key", "_value", F.explode(sides).alias("s")).select("site", "record_key", "_value", "s.*").where("pair IS NOT NULL")
@@ -53,6 +59,7 @@ def snapshot_changes(records: DataFrame, pairs: DataFrame, key: str, value: Colu
     sums = laid.groupBy(*at, "_value").agg((F.max(F.greatest("sign", F.lit(0))) + F.min(F.least("sign", F.lit(0)))).alias("left"))
     some = lambda c: F.bool_or(c)
     keyed = sums.groupBy(*at).agg(some(F.col("left") > 0).alias("_plus"), some(F.col("left") < 0).alias("_minus"), some(F.col("left") == 0).alias("_same"))
+    keyed = cut_lineage(keyed.where("_plus OR _minus"))  # only what differs
     new, old = keyed.where("_plus").select(*at, F.col("_same").alias("_n")), keyed.where("_minus").select(*at, F.col("_same").alias("_o"))
     met = new.join(old, at, "full")
     return met.select(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.days import named_day
 from ..operators.common import latest, table
-from ..operators.drift import file_values, schema_changes, union_table
+from ..operators.drift import schema_changes, union_table
 from ..operators.nested import flatten_nested
 from ..operators.references import orphan_counts, orphan_references
 from ..operators.rolling import build_trees, correct_trees, rolling_totals
@@ -149,13 +149,13 @@ def p5_list_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---- 6: drift
-def _values(spark: SparkSession, d: str) -> DataFrame:
-    return file_values(table(spark, d, "keyword_exports"))
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "keyword_exports").drop("file_name")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Schema changes of each file against the one before it."""
-    return schema_changes(_values(spark, d)).select("file_id", "field", "new_field", "change")
+    return schema_changes(_lines(spark, d)).select("file_id", "field", "new_field", "change")
 
 
 def p6_change_log(spark: SparkSession, d: str) -> DataFrame:
@@ -163,17 +163,31 @@ def p6_change_log(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("feed").orderBy("exported_at", "file_id", "change", "field")
-    return schema_changes(_values(spark, d)).withColumn("change_no", F.row_number().over(w)).select("feed", "change_no", "file_id", "exported_at", "change", "field", "new_field", "old_type", "new_type")
+    return schema_changes(_lines(spark, d)).withColumn("change_no", F.row_number().over(w)).select("feed", "change_no", "file_id", "exported_at", "change", "field", "new_field", "old_type", "new_type")
 
 
 def p6_union_table(spark: SparkSession, d: str) -> DataFrame:
     """All readable lines under the union schema."""
-    return union_table(_values(spark, d))
+    return union_table(_lines(spark, d))
+
+
+def p6_union_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The union table cell by cell: field, type of its column, and its value as number or text."""
+    t = union_table(_lines(spark, d))
+    cells = []
+    for f in t.schema.fields:
+        if f.name in ("feed", "file_id", "exported_at", "line_no"):
+            continue
+        c, kind = F.col(f"`{f.name}`"), f.dataType.typeName()
+        numeric = kind in ("long", "decimal", "double")
+        cells.append(F.struct(F.lit(f.name).alias("field"), F.lit("number" if numeric else "text").alias("kind"), (c.cast("double") if numeric else F.lit(None).cast("double")).alias("number"), (F.lit(None).cast("string") if numeric else c.cast("string")).alias("text")))
+    out = t.select("file_id", "line_no", F.explode(F.array(*cells)).alias("c")).select("file_id", "line_no", "c.*")
+    return out.where("number IS NOT NULL OR text IS NOT NULL")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p2_found, p2_rolling_totals, p2_late_corrections, p3_found, p3_change_counts, p4_found, p4_orphan_counts, p4_paths, p5_found, p5_records, p5_prompts, p5_list_values, p6_found, p6_change_log, p6_union_table)
+    for f in (p2_found, p2_rolling_totals, p2_late_corrections, p3_found, p3_change_counts, p4_found, p4_orphan_counts, p4_paths, p5_found, p5_records, p5_prompts, p5_list_values, p6_found, p6_change_log, p6_union_table, p6_union_cells)
 }
 
 # ---- SQL
@@ -223,6 +237,28 @@ orphans AS (SELECT r.*, CASE WHEN NOT EXISTS (SELECT 1 FROM search_nodes n WHERE
   WHERE NOT EXISTS (SELECT 1 FROM search_nodes n WHERE n.id = r.ref AND n.loaded_at <= r.observed_at AND (n.deleted_at IS NULL OR n.deleted_at > r.observed_at)))
 """
 
+_DRIFT = r"""
+ok AS (SELECT feed, file_id, exported_at, delivered_at, line_no, body, try_cast(regexp_replace(trim(body), '^\x{FEFF}+', '') AS JSON) AS j FROM keyword_exports WHERE json_valid(regexp_replace(trim(body), '^\x{FEFF}+', '')) AND feed IS NOT NULL AND file_id IS NOT NULL),
+ob AS (SELECT * FROM ok WHERE json_type(j) = 'OBJECT'),
+val AS (SELECT feed, file_id, exported_at, json_extract_string(j, '$.query') AS query, field, json_type(j, '$."' || field || '"') AS t, json_extract_string(j, '$."' || field || '"') AS v FROM (SELECT *, unnest(json_keys(j)) AS field FROM ob)),
+kin AS (SELECT *, CASE WHEN t IN ('BIGINT', 'UBIGINT', 'HUGEINT') THEN 'integer' WHEN t = 'DOUBLE' THEN 'decimal' WHEN t = 'VARCHAR' THEN 'string' ELSE lower(t) END AS k FROM val WHERE t <> 'NULL'),
+sch AS (SELECT feed, file_id, field, CASE WHEN count(DISTINCT k) = 1 THEN min(k) WHEN count(DISTINCT k) = 2 AND bool_and(k IN ('integer', 'decimal')) THEN 'decimal' ELSE 'string' END AS type, min(exported_at) AS exported_at FROM kin GROUP BY 1, 2, 3),
+fil AS (SELECT feed, file_id, min(exported_at) AS exported_at FROM sch GROUP BY 1, 2),
+ord AS (SELECT *, lag(file_id) OVER (PARTITION BY feed ORDER BY exported_at, file_id) AS before FROM fil),
+nn AS (SELECT o.feed, o.file_id, s.field, s.type FROM ord o JOIN sch s ON s.feed = o.feed AND s.file_id = o.file_id WHERE o.before IS NOT NULL),
+oo AS (SELECT o.feed, o.file_id, s.field, s.type FROM ord o JOIN sch s ON s.feed = o.feed AND s.file_id = o.before),
+met AS (SELECT coalesce(n.feed, o.feed) AS feed, coalesce(n.file_id, o.file_id) AS file_id, coalesce(n.field, o.field) AS field, n.type AS new_type, o.type AS old_type FROM nn n FULL JOIN oo o ON n.feed = o.feed AND n.file_id = o.file_id AND n.field = o.field),
+pla AS (SELECT *, CASE WHEN k = 'object' THEN regexp_replace(v, '^\{"[^"]*":"?(.*?)"?\}$', '\1') WHEN k = 'array' THEN regexp_replace(v, '^\[|\]$|"', '', 'g') ELSE trim(v, ' ') END AS p FROM kin),
+cmp AS (SELECT feed, file_id, query, field, min(coalesce(CASE WHEN regexp_full_match(p, '[-+]?[0-9][0-9,]*(\.[0-9]*)?([eE][-+]?[0-9]+)?') THEN try_cast(replace(p, ',', '') AS DOUBLE)::VARCHAR END, regexp_replace(p, '\s*[|,;]\s*', '|', 'g'))) AS v FROM pla WHERE query IS NOT NULL GROUP BY 1, 2, 3, 4),
+same AS (SELECT g.feed, g.file_id, g.field AS gone, c.field AS came, g.old_type, c.new_type, avg((a.v = b.v)::INT) AS share FROM met g JOIN met c ON g.feed = c.feed AND g.file_id = c.file_id AND g.new_type IS NULL AND c.old_type IS NULL
+  JOIN ord o ON o.feed = g.feed AND o.file_id = g.file_id JOIN cmp a ON a.feed = g.feed AND a.file_id = o.before AND a.field = g.field JOIN cmp b ON b.feed = g.feed AND b.file_id = g.file_id AND b.field = c.field AND b.query = a.query GROUP BY ALL HAVING avg((a.v = b.v)::INT) > 0.5),
+ren AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY feed, file_id, gone ORDER BY share DESC, came) AS x, row_number() OVER (PARTITION BY feed, file_id, came ORDER BY share DESC, gone) AS y FROM same) WHERE x = 1 AND y = 1),
+chg AS (SELECT feed, file_id, field, '' AS new_field, 'added' AS change, old_type, new_type FROM met m WHERE old_type IS NULL AND NOT EXISTS (SELECT 1 FROM ren r WHERE r.feed = m.feed AND r.file_id = m.file_id AND r.came = m.field)
+  UNION ALL SELECT feed, file_id, field, '', 'removed', old_type, new_type FROM met m WHERE new_type IS NULL AND NOT EXISTS (SELECT 1 FROM ren r WHERE r.feed = m.feed AND r.file_id = m.file_id AND r.gone = m.field)
+  UNION ALL SELECT feed, file_id, field, '', 'retyped', old_type, new_type FROM met WHERE old_type <> new_type
+  UNION ALL SELECT feed, file_id, gone, came, 'renamed', old_type, new_type FROM ren UNION ALL SELECT feed, file_id, came, '', 'retyped', old_type, new_type FROM ren WHERE old_type <> new_type)
+"""
+
 
 def _branch_sql() -> str:
     parts = []
@@ -253,4 +289,12 @@ SQL: dict[str, str] = {
     "p5_records": f"WITH {_FILES} SELECT file_id, branch, position::INT AS position, r.query, r.url, r.provider, r.kind, r.period, r.user_agent, r.referer, r.source_url, {', '.join(f'r.{c}::BIGINT AS {c}' for c in _WHOLE)}, round(r.position::DOUBLE, 4) AS rank_position FROM ({_RECORDS})",
     "p5_prompts": f"WITH {_FILES} SELECT file_id, position::INT AS position, r.prompt, r.platform, r.location, r.language, r.observed_at, r.period, r.brand_mentioned, r.brand_position FROM (SELECT file_id, i AS position, prompts[i + 1] AS r FROM f, LATERAL (SELECT unnest(range(len(prompts))) AS i) WHERE prompts[i + 1] IS NOT NULL)",
 }
+SQL |= {
+    "p6_found": f"WITH {_DRIFT} SELECT file_id, field, new_field, change FROM chg",
+    "p6_change_log": f"WITH {_DRIFT} SELECT c.feed, row_number() OVER (PARTITION BY c.feed ORDER BY o.exported_at, c.file_id, change, field) AS change_no, c.file_id, o.exported_at, change, field, new_field, old_type, new_type FROM chg c JOIN ord o ON o.feed = c.feed AND o.file_id = c.file_id",
+    "p6_union_cells": f"""WITH {_DRIFT}, one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY feed, file_id, line_no ORDER BY delivered_at DESC NULLS LAST, body DESC) AS rn FROM ob) WHERE rn = 1),
+      typ AS (SELECT field, bool_and(type IN ('integer', 'decimal')) AS numeric FROM sch GROUP BY 1), cel AS (SELECT file_id, line_no, j, unnest(json_keys(j)) AS field FROM one),
+      v AS (SELECT file_id, line_no, c.field, CASE WHEN numeric THEN 'number' ELSE 'text' END AS kind, json_type(j, '$."' || c.field || '"') AS t, json_extract_string(j, '$."' || c.field || '"') AS v FROM cel c JOIN typ USING (field))
+      SELECT file_id, line_no, field, kind, CASE WHEN kind = 'number' THEN v::DOUBLE END AS number, CASE WHEN kind = 'text' THEN CASE WHEN t = 'DOUBLE' THEN regexp_replace(v, '\\.?0+$', '') ELSE v END END AS text FROM v WHERE t <> 'NULL'""",
+}
 SQL["p2_late_corrections"] = SQL["p2_rolling_totals"]

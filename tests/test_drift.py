@@ -1,7 +1,7 @@
 import json
 from datetime import datetime, timedelta
 
-from sievemark.operators.drift import file_values, schema_changes, union_table
+from sievemark.operators.drift import schema_changes, union_table
 
 SCHEMA = "feed string, file_id long, exported_at timestamp, line_no int, body string, field string, query string"
 T0 = datetime(2026, 1, 1)
@@ -9,7 +9,7 @@ T0 = datetime(2026, 1, 1)
 
 def lines(spark, files):
     rows = [(feed, f, T0 + timedelta(day), i, b if isinstance(b, str) or b is None else json.dumps(b), "own", "own") for feed, f, day, bodies in files for i, b in enumerate(bodies)]
-    return file_values(spark.createDataFrame(rows, SCHEMA))
+    return spark.createDataFrame(rows, SCHEMA)
 
 
 def changes(spark, files):
@@ -32,8 +32,19 @@ def test_same_values_on_few_queries_is_no_rename(spark):
 def test_union_table_promotes_and_keeps_all_lines(spark):
     v = lines(spark, [("f", 1, 1, [{"query": "a", "n": 1, "s": 1}, {"query": None, "n": 2}]), ("f", 2, 2, [{"query": "a", "n": 2.5, "s": "x"}])])
     t = union_table(v)
-    assert dict(t.dtypes)["n"] == "double" and dict(t.dtypes)["s"] == "string"
-    assert sorted((r.file_id, r.line_no, r.n, r.s) for r in t.collect()) == [(1, 0, 1.0, "1"), (1, 1, 2.0, None), (2, 0, 2.5, "x")]
+    assert dict(t.dtypes)["n"] == "decimal(20,1)" and dict(t.dtypes)["s"] == "string"
+    assert sorted((r.file_id, r.line_no, r.n, r.s) for r in t.collect()) == [(1, 0, 1, "1"), (1, 1, 2, None), (2, 0, 2.5, "x")]
+
+
+def test_union_table_keeps_digits_and_takes_the_last_delivery(spark):
+    from decimal import Decimal
+
+    odd = 'It\'s "it"'
+    wide = '{"big": 99999999999999999999, "d": 0.123456789012345678901, "N": 1, "n": 2, "feed": "own", "e": 1e30, ' + json.dumps(odd) + ": 1}"
+    rows = [("f", 1, T0, 0, wide, T0), ("f", 1, T0, 0, '{"big": 5}', T0 - timedelta(1)), ("f", 1, T0, None, '{"big": 6}', T0), ("f", 1, T0, None, '{"big": 7}', T0), ("f", 1, T0, None, '{"big": 7}', None)]
+    t = union_table(spark.createDataFrame(rows, "feed string, file_id long, exported_at timestamp, line_no int, body string, delivered_at timestamp"))
+    got = sorted(((r["big"], r["d"], r["N"], r["n_2"], r["field_feed"], r["e"], r[odd]) for r in t.collect()), key=lambda x: x[0])
+    assert got == [(6, *[None] * 6), (7, *[None] * 6), (99999999999999999999, Decimal("0.123456789012345678901"), 1, 2, "own", 1e30, 1)]
 
 
 def test_empty(spark):
@@ -84,4 +95,4 @@ def test_against_brute_force_on_a_table(spark):
                             want.add((b, c, "", "retyped"))
             want |= {(b, f, "", "added") for f in set(new) - set(old) - done} | {(b, f, "", "removed") for f in set(old) - set(new) - done}
             want |= {(b, f, "", "retyped") for f in set(new) & set(old) if new[f] != old[f]}
-    assert {(r.file_id, r.field, r.new_field, r.change) for r in schema_changes(file_values(df)).collect()} == want
+    assert {(r.file_id, r.field, r.new_field, r.change) for r in schema_changes(df).collect()} == want
