@@ -6,7 +6,7 @@ import math
 import unicodedata
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Cyrillic and Greek letters that look like Latin ones, and digits used as letters.
@@ -62,24 +62,42 @@ def _grams(name: Column) -> Column:
     return F.array_distinct(F.concat(take(2), F.when(n >= 3, take(3)).otherwise(F.array().cast("array<string>"))))
 
 
-def match_values(values: DataFrame, column: str, reference: DataFrame, entry: str, phrases: Callable[[Column], Column] = whole_value, threshold: float = 0.4, margin: float = 0.08, edits: int = 3, shortest: int = 4) -> DataFrame:
+def _weighed(grams: DataFrame, of: str, rest: Column, reach: float) -> DataFrame:
+    """Adds ``_all``, the squared length of each name's vector, and ``_lead``: whether a gram is one of the
+    rarest of its name, which any other name of at least that cosine must share.
+
+    ``grams`` has ``of``, gram and its idf; ``rest`` is what unlisted grams add. A name's grams are taken rare first until
+    those left over are too short a vector to reach the cosine by themselves.
+    """
+    w = Window.partitionBy(of)
+    left = F.sum(F.pow("idf", F.lit(2))).over(w.orderBy(F.desc("idf"), "gram").rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    total = F.sum(F.pow("idf", F.lit(2))).over(w) + rest
+    return grams.withColumn("_all", total).withColumn("_lead", left >= F.col("_all") * (reach * reach) - 1e-9)
+
+
+def match_values(values: DataFrame, column: str, reference: DataFrame, entry: str, phrases: Callable[[Column], Column] = whole_value, threshold: float = 0.45, margin: float = 0.08, edits: int = 3, shortest: int = 4) -> DataFrame:
     """One row per distinct non-null value: ``column, n_rows, phrase, entry, score, margin``.
 
     entry is null for values that name no entry of the list. Values are counted first, so
     a value that holds a third of all rows is handled once; then they are folded, cut
     into phrases (repeated phrases again only once) and squashed to letters and digits.
-    Phrases of at least ``shortest`` characters, and not so short or long that more than
-    ``edits`` edits would be needed for any entry, meet the list in an inverted index of
-    character bigrams and trigrams, and are scored by cosine under inverse document frequency of the list.
-    A phrase is accepted when its best score reaches ``threshold`` and leads the second
-    entry by ``margin``, and an exact check finds at most ``edits`` edits (one for entries
-    under 6 characters, two under 10), or when it equals the entry. Digits are also
-    tried as letters. A value takes its best phrase; equal scores go to the first entry by name.
+    Phrases not so short or long that more than ``edits`` edits would be needed for any
+    entry meet the list in an inverted index of character bigrams and trigrams and are scored by cosine
+    under inverse document frequency of the list. Both sides enter the index only with their
+    rarest grams: those that any pair of a cosine of at least threshold - margin must share, so no
+    such pair is lost and grams that many names have build no long lists.
+
+    A phrase is accepted when it equals an entry, however short and with or without letters. Otherwise it
+    needs ``shortest`` characters, a letter, a best score of at least ``threshold``, a lead of
+    ``margin`` over the second entry (entries under threshold - margin aren't looked at, so the
+    lead given is the least that it can be), and at most ``edits`` edits (one for entries under 6 characters, two under
+    10). Digits are also tried as letters. A value takes its best phrase; equal scores go to the first entry by name.
 
     The list may have repeated, null or blank entries. Empty values, values without letters
     and very long values are just unmatched or matched like any other. Nothing is broadcast
     by hint: the index is joined by size.
     """
+    reach = max(threshold - margin, 0.0)
     counted = values.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n_rows"))
     split = counted.select(column, "n_rows", F.array_distinct(phrases(fold(F.col(column)))).alias("_p"))
     names = F.transform("_p", _squash)
@@ -87,27 +105,28 @@ def match_values(values: DataFrame, column: str, reference: DataFrame, entry: st
     refs = reference.where(F.col(entry).isNotNull()).select(F.col(entry).alias("entry"), _squash(fold(F.col(entry))).alias("_name")).where("_name <> ''").dropDuplicates(["entry"])
     postings = refs.select("entry", F.explode(_grams(F.col("_name"))).alias("gram"))
     n, least, most = refs.agg(F.count(F.lit(1)), F.coalesce(F.min(F.length("_name")), F.lit(0)), F.coalesce(F.max(F.length("_name")), F.lit(0))).first()
-    fits = lambda x: F.length(x).between(max(shortest, least - edits), most + edits) & x.rlike("\\p{L}")
-    exploded = split.select(column, F.explode(F.filter(both, fits)).alias("phrase"))
+    exploded = split.select(column, F.explode(F.filter(both, lambda x: F.length(x).between(max(1, least - edits), most + edits))).alias("phrase"))
     idf = postings.groupBy("gram").agg(F.log(1 + F.lit(float(n)) / F.count(F.lit(1))).alias("idf"))
-    weighted = postings.join(idf, "gram")
-    norms = weighted.groupBy("entry").agg(F.sqrt(F.sum(F.pow("idf", F.lit(2)))).alias("_norm"))
-    index = weighted.join(norms, "entry").join(refs, "entry").select("gram", "entry", "_name", "idf", (F.col("idf") / F.col("_norm")).alias("w"))
+    listed = _weighed(postings.join(idf, "gram"), "entry", F.lit(0.0), reach)
+    # what an entry adds to the dot product by each gram, at most twice its name's length
+    entries = listed.groupBy("entry").agg(F.map_from_entries(F.collect_list(F.struct("gram", F.pow("idf", F.lit(2)) / F.sqrt("_all")))).alias("_adds")).join(refs, "entry")
 
-    distinct = exploded.select("phrase").distinct()
-    grams = distinct.select("phrase", F.size(_grams(F.col("phrase"))).alias("_m"), F.explode(_grams(F.col("phrase"))).alias("gram"))
-    hits = grams.join(index, "gram")
     top = math.log(1 + n)  # grams outside the list weigh as much as the rarest gram of it
-    inside = hits.groupBy("phrase", "_m", "entry", "_name").agg(F.sum(F.col("idf") * F.col("w")).alias("dot"))
-    length = grams.join(idf.select("gram", "idf"), "gram").groupBy("phrase").agg(F.sum(F.pow("idf", F.lit(2))).alias("_in"), F.count(F.lit(1)).alias("_k"))
-    scored = inside.join(length, "phrase").select("phrase", "entry", "_name", (F.col("dot") / F.sqrt(F.col("_in") + (F.col("_m") - F.col("_k")) * F.lit(top * top))).alias("score"))
-    ranked = scored.groupBy("phrase").agg(F.max(F.struct("score", (-F.xxhash64("entry")).alias("_t"), "entry", "_name")).alias("b"), F.slice(F.sort_array(F.collect_list("score"), asc=False), 2, 1).alias("_2"))
+    distinct = exploded.select("phrase").distinct()
+    grams = distinct.select("phrase", F.size(_grams(F.col("phrase"))).alias("_m"), F.explode(_grams(F.col("phrase"))).alias("gram")).join(idf, "gram")
+    known = _weighed(grams, "phrase", (F.col("_m") - F.count(F.lit(1)).over(Window.partitionBy("phrase"))) * F.lit(top * top), reach)
+    pairs = known.where("_lead").select("phrase", "gram").join(listed.where("_lead").select("entry", "gram"), "gram").select("phrase", "entry").distinct()
+    asked = known.groupBy("phrase").agg(F.collect_list("gram").alias("_g"), F.sqrt(F.first("_all")).alias("_length"))
+    dot = F.aggregate(F.transform("_g", lambda g: F.coalesce(F.col("_adds")[g], F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
+    scored = pairs.join(asked, "phrase").join(entries, "entry").select("phrase", "entry", "_name", F.round(dot / F.col("_length"), 12).alias("score"))
+    place = F.row_number().over(Window.partitionBy("phrase").orderBy(F.desc("score"), "entry"))
+    two = scored.withColumn("_k", place).where("_k <= 2")
+    ranked = two.groupBy("phrase").agg(F.max(F.when(F.col("_k") == 1, F.struct("score", "entry", "_name"))).alias("b"), F.max(F.when(F.col("_k") == 2, F.col("score"))).alias("_2"))
     close = F.least(F.lit(edits), F.when(F.length("b._name") < 6, 1).when(F.length("b._name") < 10, 2).otherwise(3))
-    lead = F.col("b.score") - F.coalesce(F.try_element_at("_2", F.lit(1)), F.lit(0.0))
+    lead = F.col("b.score") - F.greatest(F.coalesce("_2", F.lit(reach)), F.lit(reach))
     exact = F.col("phrase") == F.col("b._name")
-    accepted = ranked.where(exact | ((F.col("b.score") >= threshold) & (lead >= margin) & (F.levenshtein("phrase", "b._name", edits + 1).between(0, close)))).select(
-        "phrase", F.col("b.entry").alias("entry"), F.col("b.score").alias("score"), lead.alias("margin")
-    )
+    alike = (F.length("phrase") >= shortest) & F.col("phrase").rlike("\\p{L}") & (F.col("b.score") >= threshold) & (lead >= margin - 1e-9) & F.levenshtein("phrase", "b._name", edits + 1).between(0, close)
+    accepted = ranked.where(exact | alike).select("phrase", F.col("b.entry").alias("entry"), F.col("b.score").alias("score"), lead.alias("margin"))
     best = exploded.join(accepted, "phrase").groupBy(column).agg(F.min(F.struct((-F.col("score")).alias("_s"), "entry", "phrase", "score", "margin")).alias("m"))
     return counted.join(best, column, "left").select(column, "n_rows", "m.phrase", "m.entry", "m.score", "m.margin")
 

@@ -35,6 +35,36 @@ def test_plain_values_and_ties(spark):
     assert got["Münster"] == got["munster"]
 
 
+def test_short_and_numeric_entries_match_as_they_are(spark):
+    values = ["BMW", "bmw", "Ulm", "2024", "20 24", "b.m.w.", "Audi ", "ulmo", "bnw", "2025", "Volkswagn"]
+    _, m = match(spark, values, ["BMW", "Audi", "Ulm", "Volkswagen", "2024"], whole_value)
+    assert {r.ua: r.entry for r in m.collect()} == dict(zip(values, ["BMW", "BMW", "Ulm", "2024", "2024", "BMW", "Audi", "Ulm", None, None, "Volkswagen"]))
+
+
+def test_rare_grams_lose_no_match(spark):
+    import math
+    import random
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcde") for _ in range(r.randint(5, 9)))
+    listed = sorted({word() for _ in range(120)})
+    values = sorted({w[:i] + r.choice("abcde") + w[i + 1 :] for w in listed for i in (1, 3)} | {word() for _ in range(200)})
+    grams = lambda x: {f"^{x}$"[i : i + k] for k in (2, 3) for i in range(len(x) + 3 - k)}
+    df: dict[str, int] = {}
+    for w in listed:
+        for g in grams(w):
+            df[g] = df.get(g, 0) + 1
+    top = math.log(1 + len(listed))
+    idf = lambda g: math.log(1 + len(listed) / df[g]) if g in df else top
+    length = lambda x: math.sqrt(sum(idf(g) ** 2 for g in grams(x)))
+    want = {v: max((round(sum(idf(g) ** 2 for g in grams(v) & grams(e)) / length(v) / length(e), 9), e) for e in listed) for v in values}
+    got = {x.ua: x for x in match(spark, values, listed, whole_value)[1].collect()}
+    assert sum(x.entry is not None for x in got.values()) > 50
+    assert all(abs(x.score - want[v][0]) < 1e-6 for v, x in got.items() if x.entry is not None)
+    near = {v for v, (c, e) in want.items() if c >= 0.4 and v not in listed}
+    assert {v for v, x in got.items() if x.entry is not None and v not in listed} <= near
+
+
 def test_empty(spark):
     assert match(spark, [])[1].count() == 0
     assert [r.entry for r in match(spark, ["mirlobot"], [])[1].collect()] == [None]
