@@ -39,18 +39,25 @@ def _comparable(kind: Column, text: Column) -> Column:
     return F.coalesce(number.cast("string"), F.regexp_replace(plain, "\\s*[|,;]\\s*", "|"))
 
 
-def _parsed(lines: DataFrame, *more: str) -> DataFrame:
-    """The readable lines with their object ``_v``.
+BROADCAST_FILES = 100_000  # a list of files of at most this many rows is sent to all tasks, a longer one is shuffled
 
-    A byte order mark before the object is ignored; a line that still isn't one JSON object
-    is unreadable and left out, as are lines without feed or file.
-    """
-    body = F.regexp_replace(F.trim("body"), "^﻿+", "")
-    return lines.where("feed IS NOT NULL AND file_id IS NOT NULL").select("feed", "file_id", "exported_at", *more, F.try_parse_json(body).alias("_v")).where(F.schema_of_variant("_v").startswith("OBJECT"))
+
+def _object(body: Column) -> Column:
+    """The line's JSON value; a byte order mark before it is ignored, null if it can't be read."""
+    text = F.trim(body)
+    return F.try_parse_json(F.when(text.startswith("\ufeff"), F.ltrim(text, F.lit("\ufeff"))).otherwise(text))
 
 
 def _members(parsed: DataFrame) -> DataFrame:
-    return parsed.lateralJoin(parsed.sparkSession.tvf.variant_explode(F.col("_v").outer()))
+    """Adds ``key`` and ``value``: the members of the object ``_v``. Lines that aren't one JSON object are left out.
+
+    They are left out by their missing key: a condition on ``_v`` itself would be evaluated before it and parse each line twice.
+    """
+    return parsed.lateralJoin(parsed.sparkSession.tvf.variant_explode(F.col("_v").outer())).where("key IS NOT NULL")
+
+
+def _known(lines: DataFrame) -> DataFrame:
+    return lines.where("feed IS NOT NULL AND file_id IS NOT NULL")
 
 
 def file_schemas(lines: DataFrame) -> DataFrame:
@@ -60,7 +67,7 @@ def file_schemas(lines: DataFrame) -> DataFrame:
     nothing. whole and scale are the most digits before and after the point. The fold takes a line's values one by one,
     first per type as written, so it is combined map-side; exported_at is the file's earliest one.
     """
-    each = _members(_parsed(lines)).select("feed", "file_id", "exported_at", F.col("key").alias("field"), F.schema_of_variant("value").alias("_s")).where("_s <> 'VOID'")
+    each = _members(_known(lines).select("feed", "file_id", "exported_at", _object(F.col("body")).alias("_v"))).select("feed", "file_id", "exported_at", F.col("key").alias("field"), F.schema_of_variant("value").alias("_s")).where("_s <> 'VOID'")
     written = each.groupBy("feed", "file_id", "field", "_s").agg(F.min("exported_at").alias("exported_at"))
     p, s = (F.regexp_extract("_s", _DECIMAL, k).try_cast("int") for k in (1, 2))
     folded = written.groupBy("feed", "file_id", "field").agg(F.bit_or(_bits(F.col("_s"))).alias("bits"), F.max(F.when(F.col("_s") == "BIGINT", 19).otherwise(p - s)).alias("whole"), F.max(s).alias("scale"), F.min("exported_at").alias("exported_at"))
@@ -103,8 +110,13 @@ def schema_changes(lines: DataFrame) -> DataFrame:
         "feed", F.col("file_id").alias("pair"), F.explode(F.array(F.struct(F.col("file_id").alias("of"), F.lit(True).alias("newer"), names(came).alias("names")), F.struct(F.col("before").alias("of"), F.lit(False).alias("newer"), names(gone).alias("names")))).alias("s")
     )
     wanted = sides.groupBy("feed", F.col("s.of").alias("file_id")).agg(F.collect_list(F.struct("pair", "s.newer", "s.names")).alias("_w"))  # at most two a file
-    read = _parsed(lines).join(wanted, ["feed", "file_id"]).withColumn("query", F.try_variant_get("_v", "$.query", "string")).where("query IS NOT NULL")
-    kept = _members(read).where(F.exists("_w", lambda x: F.array_contains(x["names"], F.col("key")))).select("feed", "query", F.col("key").alias("field"), F.schema_of_variant("value").alias("_s"), F.col("value").cast("string").alias("value"), F.explode(F.filter("_w", lambda x: F.array_contains(x["names"], F.col("key")))).alias("x"))
+    wanted = cut_lineage(wanted)
+    if wanted.count() <= BROADCAST_FILES:
+        wanted = F.broadcast(wanted)
+    raw = _known(lines).select("feed", "file_id", "body").join(wanted, ["feed", "file_id"])  # text is joined, and only what is left is parsed
+    read = raw.select("feed", "_w", _object(F.col("body")).alias("_v"), F.try_variant_get(_object(F.col("body")), "$.query", "string").alias("query"))
+    asked = F.when(F.col("query").isNotNull(), F.col("key"))
+    kept = _members(read).where(F.exists("_w", lambda x: F.array_contains(x["names"], asked))).select("feed", "query", F.col("key").alias("field"), F.schema_of_variant("value").alias("_s"), F.col("value").cast("string").alias("value"), F.explode(F.filter("_w", lambda x: F.array_contains(x["names"], F.col("key")))).alias("x"))
     held = kept.where("_s <> 'VOID'").groupBy("feed", F.col("x.pair").alias("pair"), "query", F.col("x.newer").alias("newer"), "field").agg(F.min(_comparable(promote(_bits(F.col("_s"))), F.col("value"))).alias("v"))
     # a query has a handful of fields in two files, so the pairs within it are few
     both = held.groupBy("feed", "pair", "query").agg(F.collect_list(F.when(~F.col("newer"), F.struct("field", "v"))).alias("_o"), F.collect_list(F.when(F.col("newer"), F.struct("field", "v"))).alias("_n"))
@@ -169,9 +181,9 @@ def union_table(lines: DataFrame) -> DataFrame:
     that differ only in case are one column each, as Spark can't tell them: the second is called name_2.
     """
     delivered = F.col("delivered_at") if "delivered_at" in lines.columns else F.lit(None).cast("timestamp").alias("delivered_at")
-    rows = lines.where("feed IS NOT NULL AND file_id IS NOT NULL").where(F.schema_of_variant(F.try_parse_json(F.regexp_replace(F.trim("body"), "^﻿+", ""))).startswith("OBJECT"))
+    rows = _known(lines).where(F.schema_of_variant(_object(F.col("body"))).startswith("OBJECT"))
     last = rows.groupBy("feed", "file_id", "line_no", F.when(F.col("line_no").isNull(), F.col("body")).alias("_text")).agg(F.max(F.struct(delivered, F.col("body").alias("body"), F.col("exported_at").alias("exported_at"))).alias("m"))
-    once = _parsed(last.select("feed", "file_id", "line_no", "m.exported_at", "m.body"), "line_no")
+    once = last.select("feed", "file_id", "line_no", "m.exported_at", _object(F.col("m.body")).alias("_v"))
     taken, columns = {"feed": 1, "file_id": 1, "exported_at": 1, "line_no": 1}, []
     for name, kind in union_schema(lines):
         low = name.lower()
