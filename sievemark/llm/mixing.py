@@ -15,6 +15,8 @@ from .tokens import VOCABULARY, count_tokens
 
 EXACT_BELOW = 10**9  # numpy draws hypergeometric counts for fewer blocks than this
 
+SHARDS_A_TASK = 4
+
 
 def source_name(source: Column) -> Column:
     """One spelling of a source: lower case, trimmed, words joined by hyphens."""
@@ -182,7 +184,7 @@ def mix_sources(
                 if parts:
                     yield pd.concat(parts)
 
-    drawn_slots = spark.range(n_shards if drawn.sum() else 0, numPartitions=max(1, min(n_shards, 4096))).mapInPandas(slots, "shard long, slot long, source string, block_no long, repeat_no long")
+    drawn_slots = spark.range(n_shards if drawn.sum() else 0, numPartitions=max(1, -(-n_shards // SHARDS_A_TASK))).mapInPandas(slots, "shard long, slot long, source string, block_no long, repeat_no long")
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("n_tokens") - 1) / block)
     stretches = placed.select("source", key, "start", "n_tokens", F.explode(F.sequence(first, last)).alias("block_no"))
     begin = F.greatest(F.col("start"), F.col("block_no") * block)
