@@ -99,17 +99,19 @@ def count_where(items: Column, test) -> Column:
 
 def filler_hits(t: Column) -> Column:
     """Filler phrases that a text contains."""
-    low = ascii_lower(t)
-    return sum((F.when(low.contains(p), 1).otherwise(0) for p in FILLER_PHRASES), F.lit(0))
+    # the lowered text is bound once, not written out per phrase
+    return F.transform(F.array(ascii_lower(t)), lambda low: sum((F.when(low.contains(p), 1).otherwise(0) for p in FILLER_PHRASES), F.lit(0)))[0]
 
 
 def answer_cue(t: Column) -> Column:
     """Whether a text asks or answers by a fixed phrase."""
-    low = ascii_lower(t)
-    hit = t.contains("?")
-    for c in ANSWER_CUES:
-        hit = hit | low.contains(c)
-    return hit
+    def cued(low: Column) -> Column:
+        hit = low.contains("?")
+        for c in ANSWER_CUES:
+            hit = hit | low.contains(c)
+        return hit
+
+    return F.transform(F.array(ascii_lower(t)), cued)[0]
 
 
 def contains_token(t: Column, needle: str) -> Column:

@@ -39,9 +39,16 @@ def prefix_offsets(df: DataFrame, group: list[str], size: Column, spread: Column
     return out
 
 
-def run_id(*cols: str) -> Column:
-    """A stable 64-bit id of a row's values."""
-    return F.xxhash64(*[F.col(c) for c in cols])
+def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """Adds the overall rank of each row, 1 first, without sorting everything in one task.
+
+    Rows are dealt by range to sorted partitions and numbered inside each; the numbers of
+    earlier partitions, one row per partition, are added.
+    """
+    dealt = cut_lineage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return dealt.withColumn("_row", place).join(before.select("_part", "_base"), "_part").withColumn(name, F.col("_row") + F.col("_base")).drop("_part", "_row", "_base")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage
@@ -30,8 +30,15 @@ def template_frequency(edges: DataFrame, n_pages: int | Column, within: tuple[st
     """Edges with ``template_frequency``: how often target and place meet among edges of equal
     ``within``, where that is at least three times and on half of the pages; else null, as where
     the number of pages is."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*within, "dst", F.coalesce("location", F.lit("contextual"))))
-    return edges.withColumn("template_frequency", F.when((n >= TEMPLATE_MIN) & (2 * n >= n_pages), n))
+    place = F.coalesce("location", F.lit("contextual"))
+    # counted by group and joined back, so that the links to a home page are no single task
+    counts = edges.groupBy(*[F.col(c).alias(f"_{c}") for c in (*within, "dst")], place.alias("_place")).agg(F.count(F.lit(1)).alias("_n"))
+    on = place == F.col("_place")
+    for c in (*within, "dst"):
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    met = edges.join(counts, on, "left")
+    tagged = F.when((F.col("_n") >= TEMPLATE_MIN) & (2 * F.col("_n") >= n_pages), F.col("_n"))
+    return met.select(*edges.columns, tagged.alias("template_frequency"))
 
 
 def link_weight(location: Column, template_frequency: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.measures import percent_delta
 from ..functions.urls import without_slashes
 
+# Seconds of a day, days of the window and its slack.
 DAY = 86_400
 WINDOW_DAYS, SLACK_DAYS = 28, 10
 

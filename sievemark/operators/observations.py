@@ -109,12 +109,12 @@ def decay(rows: DataFrame) -> DataFrame:
 
 
 def query_cannibalization(rows: DataFrame) -> DataFrame:
-    """Queries that two or more URLs collect impressions for: consolidate within a family,
-    else differentiate. Each URL counts with its first row."""
+    """Queries that two or more URLs collect impressions for, a row per query and URL: consolidate
+    within a family, else differentiate. Each URL counts with its first row."""
     asked = _current(rows).where("impressions >= 50 AND octet_length(query) > 3 AND url IS NOT NULL")
     first = asked.groupBy("query", without_slashes(F.col("url")).alias("page_url")).agg(F.min_by(F.struct("url", "clicks"), "row_id").alias("r"))
-    g = first.groupBy("query").agg(F.count(F.lit(1)).alias("n_urls"), F.sum("r.clicks").alias("clicks"), F.countDistinct(url_family(F.col("r.url"))).alias("_f"), F.sort_array(F.collect_list("page_url")).alias("urls"))
-    return g.where("n_urls >= 2 AND clicks >= 10").select("query", "n_urls", "clicks", F.when(F.col("_f") == 1, "CONSOLIDATE").otherwise("DIFFERENTIATE").alias("action"), F.array_join("urls", " ").alias("urls"))
+    g = first.groupBy("query").agg(F.count(F.lit(1)).alias("n_urls"), F.sum("r.clicks").alias("clicks"), F.countDistinct(url_family(F.col("r.url"))).alias("_f")).where("n_urls >= 2 AND clicks >= 10")
+    return first.join(g, "query").select("query", "page_url", "n_urls", "clicks", F.when(F.col("_f") == 1, "CONSOLIDATE").otherwise("DIFFERENTIATE").alias("action"))
 
 
 def demand_without_page(rows: DataFrame, pages: DataFrame) -> DataFrame:

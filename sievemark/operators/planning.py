@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.measures import trust_rank
+from .common import ranked
 from .snapshots import plain_hash
 
 # What an opportunity's kind turns into, and the stages of an action.
@@ -43,10 +44,12 @@ def opportunities(pages: DataFrame, matrix: DataFrame, axes: DataFrame) -> DataF
 
 
 def rank_opportunities(items: DataFrame) -> DataFrame:
-    """Adds ``rank``: trust, whether demand is measured, demand, gap, cheapness, each descending; ties by kind and subject."""
-    trust = trust_rank(F.col("confidence"), F.col("risk"))
-    order = [F.desc("trust"), F.desc(F.col("demand").isNotNull()), F.desc(F.coalesce("demand", F.lit(0))), F.desc(F.coalesce("visibility_gap", F.lit(0))), F.asc(F.least(F.coalesce("cost", F.lit(0)), F.lit(100))), F.asc("kind"), F.asc("subject")]
-    return items.withColumn("trust", trust).withColumn("rank", F.row_number().over(Window.partitionBy("trust").orderBy(*order[1:])))
+    """Adds ``trust`` and ``rank``, one order of all: trust, whether demand is measured, demand, gap, value, conversion, leverage,
+    fit and cheapness, each descending with unmeasured as 0; ties by kind and subject. Axes that items lack are unmeasured."""
+    number = lambda c: F.coalesce(F.col(c), F.lit(0)) if c in items.columns else F.lit(0)
+    axes = ["demand", "visibility_gap", "business_value", "conversion_potential", "leverage", "topical_fit"]
+    order = [F.desc("trust"), F.desc(F.col("demand").isNotNull()), *[F.desc(number(a)) for a in axes], F.asc(F.least(number("cost"), F.lit(100))), F.asc("kind"), F.asc("subject")]
+    return ranked(items.withColumn("trust", trust_rank(F.col("confidence"), F.col("risk"))), order)
 
 
 def plan_stages(items: DataFrame) -> DataFrame:

@@ -9,12 +9,13 @@ passes a rule, unless the rule asks for its absence.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse
 from ..functions.urls import canonical_url, join_url, locale_of, segments, url_parts, url_path
 
+# Bytes and milliseconds above which a page is heavy or slow, and types that publish.
 BODY_LIMIT, FETCH_LIMIT = 524_288, 2_500
 PUBLISHER_TYPES = ["organization", "website"]
 
@@ -154,11 +155,11 @@ def host_security(p: DataFrame) -> DataFrame:
 def shared_controls(p: DataFrame) -> DataFrame:
     """Unlabelled controls: one finding for a host where three pages and half of all have them, else per page."""
     ok = p.where("_ok")
-    w = Window.partitionBy("_host")
     bad = F.col("unlabeled_controls") > 0
-    j = ok.withColumns({"_n": F.count(F.lit(1)).over(w), "_b": F.count_if(bad).over(w), "_k": F.row_number().over(w.orderBy(F.when(bad, 0).otherwise(1), "ordinal"))}).where(bad)
-    shared = (F.col("_b") >= 3) & (F.col("_b") * 2 >= F.col("_n"))
-    return _finding(j.where(~shared), "A11Y-005", "warn").unionByName(_finding(j.where(shared & (F.col("_k") == 1)), "A11Y-005", "warn", F.col("_host")))
+    hosts = ok.groupBy("_host").agg(F.count(F.lit(1)).alias("_n"), F.count_if(bad).alias("_b"), F.min(F.when(bad, F.struct("ordinal", "_url"))).alias("_first"))
+    hosts = hosts.withColumn("_shared", (F.col("_b") >= 3) & (F.col("_b") * 2 >= F.col("_n")))
+    single = ok.where(bad).join(hosts.where("NOT _shared").select("_host"), "_host", "left_semi")
+    return _finding(single, "A11Y-005", "warn").unionByName(_finding(hosts.where("_shared").withColumn("_url", F.col("_first._url")), "A11Y-005", "warn", F.col("_host")))
 
 
 def publishers(p: DataFrame) -> DataFrame:

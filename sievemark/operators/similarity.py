@@ -9,6 +9,8 @@ from ..functions.text import shingles, tokens
 from .common import cut_lineage
 from .graph import components
 
+BLOCK = 2000  # texts of one shingle that meet in one task
+
 
 def shingle_sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """``key, set_id, n``, and the distinct 64-bit shingle hashes ``s`` of each text with tokens."""
@@ -28,7 +30,8 @@ def similar_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", widt
     have nothing rarer), lengths must fit, and the exact intersection decides. No link is lost.
     """
     sets = cut_lineage(shingle_sets(docs, key, text, width))
-    member = sets.select(key, F.min(key).over(Window.partitionBy("set_id")).alias("rep"))
+    first = sets.groupBy("set_id").agg(F.min(key).alias("rep"))
+    member = sets.select(key, "set_id").join(first, "set_id").select(key, "rep")
     reps = sets.groupBy("set_id").agg(F.min(key).alias("rep"), F.first("s").alias("s"), F.first("n").alias("n")).select("rep", "s", "n")
     each = reps.select("rep", "n", F.explode("s").alias("h"))
     counts = each.groupBy("h").agg(F.count(F.lit(1)).alias("c"))
@@ -36,9 +39,14 @@ def similar_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", widt
     rank = F.row_number().over(Window.partitionBy("rep").orderBy("c", "h"))
     alone = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("rep"))
     prefix = shared.withColumn("_k", rank + alone).where(F.col("_k") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("rep", "n", "h")
-    x, y = prefix.select(F.col("rep").alias("a"), F.col("n").alias("na"), "h"), prefix.select(F.col("rep").alias("b"), F.col("n").alias("nb"), "h")
+    # a shingle that more than BLOCK texts lead with is cut into blocks; every two blocks of it meet under a key of their own
+    blocks = prefix.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_k"))
+    dealt = prefix.join(blocks, "h").withColumn("_i", F.pmod(F.xxhash64("rep"), F.col("_k")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_k") - 1))
+    x = dealt.select(F.col("rep").alias("a"), F.col("n").alias("na"), "h", "_i", every.alias("_j"))
+    y = dealt.select(F.col("rep").alias("b"), F.col("n").alias("nb"), "h", F.col("_i").alias("_j"), every.alias("_i"))
     fits = (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9) & (F.col("a") < F.col("b"))
-    candidates = x.join(y, "h").where(fits).select("a", "b").distinct()
+    candidates = x.join(y, ["h", "_i", "_j"]).where(fits).select("a", "b").distinct()
     left, right = reps.select(F.col("rep").alias("a"), F.col("s").alias("sa")), reps.select(F.col("rep").alias("b"), F.col("s").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
     jaccard = F.col("common") / (F.size("sa") + F.size("sb") - F.col("common"))

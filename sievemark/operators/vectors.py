@@ -38,14 +38,17 @@ def _blocks(df: DataFrame, key: str, vector: str, name: str) -> DataFrame:
     return df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long"), vector).mapInArrow(pack, f"dim long, {name}_ids array<long>, {name} binary")
 
 
-def nearest(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10, least: float = -1.0, lots: int = 32) -> DataFrame:
+def nearest(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10, least: float = -1.0, lots: int | None = None) -> DataFrame:
     """``query_id, hit_id, cosine, rank``: the k nearest other rows of each query, at least ``least``.
 
     Exact, in blocks: every block of 2048 queries meets every block of 2048 rows as one
     matrix product that keeps k hits per query and block; the merge sees k rows per block. Equal cosines
     (after rounding to 9 digits) go to the smaller id. Null vectors, vectors with nulls and vectors of another
-    length meet nothing; a zero vector has cosine 0 with all.
+    length meet nothing; a zero vector has cosine 0 with all. Row blocks are dealt to ``lots`` lots, one
+    for every 16 blocks unless told otherwise, but at least one per shuffle partition; each lot sees all query blocks.
     """
+    if lots is None:
+        lots = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // (16 * 2048)))
     q, v = _blocks(queries, key, vector, "q"), _blocks(df, key, vector, "v")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -69,14 +69,19 @@ def doc_sentences(s: SparkSession, d: str) -> DataFrame:
     return C.sentence_stats(_docs(s, d))
 
 
-def doc_entropy(s: SparkSession, d: str) -> DataFrame:
-    """Normalised term entropy of every document."""
-    return C.term_entropy(_docs(s, d))
+def doc_lexical(s: SparkSession, d: str) -> DataFrame:
+    """Entropy, moving type-token share and lexical diversity of every document."""
+    return C.lexical_measures(_docs(s, d))
 
 
-def doc_mattr(s: SparkSession, d: str) -> DataFrame:
-    """Moving-average type-token ratio of every document."""
-    return C.moving_type_token(_docs(s, d))
+def doc_levels(s: SparkSession, d: str) -> DataFrame:
+    """Levels of redundancy, cohesion, genericity and specificity of every document."""
+    return C.text_profile(_docs(s, d)).select("doc_id", "redundancy", "cohesion", "genericity_band", "specificity_band", "sentence_variance", "authorship")
+
+
+def intent_sources(s: SparkSession, d: str) -> DataFrame:
+    """Intents that the documents of each source answer together."""
+    return C.intent_totals(_docs(s, d), F.coalesce("source", F.lit("(none)")))
 
 
 def doc_chunks(s: SparkSession, d: str) -> DataFrame:
@@ -183,7 +188,7 @@ def agent_tokens(s: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        url_parts, url_shapes, url_archetypes, locale_twins, doc_profile, doc_sentences, doc_entropy, doc_mattr, doc_chunks, doc_intents, exact_duplicates, shared_vocabulary,
+        url_parts, url_shapes, url_archetypes, locale_twins, doc_profile, doc_sentences, doc_lexical, doc_levels, doc_chunks, doc_intents, intent_sources, exact_duplicates, shared_vocabulary,
         obs_url_metrics, obs_demand_axes, obs_ctr_gap, obs_striking_distance, obs_decay, obs_cannibalization, obs_demand_without_page, obs_demand_without_bots, obs_bot_findings, obs_ai_funnel,
         obs_outcomes, obs_citation_drops, obs_kinds, agent_tokens,
     )
@@ -215,6 +220,12 @@ _LOC = "('" + "', '".join(U.PAGE_LOCALES) + "')"
 _FLOC = "('" + "', '".join(U.FAMILY_LOCALES) + "')"
 _KIND_CASE = "CASE " + " ".join(f"WHEN provider IN ({', '.join(repr(x) for x in v)}) THEN '{k}'" for k, v in O.PROVIDER_KINDS.items()) + " ELSE 'analytics' END"
 
+_LEXICAL = f"""e AS (SELECT doc_id, unnest({_TOK}) AS t FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, t, count(*) AS c FROM e GROUP BY 1, 2), g AS (SELECT doc_id, sum(c) AS n, count(*) AS k, sum(c * log2(c)) AS s FROM c GROUP BY 1),
+  w AS (SELECT doc_id, {_TOK} AS t FROM documents WHERE text IS NOT NULL), m AS (SELECT doc_id, t, len(t) AS n, list_reduce(list_transform(t, lambda x: {{'f': 0, 'r': 1, 's': [x]}}), lambda a, x: CASE WHEN a.r + 1 >= 10 AND len(list_distinct(list_concat(a.s, x.s))) * 100 // (a.r + 1) < 72 THEN {{'f': a.f + 1, 'r': 0, 's': []::VARCHAR[]}} ELSE {{'f': a.f, 'r': a.r + 1, 's': list_distinct(list_concat(a.s, x.s))}} END, {{'f': 0, 'r': 0, 's': []::VARCHAR[]}}).f AS f FROM w WHERE len(t) > 0),
+  lex AS (SELECT g.doc_id, CASE WHEN g.k = 1 THEN 0 ELSE round(least(greatest((log2(g.n) - g.s / g.n) / log2(g.k) * 100, 0), 100))::INT END AS term_entropy,
+  least(100, CASE WHEN m.n < 50 THEN len(list_distinct(t)) * 100 // m.n ELSE list_sum(list_transform(range(1, m.n - 48), lambda i: len(list_distinct(t[i:i + 49]))))::BIGINT * 100 // ((m.n - 49) * 50) END)::INT AS mattr,
+  CASE WHEN m.n >= 20 THEN CASE WHEN f = 0 THEN 100 ELSE least(m.n * 100 // (f * 10), 100) END END::INT AS mtld FROM g JOIN m USING (doc_id))"""
+
 SQL: dict[str, str] = {
     "url_parts": "SELECT url, lower(regexp_extract(url, '^([a-z]+)://', 1)) AS scheme, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host, coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), ''), '/') AS path, nullif(regexp_extract(url, '\\?([^#]*)', 1), '') AS query FROM (SELECT DISTINCT url FROM pages)",
     "url_shapes": f"""WITH p AS (SELECT url, {_PATH} AS path, {_SEGS} AS s, list_filter(string_split(regexp_extract(url, '://[^/]*/(.*)$', 1), '/'), lambda x: x <> '') AS fs FROM (SELECT DISTINCT url FROM pages)),
@@ -238,10 +249,11 @@ SQL: dict[str, str] = {
     "doc_sentences": f"""WITH l AS (SELECT doc_id, list_transform({_SENT}, lambda s: len({_UWORDS.format('s')})) AS l FROM documents WHERE text IS NOT NULL), n AS (SELECT doc_id, l, len(l) AS n, coalesce(list_sum(l), 0)::BIGINT AS t, coalesce(list_sum(list_transform(l, lambda x: x * x)), 0)::BIGINT AS q FROM l)
       SELECT doc_id, n AS n_sentences, t // nullif(n, 0) AS avg_sentence_length, CASE WHEN n > 0 THEN len(list_filter(l, lambda x: x > 30)) * 100 // n END AS long_sentence_share,
       CASE WHEN n < 2 THEN 'unmeasured' WHEN n * q - t * t < 8 * n * n THEN 'low' WHEN n * q - t * t < 40 * n * n THEN 'medium' ELSE 'high' END AS sentence_variance FROM n""",
-    "doc_entropy": f"""WITH e AS (SELECT doc_id, unnest({_TOK}) AS t FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, t, count(*) AS c FROM e GROUP BY 1, 2), g AS (SELECT doc_id, sum(c) AS n, count(*) AS k, sum(c * log2(c)) AS s FROM c GROUP BY 1)
-      SELECT doc_id, CASE WHEN k = 1 THEN 0 ELSE round(least(greatest((log2(n) - s / n) / log2(k) * 100, 0), 100))::INT END AS term_entropy FROM g""",
-    "doc_mattr": f"""WITH t AS (SELECT doc_id, {_TOK} AS t FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, t, len(t) AS n FROM t WHERE len(t) > 0)
-      SELECT doc_id, least(100, CASE WHEN n < 50 THEN len(list_distinct(t)) * 100 // n ELSE list_sum(list_transform(range(1, n - 48), lambda i: len(list_distinct(t[i:i + 49]))))::BIGINT * 100 // ((n - 49) * 50) END)::INT AS mattr FROM w""",
+    "doc_lexical": f"""WITH {_LEXICAL} SELECT doc_id, term_entropy, mattr, mtld FROM lex""",
+    "doc_levels": f"""WITH {_LEXICAL}, p AS (SELECT * FROM ({{doc_profile}})), n AS (SELECT * FROM ({{doc_sentences}}))
+      SELECT p.doc_id, CASE WHEN n_sentences < 2 AND repetition IS NULL THEN 'unmeasured' WHEN coalesce(repetition, 0) <= 20 THEN 'low' WHEN coalesce(repetition, 0) <= 45 THEN 'medium' ELSE 'high' END AS redundancy,
+      CASE WHEN term_entropy IS NULL AND repetition IS NULL THEN 'unmeasured' WHEN term_entropy >= 70 THEN 'high' WHEN term_entropy >= 45 AND repetition <= 40 THEN 'medium' ELSE 'low' END AS cohesion, genericity_band, specificity_band, sentence_variance, 'UNMEASURED' AS authorship FROM p JOIN n USING (doc_id) LEFT JOIN lex USING (doc_id)""",
+    "intent_sources": " UNION ALL ".join(f"SELECT scope, '{i}' AS intent, a AS answered, {len(ps)} AS questions, a || '/{len(ps)}' AS coverage FROM (SELECT coalesce(source, '(none)') AS scope, " + " + ".join(f"bool_or(contains({_AZ.format('text')}, '{p}'))::INT" for p in ps) + " AS a FROM documents WHERE text IS NOT NULL GROUP BY 1)" for i, ps in T.INTENTS.items()),
     "doc_chunks": f"""WITH d AS (SELECT doc_id, text, {_SENT} AS s FROM documents WHERE text IS NOT NULL AND trim(text, ' ') <> ''),
       c AS (SELECT doc_id, i AS chunk_no, s[i * 3 + 1] AS heading, array_to_string(s[i * 3 + 1:i * 3 + 3], ' ') AS text FROM d, LATERAL (SELECT unnest(range((len(s) + 2) // 3)) AS i) UNION ALL SELECT doc_id, 0, 'page', text FROM d WHERE len(s) = 0),
       t AS (SELECT doc_id, chunk_no, heading, text, {_TOK} AS t, {_AZ.format('text')} AS low FROM c), n AS (SELECT *, len(t) AS n FROM t),
@@ -263,7 +275,7 @@ SQL: dict[str, str] = {
       SELECT url, clicks_before, clicks_after, trunc((clicks_after - clicks_before) * 100 / clicks_before)::BIGINT AS delta_pct FROM g WHERE clicks_before >= 10 AND greatest(clicks_before - clicks_after, 0) * 100 // clicks_before >= 30""",
     "obs_cannibalization": f"""WITH {_CUR}, f AS (SELECT *, row_number() OVER (PARTITION BY query, page_url ORDER BY row_id) AS k FROM cur WHERE kind = 'search_performance' AND bucket = 'current' AND impressions >= 50 AND strlen(query) > 3 AND url IS NOT NULL),
       s AS (SELECT query, page_url, clicks, list_filter(string_split(regexp_extract(url, '://[^/]*/(.*)$', 1), '/'), lambda x: x <> '') AS fs FROM f WHERE k = 1), z AS (SELECT query, page_url, clicks, array_to_string(CASE WHEN len(fs) >= 2 THEN fs[:len(fs) - 1] ELSE fs END, '/') AS fam FROM s)
-      SELECT query, count(*) AS n_urls, sum(clicks)::BIGINT AS clicks, CASE WHEN count(DISTINCT fam) = 1 THEN 'CONSOLIDATE' ELSE 'DIFFERENTIATE' END AS action, string_agg(page_url, ' ' ORDER BY page_url) AS urls FROM z GROUP BY query HAVING count(*) >= 2 AND sum(clicks) >= 10""",
+      SELECT z.query, page_url, n_urls, g.clicks, action FROM z JOIN (SELECT query, count(*) AS n_urls, sum(clicks)::BIGINT AS clicks, CASE WHEN count(DISTINCT fam) = 1 THEN 'CONSOLIDATE' ELSE 'DIFFERENTIATE' END AS action FROM z GROUP BY query HAVING count(*) >= 2 AND sum(clicks) >= 10) g USING (query)""",
     "obs_demand_without_page": f"WITH {_CUR}, {_PAGES} SELECT row_id, url, impressions FROM cur WHERE kind = 'search_performance' AND impressions >= 50 AND url IS NOT NULL AND page_url NOT IN (SELECT page_url FROM measured)",
     "obs_demand_without_bots": f"WITH {_CUR}, {_PAGES} SELECT row_id, url, c.impressions FROM cur c JOIN sums s USING (page_url) WHERE kind = 'search_performance' AND c.impressions >= 50 AND s.hits = 0 AND page_url IN (SELECT page_url FROM measured)",
     "obs_bot_findings": f"""WITH {_CUR}, {_PAGES}, facts AS (SELECT regexp_replace(url, '/+$', '') AS page_url, bool_or(indexable <> 'indexable') AS closed, bool_or(indexable = 'indexable' AND inbound = 0 AND NOT regexp_matches(url, '^[^:]+://[^/?#]*/?$')) AS orphan FROM pg GROUP BY 1),
@@ -280,3 +292,4 @@ SQL: dict[str, str] = {
     "agent_tokens": f"""WITH {_CUR}, u AS (SELECT user_agent, count(*) AS n FROM cur WHERE user_agent IS NOT NULL GROUP BY 1), m AS (SELECT user_agent, n, {_AZ.format('user_agent')} AS low, (SELECT arg_max(token, (length(token), token)) FROM ai_agents a WHERE contains({_AZ.format('user_agent')}, a.token)) AS t FROM u),
       z AS (SELECT n, coalesce(t, CASE WHEN contains(low, 'bot') OR contains(low, 'spider') OR contains(low, 'crawler') THEN 'unknown-bot' END) AS token FROM m) SELECT token, sum(n)::BIGINT AS n_rows FROM z WHERE token IS NOT NULL GROUP BY token""",
 }
+SQL["doc_levels"] = SQL["doc_levels"].replace("{doc_profile}", SQL["doc_profile"]).replace("{doc_sentences}", SQL["doc_sentences"])

@@ -104,8 +104,10 @@ l AS (SELECT a, b, common, common / u AS similarity FROM c WHERE common / u >= 0
 
 SQL: dict[str, str] = {
     "link_degrees": f"WITH {_LINKS}, o AS (SELECT src AS node, count(*) AS o, 0 AS i FROM e GROUP BY 1 UNION ALL SELECT dst, 0, count(*) FROM e GROUP BY 1) SELECT node, sum(o)::BIGINT AS outbound, sum(i)::BIGINT AS inbound FROM o GROUP BY 1",
-    "link_templates": f"WITH {_LINKS}, c AS (SELECT *, count(*) OVER (PARTITION BY dst, coalesce(location, 'contextual')) AS n FROM e), t AS (SELECT edge_id, src, dst, CASE WHEN n >= 3 AND 2 * n >= 6 THEN n END AS template_frequency FROM c) SELECT *, round(0.3 * CASE WHEN template_frequency >= 3 THEN 0.25 ELSE 1.0 END, 6)::DOUBLE AS weight FROM t",
-    "link_depth": f"WITH RECURSIVE {_LINKS}, nodes AS (SELECT src AS node FROM e UNION SELECT dst FROM e), b(node, depth) USING KEY (node) AS (SELECT node, 0 FROM nodes WHERE regexp_matches(node, '^url:[^:]+://[^/]+/$') UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.node LEFT JOIN recurring.b r ON r.node = e.dst WHERE r.node IS NULL AND b.depth < 64) SELECT node, depth FROM b",
+    "link_templates": f"""WITH {_LINKS}, sz AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) AS site, greatest(count(DISTINCT CASE WHEN indexable = 'indexable' THEN url END), 1) AS n_pages FROM pages GROUP BY 1),
+      k AS (SELECT *, regexp_extract(src, '^url:[a-z]+://([^/?#:]*)', 1) AS site FROM e), c AS (SELECT k.*, n_pages, count(*) OVER (PARTITION BY k.site, dst, coalesce(location, 'contextual')) AS n FROM k LEFT JOIN sz USING (site)),
+      t AS (SELECT edge_id, src, dst, CASE WHEN n >= 3 AND 2 * n >= n_pages THEN n END AS template_frequency FROM c) SELECT *, round(0.3 * CASE WHEN template_frequency >= 3 THEN 0.25 ELSE 1.0 END, 6)::DOUBLE AS weight FROM t""",
+    "link_depth": f"WITH RECURSIVE {_LINKS}, nodes AS (SELECT src AS node FROM e UNION SELECT dst FROM e), b(node, depth) USING KEY (node) AS (SELECT node, 0 FROM nodes WHERE regexp_matches(node, '^url:[^:]+://[^/]+/$') UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.node LEFT JOIN recurring.b r ON r.node = e.dst WHERE r.node IS NULL) SELECT node, depth FROM b",
     "page_rank": f"WITH {_LINKS}, a AS (SELECT src, dst, count(*)::DOUBLE AS w FROM e GROUP BY 1, 2), p AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM a), u AS (SELECT src AS node FROM e UNION SELECT dst FROM e), n AS MATERIALIZED (SELECT node, (SELECT count(*) FROM u) AS cnt, node NOT IN (SELECT src FROM p) AS dangling FROM u), r0 AS (SELECT node, dangling, 1.0::DOUBLE / cnt AS rank FROM n), "
     + ", ".join(_ROUND.format(k=k, j=k - 1).replace(f"r{k} AS (", f"r{k} AS MATERIALIZED (") for k in range(1, 21))
     + " SELECT node, round(rank, 9) AS rank FROM r20",

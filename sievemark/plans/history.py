@@ -47,10 +47,11 @@ def inventory_counts(s: SparkSession, d: str) -> DataFrame:
 
 
 def duplicate_titles(s: SparkSession, d: str) -> DataFrame:
-    """Titles that several indexable pages of a latest snapshot share."""
+    """Indexable pages of a latest snapshot whose title others share, as class and size."""
     last = _refs(s, d).select(F.col("latest").alias("snapshot_id"))
     p = table(s, d, "pages").join(last, "snapshot_id", "left_semi").where("status = 200 AND indexable = 'indexable' AND trim(title) <> ''").select("snapshot_id", "url", "title").distinct()
-    return p.groupBy("snapshot_id", "title").agg(F.count(F.lit(1)).alias("n_urls"), F.array_join(F.sort_array(F.collect_list("url")), " ").alias("urls")).where("n_urls > 1")
+    g = p.groupBy("snapshot_id", "title").agg(F.min("url").alias("class_url"), F.count(F.lit(1)).alias("n_urls")).where("n_urls > 1")
+    return p.join(g, ["snapshot_id", "title"]).select("snapshot_id", "url", "title", "class_url", "n_urls")
 
 
 def duplicate_content(s: SparkSession, d: str) -> DataFrame:
@@ -117,7 +118,7 @@ SQL: dict[str, str] = {
       CASE WHEN previous IS NOT NULL THEN n_new END AS n_new, CASE WHEN previous IS NOT NULL THEN n_resolved END AS n_resolved, CASE WHEN previous IS NOT NULL THEN n_lost END AS n_lost FROM j""",
     "axis_scores": f"WITH {_REFS}, f AS (SELECT DISTINCT snapshot_id, fingerprint, severity, regexp_extract(code, '^([A-Z0-9]+)-', 1) AS family FROM findings WHERE snapshot_id IN (SELECT latest FROM refs)) SELECT family, count(*) FILTER (severity = 'error') AS n_error, count(*) FILTER (severity = 'warning') AS n_warning, count(*) FILTER (severity = 'notice') AS n_notice FROM f GROUP BY 1",
     "inventory_counts": "WITH cur AS (SELECT NULL AS page_url, NULL AS url, NULL AS kind, 0 AS hits, 0 AS impressions), " + _PAGES + " SELECT count(*) AS n_pages, count(*) FILTER (status BETWEEN 200 AND 399) AS n_fetched, count(*) FILTER (status >= 400) AS n_errors, count(*) FILTER (indexable = 'indexable') AS n_indexable, count(*) FILTER (inbound = 0) AS n_unlinked FROM pg",
-    "duplicate_titles": f"WITH {_REFS}, p AS (SELECT DISTINCT snapshot_id, url, title FROM pages WHERE snapshot_id IN (SELECT latest FROM refs) AND status = 200 AND indexable = 'indexable' AND trim(title) <> '') SELECT snapshot_id, title, count(*) AS n_urls, string_agg(url, ' ' ORDER BY url) AS urls FROM p GROUP BY 1, 2 HAVING count(*) > 1",
+    "duplicate_titles": f"WITH {_REFS}, p AS (SELECT DISTINCT snapshot_id, url, title FROM pages WHERE snapshot_id IN (SELECT latest FROM refs) AND status = 200 AND indexable = 'indexable' AND trim(title) <> '') SELECT snapshot_id, url, title, class_url, n_urls FROM (SELECT *, min(url) OVER w AS class_url, count(*) OVER w AS n_urls FROM p WINDOW w AS (PARTITION BY snapshot_id, title)) WHERE n_urls > 1",
     "duplicate_content": f"WITH {_REFS}, p AS (SELECT DISTINCT snapshot_id, url, regexp_replace(lower(trim(content_hash)), '^(?:[a-z0-9-]+:|0x)', '') AS h FROM pages WHERE snapshot_id IN (SELECT latest FROM refs) AND status = 200 AND indexable = 'indexable' AND content_hash IS NOT NULL) SELECT snapshot_id, url, class_url, n_urls FROM (SELECT snapshot_id, url, min(url) OVER w AS class_url, count(*) OVER w AS n_urls FROM p WINDOW w AS (PARTITION BY snapshot_id, h)) WHERE n_urls > 1",
     "dsl_unlinked": "WITH cur AS (SELECT NULL AS page_url, NULL AS url, NULL AS kind, 0 AS hits, 0 AS impressions), " + _PAGES + " SELECT url, inbound FROM pg WHERE inbound = 0 AND lower(indexable) = 'indexable' ORDER BY inbound, indexable, status, url LIMIT 20",
     "dsl_errors": f"{_FOUND} SELECT code, url FROM f WHERE severity = 'error' AND contains(lower(summary), 'page') ORDER BY code, fingerprint, severity, summary, url LIMIT 50",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,10 +10,10 @@ from pyspark.sql import functions as F
 
 from ..operators import observations as O
 from ..operators import planning as P
-from ..operators.common import table
+from ..operators.common import shared_folder, table
 from ..sources.imports import log_hits, observations_of
 from ..streaming import events as E
-from .evidence import _rows
+from .evidence import _CUR, _rows
 from .history import _REFS, _refs
 
 
@@ -58,13 +56,9 @@ def imported_log_hits(s: SparkSession, d: str) -> DataFrame:
 
 def stream_windows(s: SparkSession, d: str) -> DataFrame:
     """Sliding windows over the event stream, run to its end; the batch SQL must agree."""
-    name = f"w{uuid.uuid4().hex}"
-    stream = E.windowed_counts(E.read_events(s, f"{d}/events.parque[t]"))
-    root = s.conf.get("spark.checkpoint.dir", None)
-    at = f"{root}/{name}" if root else os.path.join(tempfile.mkdtemp(), name)
-    done = stream.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", at).trigger(availableNow=True).start()
-    done.awaitTermination()
-    return s.table(name).select(F.date_format("started", "yyyy-MM-dd").alias("started"), "event_type", "n", F.round("total", 2).alias("total"))
+    at = f"{shared_folder(s)}/w{uuid.uuid4().hex}"
+    E.keep_result(E.windowed_counts(E.read_events(s, f"{d}/events.parque[t]")), f"{at}/result", f"{at}/progress").awaitTermination()
+    return s.read.parquet(f"{at}/result").select(F.date_format("started", "yyyy-MM-dd").alias("started"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (family_matrix, opportunity_rank, opportunity_plan, imported_observations, imported_log_hits, stream_windows)}
@@ -72,7 +66,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 _PG = f"""{_REFS}, lp AS (SELECT url, struct_pack(status := max(status), indexable := max(indexable), content_hash := max(content_hash), title := max(title), family := max(family), inbound := max(inbound), c := max(gsc_clicks), i := max(gsc_impressions)) AS m FROM pages WHERE snapshot_id IN (SELECT latest FROM refs) GROUP BY url),
 fm AS (SELECT m.family AS family, count(*) AS n_pages, count(*) FILTER (m.indexable = 'indexable') AS n_indexable, count(DISTINCT CASE WHEN m.indexable = 'indexable' THEN regexp_replace(lower(trim(m.content_hash)), '^(?:[a-z0-9-]+:|0x)', '') END) AS n_unique, count(*) FILTER (m.inbound = 0) AS n_unlinked, sum(m.c)::BIGINT AS clicks, sum(m.i)::BIGINT AS impressions FROM lp WHERE m.status = 200 AND m.family IS NOT NULL GROUP BY 1)"""
 _VERDICT = "CASE WHEN n_indexable = 0 THEN 'NOINDEX_BY_DEFAULT' WHEN n_indexable >= 2 AND n_unique = 1 THEN 'CONSOLIDATE' WHEN n_unique >= 2 AND n_unlinked < n_pages THEN 'SAFE_IF_REQUIREMENTS_MET' WHEN n_unlinked = n_pages THEN 'REVIEW' WHEN n_unique = 1 THEN 'SAFE_IF_REQUIREMENTS_MET' ELSE 'UNMEASURED' END"
+_ITEMS = f"""{_PG}, {_CUR}, ax AS (SELECT page_url, CASE WHEN i > 0 OR b IS NOT NULL THEN least(i // 10, 100)::INT END AS demand, CASE WHEN i > 0 OR b IS NOT NULL THEN CASE WHEN b > 10 THEN round(least((b - 10) * 5, 100))::INT ELSE 0 END END AS visibility_gap
+  FROM (SELECT page_url, sum(impressions) AS i, min(position) FILTER (position > 0)::DOUBLE AS b FROM cur WHERE kind = 'search_performance' AND url IS NOT NULL GROUP BY 1)),
+  it AS (SELECT 'link_gap' AS kind, url AS subject, 60 AS confidence, 10 AS risk, 20 AS cost FROM lp WHERE m.status = 200 AND m.indexable = 'indexable' AND m.inbound = 0 AND NOT regexp_matches(url, '^[^:]+://[^/?#]*/?$')
+  UNION ALL SELECT 'content_gap', url, 50, NULL, 40 FROM lp WHERE m.status = 200 AND m.indexable = 'indexable' AND m.title IS NULL
+  UNION ALL SELECT CASE v WHEN 'CONSOLIDATE' THEN 'cannibal' WHEN 'NOINDEX_BY_DEFAULT' THEN 'noindex' ELSE 'create_family' END, family, NULL, CASE v WHEN 'CONSOLIDATE' THEN 40 WHEN 'NOINDEX_BY_DEFAULT' THEN 80 ELSE 30 END, 60 FROM (SELECT family, {_VERDICT} AS v FROM fm) WHERE v IN ('CONSOLIDATE', 'NOINDEX_BY_DEFAULT', 'SAFE_IF_REQUIREMENTS_MET')),
+  tr AS (SELECT it.*, demand, visibility_gap, CASE WHEN confidence >= 40 AND risk <= 70 THEN 3 WHEN confidence >= 40 AND risk IS NULL THEN 2 WHEN confidence IS NULL AND risk <= 70 THEN 2 WHEN confidence IS NULL AND risk IS NULL THEN 1 ELSE 0 END AS trust FROM it LEFT JOIN ax ON ax.page_url = rtrim(it.subject, '/'))"""
 SQL: dict[str, str] = {
+    "opportunity_rank": f"WITH {_ITEMS} SELECT kind, subject, trust, row_number() OVER (ORDER BY trust DESC, demand IS NOT NULL DESC, coalesce(demand, 0) DESC, coalesce(visibility_gap, 0) DESC, least(coalesce(cost, 0), 100), kind, subject) AS rank, demand, visibility_gap FROM tr",
     "family_matrix": f"WITH {_PG} SELECT *, {_VERDICT} AS verdict FROM fm",
     "opportunity_plan": f"""WITH {_PG}, o AS (SELECT 'link_gap' AS kind, url AS subject, 'LINK' AS action FROM lp WHERE m.status = 200 AND m.indexable = 'indexable' AND m.inbound = 0 AND NOT regexp_matches(url, '^[^:]+://[^/?#]*/?$')
       UNION SELECT 'content_gap', url, 'IMPROVE' FROM lp WHERE m.status = 200 AND m.indexable = 'indexable' AND m.title IS NULL

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Tables of a snapshot.
 TABLES = ["runs", "pages", "findings", "families", "chunks", "claims", "opportunities"]
 
 
