@@ -13,13 +13,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse
-from ..functions.urls import canonical_url, join_url, locale_of, segments, url_parts, url_path
+from ..functions.urls import canonical_url, city_shaped, join_url, locale_of, query_value, segments, url_parts, url_path
+from .common import ranked
+from .graph import depths
 
 # Bytes and milliseconds above which a page is heavy or slow, and types that publish.
 BODY_LIMIT, FETCH_LIMIT = 524_288, 2_500
 PUBLISHER_TYPES = ["organization", "website"]
 
 
+# What a type must have, by feature: (number of the code, type, feature, groups of
+# properties of which one each is needed). 2: a current rich result, 3: the vocabulary, 4: a retired rich result.
+REQUIREMENTS = [
+    (4, "FAQPage", "FAQ", [["mainEntity"]]), (2, "QAPage", "QAndA", [["mainEntity"]]), (2, "Offer", "MerchantListing", [["price", "priceSpecification"]]),
+    (2, "Product", "Product", [["name"], ["review", "aggregateRating", "offers"]]), (2, "LocalBusiness", "LocalBusiness", [["name"], ["address"]]), (2, "Article", "Article", [["headline"]]),
+    (4, "HowTo", "HowTo", [["name"], ["step"]]), (2, "BreadcrumbList", "Breadcrumb", [["itemListElement"]]), (3, "Organization", "Organization", [["name"]]),
+]
+_SEVERITY = {2: "warn", 3: "info", 4: "info"}
+
+
 def with_state(pages: DataFrame) -> DataFrame:
     """Adds identity, indexability and the base predicate ``_ok`` (status 200 and indexable)."""
     noindex = F.exists(F.coalesce("robots", F.array().cast("array<string>")), lambda r: F.exists(F.split(r, ","), lambda t: F.lower(F.trim(t)) == "noindex"))
@@ -59,12 +71,33 @@ def page_local(p: DataFrame) -> DataFrame:
         ("A11Y-001", "warn", F.col("_html") & _blank("html_lang")), ("A11Y-002", "warn", F.col("_html") & F.coalesce(F.exists(content_images, lambda i: i["alt"].isNull()), F.lit(False))), ("A11Y-004", "warn", F.col("_html") & ~F.col("has_main")),
         ("PERF-001", "warn", F.col("_ok") & (F.col("body_bytes") > BODY_LIMIT)), ("PERF-002", "warn", F.col("_ok") & (F.col("fetch_ms") > FETCH_LIMIT)),
         ("SEC-008", "warn", F.col("_html") & https & (F.coalesce(F.exists("images", lambda i: i["src"].startswith("http://")), F.lit(False)) | F.coalesce(F.col("og_image").startswith("http://"), F.lit(False)))),
-        ("AI-002", "warn", F.col("_html") & faq_copy & ~has_type(["faqpage", "qapage"])),
+        ("AI-002", "warn", F.col("_html") & faq_copy & ~has_type(["faqpage", "qapage", "question"])),
     ]
     hits = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(f"SE-{k}").alias("code"), F.lit(k.split("-")[0]).alias("family"), F.lit(s).alias("severity"))) for k, s, c in rules]), lambda x: x.isNotNull())
     return p.select(F.explode(hits).alias("h"), F.col("_url").alias("url")).select("h.code", "h.family", "h.severity", "url", F.col("url").alias("subject"))
 
 
+def short_type(name: Column) -> Column:
+    """A schema type without its address or prefix."""
+    return F.regexp_replace(F.regexp_replace(name, "^.*/", ""), "^.*:", "")
+
+
+def schema_gaps(p: DataFrame, requirements: list = REQUIREMENTS) -> DataFrame:
+    """Typed nodes that lack what their type needs (SCHEMA-002, 003, 004), with the missing properties as subject.
+
+    A group of properties is met by any of them, whatever the case; a dotted one by its parent too.
+    """
+    nodes = p.select("_url", F.explode("json_ld").alias("b")).where("b.valid_json").select("_url", F.explode("b.nodes").alias("n"))
+    typed = nodes.select("_url", F.transform("n.properties", F.lower).alias("_p"), F.explode("n.types").alias("_t")).withColumn("_t", F.lower(short_type(F.col("_t"))))
+    gaps = []
+    for number, kind, feature, groups in requirements:
+        met = [[x.lower() for name in g for x in ([name, name.rsplit(".", 1)[0]] if "." in name else [name])] for g in groups]
+        lacks = F.concat(*[F.when(F.arrays_overlap("_p", F.array(*map(F.lit, m))), F.array().cast("array<string>")).otherwise(F.array(*map(F.lit, g))) for g, m in zip(groups, met)])
+        gaps.append(F.when((F.col("_t") == kind.lower()) & (F.size(lacks) > 0), F.struct(F.lit(f"SE-SCHEMA-00{number}").alias("code"), F.lit(_SEVERITY[number]).alias("severity"), F.concat(F.lit(f"{kind}/{feature}: "), F.array_join(lacks, " OR ")).alias("subject"))))
+    hits = F.filter(F.array(*gaps), lambda x: x.isNotNull())
+    return typed.select("_url", F.explode(hits).alias("h")).select("h.code", F.lit("SCHEMA").alias("family"), "h.severity", F.col("_url").alias("url"), "h.subject")
+
+
 def canonical_targets(p: DataFrame) -> DataFrame:
     """Canonical to an error (2), to a page that canonicalises elsewhere (3), out of the crawl (4)."""
     t = p.select(F.col("_url").alias("_t"), F.col("status").alias("_ts"), F.col("_canon").alias("_tc")).dropDuplicates(["_t"])
@@ -114,24 +147,76 @@ def edges_of(p: DataFrame) -> DataFrame:
     return e.where("dst IS NOT NULL").where(url_parts(F.col("dst"))["host"] == F.col("_host")).select("src", "dst", "location")
 
 
-def link_targets(p: DataFrame) -> DataFrame:
-    """Links to errors (1) and navigation or footer links that lead nowhere useful (5)."""
+def link_targets(p: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """Links to errors (1) and navigation or footer links that lead nowhere useful (5). ``edges`` are
+    src, dst and location, where they don't come from the pages' own links."""
     t = p.select(F.col("_url").alias("dst"), F.col("status").alias("_ts"), "indexability").dropDuplicates(["dst"])
-    j = edges_of(p).join(t, "dst").withColumn("_url", F.col("src"))
+    j = (edges_of(p) if edges is None else edges).join(t, "dst").withColumn("_url", F.col("src"))
     dead = _finding(j.where("_ts >= 400"), "LINK-001", "error", F.col("dst")).distinct()
     leak = _finding(j.where("location IN ('nav', 'footer') AND (_ts >= 400 OR indexability <> 'indexable')"), "LINK-005", "warn", F.col("dst")).distinct()
     return dead.unionByName(leak)
 
 
-def link_depths(p: DataFrame, seed: str, deep: int = 3) -> DataFrame:
-    """Orphans (2) and pages more than three hops from the seed (3)."""
-    from .graph import depths
-
-    seeds = p.sparkSession.createDataFrame([(seed,)], "node string").select(canonical_url(F.col("node")).alias("node"))
-    j = p.where("_ok").join(depths(edges_of(p), seeds).withColumnRenamed("node", "_url"), "_url", "left")
+def link_depths(p: DataFrame, seeds: DataFrame, edges: DataFrame | None = None, deep: int = 3) -> DataFrame:
+    """Orphans (2) and pages more than three hops from the nearest seed (3). ``seeds`` has a column ``node``."""
+    start = seeds.select(canonical_url(F.col("node")).alias("node"))
+    j = p.where("_ok").join(depths(edges_of(p) if edges is None else edges, start).withColumnRenamed("node", "_url"), "_url", "left")
     return _finding(j.where("depth IS NULL AND _path <> '/'"), "LINK-002", "warn").unionByName(_finding(j.where(F.col("depth") > deep), "LINK-003", "info"))
 
 
+def quiet_authorities(p: DataFrame, ranks: DataFrame, impressions: DataFrame) -> DataFrame:
+    """LINK-004: indexable pages of more than median authority that nobody is shown.
+
+    ``ranks`` is node, rank; ``impressions`` url, gsc_impressions. The median is the upper one; it is
+    found among the ranks in order, not by collecting them.
+    """
+    ok = p.where("_ok").join(ranks.select(F.col("node").alias("_url"), "rank"), "_url").join(impressions.select(F.col("url").alias("_url"), "gsc_impressions"), "_url", "left")
+    placed = ranked(ok, [F.asc("rank"), F.asc("_url")], "_k")
+    middle = placed.where(F.col("_k") == ok.count() // 2 + 1).select("rank").first()  # one number
+    hit = placed.where(F.col("rank") > (middle["rank"] if middle else 0.0)).where(F.coalesce("gsc_impressions", F.lit(0)) == 0)
+    return _finding(hit, "LINK-004", "info")
+
+
+def city_queries(p: DataFrame) -> DataFrame:
+    """Pages for ?city= beside a path page of that city (CANN-002), city paths that redirect to ?city= (CANN-003).
+
+    The city is looked for in every path of the host by its words: a path page is entered under each of
+    its segments and their parts, so that pages meet by equal text instead of all with all. Subject is the other URL.
+    """
+    parts = url_parts(F.col("_url"))
+    q = p.withColumn("_q", parts["query"])
+    city = query_value(F.col("_q"), "city")
+    asking = q.where("status = 200 AND indexability <> 'noindex' AND coalesce(media, 'html') = 'html'").select("_url", "_host", city.alias("_city")).where("_city <> ''")
+    names = F.array_distinct(F.flatten(F.transform(segments(F.col("_path")), _runs)))
+    paths = q.where("status = 200 AND indexability = 'indexable' AND _q IS NULL").select(F.col("_url").alias("_other"), "_host", F.explode(names).alias("_city"))
+    beside = asking.join(paths, ["_host", "_city"]).groupBy("_url").agg(F.min("_other").alias("_other"))
+    last = F.try_element_at("redirects", F.lit(-1))["to"]
+    moved = p.where("indexability = 'redirected'").withColumn("_to", join_url(F.col("_url"), last)).withColumn("_city", query_value(url_parts(F.col("_to"))["query"], "city"))
+    handed = moved.where(F.col("_city").isNotNull() & (city_shaped(F.col("_path")) | F.col("_path").contains(F.col("_city"))))
+    return _finding(beside, "CANN-002", "warn", F.col("_other")).unionByName(_finding(handed, "CANN-003", "warn", F.col("_to")))
+
+
+def _runs(segment: Column) -> Column:
+    """Runs of the hyphenated words of a path segment."""
+    w = F.split(segment, "-")
+    n = F.size(w)
+    return F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, n), lambda j: F.array_join(F.slice(w, i, j - i + 1), "-"))))
+
+
+def default_alternates(p: DataFrame) -> DataFrame:
+    """I18N-003, where the policy asks for it: pages with alternates of which none is x-default."""
+    lacks = (F.size("alternates") > 0) & ~F.exists("alternates", lambda a: F.lower(a["hreflang"]) == "x-default")
+    return _finding(p.where("_html").where(lacks), "I18N-003", "warn")
+
+
+def agent_access(matrix: DataFrame, probes: DataFrame, roles: str = "search_discovery") -> DataFrame:
+    """AI-004: origins whose llms.txt answers 404. AI-005: listed crawlers that are kept out of a whole
+    origin, a warning for those that discover pages for search. ``matrix`` is robots.agent_matrix(), ``probes`` origin and llms_status."""
+    lacking = probes.where("llms_status = 404").select(F.lit("SE-AI-004").alias("code"), F.lit("AI").alias("family"), F.lit("info").alias("severity"), F.col("origin").alias("url"), F.col("origin").alias("subject"))
+    kept = matrix.where("policy_intent = 'BLOCK'").select(F.lit("SE-AI-005").alias("code"), F.lit("AI").alias("family"), F.when(F.col("role") == roles, "warn").otherwise("info").alias("severity"), F.col("origin").alias("url"), F.col("agent").alias("subject"))
+    return lacking.unionByName(kept)
+
+
 def host_security(p: DataFrame) -> DataFrame:
     """Header rules per host over its HTML pages with status 200; the first page stands for it."""
     h = lambda n: F.col("headers")[n]
@@ -172,7 +257,8 @@ def publishers(p: DataFrame) -> DataFrame:
 def all_findings(pages: DataFrame, seed: str) -> DataFrame:
     """Every page rule, in order of severity, code and subject."""
     p = with_state(pages)
-    parts = [page_local(p), canonical_targets(p), alternates(p), locale_groups(p), repeated_metadata(p), repeated_content(p), link_targets(p), link_depths(p, seed), host_security(p), shared_controls(p), publishers(p)]
+    seeds = p.sparkSession.createDataFrame([(seed,)], "node string")
+    parts = [page_local(p), canonical_targets(p), alternates(p), locale_groups(p), repeated_metadata(p), repeated_content(p), link_targets(p), link_depths(p, seeds), host_security(p), shared_controls(p), publishers(p), city_queries(p), schema_gaps(p)]
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)

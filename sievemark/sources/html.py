@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 S, A, B, I = T.StringType(), T.ArrayType, T.BooleanType(), T.IntegerType()
 f = T.StructField
@@ -15,7 +16,7 @@ SCHEMA = T.StructType([
     f("title", S), f("description", S), f("html_lang", S), f("canonical", S), f("robots", A(S)), f("og_title", S), f("og_image", S), f("csp_meta", S),
     f("alternates", A(T.StructType([f("hreflang", S), f("href", S)]))), f("headings", A(T.StructType([f("level", I), f("text", S)]))),
     f("links", A(T.StructType([f("href", S), f("anchor", S), f("context", S), f("rel", A(S)), f("location", S)]))),
-    f("images", A(T.StructType([f("src", S), f("alt", S), f("hidden", B)]))), f("json_ld", A(T.StructType([f("valid_json", B), f("types", A(S)), f("ids", A(S)), f("same_as", A(S))]))),
+    f("images", A(T.StructType([f("src", S), f("alt", S), f("hidden", B)]))), f("json_ld", A(T.StructType([f("valid_json", B), f("types", A(S)), f("ids", A(S)), f("same_as", A(S)), f("raw", S), f("nodes", A(T.StructType([f("types", A(S)), f("properties", A(S))])))]))),
     f("text", S), f("has_main", B), f("unlabeled_controls", I),
 ])
 CHROME = {"nav": "nav", "footer": "footer", "header": "header"}
@@ -120,10 +121,10 @@ class _Page(HTMLParser):
         try:
             nodes = json_ld_nodes(json.loads(raw))
         except ValueError:
-            self.out["json_ld"].append((False, [], [], []))
+            self.out["json_ld"].append((False, [], [], [], raw, []))
             return
         cited = [n for n in nodes if any(t.lower() in ("organization", "website") for t in _list(n["@type"]))]
-        self.out["json_ld"].append((True, [t for n in nodes for t in _list(n["@type"])], [str(n["@id"]) for n in cited if n.get("@id")], [s for n in cited for s in _list(n.get("sameAs"))]))
+        self.out["json_ld"].append((True, [t for n in nodes for t in _list(n["@type"])], [str(n["@id"]) for n in cited if n.get("@id")], [s for n in cited for s in _list(n.get("sameAs"))], raw, [(_list(n["@type"]), sorted(k for k in n if not k.startswith("@"))) for n in nodes]))
 
 
 def extract_page(html: str | None) -> tuple | None:
@@ -137,17 +138,24 @@ def extract_page(html: str | None) -> tuple | None:
     return tuple(p.out[k.name] for k in SCHEMA)
 
 
-@F.pandas_udf(SCHEMA)
-def extract(html: pd.Series) -> pd.DataFrame:
-    """The page struct of each HTML text."""
-    empty = tuple(None for _ in SCHEMA)
-    names = [k.name for k in SCHEMA]
+_ARROW = to_arrow_type(SCHEMA)
 
-    def shaped(row: tuple) -> tuple:
-        out = []
-        for k, v in zip(SCHEMA, row):
-            e = getattr(k.dataType, "elementType", None)
-            out.append([dict(zip(e.names, x)) for x in v] if v is not None and isinstance(e, T.StructType) else v)
-        return tuple(out)
 
-    return pd.DataFrame([shaped(extract_page(h) or empty) for h in html], columns=names)
+@F.arrow_udf(SCHEMA)
+def extract(html: pa.Array) -> pa.Array:
+    """The page struct of each HTML text; of null, a struct of nulls."""
+    empty = dict.fromkeys(SCHEMA.names)
+    rows = []
+    for h in html.to_pylist():
+        page = extract_page(h)
+        rows.append(empty if page is None else {k.name: _named(v, k.dataType) for k, v in zip(SCHEMA, page)})
+    return pa.array(rows, _ARROW)
+
+
+def _named(value: object, kind: T.DataType) -> object:
+    """Tuples as the dictionaries that Arrow takes for structs."""
+    if value is None:
+        return None
+    if isinstance(kind, T.ArrayType):
+        return [_named(v, kind.elementType) for v in value]
+    return {k.name: _named(v, k.dataType) for k, v in zip(kind, value)} if isinstance(kind, T.StructType) else value
