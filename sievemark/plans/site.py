@@ -59,7 +59,7 @@ def site_pages(s: SparkSession, d: str) -> DataFrame:
         c((F.col("url").contains("/en/"), F.array(alternate("de", F.regexp_replace("url", "/en/", "/de/")), alternate("fr", F.concat("url", text("-gone"))))), (F.col("url").contains("/de/") & (b < 6), F.array(alternate("en", F.regexp_replace("url", "/de/", "/en/")))), other=F.array().cast(alternates)).alias("alternates"),
         c((b == 4, F.array().cast("array<struct<level:int,text:string>>")), (b == 5, F.array(heading(1, text("One")), heading(1, text("Two")))), other=F.array(heading(1, F.coalesce("title", text("h"))), heading(2, text("More on it")))).alias("headings"),
         c((k == 4, F.array(image("http://img.example/a.png", None, False))), (k == 5, F.array(image("https://img.example/b.png", "x", False))), (k == 6, F.array(image("/a.png", None, True))), other=F.array().cast(images)).alias("images"),
-        c((j == 1, block(False, "{")), (j == 2, block(True, '{"@type":"Organization"}', ("Organization", ["logo"]))), (j == 3, block(True, '{"@type":"https://schema.org/Product"}', ("https://schema.org/Product", ["Name"]))), ((j == 4) & (b < 5), block(True, '{"@type":"FAQPage"}', ("FAQPage", ["name"]))), (j == 4, block(True, '{"@type":"LocalBusiness","areaServed":"x"}', ("LocalBusiness", ["name", "address"]))), other=F.array().cast(f"array<{_BLOCK}>")).alias("json_ld"),
+        c((j == 1, block(False, "{")), (j == 2, block(True, '{"@type":"Organization"}', ("Organization", ["logo"]))), (j == 3, block(True, '{"@type":"https://schema.org/Product"}', ("https://schema.org/Product", ["Name"]))), ((j == 4) & (b < 5), block(True, '{"@type":"FAQPage"}', ("FAQPage", ["name"]))), ((j == 4) & (l % 2 == 0), block(True, '{"@type":"LocalBusiness"}', ("LocalBusiness", ["name", "address"]))), (j == 4, block(True, '{"@type":"LocalBusiness","areaServed":"x"}', ("LocalBusiness", ["name", "address"]))), other=F.array().cast(f"array<{_BLOCK}>")).alias("json_ld"),
         c((k == 2, F.concat(text("Frequently asked questions about "), F.col("url"))), (k == 3, F.concat(text("Same  text of "), F.coalesce("family", text("all")))), other=F.concat(text("Text of "), F.col("url"))).alias("text"),
         F.when(b == 6, empty).otherwise("t").alias("og_title"), c((b == 7, empty), (b == 8, text("http://img.example/o.png")), other=text("https://img.example/o.png")).alias("og_image"),
         F.map_from_entries(headers).alias("headers"), empty.alias("csp_meta"), (F.col("inbound") * 20_000).alias("body_bytes"), (l * 50).alias("fetch_ms"), (j != 4).alias("has_main"),
