@@ -52,10 +52,10 @@ def provider_kind(provider: Column) -> Column:
     return out
 
 
-def current_rows(observations: DataFrame) -> DataFrame:
-    """The latest version of each row, counts without nulls; ties by the row's values."""
+def current_rows(observations: DataFrame, *more: str) -> DataFrame:
+    """The latest version of each row, counts without nulls; ties by the row's values. ``more`` columns come along."""
     cols = ["kind", "query", "url", "provider", "clicks", "impressions", "hits", "position", "period", "user_agent", "status", "bot_role"]
-    rows = latest(observations.select("row_id", "loaded_at", *cols), ["row_id"], F.col("loaded_at"), cols)
+    rows = latest(observations.select("row_id", "loaded_at", *cols, *more), ["row_id"], F.col("loaded_at"), cols)
     return rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("clicks", "impressions", "hits")})
 
 

@@ -15,10 +15,14 @@ from ..operators import claims as CL
 from ..operators import competitors as K
 from ..operators import content as C
 from ..operators import matrices as M
+from ..operators import observations as O
+from ..operators import planning as P
 from ..operators import render as RE
 from ..operators import rules as R
 from ..operators.common import table
-from .evidence import _AZ, _FACTS
+from ..operators.snapshots import consecutive_snapshots, snapshot_changes
+from .evidence import _AZ, _CTR, _CUR, _FACTS
+from .preparation import _CHANGES
 from .site import _SITE, _rule, site_edges, site_pages
 
 _SLUG = "/services/([^/?]*)-([a-z]+)$"
@@ -77,9 +81,8 @@ def town_rules(s: SparkSession, d: str) -> DataFrame:
 
 
 # ---- rendered pages
-def rendered_pages(s: SparkSession, d: str) -> DataFrame:
+def rendered_pages(p: DataFrame) -> DataFrame:
     """What a browser would have seen, made from the pages."""
-    p = site_pages(s, d)
     l, b = F.length("url"), F.col("inbound") % 11
     k, j = l % 7, l % 5
     first = F.try_element_at("headings", F.lit(1))["text"]
@@ -92,18 +95,20 @@ def rendered_pages(s: SparkSession, d: str) -> DataFrame:
 
 def render_rules(s: SparkSession, d: str) -> DataFrame:
     """What differs between the page as sent and as rendered."""
-    return RE.reconcile(_state(s, d), rendered_pages(s, d)).distinct()
+    p = site_pages(s, d)
+    return RE.reconcile(R.with_state(p), rendered_pages(p)).distinct()
 
 
 def render_states(s: SparkSession, d: str) -> DataFrame:
     """Rendered pages per state."""
-    return RE.layer_states(_state(s, d), rendered_pages(s, d)).groupBy("state").agg(F.count(F.lit(1)).alias("n_urls"))
+    p = site_pages(s, d)
+    return RE.layer_states(R.with_state(p), rendered_pages(p)).groupBy("state").agg(F.count(F.lit(1)).alias("n_urls"))
 
 
 # ---- town families
-def _shares(s: SparkSession, d: str) -> DataFrame:
+def _shares(s: SparkSession, d: str, p: DataFrame | None = None) -> DataFrame:
     f = M.town_family(F.col("_path"))
-    return C.family_shares(_towns(s, d).where("_ok").withColumn("_f", f), F.col("_f.family"), F.col("_f.town"), "_url")
+    return C.family_shares((_towns(s, d) if p is None else p).where("_ok").withColumn("_f", f), F.col("_f.family"), F.col("_f.town"), "_url")
 
 
 def family_shares(s: SparkSession, d: str) -> DataFrame:
@@ -113,12 +118,13 @@ def family_shares(s: SparkSession, d: str) -> DataFrame:
 
 def family_rules(s: SparkSession, d: str) -> DataFrame:
     """Families that share nearly everything, and towns that say the same."""
-    return C.template_families(_shares(s, d)).unionByName(M.thin_towns(_towns(s, d)))
+    p = _towns(s, d)
+    return C.template_families(_shares(s, d, p)).unionByName(M.thin_towns(p))
 
 
-def _matrices(s: SparkSession, d: str) -> DataFrame:
+def _matrices(s: SparkSession, d: str, p: DataFrame | None = None) -> DataFrame:
     predicted = s.createDataFrame([("/:locale/category/:city",), ("/about",)], "pattern string")
-    return M.compile_matrices(_towns(s, d), site_edges(s, d), predicted)
+    return M.compile_matrices(_towns(s, d) if p is None else p, site_edges(s, d), predicted)
 
 
 def matrix_compiled(s: SparkSession, d: str) -> DataFrame:
@@ -128,7 +134,8 @@ def matrix_compiled(s: SparkSession, d: str) -> DataFrame:
 
 def matrix_enriched(s: SparkSession, d: str) -> DataFrame:
     """The same with what content measures, demand and claims add."""
-    m = M.enrich(_matrices(s, d), _shares(s, d))
+    towns = _towns(s, d)
+    m = M.enrich(_matrices(s, d, towns), _shares(s, d, towns))
     p = table(s, d, "pages").withColumn("_f", M.town_family(url_parts(F.regexp_replace("url", _SLUG, "/services/$1/$2"))["path"])).where("_f IS NOT NULL")
     demand = p.groupBy(F.col("_f.family").alias("family")).agg(F.sum("gsc_clicks").alias("gsc_clicks"), F.sum("gsc_impressions").alias("gsc_impressions"))
     claims = claim_rules(s, d).withColumn("subject_family", M.town_family(url_parts(F.regexp_replace("url", _SLUG, "/services/$1/$2"))["path"])["family"])
@@ -149,9 +156,79 @@ def competitor_gaps(s: SparkSession, d: str) -> DataFrame:
     return K.gaps(K.shapes(p), K.totals(p, edges), owned)
 
 
+# ---- opportunities
+def _items(s: SparkSession, d: str, p: DataFrame | None = None) -> DataFrame:
+    p = _towns(s, d) if p is None else p
+    orphans = R.link_depths(p, p.where(F.col("_path") == "/").select(F.col("_url").alias("node")), _town_edges(s, d)).where("code = 'SE-LINK-002'")
+    m = _matrices(s, d, p)
+    return P.base_opportunities(p, orphans, m)
+
+
+def _town_edges(s: SparkSession, d: str) -> DataFrame:
+    place = lambda c: F.regexp_replace(c, _SLUG, "/services/$1/$2")
+    return site_edges(s, d).withColumns({"src": place("src"), "dst": place("dst")})
+
+
+def _decorated(s: SparkSession, d: str, p: DataFrame) -> DataFrame:
+    # provider rows name the plain URLs of service pages
+    rows = O.current_rows(table(s, d, "observations"), "difficulty", "serp_features").withColumn("url", F.regexp_replace("url", _SLUG, "/services/$1/$2"))
+    pages = p.select(F.col("_url").alias("page_url"), "inbound", (F.col("inbound") / 100).alias("rank"))
+    return P.decorate(_items(s, d, p), rows, O.demand_axes(rows), pages)
+
+
+def opportunity_axes(s: SparkSession, d: str) -> DataFrame:
+    """Opportunities with what search and the market show of them."""
+    return _decorated(s, d, _towns(s, d)).drop("summary")
+
+
+def _made(s: SparkSession, d: str) -> DataFrame:
+    """Families that sources produce: those of pages whose producer's hash begins with a digit."""
+    p = table(s, d, "pages").where(F.col("producer_hash").rlike("^[0-9]")).select(M.town_family(url_parts(F.regexp_replace("url", _SLUG, "/services/$1/$2"))["path"])["family"].alias("family"), F.col("producer_key").alias("path"), F.col("producer_hash").alias("hash"))
+    return p.where("family IS NOT NULL").distinct()
+
+
+def _with_family(items: DataFrame) -> DataFrame:
+    return items.withColumn("family", F.coalesce(M.town_family(url_parts(F.col("subject"))["path"])["family"], F.col("subject")))
+
+
+def opportunity_build(s: SparkSession, d: str) -> DataFrame:
+    """How hard each opportunity is to build."""
+    p = _towns(s, d)
+    return P.difficulty_to_build(_with_family(_decorated(s, d, p)), _shares(s, d, p), _made(s, d)).select("kind", "subject", "difficulty_to_build")
+
+
+def _handoff(s: SparkSession, d: str) -> DataFrame:
+    actions = _with_family(P.plan_stages(_items(s, d)).select("subject", "action").distinct())
+    return P.handoff(actions, _made(s, d))
+
+
+def plan_handoff(s: SparkSession, d: str) -> DataFrame:
+    """Sources that the plan's actions change."""
+    return _handoff(s, d)
+
+
+def plan_stale(s: SparkSession, d: str) -> DataFrame:
+    """Sources of the plan that newer ones no longer match."""
+    return P.stale_targets(_handoff(s, d), _made(s, d).where(F.length("path") % 3 > 0).withColumn("hash", F.when(F.length("path") % 2 == 0, "0").otherwise(F.col("hash"))))
+
+
+def plan_waits(s: SparkSession, d: str) -> DataFrame:
+    """Links that wait for the creation of their page."""
+    items = _items(s, d)
+    created = items.where((F.col("kind") == "content_gap") & (F.length("subject") % 2 == 0)).withColumn("kind", F.lit("create_family"))
+    return P.plan_links(P.plan_stages(items.unionByName(created)))
+
+
+def producer_changes(s: SparkSession, d: str) -> DataFrame:
+    """Producers that came, went or changed between consecutive snapshots of a site."""
+    p = table(s, d, "pages").select("snapshot_id", "producer_key", "producer_hash")
+    pairs = consecutive_snapshots(table(s, d, "runs"), p)
+    return snapshot_changes(p, pairs, "producer_key", F.col("producer_hash"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (market_pages, market_rules, claim_rules, claim_facts, entity_rules, town_rules, render_rules, render_states, family_shares, family_rules, matrix_compiled, matrix_enriched, site_shapes, competitor_gaps)
+    for f in (market_pages, market_rules, claim_rules, claim_facts, entity_rules, town_rules, render_rules, render_states, family_shares, family_rules, matrix_compiled, matrix_enriched, site_shapes, competitor_gaps, opportunity_axes, opportunity_build, plan_handoff, plan_stale, plan_waits, producer_changes)
 }
 
 _MARKET = f"""{_SITE}, mk AS (SELECT *, CASE WHEN host LIKE '%.test' THEN 'test' WHEN contains(path, '/de/') THEN 'de' WHEN contains(path, '/fr/') THEN 'fr' WHEN contains(lower(text), 'kayak') THEN 'de' END AS market FROM ap)"""
@@ -246,3 +323,34 @@ SQL: dict[str, str] = {
       UNION ALL SELECT 'cluster_gap', site || ':' || value || ':cardinality' FROM t WHERE trait = 'archetype' AND n >= 4 AND n > on_ * 2 + 2
       UNION ALL SELECT 'link_gap', tl.site FROM tl, me WHERE tl.site <> me.site AND tl.links > 2 * me.links AND tl.links >= 8 UNION ALL SELECT 'content_gap', tl.site FROM tl, me WHERE tl.site <> me.site AND tl.i > 0 AND me.i > 0 AND tl.h * 2 > tl.i AND me.h * 2 < me.i""",
 }
+_PLACED = f"regexp_replace(url, '{_SLUG}', '/services/\\1/\\2')"
+_ITEMS = f"""{_COMPILED}, te AS (SELECT DISTINCT regexp_replace(src, '{_SLUG}', '/services/\\1/\\2') AS src, regexp_replace(dst, '{_SLUG}', '/services/\\1/\\2') AS dst FROM ed),
+wa AS (SELECT *, '/' || array_to_string(sg, '/') || CASE WHEN path LIKE '%/' AND len(sg) > 0 THEN '/' ELSE '' END AS tpath FROM tw),
+bf(node, depth) USING KEY (node) AS (SELECT turl, 0 FROM wa WHERE path = '/' UNION SELECT e.dst, b.depth + 1 FROM bf b JOIN te e ON e.src = b.node LEFT JOIN recurring.bf r ON r.node = e.dst WHERE r.node IS NULL),
+it AS (SELECT 'link_gap' AS kind, turl AS subject, turl || ' is indexable but has no internal inlinks from the seed' AS summary FROM wa LEFT JOIN bf ON bf.node = turl WHERE status = 200 AND ix = 'indexable' AND depth IS NULL AND path <> '/'
+  UNION ALL SELECT 'sitemap_gap', turl, turl || ' is linked and indexable but absent from the sitemap' FROM wa WHERE status = 200 AND ix = 'indexable' AND NOT in_map AND inbound > 0 UNION ALL SELECT 'content_gap', turl, turl || ' has no H1' FROM wa WHERE status = 200 AND ix = 'indexable' AND n_h1 = 0
+  UNION ALL SELECT 'cannibal', family, family || ' variants should be consolidated' FROM cm WHERE verdict = 'CONSOLIDATE' UNION ALL SELECT 'create_family', family, family || ' needs unique facts before expansion' FROM (SELECT family, verdict FROM cm UNION ALL SELECT '/:locale/category/:city', 'UNMEASURED') WHERE verdict = 'SAFE_IF_REQUIREMENTS_MET' OR (verdict = 'UNMEASURED' AND contains(family, ':'))
+  UNION ALL SELECT 'noindex', family, family || ' should stay out of the index by default' FROM cm WHERE verdict = 'NOINDEX_BY_DEFAULT')"""
+_CURX = _CUR.replace("status, bot_role,\n", "status, bot_role, difficulty, serp_features,\n")
+_DECORATED = f"""{_ITEMS}, {_CURX}, ob AS (SELECT *, rtrim({_PLACED}, '/') AS pu, array_to_string(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}]+'), ' ') AS qw, CASE WHEN kind = 'serp_position' THEN 8 + CASE WHEN position <= 3 THEN 10 ELSE 0 END ELSE 0 END + CASE WHEN len(list_filter(serp_features, lambda f: contains(f, 'ai_overview') OR f = 'paa')) > 0 THEN 6 ELSE 0 END AS boost FROM cur),
+se AS (SELECT pu, sum(impressions)::BIGINT AS i, sum(clicks)::BIGINT AS c, min(position) AS position, min(position) FILTER (position > 0)::DOUBLE AS best FROM ob WHERE kind = 'search_performance' AND url IS NOT NULL GROUP BY 1),
+ik AS (SELECT *, rtrim(subject, '/') AS k, ' ' || array_to_string(regexp_extract_all(lower(subject), '[\\p{{L}}\\p{{N}}]+'), ' ') || ' ' AS sw, ' ' || array_to_string(regexp_extract_all(lower(summary), '[\\p{{L}}\\p{{N}}]+'), ' ') || ' ' AS mw FROM it),
+ma AS (SELECT kind, subject, max(difficulty) AS dif, sum(boost)::BIGINT AS boost FROM (SELECT DISTINCT ik.kind, ik.subject, row_id, difficulty, boost FROM ik JOIN ob o ON o.kind IN ('keyword_volume', 'serp_position', 'serp_feature') AND (o.pu = ik.k OR (qw <> '' AND len(string_split(qw, ' ')) <= 8 AND (contains(sw, ' ' || qw || ' ') OR contains(mw, ' ' || qw || ' '))))) GROUP BY 1, 2),
+ow AS (SELECT rtrim(turl, '/') AS k, max(inbound) AS inb, max(inbound / 100) AS r, max(max(inbound / 100)) OVER () AS top FROM wa GROUP BY 1),
+dc0 AS (SELECT ik.kind, ik.subject, i, c, best, position, dif, boost, inb, r, top, CASE WHEN i > 0 OR best IS NOT NULL THEN least(i // 10, 100)::INT END AS demand, CASE WHEN i > 0 OR best IS NOT NULL THEN CASE WHEN best > 10 THEN round(least((best - 10) * 5, 100))::INT ELSE 0 END END AS visibility_gap,
+  CASE ik.kind WHEN 'create_family' THEN 55 WHEN 'cannibal' THEN 50 WHEN 'noindex' THEN 25 WHEN 'content_gap' THEN 28 WHEN 'sitemap_gap' THEN 12 WHEN 'link_gap' THEN 18 ELSE 35 END AS cost FROM ik LEFT JOIN se ON se.pu = ik.k LEFT JOIN ma ON ma.kind = ik.kind AND ma.subject = ik.subject LEFT JOIN ow ON ow.k = ik.k),
+dc AS (SELECT kind, subject, demand, visibility_gap, CASE WHEN i > 0 THEN i END AS raw_impressions, CASE WHEN i > 0 THEN c END AS raw_clicks, CASE WHEN i > 0 AND position IS NOT NULL THEN round({_CTR} * 100)::INT END AS expected_ctr,
+  CASE WHEN i > 0 THEN CASE WHEN position IS NOT NULL THEN greatest(round(i * {_CTR})::BIGINT - c, 0) WHEN visibility_gap IS NOT NULL THEN visibility_gap * (greatest(i, 1) // 100) END END::BIGINT AS recoverable_clicks, cost, CASE WHEN inb = 0 THEN 80 WHEN inb > 0 THEN least(20 + 8 * inb, 80) WHEN kind = 'link_gap' THEN 80 END::INT AS leverage,
+  CASE WHEN dif IS NOT NULL OR boost > 0 THEN least(greatest(coalesce(dif, 40) + least(coalesce(boost, 0), CASE WHEN dif IS NOT NULL THEN 25 ELSE 40 END) - CASE WHEN top > 0 THEN round(30 * coalesce(r, 0) / top) ELSE 0 END, 0), 100)::INT END AS difficulty_to_rank FROM dc0)"""
+_MADE = f"pr AS (SELECT list_filter(string_split(regexp_replace(coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), ''), '/'), '{_SLUG}', '/services/\\1/\\2'), '/'), lambda x: x <> '') AS sg, producer_key, producer_hash FROM pages WHERE regexp_matches(producer_hash, '^[0-9]')), ps AS (SELECT CASE WHEN sg[1] IN ('en', 'ru', 'he', 'es', 'fr', 'de') THEN sg[2:] ELSE sg END AS r, producer_key, producer_hash FROM pr), mad AS (SELECT DISTINCT 'category/' || r[2] AS family, producer_key AS path, producer_hash AS hash FROM ps WHERE r[1] IN ('category', 'services') AND (len(r) = 2 OR (len(r) = 3 AND (contains(r[3], '-') OR strlen(r[3]) >= 4))))"
+_FAMILY_OF = "sf AS (SELECT DISTINCT turl, fam FROM tf)"
+_TARGETS = f"{_ITEMS}, {_MADE}, {_FAMILY_OF}, ac AS (SELECT DISTINCT subject, CASE kind WHEN 'link_gap' THEN 'LINK' WHEN 'cannibal' THEN 'CONSOLIDATE' WHEN 'create_family' THEN 'CREATE' WHEN 'noindex' THEN 'NOINDEX' ELSE 'IMPROVE' END AS action, coalesce(fam, subject) AS family FROM it LEFT JOIN sf ON sf.turl = it.subject), ho AS (SELECT path, subject, min(action) AS action, min(hash) AS hash FROM ac JOIN mad USING (family) WHERE NOT starts_with(path, '@') AND path <> 'import' GROUP BY 1, 2)"
+SQL |= {
+    "opportunity_axes": f"WITH RECURSIVE {_DECORATED} SELECT *, (recoverable_clicks * 2500 // greatest(cost, 1))::BIGINT AS expected_value FROM dc",
+    "opportunity_build": f"WITH RECURSIVE {_DECORATED}, {_MADE}, {_FAMILY_OF}, x AS (SELECT dc.*, coalesce(fam, subject) AS family FROM dc LEFT JOIN sf ON sf.turl = dc.subject), y AS (SELECT x.kind, x.subject, cost, leverage, s.family IS NOT NULL AS has, unique_fact_ratio AS u, local_fact_coverage AS l, x.family IN (SELECT family FROM mad) AS made FROM x LEFT JOIN sh s ON s.family = x.family) SELECT kind, subject, least(greatest(cost + coalesce((100 - u) // 4, 0) - coalesce(l // 5, 0) - CASE WHEN has AND made THEN 12 ELSE 0 END - CASE WHEN made THEN 8 ELSE 0 END - coalesce(leverage // 5, 0), 0), 100)::INT AS difficulty_to_build FROM y",
+    "plan_handoff": f"WITH RECURSIVE {_TARGETS} SELECT * FROM ho",
+    "plan_stale": f"WITH RECURSIVE {_TARGETS}, nw AS (SELECT path, min(CASE WHEN length(path) % 2 = 0 THEN '0' ELSE hash END) AS now_ FROM mad WHERE length(path) % 3 > 0 GROUP BY 1) SELECT DISTINCT h.path, CASE WHEN now_ IS NULL THEN 'gone' ELSE 'hash changed' END AS reason FROM ho h LEFT JOIN nw USING (path) WHERE now_ IS NULL OR now_ <> h.hash",
+    "plan_waits": f"WITH RECURSIVE {_ITEMS} SELECT DISTINCT l.subject, 'OBSERVE_GSC' AS waits_for FROM it l WHERE l.kind = 'link_gap' AND EXISTS (SELECT 1 FROM it c WHERE c.subject = l.subject AND (c.kind = 'create_family' OR (c.kind = 'content_gap' AND length(c.subject) % 2 = 0)))",
+    "producer_changes": "WITH " + _CHANGES.replace("SELECT DISTINCT snapshot_id, 'page' AS record_kind, url AS record_key, regexp_replace(lower(trim(content_hash)), '^(?:[a-z0-9-]+:|0x)', '') AS v FROM pages\n  UNION SELECT DISTINCT snapshot_id, 'finding', fingerprint, '' FROM findings", "SELECT DISTINCT snapshot_id, 'producer' AS record_kind, producer_key AS record_key, producer_hash AS v FROM pages WHERE producer_key IS NOT NULL")
+    .replace("WHERE n.v IS DISTINCT FROM o.v)", "GROUP BY 1, 2, 3 HAVING list_sort(list_distinct(list(n.v))) IS DISTINCT FROM list_sort(list_distinct(list(o.v))))") + " SELECT snapshot_id, record_key, change FROM changes",
+}

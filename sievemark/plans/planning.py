@@ -78,8 +78,8 @@ SQL: dict[str, str] = {
     "opportunity_plan": f"""WITH {_PG}, o AS (SELECT 'link_gap' AS kind, url AS subject, 'LINK' AS action FROM lp WHERE m.status = 200 AND m.indexable = 'indexable' AND m.inbound = 0 AND NOT regexp_matches(url, '^[^:]+://[^/?#]*/?$')
       UNION SELECT 'content_gap', url, 'IMPROVE' FROM lp WHERE m.status = 200 AND m.indexable = 'indexable' AND m.title IS NULL
       UNION SELECT CASE v WHEN 'CONSOLIDATE' THEN 'cannibal' WHEN 'NOINDEX_BY_DEFAULT' THEN 'noindex' ELSE 'create_family' END, family, CASE v WHEN 'CONSOLIDATE' THEN 'CONSOLIDATE' WHEN 'NOINDEX_BY_DEFAULT' THEN 'NOINDEX' ELSE 'CREATE' END FROM (SELECT family, {_VERDICT} AS v FROM fm) WHERE v IN ('CONSOLIDATE', 'NOINDEX_BY_DEFAULT', 'SAFE_IF_REQUIREMENTS_MET')),
-      s AS (SELECT *, CASE action WHEN 'CREATE' THEN ['prepare', 'create', 'link', 'verify'] WHEN 'CONSOLIDATE' THEN ['prepare', 'merge', 'redirect', 'verify'] WHEN 'NOINDEX' THEN ['noindex', 'verify'] WHEN 'LINK' THEN ['link', 'verify'] ELSE ['improve', 'verify'] END AS s FROM o)
-      SELECT kind, subject, action, i::INT AS stage_no, s[i + 1] AS stage, CASE WHEN i > 0 THEN s[i] END AS requires FROM s, LATERAL (SELECT unnest(range(len(s))) AS i)""",
+      s AS (SELECT *, CASE action WHEN 'CREATE' THEN ['ADD_FACT', 'BIND_ENTITY', 'ADD_SCHEMA', 'CRAWL', 'OBSERVE_GSC'] WHEN 'CONSOLIDATE' THEN ['PICK_CANONICAL', 'CRAWL', 'DIFF'] WHEN 'NOINDEX' THEN ['SET_NOINDEX', 'CRAWL'] WHEN 'LINK' THEN ['ADD_INTERNAL_LINKS', 'CRAWL'] ELSE ['UPDATE_CONTENT', 'CRAWL', 'DIFF', 'OBSERVE_GSC'] END AS s FROM o)
+      SELECT kind, subject, action, i::INT AS stage_no, s[i + 1] AS stage, CASE WHEN i > 0 THEN s[i] END AS requires, CASE WHEN i > 0 THEN CASE WHEN s[i + 1] IN ('CRAWL', 'OBSERVE_GSC', 'DIFF') THEN 'VERIFY_AFTER' ELSE 'REQUIRES' END END AS relation FROM s, LATERAL (SELECT unnest(range(len(s))) AS i)""",
     "stream_windows": "WITH w AS (SELECT event_type, value, unnest(generate_series(date_trunc('day', ts) - INTERVAL 6 DAY, date_trunc('day', ts), INTERVAL 1 DAY)) AS started FROM events) SELECT strftime(started, '%Y-%m-%d') AS started, event_type, count(*) AS n, round(sum(value), 2) AS total FROM w GROUP BY 1, 2",
     "imported_log_hits": """WITH l AS (SELECT origin, unnest(list_concat(coalesce(lines, []), coalesce(string_split_regex(log, '\\r?\\n'), []))) AS line FROM import_files), p AS (SELECT origin, regexp_extract(line, '^(\\S+) \\S+ \\S+ \\[[^\\]]*\\] "(?:[A-Z]+ )?(\\S+)[^"]*" ([0-9]{3}) .*', ['ip', 'path', 'status']) AS m,
       translate(regexp_extract(line, '"([^"]*)"\\s*$', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS ua FROM l WHERE NOT starts_with(line, '#')),

@@ -87,8 +87,8 @@ def _state(s: SparkSession, d: str) -> DataFrame:
     return R.with_state(site_pages(s, d))
 
 
-def _seeds(s: SparkSession, d: str) -> DataFrame:
-    return site_pages(s, d).where(F.col("url").rlike("^[a-z]+://[^/]+/$")).select(F.col("url").alias("node"))
+def _seeds(p: DataFrame) -> DataFrame:
+    return p.where(F.col("url").rlike("^[a-z]+://[^/]+/$")).select(F.col("url").alias("node"))
 
 
 def page_states(s: SparkSession, d: str) -> DataFrame:
@@ -134,7 +134,8 @@ def link_rules(s: SparkSession, d: str) -> DataFrame:
 
 def depth_rules(s: SparkSession, d: str) -> DataFrame:
     """Orphans and pages far from every home page."""
-    return R.link_depths(_state(s, d), _seeds(s, d), site_edges(s, d), deep=2)
+    p = _state(s, d)
+    return R.link_depths(p, _seeds(p), site_edges(s, d), deep=2)
 
 
 def security_rules(s: SparkSession, d: str) -> DataFrame:
