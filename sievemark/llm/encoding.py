@@ -21,11 +21,11 @@ FLUSH = 1 << 20  # pairs that a task holds before it counts them
 READ_UTF8 = ["cp1252", "latin_1", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "iso8859_2", "cp1253", "cp1254", "iso8859_15", "koi8_r", "cp866"]
 READ_8BIT = ["cp1252", "cp1250", "mac_roman", "cp437", "cp850"]
 WRITTEN_8BIT = ["cp1252", "cp1250", "mac_roman", "cp850", "cp437"]
-UTF8_BONUS = 3.0  # nats: correct text rarely forms a valid multi-byte sequence by chance
-WEAK = -2.0  # nats that a run may speak against the way that explains the rest of its text
+WEAK = -5.0  # nats that a run may speak against the way that explains the rest of its text
 BOUND = 6.0  # nats of mutual information between the characters of a sequence that stands for one that no text holds
 LOST = "�"
-_ISLAND = re.compile(r"(?:[^\x00-\x7f]|&(?:[A-Za-z]{2,8}|#[0-9]{2,5}|#x[0-9A-Fa-f]{2,4});)+")
+_LOST = ord(LOST)
+_ENTITY = re.compile(r"&(?:[A-Za-z]{2,8}|#[0-9]{2,5}|#x[0-9A-Fa-f]{2,4});")
 
 
 _SINGLE = (1 << 21) - 1
@@ -40,12 +40,12 @@ def pair_counts(df: DataFrame, text: str) -> np.ndarray:
     """Exact counts of adjacent characters and single characters over all texts: the sorted keys, the
     count of each, and as the last element the number of characters.
 
-    Pairs of two ASCII characters aren't counted: no wrong decoding makes them. Counting is per FLUSH
+    Pairs of two ASCII characters are counted in a table of 128 x 128, others per FLUSH
     pairs, then per key; one row per distinct pair reaches the driver, 16 bytes each.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ascii_counts, held, size, n = np.zeros(128, np.int64), [], 0, 0
+        ascii_counts, ascii_pairs, held, size, n = np.zeros(128, np.int64), np.zeros(1 << 14, np.int64), [], 0, 0
 
         def counted() -> pa.RecordBatch:
             keys, counts = np.unique(np.concatenate([np.empty(0, np.int64), *held]), return_counts=True)
@@ -61,7 +61,9 @@ def pair_counts(df: DataFrame, text: str) -> np.ndarray:
                 n += len(c)
                 ascii_counts += np.bincount(c[c < 128], minlength=128)
                 wide = np.r_[np.uint32(32), c, np.uint32(32)]  # a text stands between spaces
-                i = np.flatnonzero((wide[:-1] > 127) | (wide[1:] > 127))
+                plain = (wide[:-1] | wide[1:]) < 128
+                ascii_pairs += np.bincount((wide[:-1][plain].astype(np.int64) << 7) | wide[1:][plain], minlength=1 << 14)
+                i = np.flatnonzero(~plain)
                 if len(i):
                     held += [_keys(c[c > 127], _SINGLE), _keys(wide[i], wide[i + 1].astype(np.int64))]
                     size += len(held[-2]) + len(held[-1])
@@ -69,8 +71,8 @@ def pair_counts(df: DataFrame, text: str) -> np.ndarray:
                     yield counted()
                     held, size = [], 0
         yield counted()
-        codes = np.flatnonzero(ascii_counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[_keys(codes, _SINGLE), -1]), pa.array(np.r_[ascii_counts[codes], n])], names=["key", "n"])
+        codes, both = np.flatnonzero(ascii_counts), np.flatnonzero(ascii_pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[_keys(codes, _SINGLE), _keys(both >> 7, both & 127), -1]), pa.array(np.r_[ascii_counts[codes], ascii_pairs[both], n])], names=["key", "n"])
 
     t = df.select(text).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     keys, counts = np.asarray(t.column("key")), np.asarray(t.column("n"))
@@ -92,6 +94,8 @@ class PairModel:
         half = len(counts) // 2
         self.keys, self.counts, self.n, self.smooth = counts[:half], counts[half:-1], max(int(counts[-1]), 1), smooth
         self._c: dict[tuple[int, int], float] = {}
+        self._s: dict[tuple[int, int], float] = {}
+        self._plain: np.ndarray | None = None
 
     def count(self, a: int, b: int) -> float:
         v = self._c.get((a, b))
@@ -110,7 +114,18 @@ class PairModel:
         return math.log((self.count(a, b) + self.smooth * pb) / (self.count(a, _SINGLE) + self.smooth) / pb)
 
     def surprise(self, a: int, b: int) -> float:
-        return 0.0 if a < 128 and b < 128 else self.rarity(b) - self.mi(a, b)
+        v = self._s.get((a, b))
+        if v is None:
+            # a replacement character is no letter of its word, however often the word is damaged: nothing is taken off its rarity
+            lost = _LOST in (a, b)
+            v = self._s[(a, b)] = self.rarity(_LOST) if lost else self.rarity(b) - self.mi(a, b)
+        return v
+
+    def plain(self) -> np.ndarray:
+        """Surprise of every pair of ASCII characters, as one table."""
+        if self._plain is None:
+            self._plain = np.array([self.surprise(k >> 7, k & 127) for k in range(1 << 14)])
+        return self._plain
 
     def chain(self, s: str, stand_in: dict[str, str] | None = None) -> float:
         """Surprise of a text; characters of ``stand_in`` count as their sequence does from outside."""
@@ -121,16 +136,60 @@ class PairModel:
         return sum(map(self.surprise, c, c[1:]))
 
 
-def segment(scores: list[float]) -> tuple[int, int, float]:
-    """Start, end and sum of the maximum-scoring stretch; (0, 0, 0) if no score is positive."""
-    best, at, run, begin = 0.0, (0, 0), 0.0, 0
+def maximal_segments(scores: list[float]) -> list[tuple[int, int]]:
+    """Start and end of every maximal scoring segment: one that no longer or shorter neighbour outscores.
+    Linear but for segments that are joined."""
+    found: list[tuple[int, int, float, float]] = []
+    total = 0.0
     for i, x in enumerate(scores):
-        if run <= 0:
-            run, begin = 0.0, i
-        run += x
-        if run > best:
-            best, at = run, (begin, i + 1)
-    return *at, best
+        before, total = total, total + x
+        if x <= 0:
+            continue
+        begin, low, high = i, before, total
+        while True:
+            j = len(found) - 1
+            while j >= 0 and found[j][2] >= low:
+                j -= 1
+            if j < 0 or found[j][3] >= high:
+                found.append((begin, i + 1, low, high))
+                break
+            begin, low = found[j][0], found[j][2]
+            del found[j:]
+    return [(a, z) for a, z, _, _ in found]
+
+
+def improbable_runs(model: PairModel, text: str, typical: float) -> list[tuple[int, int]]:
+    """Runs of characters beyond ASCII (entities, already resolved, among them) that maximal scoring segments of the whole text reach.
+
+    Every adjacent pair of the text scores its surprise less ``typical``. A stretch of ASCII
+    pairs between two others counts with its sum, as one element: no wrong decoding ends inside it.
+    """
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    wide = np.r_[32, c, 32]
+    left, right = wide[:-1], wide[1:]
+    odd = np.flatnonzero((left | right) > 127)
+    own = [model.surprise(a, b) - typical for a, b in zip(left[odd].tolist(), right[odd].tolist())]
+    if not own or max(own) <= 0:
+        return []
+    plain = (left | right) < 128
+    sums = np.r_[0.0, np.cumsum(np.where(plain, model.plain()[np.where(plain, (left << 7) | right, 0)] - typical, 0.0))]
+    gaps = (sums[odd[1:]] - sums[odd[:-1] + 1]).tolist()
+    scores = [x for pair in zip(own, [*gaps, 0.0]) for x in pair]
+    reached = np.zeros(len(odd), bool)
+    for a, z in maximal_segments(scores):
+        reached[(a + 1) // 2 : z // 2 + z % 2] = True
+    # pair i stands between the characters i - 1 and i: runs are characters beyond ASCII beside a reached pair
+    out: list[tuple[int, int]] = []
+    beyond = c > 127
+    starts = np.flatnonzero(beyond & ~np.r_[False, beyond[:-1]])
+    ends = np.flatnonzero(beyond & ~np.r_[beyond[1:], False]) + 1
+    hit = np.zeros(len(c) + 2, bool)
+    hit[odd[reached]] = True
+    count = np.r_[0, np.cumsum(hit)]
+    for a, z in zip(starts.tolist(), ends.tolist()):
+        if count[z + 1] > count[a]:
+            out.append((a, z))
+    return out
 
 
 @lru_cache(None)
@@ -252,52 +311,60 @@ def stand_ins(model: PairModel, inside: str, fresh: list[str], way: str) -> dict
     return out
 
 
+def _resolved(text: str) -> tuple[str, list[int] | None]:
+    """The text with entities as the characters they name, and where each of its characters begins in the text as written."""
+    if "&" not in text:
+        return text, None
+    out, at, i = [], [], 0
+    for m in _ENTITY.finditer(text):
+        shown = html.unescape(m.group())
+        if shown.isascii():
+            continue
+        out.append(text[i : m.start()])
+        at += range(i, m.start())
+        out.append(shown)
+        at += [m.start()] * len(shown)
+        i = m.end()
+    out.append(text[i:])
+    at += range(i, len(text) + 1)
+    return "".join(out), at
+
+
 def examine(model: PairModel, text: str, cache: dict, floor: float, typical: float) -> tuple[dict[str, float], list[tuple[int, int, dict[str, tuple[float, str]]]]]:
     """Evidence by way and the examined runs (start, end, {way: (gain, restored)})."""
+    shown, at = _resolved(text)
     seen: dict[tuple[str, str], float] = {}
     runs = []
-    for m in _ISLAND.finditer(text):
-        a, b = m.span()
-        raw = m.group()
-        if b < len(text) and text[b] == " ":
-            b += 1  # a no-break space may have become a space
-        left, right = text[a - 1 : a] or " ", text[b : b + 1] or " "
-        known = (left, text[a:b], right)
+    for a, z in improbable_runs(model, shown, typical):
+        run = shown[a:z]
+        space = " " if shown[z : z + 1] == " " else ""  # a no-break space may have become a space
+        left, right = shown[a - 1 : a] or " ", shown[z + len(space) : z + len(space) + 1] or " "
+        begin, end = (a, z + len(space)) if at is None else (at[a], at[z] + len(space))
+        plain = at is None or text[begin : end - len(space)] == run
+        known = (left, run + space, right, plain)
         got = cache.get(known)
         if got is None:
-            got = cache[known] = _examine_run(model, left, raw, html.unescape(raw) if "&" in raw else raw, text[a + len(raw) : b], right, floor, typical)
+            got = cache[known] = _examine_run(model, left, run, space, right, plain, floor, typical)
         if got:
-            runs.append((a, b, got))
+            runs.append((begin, end, got))
             for way, (gain, _) in got.items():
                 if gain >= floor:
-                    seen[way, raw] = max(gain, seen.get((way, raw), 0.0))
+                    seen[way, run] = max(gain, seen.get((way, run), 0.0))
     evidence: dict[str, float] = {}
     for (way, _), gain in seen.items():  # a run counts once however often the text repeats it
         evidence[way] = evidence.get(way, 0.0) + gain
     return evidence, runs
 
 
-def _examine_run(model: PairModel, left: str, written: str, run: str, space: str, right: str, floor: float, typical: float) -> dict[str, tuple[float, str]]:
-    if LOST in run:
-        return {"lost": (99.0, run + space)}
-    if run.isascii():
-        return {}
+def _examine_run(model: PairModel, left: str, run: str, space: str, right: str, plain: bool, floor: float, typical: float) -> dict[str, tuple[float, str]]:
     full = left + run + space + right
-    codes = [ord(x) for x in full]
-    scores = [model.surprise(x, y) - typical for x, y in zip(codes, codes[1:])]
-    a, b, best = segment(scores)
-    if best <= 0:
-        return {}
-    # inverse mappings only inside the improbable stretch, widened to whole non-ASCII runs
-    a, b = max(a, 1), min(b + 1, len(full) - 1)
-    while a > 1 and ord(full[a - 1]) > 127:
-        a -= 1
-    while b < len(full) - 1 and (ord(full[b]) > 127 or full[b] == " "):
-        b += 1
-    inside = full[a:b]
-    before = model.chain(full)
+    if LOST in run:
+        # what a replacement character stood for is unknown: typical characters in its place
+        codes = [ord(x) for x in full]
+        gain = sum(model.surprise(x, y) - typical for x, y in zip(codes, codes[1:]) if ord(LOST) in (x, y))
+        return {"lost": (gain, run + space)} if gain >= min(floor, WEAK) else {}
+    inside, before = run + space, model.chain(full)
     out = {}
-    plain = "&" not in written
     for way, restored in inverses(inside):
         multi = way.startswith("utf-8")
         if not multi and not plain:
@@ -306,25 +373,25 @@ def _examine_run(model: PairModel, left: str, written: str, run: str, space: str
         known = stand_ins(model, inside, fresh, way) if multi else {}
         if len(fresh) < 3 and any(not model.count(ord(x), _SINGLE) and x not in known for x in fresh):
             continue  # one or two characters that no text holds and no bound sequence stands for are no restored text
-        gain = before - model.chain(full[:a] + restored + full[b:], known) + (UTF8_BONUS if multi else 0.0)
+        gain = before - model.chain(left + restored + right, known)
         if gain >= min(floor, WEAK) and gain > out.get(way, (-99.0, ""))[0]:
-            out[way] = (gain, full[1:a] + restored + full[b : len(full) - 1])
+            out[way] = (gain, restored)
     return out
 
 
-def repair_encoding(docs: DataFrame, key: str = "doc_id", text: str = "text", floor: float = 1.2, accept: float = 4.5, accept_utf8: float = 1.2, typical: float = 3.5) -> DataFrame:
+def repair_encoding(docs: DataFrame, key: str = "doc_id", text: str = "text", floor: float = 0.0, accept: float = 4.5, accept_utf8: float = 0.0, typical: float = 3.5) -> DataFrame:
     """One row per damaged text: ``doc_id, way, evidence, n_runs, n_lost, text``.
 
-    A text is damaged if it holds a replacement character or if some way of wrong decoding
-    explains runs of it with enough nats of evidence in all: ``accept`` for 8-bit encodings
+    A text is damaged if some way of wrong decoding explains runs of it, or replacement characters stand where
+    typical characters would be likelier, with enough nats of evidence in all: ``accept`` for 8-bit encodings
     mistaken for each other, ``accept_utf8`` for UTF-8, ``floor`` per run. ``way`` is
     the best explanation ('lost' if there is none), ``text`` the text with every run restored
     by the way that explains it best among accepted ones, replacement characters (n_lost)
     left in place. Null, empty and pure ASCII texts are never damaged.
 
-    Adjacent pairs are scored by mutual information counted over all texts (pair_counts),
-    stretches of more than ``typical`` surprise are isolated by maximum-scoring segments, and inverse
-    mappings are tried inside them. The model is a table of all distinct pairs sent to every
+    All adjacent pairs of a text are scored by mutual information counted over all texts (pair_counts),
+    runs of more than ``typical`` surprise are isolated by maximal scoring segments of the whole text, and inverse
+    mappings are tried inside them only. The model is a table of all distinct pairs sent to every
     task; texts aren't shuffled.
     """
     counts = pair_counts(docs, text)

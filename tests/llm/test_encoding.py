@@ -3,7 +3,7 @@ from collections import Counter
 
 import numpy as np
 
-from sievemark.llm.encoding import PairModel, inverses, pair_counts, repair_encoding, segment
+from sievemark.llm.encoding import PairModel, improbable_runs, inverses, maximal_segments, pair_counts, repair_encoding
 
 CLEAN = ["Der Prüfer hört früh über schöne Städte und Brücken", "L’élève répète la règle près de la forêt", "El año próximo añadirá más información aquí", "Não há opções; a descrição está à espera", "Żółta gęś powtarza się na każdej stronie", "It’s “free” — that’s all we can’t measure", "Ελέγξτε τον τίτλο της σελίδας", "見出しと要約を確認する。", "SÃO, MAÇÃ, ÂMBITO, ATENÇÃO", "Ondelu® © 2026, 5 °C, ½ page, &eacute; and &uuml; in HTML"]
 
@@ -49,7 +49,16 @@ def test_round_trips_and_segments():
     for t in CLEAN[:6]:
         for read in ("latin_1", "mac_roman", "koi8_r", "cp866"):
             assert t in {r for _, r in inverses(t.encode().decode(read))}
-    assert segment([-1, 2, -1, 3, -9, 4]) == (1, 4, 4) and segment([-1, -2]) == (0, 0, 0)
+    assert maximal_segments([-1, 2, -1, 3, -9, 4]) == [(1, 4), (5, 6)] and maximal_segments([-1, -2]) == [] and maximal_segments([]) == []
+    # the published example of the algorithm
+    assert maximal_segments([4, -5, 3, -3, 1, 2, -2, 2, -2, 1, 5]) == [(0, 1), (2, 3), (4, 11)]
+
+
+def test_runs_are_found_in_the_whole_text(spark):
+    texts = [" ".join(CLEAN[:6]) for _ in range(50)] + ["Der Prüfer hÃ¶rt und schÃ¶n, doch früh"]
+    model = PairModel(pair_counts(spark.createDataFrame([(t,) for t in texts], "text string"), "text"))
+    runs = improbable_runs(model, texts[-1], 3.5)
+    assert [texts[-1][a:z] for a, z in runs] == ["Ã¶", "Ã¶"] and improbable_runs(model, "plain text", 3.5) == [] == improbable_runs(model, "", 3.5)
 
 
 def test_a_single_damaged_symbol_that_no_text_holds(spark):
