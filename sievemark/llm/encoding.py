@@ -96,6 +96,7 @@ class PairModel:
         self._c: dict[tuple[int, int], float] = {}
         self._s: dict[tuple[int, int], float] = {}
         self._plain: np.ndarray | None = None
+        self._odd: np.ndarray | None = None
 
     def count(self, a: int, b: int) -> float:
         v = self._c.get((a, b))
@@ -121,6 +122,18 @@ class PairModel:
             v = self._s[(a, b)] = self.rarity(_LOST) if lost else self.rarity(b) - self.mi(a, b)
         return v
 
+    def odd(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Surprise of pairs that aren't both ASCII. The pairs of the corpus are scored once, for all texts."""
+        if self._odd is None:
+            self._odd = np.array([0.0 if k & _SINGLE == _SINGLE else self.surprise(int(k >> 21), int(k & _SINGLE)) for k in self.keys])
+        keys = _keys(a, b)
+        i = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        known = self.keys[i] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        out = self._odd[i] if len(self.keys) else np.zeros(len(keys))
+        for k in np.flatnonzero(~known):
+            out[k] = self.surprise(int(a[k]), int(b[k]))
+        return out
+
     def plain(self) -> np.ndarray:
         """Surprise of every pair of ASCII characters, as one table."""
         if self._plain is None:
@@ -164,32 +177,29 @@ def improbable_runs(model: PairModel, text: str, typical: float) -> list[tuple[i
     Every adjacent pair of the text scores its surprise less ``typical``. A stretch of ASCII
     pairs between two others counts with its sum, as one element: no wrong decoding ends inside it.
     """
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    wide = np.r_[32, c, 32]
-    left, right = wide[:-1], wide[1:]
-    odd = np.flatnonzero((left | right) > 127)
-    own = [model.surprise(a, b) - typical for a, b in zip(left[odd].tolist(), right[odd].tolist())]
-    if not own or max(own) <= 0:
+    c = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    beyond = np.flatnonzero(c > 127)
+    if not len(beyond):
+        return []
+    # pair i stands between the characters i and i + 1, a text between spaces
+    odd = np.union1d(beyond - 1, beyond)
+    own = model.odd(c[odd].astype(np.int64), c[odd + 1].astype(np.int64)) - typical
+    if own.max() <= 0:
         return []
-    plain = (left | right) < 128
-    sums = np.r_[0.0, np.cumsum(np.where(plain, model.plain()[np.where(plain, (left << 7) | right, 0)] - typical, 0.0))]
-    gaps = (sums[odd[1:]] - sums[odd[:-1] + 1]).tolist()
-    scores = [x for pair in zip(own, [*gaps, 0.0]) for x in pair]
+    ascii_only = np.minimum(c, 127).astype(np.int64)
+    scored = model.plain()[(ascii_only[:-1] << 7) | ascii_only[1:]] - typical
+    scored[odd] = 0.0
+    sums = np.cumsum(scored)
+    scores = np.empty(2 * len(odd) - 1)
+    scores[::2], scores[1::2] = own, sums[odd[1:] - 1] - sums[odd[:-1]]
     reached = np.zeros(len(odd), bool)
-    for a, z in maximal_segments(scores):
+    for a, z in maximal_segments(scores.tolist()):
         reached[(a + 1) // 2 : z // 2 + z % 2] = True
-    # pair i stands between the characters i - 1 and i: runs are characters beyond ASCII beside a reached pair
-    out: list[tuple[int, int]] = []
-    beyond = c > 127
-    starts = np.flatnonzero(beyond & ~np.r_[False, beyond[:-1]])
-    ends = np.flatnonzero(beyond & ~np.r_[beyond[1:], False]) + 1
-    hit = np.zeros(len(c) + 2, bool)
-    hit[odd[reached]] = True
-    count = np.r_[0, np.cumsum(hit)]
-    for a, z in zip(starts.tolist(), ends.tolist()):
-        if count[z + 1] > count[a]:
-            out.append((a, z))
-    return out
+    at = odd[reached]
+    first = np.flatnonzero(np.diff(beyond, prepend=-2) > 1)
+    starts, ends = beyond[first], beyond[np.r_[first[1:], len(beyond)] - 1] + 1
+    hit = np.searchsorted(at, ends - 1, side="right") > np.searchsorted(at, starts - 1)
+    return [(a - 1, z - 1) for a, z in zip(starts[hit].tolist(), ends[hit].tolist())]
 
 
 @lru_cache(None)
@@ -313,13 +323,12 @@ def stand_ins(model: PairModel, inside: str, fresh: list[str], way: str) -> dict
 
 def _resolved(text: str) -> tuple[str, list[int] | None]:
     """The text with entities as the characters they name, and where each of its characters begins in the text as written."""
-    if "&" not in text:
+    named = [m for m in _ENTITY.finditer(text) if not html.unescape(m.group()).isascii()] if "&" in text else []
+    if not named:
         return text, None
     out, at, i = [], [], 0
-    for m in _ENTITY.finditer(text):
+    for m in named:
         shown = html.unescape(m.group())
-        if shown.isascii():
-            continue
         out.append(text[i : m.start()])
         at += range(i, m.start())
         out.append(shown)
