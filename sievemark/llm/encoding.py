@@ -122,22 +122,34 @@ class PairModel:
             v = self._s[(a, b)] = self.rarity(_LOST) if lost else self.rarity(b) - self.mi(a, b)
         return v
 
+    def _counts(self, keys: np.ndarray) -> np.ndarray:
+        i = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        return np.where(self.keys[i] == keys, self.counts[i], 0).astype(float) if len(self.keys) else np.zeros(len(keys))
+
+    def surprises(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """surprise() of many pairs."""
+        of_b = (self._counts(_keys(b, _SINGLE)) + self.smooth) / (self.n + 1)
+        out = -np.log((self._counts(_keys(a, b)) + self.smooth * of_b) / (self._counts(_keys(a, _SINGLE)) + self.smooth))
+        out[(a == _LOST) | (b == _LOST)] = self.rarity(_LOST)
+        return out
+
     def odd(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Surprise of pairs that aren't both ASCII. The pairs of the corpus are scored once, for all texts."""
         if self._odd is None:
-            self._odd = np.array([0.0 if k & _SINGLE == _SINGLE else self.surprise(int(k >> 21), int(k & _SINGLE)) for k in self.keys])
+            self._odd = self.surprises(self.keys >> 21, self.keys & _SINGLE)
         keys = _keys(a, b)
         i = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
         known = self.keys[i] == keys if len(self.keys) else np.zeros(len(keys), bool)
         out = self._odd[i] if len(self.keys) else np.zeros(len(keys))
-        for k in np.flatnonzero(~known):
-            out[k] = self.surprise(int(a[k]), int(b[k]))
+        if not known.all():
+            out[~known] = self.surprises(a[~known], b[~known])
         return out
 
     def plain(self) -> np.ndarray:
         """Surprise of every pair of ASCII characters, as one table."""
         if self._plain is None:
-            self._plain = np.array([self.surprise(k >> 7, k & 127) for k in range(1 << 14)])
+            k = np.arange(1 << 14)
+            self._plain = self.surprises(k >> 7, k & 127)
         return self._plain
 
     def chain(self, s: str, stand_in: dict[str, str] | None = None) -> float:
@@ -182,7 +194,9 @@ def improbable_runs(model: PairModel, text: str, typical: float) -> list[tuple[i
     if not len(beyond):
         return []
     # pair i stands between the characters i and i + 1, a text between spaces
-    odd = np.union1d(beyond - 1, beyond)
+    mark = np.zeros(len(c), bool)
+    mark[beyond - 1] = mark[beyond] = True
+    odd = np.flatnonzero(mark)
     own = model.odd(c[odd].astype(np.int64), c[odd + 1].astype(np.int64)) - typical
     if own.max() <= 0:
         return []
