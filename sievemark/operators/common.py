@@ -39,16 +39,21 @@ def prefix_offsets(df: DataFrame, group: list[str], size: Column, spread: Column
     return out
 
 
-def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
-    """Adds the overall rank of each row, 1 first, without sorting everything in one task.
+def ranked(df: DataFrame, order: list[Column], name: str = "rank", group: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the rank of each row, 1 first, overall or within ``group``, without sorting everything, or a hot group, in one task.
 
     Rows are dealt by range to sorted partitions and numbered inside each; the numbers of
-    earlier partitions, one row per partition, are added.
+    earlier partitions, one row per partition and group in it, are added.
     """
-    dealt = cut_lineage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    before = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return dealt.withColumn("_row", place).join(before.select("_part", "_base"), "_part").withColumn(name, F.col("_row") + F.col("_base")).drop("_part", "_row", "_base")
+    own = [F.col(c) for c in group]
+    dealt = cut_lineage(df.repartitionByRange(*own, *order).withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = dealt.groupBy("_part", *group).agg(F.count(F.lit(1)).alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_g_{c}") for c in group], "_base")
+    on = F.col("_part") == F.col("_p")
+    for c in group:
+        on = on & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    place = F.row_number().over(Window.partitionBy("_part", *group).orderBy(*order))
+    return dealt.withColumn("_row", place).join(base, on).select(*df.columns, (F.col("_row") + F.col("_base")).alias(name))
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

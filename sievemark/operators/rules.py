@@ -60,8 +60,9 @@ def page_local(p: DataFrame) -> DataFrame:
     https = F.col("_url").startswith("https://")
     content_images = F.filter(F.col("images"), lambda i: ~F.coalesce(i["hidden"], F.lit(False)))
     blocks = F.col("json_ld")
-    faq_copy = F.lower(F.coalesce(F.col("text"), F.lit(""))).rlike("frequently asked|\\bfaq\\b")
-    has_type = lambda names: F.coalesce(F.exists(blocks, lambda b: F.exists(b["types"], lambda t: F.lower(t).isin(names))), F.lit(False))
+    heads = F.transform(F.coalesce("headings", F.array().cast("array<struct<level:int,text:string>>")), lambda h: F.lower(h["text"]))
+    faq_copy = F.exists(heads, lambda t: t.contains("faq") | t.contains("frequently asked")) | (F.size(F.filter(heads, lambda t: t.rlike("\\?\\s*$"))) >= 2)
+    has_type = lambda names: F.coalesce(F.exists(blocks, lambda b: F.exists(b["types"], lambda t: F.lower(F.regexp_replace(t, "^.*/", "")).isin(names))), F.lit(False))
     rules = [
         ("CRAWL-001", "error", F.col("status").between(400, 499)), ("CRAWL-002", "error", F.col("status") >= 500), ("CRAWL-003", "warn", size("redirects") > 1),
         ("CANON-001", "warn", F.col("_html") & F.col("canonical").isNull()), ("SITEMAP-001", "error", F.col("in_sitemap") & (F.col("status") >= 400)), ("SITEMAP-002", "warn", F.col("in_sitemap") & (F.col("indexability") == "noindex")),
@@ -249,7 +250,7 @@ def shared_controls(p: DataFrame) -> DataFrame:
 
 def publishers(p: DataFrame) -> DataFrame:
     """Hosts whose publisher JSON-LD never has an id or a sameAs."""
-    b = p.where("_ok").select("_host", "_url", "ordinal", F.explode("json_ld").alias("b")).where(F.exists("b.types", lambda t: F.lower(t).isin(PUBLISHER_TYPES)))
+    b = p.where("_ok").select("_host", "_url", "ordinal", F.explode("json_ld").alias("b")).where(F.exists("b.types", lambda t: F.lower(F.regexp_replace(t, "^.*/", "")).isin(PUBLISHER_TYPES)))
     g = b.groupBy("_host").agg(F.bool_or(F.coalesce(F.size("b.ids") > 0, F.lit(False)) | F.coalesce(F.size("b.same_as") > 0, F.lit(False))).alias("cited"), F.min_by("_url", "ordinal").alias("_url"))
     return _finding(g.where("NOT cited"), "AI-001", "warn", F.col("_host"))
 

@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from ..functions.hashing import fnv
-from ..functions.text import tokens
+from ..functions.measures import cosine
+from ..functions.text import ascii_lower, intent_tokens, tokens
+from ..functions.urls import segments
 
 DIM = 64
 
@@ -71,27 +73,60 @@ def nearest(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-@F.pandas_udf(ArrayType(FloatType()))
-def lexical_embedding(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """64-dimensional signed token hash of arrays of tokens; null without tokens."""
+@F.arrow_udf(ArrayType(FloatType()))
+def lexical_embedding(lists: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """64-dimensional signed token hash of arrays of tokens; null without tokens. Each distinct token of a batch is hashed once."""
     slots: dict[str, tuple[int, int]] = {}
-    for s in texts:
-        out = []
-        for toks in s:
-            if toks is None or not len(toks):
-                out.append(None)
-                continue
-            v = np.zeros(DIM, np.float32)
-            for t in toks:
-                at = slots.get(t)
-                if at is None:
-                    h = f"{fnv(t.encode()):032x}"
-                    if len(slots) > 200_000:
-                        slots.clear()
-                    at = slots[t] = (int(h[:4], 16) % DIM, 1 if ord(h[4]) % 2 == 0 else -1)
-                v[at[0]] += at[1]
-            out.append(v)
-        yield pd.Series(out)
+    for s in lists:
+        words = s.flatten().dictionary_encode()
+        at = np.zeros((len(words.dictionary), 2), np.int64)
+        for i, t in enumerate(words.dictionary.to_pylist()):
+            known = slots.get(t)
+            if known is None:
+                if len(slots) > 200_000:
+                    slots.clear()
+                known = slots[t] = slot_of(t)
+            at[i] = known
+        sizes = np.nan_to_num(np.asarray(pc.fill_null(pc.list_value_length(s), 0), np.int64))
+        rows = np.repeat(np.arange(len(s)), sizes)
+        v = np.zeros((len(s), DIM), np.float32)
+        codes = np.asarray(words.indices)
+        np.add.at(v, (rows, at[codes, 0]), at[codes, 1].astype(np.float32))
+        flat = pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), DIM).cast(pa.list_(pa.float32()))
+        yield pc.if_else(pa.array(sizes > 0), flat, pa.nulls(len(s), pa.list_(pa.float32())))
+
+
+def slot_of(token: str) -> tuple[int, int]:
+    """Place and sign of a token in the lexical embedding."""
+    h = f"{fnv(token.encode()):032x}"
+    return int(h[:4], 16) % DIM, 1 if ord(h[4]) % 2 == 0 else -1
+
+
+def query_tokens(query: str) -> list[str]:
+    """Tokens of a query, as functions.text.tokens() cuts texts."""
+    import re
+
+    return ["".join(c.lower() if c.isascii() else c for c in w) for w in re.split(r"[\W_]+", query) if len(w.encode()) >= 2]
+
+
+def query_embedding(query: str) -> list[float] | None:
+    """Lexical embedding of one query; None without tokens."""
+    asked = query_tokens(query)
+    v = [0.0] * DIM
+    for t in asked:
+        at, sign = slot_of(t)
+        v[at] += sign
+    return v if asked else None
+
+
+def _percent(vector: Column, query: list[float]) -> Column:
+    """Cosine with a query's vector in whole percent; 0 where negative."""
+    return F.coalesce(F.round(100 * F.greatest(cosine(vector, F.array(*map(F.lit, query))), F.lit(0.0))), F.lit(0)).cast("int")
+
+
+def _present(text: Column, words: list[str]) -> Column:
+    """How many words a text contains; the lowered text is made once."""
+    return F.transform(F.array(ascii_lower(text)), lambda low: sum((F.when(low.contains(t), 1).otherwise(0) for t in words), F.lit(0)))[0]
 
 
 def retrieve(docs: DataFrame, query: str, k: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -99,35 +134,95 @@ def retrieve(docs: DataFrame, query: str, k: int = 8, key: str = "doc_id", text:
 
     lexical is the cosine of lexical embeddings in percent; a text is kept at 40 or more or if it contains a
     query token. Order: lexical, then entities (query tokens of more than three bytes in
-    the text), then key. k is brought between 1 and 50. Only scores are sorted, not texts.
+    the text), then key. k is brought between 1 and 50. Only scores are sorted, not texts. A query without tokens finds nothing.
     """
-    from ..functions.measures import cosine
-    from ..functions.text import ascii_lower
+    asked, vector = query_tokens(query), query_embedding(query)
+    words = tokens(F.col(text))
+    scored = docs.where(F.col(text).isNotNull()).where(F.size(words) > 0).select(
+        key, (_percent(lexical_embedding(words), vector) if vector else F.lit(0)).alias("lexical"), _present(F.col(text), [t for t in asked if len(t.encode()) > 3]).alias("entities"), _present(F.col(text), asked).alias("_any"),
+    )
+    found = scored.where("lexical >= 40 OR _any > 0") if vector else scored.where("false")
+    return found.drop("_any").orderBy(F.desc("lexical"), F.desc("entities"), key).limit(min(max(k, 1), 50))
 
-    import re
 
-    words = [w for w in re.split(r"[\W_]+", query) if len(w.encode()) >= 2]
-    asked = ["".join(c.lower() if c.isascii() else c for c in w) for w in words]
-    v = [0.0] * DIM
-    for t in asked:
-        h = f"{fnv(t.encode()):032x}"
-        v[int(h[:4], 16) % DIM] += 1 if ord(h[4]) % 2 == 0 else -1
-    low = ascii_lower(F.col(text))
-    count = lambda ts: sum((F.when(low.contains(t), 1).otherwise(0) for t in ts), F.lit(0))
-    scored = docs.where(F.col(text).isNotNull()).select(
-        key, F.coalesce(F.round(100 * F.greatest(cosine(lexical_embedding(tokens(F.col(text))), F.array(*map(F.lit, v))), F.lit(0.0))), F.lit(0)).cast("int").alias("lexical"),
-        count([t for t in asked if len(t.encode()) > 3]).alias("entities"), count(asked).alias("_any"),
-    )
-    return scored.where("lexical >= 40 OR _any > 0").drop("_any").orderBy(F.desc("lexical"), F.desc("entities"), key).limit(min(max(k, 1), 50))
+def similar(docs: DataFrame, of: object, k: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The texts most like that of one key: its own text is the query, and it is then left out, so there may be k - 1."""
+    own = docs.where(F.col(key) == F.lit(of)).select(text).first()  # one text
+    return retrieve(docs, (own[0] or "") if own else "", k, key, text).where(F.col(key) != F.lit(of))
 
 
-def keyword_retrieve(docs: DataFrame, query: str, k: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The same without embeddings: texts by how many query tokens they contain."""
-    import re
+def chunks_for(chunks: DataFrame, query: str, k: int = 8, text: str = "body", order: tuple[str, ...] = ("url", "chunk_no")) -> DataFrame:
+    """The k chunks nearest to a query, with ``relevance`` in percent; equal ones in their order. A
+    query without tokens gives the first k chunks without relevance."""
+    vector = query_embedding(query)
+    if vector is None:
+        return chunks.withColumn("relevance", F.lit(None).cast("int")).orderBy(*order).limit(max(k, 0))
+    words = tokens(F.col(text))
+    return chunks.where(F.size(words) > 0).withColumn("relevance", _percent(lexical_embedding(words), vector)).orderBy(F.desc("relevance"), *order).limit(min(max(k, 1), 50))
 
-    from ..functions.text import ascii_lower
 
-    asked = sorted({w.lower() for w in re.split(r"[\W_]+", query) if len(w.encode()) >= 2})
-    low = ascii_lower(F.col(text))
-    hits = sum((F.when(low.contains(t), 1).otherwise(0) for t in asked), F.lit(0))
-    return docs.where(F.col(text).isNotNull()).select(key, hits.alias("entities")).where("entities > 0").orderBy(F.desc("entities"), key).limit(min(max(k, 1), 50))
+def passage_gaps(rows: DataFrame, chunks: DataFrame, least: int = 40) -> DataFrame:
+    """CONTENT-004: searches of 30 impressions whose words no chunk of their page covers by ``least`` percent.
+
+    ``rows`` are current observations, ``chunks`` url, heading, body. Words are runs of letters and digits of three
+    bytes and more; the subject is the query.
+    """
+    words = F.filter(F.transform(F.split("query", "[^\\p{L}\\p{N}]+"), ascii_lower), lambda x: F.octet_length(x) >= 3)
+    asked = rows.where("kind = 'search_performance' AND impressions >= 30 AND octet_length(query) > 3 AND url IS NOT NULL").select("row_id", "url", "query", F.regexp_replace("url", "/+$", "").alias("_k"), words.alias("_w")).where(F.size("_w") > 0)
+    pairs = asked.select("_k", "query", "_w").distinct()
+    parts = chunks.select(F.regexp_replace("url", "/+$", "").alias("_k"), ascii_lower(F.concat_ws(" ", "heading", "body")).alias("_hay"))
+    best = pairs.join(parts, "_k").groupBy("_k", "query").agg(F.max(F.floor(F.size(F.filter("_w", lambda w: F.instr(F.col("_hay"), w) > 0)) * 100 / F.size("_w"))).cast("int").alias("best"))
+    j = asked.join(best, ["_k", "query"], "left").withColumn("best", F.coalesce("best", F.lit(0))).where(F.col("best") < least)
+    return j.select("row_id", F.lit("SE-CONTENT-004").alias("code"), F.lit("info").alias("severity"), "url", F.col("query").alias("subject"), "best")
+
+
+def same_intent(p: DataFrame, links: DataFrame, least: float = 0.86) -> DataFrame:
+    """CANN-001: pages whose texts and headings ask for the same. ``links`` are pairs ``a, b, cosine`` of pages (nearest() over lexical embeddings).
+
+    Pairs need a cosine of ``least``, different texts, two words in common in their first heading of level 1 (else title), and must not be different
+    services in one town. Both orders of a pair are one finding, at the first URL.
+    """
+    h1 = F.coalesce(F.try_element_at(F.filter("headings", lambda h: h["level"] == 1), F.lit(1))["text"], F.col("title"), F.lit(""))
+    page = p.where("_ok").select(F.col("_url").alias("u"), segments(F.col("_path")).alias("s"), F.array_distinct(intent_tokens(h1)).alias("t"), F.md5(F.encode("text", "utf-8")).alias("h"))
+    one, two = page.select([F.col(c).alias(f"{c}1") for c in page.columns]), page.select([F.col(c).alias(f"{c}2") for c in page.columns])
+    pairs = links.where(F.col("cosine") >= least).select(F.least("a", "b").alias("u1"), F.greatest("a", "b").alias("u2")).where("u1 <> u2").distinct()
+    j = pairs.join(one, "u1").join(two, "u2")
+    last = lambda s, i: F.try_element_at(s, F.lit(-i))
+    town = (F.size("s1") >= 3) & (F.size("s1") == F.size("s2")) & (last("s1", 1) == last("s2", 1)) & (last("s1", 2) != last("s2", 2)) & (last("s1", 1).contains("-") | F.array_contains("s1", "category"))
+    hit = j.where("h1 <> h2").where(F.size(F.array_intersect("t1", "t2")) >= 2).where(~F.coalesce(town, F.lit(False)))
+    return hit.select(F.lit("SE-CANN-001").alias("code"), F.lit("CANN").alias("family"), F.lit("warn").alias("severity"), F.col("u1").alias("url"), F.col("u2").alias("subject"))
+
+
+def link_profiles(p: DataFrame, ranks: DataFrame) -> DataFrame:
+    """``url, site, canonical, language, cornerstone, orphan`` of indexable pages with text: what a link policy asks of them."""
+    r = ranks.select(F.col("node").alias("_url"), "rank")
+    j = p.where("_ok").where(F.size(tokens(F.col("text"))) > 0).join(r, "_url", "left")
+    return j.select(F.col("_url").alias("url"), F.col("_host").alias("site"), F.coalesce("canonical", "_url").alias("canonical"), F.col("html_lang").alias("language"), ((F.coalesce("rank", F.lit(0.0)) > 0.15) | F.col("_url").endswith("/")).alias("cornerstone"), (~F.col("_linked") & (F.col("_path") != "/")).alias("orphan"))
+
+
+def recommend_links(profiles: DataFrame, near: DataFrame, existing: DataFrame, least: float = 0.12, most: int = 3) -> DataFrame:
+    """LINK-004: up to ``most`` links a page lacks: ``url, target, cosine, rank, severity``.
+
+    ``near`` are pairs a, b, cosine. Both pages are of one site, of one language where both are known, different canonicals,
+    not linked yet, and of a cosine of at least ``least``; equal ones go to the first URL. A link to an orphan is a warning.
+    """
+    s, t = (profiles.select([F.col(c).alias(f"{x}_{c}") for c in profiles.columns]) for x in ("s", "t"))
+    j = near.where(F.col("cosine") >= least).join(s, F.col("a") == F.col("s_url")).join(t, F.col("b") == F.col("t_url"))
+    ok = (F.col("s_site") == F.col("t_site")) & (F.col("s_url") != F.col("t_url")) & (F.col("s_canonical") != F.col("t_canonical")) & F.coalesce(F.col("s_language") == F.col("t_language"), F.lit(True))
+    new = j.where(ok).join(existing.select(F.col("src").alias("s_url"), F.col("dst").alias("t_url")).distinct(), ["s_url", "t_url"], "left_anti")
+    rank = F.row_number().over(Window.partitionBy("s_url").orderBy(F.desc("cosine"), "t_url"))
+    return new.withColumn("rank", rank).where(F.col("rank") <= most).select(F.col("s_url").alias("url"), F.col("t_url").alias("target"), "cosine", "rank", F.when(F.col("t_orphan"), "warn").otherwise("info").alias("severity"))
+
+
+def anchor_texts(recommended: DataFrame, p: DataFrame) -> DataFrame:
+    """Adds ``anchor``: the target's first heading (else its title) where the source's text contains it, else that heading as a suggestion (``found`` false)."""
+    h1 = F.coalesce(F.try_element_at(F.filter("headings", lambda h: h["level"] == 1), F.lit(1))["text"], F.col("title"))
+    target, source = p.select(F.col("_url").alias("target"), h1.alias("anchor")), p.select(F.col("_url").alias("url"), F.col("text").alias("_text"))
+    j = recommended.join(target, "target", "left").join(source, "url", "left")
+    return j.withColumn("found", F.coalesce(ascii_lower(F.col("_text")).contains(ascii_lower(F.col("anchor"))), F.lit(False))).drop("_text")
+
+
+def keyword_retrieve(docs: DataFrame, query: str, k: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The same without embeddings: texts by how many query tokens they contain."""
+    asked = sorted(set(query_tokens(query)))
+    return docs.where(F.col(text).isNotNull()).select(key, _present(F.col(text), asked).alias("entities")).where("entities > 0").orderBy(F.desc("entities"), key).limit(min(max(k, 1), 50))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.hashing import OFFSET
 from ..functions.urls import url_parts
 from ..operators import graph as G
 from ..operators import similarity as S
@@ -102,7 +103,27 @@ m AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY s) AS rep FROM s), reps A
 c AS (SELECT a.rep AS a, b.rep AS b, count(*) AS common, a.n + b.n - count(*) AS u FROM x a JOIN x b ON a.h = b.h AND a.rep < b.rep WHERE least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) - 1e-9 GROUP BY a.rep, b.rep, a.n, b.n),
 l AS (SELECT a, b, common, common / u AS similarity FROM c WHERE common / u >= 0.8 - 1e-12)"""
 
+
+
+def fnv_sql(text: str) -> str:
+    """128-bit FNV-1a of a text as a struct of four 32-bit limbs, d the highest."""
+    nibble = "(strpos('0123456789ABCDEF', substr(hex({t}), {i}, 1)) - 1)"
+    byte = f"{nibble.format(t=text, i='2 * i - 1')} * 16 + {nibble.format(t=text, i='2 * i')}"
+    m, x = "4294967295", "xor(s.a, v.x)"
+    limbs = [(OFFSET >> (32 * i)) & 0xFFFFFFFF for i in range(4)]
+    b, c = f"(s.b * 315 + (({x} * 315) >> 32))", "(s.c * 315 + ({b} >> 32) + ({x} << 24))"
+    c = c.format(b=b, x=x)
+    step = f"{{'a': ({x} * 315) & {m}, 'b': {b} & {m}, 'c': {c} & {m}, 'd': (s.d * 315 + ({c} >> 32) + (s.b << 24)) & {m}, 'x': 0::BIGINT}}"
+    return f"list_reduce(list_transform(range(1, strlen({text}) + 1), lambda i: {{'a': 0::BIGINT, 'b': 0::BIGINT, 'c': 0::BIGINT, 'd': 0::BIGINT, 'x': ({byte})::BIGINT}}), lambda s, v: {step}, {{'a': {limbs[0]}::BIGINT, 'b': {limbs[1]}::BIGINT, 'c': {limbs[2]}::BIGINT, 'd': {limbs[3]}::BIGINT, 'x': 0::BIGINT}})"
+
+
+_SLOTS = "u AS (SELECT t, (h.d >> 16) % 64 AS idx, CASE WHEN ((h.d >> 12) & 15) < 10 THEN CASE WHEN ((h.d >> 12) & 1) = 0 THEN 1 ELSE -1 END ELSE CASE WHEN ((h.d >> 12) & 1) = 1 THEN 1 ELSE -1 END END AS sign FROM (SELECT t, " + fnv_sql("t") + " AS h FROM (SELECT DISTINCT t FROM tk)))"
+_LEXICAL = f"""tk AS (SELECT doc_id, unnest(list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: strlen(x) >= 2)) AS t FROM documents WHERE text IS NOT NULL UNION ALL SELECT -1, unnest({[w.lower() for w in ASKED.split()]})), {_SLOTS},
+ v AS (SELECT doc_id, idx, sum(sign)::DOUBLE AS x FROM tk JOIN u USING (t) GROUP BY 1, 2), nm AS (SELECT doc_id, sqrt(sum(x * x)) AS n FROM v GROUP BY 1),
+ dt AS (SELECT a.doc_id, sum(a.x * q.x) AS d FROM v a JOIN v q ON q.doc_id = -1 AND q.idx = a.idx GROUP BY 1), lx AS (SELECT nm.doc_id, coalesce(round(100 * greatest(coalesce(d, 0) / nullif(nm.n * (SELECT n FROM nm WHERE doc_id = -1), 0), 0)), 0)::INT AS lexical FROM nm LEFT JOIN dt USING (doc_id) WHERE nm.doc_id >= 0)"""
+_HAS = lambda words: " + ".join(f"contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{w}')::INT" for w in words)
 SQL: dict[str, str] = {
+    "retrieve_documents": f"WITH {_LEXICAL} SELECT doc_id, lexical, entities FROM (SELECT doc_id, lexical, {_HAS([w.lower() for w in ASKED.split() if len(w) > 3])} AS entities, {_HAS([w.lower() for w in ASKED.split()])} AS present FROM lx JOIN documents USING (doc_id)) WHERE lexical >= 40 OR present > 0 ORDER BY lexical DESC, entities DESC, doc_id LIMIT 8",
     "link_degrees": f"WITH {_LINKS}, o AS (SELECT src AS node, count(*) AS o, 0 AS i FROM e GROUP BY 1 UNION ALL SELECT dst, 0, count(*) FROM e GROUP BY 1) SELECT node, sum(o)::BIGINT AS outbound, sum(i)::BIGINT AS inbound FROM o GROUP BY 1",
     "link_templates": f"""WITH {_LINKS}, sz AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) AS site, greatest(count(DISTINCT CASE WHEN indexable = 'indexable' THEN url END), 1) AS n_pages FROM pages GROUP BY 1),
       k AS (SELECT *, regexp_extract(src, '^url:[a-z]+://([^/?#:]*)', 1) AS site FROM e), c AS (SELECT k.*, n_pages, count(*) OVER (PARTITION BY k.site, dst, coalesce(location, 'contextual')) AS n FROM k LEFT JOIN sz USING (site)),

@@ -12,6 +12,7 @@ from ..operators import history as H
 from ..operators.common import table
 from . import dsl
 from .evidence import _PAGES, _pages
+from .graphs import fnv_sql
 
 
 def _refs(s: SparkSession, d: str) -> DataFrame:
@@ -105,6 +106,7 @@ _FOUND = f"WITH {_REFS}, f AS (SELECT DISTINCT code, fingerprint, severity, summ
 _DELTA = "CASE WHEN {b} <> 0 THEN trunc(({a} - {b}) * 100 / {b})::BIGINT END"
 
 SQL: dict[str, str] = {
+    "finding_fingerprints": "SELECT code, url, 'SE-' || code || ':' || lower(lpad(to_hex((" + fnv_sql("url") + ").d), 8, '0')) AS own_fingerprint FROM (SELECT DISTINCT code, url FROM findings WHERE url IS NOT NULL AND code IS NOT NULL AND url <> '')",
     "run_asof": f"WITH {_REFS} SELECT site, latest, previous, window_run, errors - previous_errors AS errors_delta, revision <> previous_revision AS source_revision_changed FROM refs",
     "page_history": f"""WITH {_REFS} SELECT r.site, n.url, n.gsc_clicks AS clicks, {_DELTA.format(a='n.gsc_clicks', b='b.gsc_clicks')} AS clicks_delta, {_DELTA.format(a='n.gsc_clicks', b='w.gsc_clicks')} AS clicks_delta_28d, n.producer_hash <> b.producer_hash AS producer_changed, n.citations
       FROM refs r JOIN one n ON n.snapshot_id = r.latest LEFT JOIN one b ON b.snapshot_id = r.previous AND b.url = n.url LEFT JOIN one w ON w.snapshot_id = r.window_run AND w.url = n.url""",

@@ -198,7 +198,7 @@ _LOCAL = [
     ("SITEMAP-001", "error", "ap", "in_map AND status >= 400"), ("SITEMAP-002", "warn", "ap", "in_map AND ix = 'noindex'"), ("META-001", "error", "ok", "htm AND coalesce(trim(ti), '') = ''"), ("META-003", "info", "ok", "htm AND coalesce(trim(de), '') = ''"),
     ("META-004", "info", "ok", "htm AND b = 6"), ("META-005", "info", "ok", "htm AND b = 7"), ("SCHEMA-001", "warn", "ok", "j = 1"), ("CONTENT-001", "error", "ok", "htm AND n_h1 = 0"), ("CONTENT-002", "warn", "ok", "htm AND n_h1 > 1"),
     ("A11Y-001", "warn", "ok", "htm AND NOT has_lang"), ("A11Y-002", "warn", "ok", "htm AND k = 4"), ("A11Y-004", "warn", "ok", "htm AND j = 4"), ("PERF-001", "warn", "ok", "inbound * 20000 > 524288"), ("PERF-002", "warn", "ok", "l * 50 > 2500"),
-    ("SEC-008", "warn", "ok", "htm AND starts_with(url, 'https://') AND (k = 4 OR b = 8)"), ("AI-002", "warn", "ok", "htm AND regexp_matches(lower(text), 'frequently asked|\\bfaq\\b') AND NOT (j = 4 AND b < 5)"),
+    ("SEC-008", "warn", "ok", "htm AND starts_with(url, 'https://') AND (k = 4 OR b = 8)"), ("AI-002", "warn", "ok", "htm AND b NOT IN (4, 5) AND contains(lower(coalesce(title, 'h')), 'faq') AND NOT (j = 4 AND b < 5)"),
 ]
 _SEC = [
     ("SEC-001", "warn", "https AND n_hsts = 0"), ("SEC-007", "warn", "https AND n_hsts > 0 AND n_hsts < n"), ("SEC-006", "warn", "https AND n_hsts = n AND zero"), ("SEC-002", "info", "NOT nosniff"), ("SEC-007", "warn", "n_csp > 0 AND n_csp < n"),

@@ -37,7 +37,7 @@ def test_rules_fire(spark):
         page(f"{u}/", 0, links=[link("/dead"), link("/dead", "nav"), link("/a"), link("/b"), link("/c1"), link("/x"), link("/de/twin"), link("/en/twin"), link("/far1")]),
         page(f"{u}/dead", 1, status=404, in_sitemap=True), page(f"{u}/boom", 2, status=503), page(f"{u}/orphan", 3), page(f"{u}/hidden", 4, robots=["NOINDEX, follow"], in_sitemap=True),
         page(f"{u}/a", 5, canonical=f"{u}/dead", title="same", description=" d "), page(f"{u}/b", 6, canonical=f"{u}/nowhere"), page(f"{u}/c1", 7, canonical=f"{u}/c2"), page(f"{u}/c2", 8, canonical=f"{u}/c3"), page(f"{u}/c3", 9),
-        page(f"{u}/x", 10, canonical=None, title=" ", description=None, html_lang=None, headings=[], images=[("http://e.com/i.png", None, False)], has_main=False, og_title=None, og_image=None, body_bytes=600_000, fetch_ms=9_000, json_ld=[(False, [], [], [], '{', [])], unlabeled_controls=2, redirects=[("a", "b", 301), ("b", "c", 301)], text="Frequently asked questions"),
+        page(f"{u}/x", 10, canonical=None, title=" ", description=None, html_lang=None, headings=[(2, "Frequently asked questions")], images=[("http://e.com/i.png", None, False)], has_main=False, og_title=None, og_image=None, body_bytes=600_000, fetch_ms=9_000, json_ld=[(False, [], [], [], '{', [])], unlabeled_controls=2, redirects=[("a", "b", 301), ("b", "c", 301)], text="Frequently asked questions"),
         page(f"{u}/de/twin", 11, title="dup", description="same d", text="equal text", alternates=[("en", f"{u}/en/twin"), ("fr", f"{u}/dead"), ("it", f"{u}/never")], json_ld=[(True, ["Organization"], [], [], '{}', [])]), page(f"{u}/en/twin", 12, title="dup", description=" same d", text="equal  text"),
         page(f"{u}/far1", 13, links=[link("far2")]), page(f"{u}/far2", 14, links=[link("far3")]), page(f"{u}/far3", 15, links=[link("far4")]), page(f"{u}/far4", 16, headings=[(1, "a"), (1, "b")]),
         page("https://bad.com/", 17, headers={}), page("https://half.com/", 18, headers={"strict-transport-security": "max-age=0"}), page("https://split.com/", 19), page("https://split.com/2", 20, headers={}),
