@@ -119,8 +119,8 @@ def slice_between(text: Column, start: Column, following: Column) -> Column:
     return collapse_ends(F.when(cut > 0, F.substr(text, begin, cut - 1)).otherwise(F.substr(text, begin)))
 
 
-def page_chunks(pages: DataFrame, key: str = "url") -> DataFrame:
-    """Scored chunks ``key, chunk_no, heading`` of pages with ``title, headings, text``.
+def page_chunks(pages: DataFrame, key: str = "url", keep: tuple[str, ...] = ("heading",)) -> DataFrame:
+    """Scored chunks ``key, chunk_no`` (and what is to be kept of heading and body) of pages with ``title, headings, text``.
 
     Two or more headings cut the text at each heading's first word; otherwise its sentences go
     by threes; a text without a sentence is one chunk under its title. Blank pages have none. The
@@ -134,7 +134,7 @@ def page_chunks(pages: DataFrame, key: str = "url") -> DataFrame:
     threes = F.transform(upto(F.ceil(F.size("_s") / 3).cast("int")), lambda i: F.struct(F.element_at("_s", i * 3 + 1).alias("heading"), F.array_join(F.slice("_s", i * 3 + 1, F.lit(3)), " ").alias("body")))
     whole = F.array(F.struct(F.coalesce("title", F.lit("page")).alias("heading"), F.coalesce("_text", F.lit("")).alias("body")))
     each = p.select(key, F.posexplode(F.when(F.size("_h") >= 2, cut).when(F.size("_s") > 0, threes).otherwise(whole)).alias("chunk_no", "_c")).select(key, "chunk_no", "_c.heading", "_c.body")
-    return score_chunks(each.withColumn("chunk_heading", F.col("heading"))).withColumnRenamed("chunk_heading", "heading")
+    return score_chunks(each, keep)
 
 
 def intent_totals(docs: DataFrame, scope: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -144,23 +144,23 @@ def intent_totals(docs: DataFrame, scope: Column, key: str = "doc_id", text: str
     return g.select("scope", "intent", F.bit_count("mask").alias("answered"), "questions", F.concat_ws("/", F.bit_count("mask").cast("string"), F.col("questions").cast("string")).alias("coverage"))
 
 
-def sentence_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Chunks of three sentences with their scores; a text without a sentence is one chunk."""
+def sentence_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Chunks of three sentences with their scores; a text without a sentence is one chunk. ``keep``: heading and body, if wanted."""
     t = _texts(docs, key, text).where(F.trim("_text") != "").withColumn("_s", sentences(F.col("_text")))
     groups = F.transform(F.sequence(F.lit(0), F.floor((F.size("_s") - 1) / 3).cast("int")), lambda i: F.struct(F.element_at("_s", i * 3 + 1).alias("heading"), F.array_join(F.slice("_s", i * 3 + 1, F.lit(3)), " ").alias("body")))
     whole = F.array(F.struct(F.lit("page").alias("heading"), F.col("_text").alias("body")))
     each = t.select(key, F.posexplode(F.when(F.size("_s") > 0, groups).otherwise(whole)).alias("chunk_no", "_c")).select(key, "chunk_no", "_c.heading", "_c.body")
-    return score_chunks(each)
+    return score_chunks(each, keep)
 
 
-def score_chunks(chunks: DataFrame) -> DataFrame:
-    """Adds scores to rows with ``heading`` and ``body``; the body gives way to them."""
+def score_chunks(chunks: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Adds scores to rows with ``heading`` and ``body``; both give way to them unless kept."""
     c = chunks.withColumn("_t", tokens(F.col("body"))).withColumn("_n", F.size("_t"))
     n = F.col("_n")
     contained = F.when((F.size(words(F.col("heading"))) >= 2) & (n >= 8), 80).when(n >= 4, 50).otherwise(20)
     density = F.when(answer_cue(F.col("body")), 80).otherwise(share(count_where("_t", is_fact), F.greatest(n, F.lit(1))))
     specific = share(count_where("_t", lambda x: is_specific(x, 7)), F.greatest(n, F.lit(1)))
-    scored = c.select(*[x for x in chunks.columns if x not in ("heading", "body")], n.alias("n_tokens"), F.when(n > 0, share(F.size(F.array_distinct("_t")), n)).otherwise(0).alias("cohesion"), contained.alias("self_contained"), density.alias("answer_density"), specific.alias("specificity"))
+    scored = c.select(*[x for x in chunks.columns if x not in ("heading", "body") or x in keep], n.alias("n_tokens"), F.when(n > 0, share(F.size(F.array_distinct("_t")), n)).otherwise(0).alias("cohesion"), contained.alias("self_contained"), density.alias("answer_density"), specific.alias("specificity"))
     return scored.withColumn("citation_suitability", F.floor((F.col("self_contained") + F.col("specificity") + F.col("answer_density")) / 3).cast("int"))
 
 

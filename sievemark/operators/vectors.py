@@ -40,8 +40,8 @@ def _blocks(df: DataFrame, key: str, vector: str, name: str) -> DataFrame:
     return df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long"), vector).mapInArrow(pack, f"dim long, {name}_ids array<long>, {name} binary")
 
 
-def nearest(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10, least: float = -1.0, lots: int | None = None) -> DataFrame:
-    """``query_id, hit_id, cosine, rank``: the k nearest other rows of each query, at least ``least``.
+def nearest(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int | None = 10, least: float = -1.0, lots: int | None = None) -> DataFrame:
+    """``query_id, hit_id, cosine, rank``: the k nearest other rows of each query, at least ``least``; without a k all of them, and no rank.
 
     Exact, in blocks: every block of 2048 queries meets every block of 2048 rows as one
     matrix product that keeps k hits per query and block; the merge sees k rows per block. Equal cosines
@@ -59,6 +59,10 @@ def nearest(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str
                 qi, vi = np.array(r["q_ids"], np.int64), np.array(r["v_ids"], np.int64)
                 s = np.round(np.frombuffer(r["q"], np.float64).reshape(len(qi), -1) @ np.frombuffer(r["v"], np.float64).reshape(len(vi), -1).T, 9)
                 s[qi[:, None] == vi[None, :]] = -np.inf
+                if k is None:
+                    i, j = np.nonzero(s >= least)
+                    yield pa.RecordBatch.from_arrays([pa.array(qi[i]), pa.array(vi[j]), pa.array(s[i, j])], names=["query_id", "hit_id", "cosine"])
+                    continue
                 order = np.lexsort((np.broadcast_to(vi, s.shape), -s), axis=1)[:, :k]
                 top = np.take_along_axis(s, order, 1)
                 ok = (top >= least).ravel() & np.isfinite(top).ravel()
@@ -69,6 +73,8 @@ def nearest(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str
     v = v.withColumn("lot", F.pmod(F.xxhash64(F.col("v_ids")[0]), F.lit(lots)).cast("int"))
     q = q.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
     hits = q.hint("merge").join(v, ["dim", "lot"]).select("q_ids", "q", "v_ids", "v").mapInArrow(multiply, "query_id long, hit_id long, cosine double")
+    if k is None:
+        return hits
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "hit_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 
