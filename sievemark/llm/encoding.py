@@ -36,6 +36,25 @@ def _keys(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
     return (a.astype(np.int64) << 21) | b
 
 
+def _chunks(texts: Iterator[str]) -> Iterator[list[str]]:
+    """Texts by some FLUSH characters at a time; a longer text goes alone."""
+    held: list[str] = []
+    size = 0
+    for t in texts:
+        if held and size + len(t) > FLUSH:
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t)
+    if held:
+        yield held
+
+
+def _codes(texts: list[str]) -> np.ndarray:
+    """Code points of texts in a row, each between two spaces."""
+    return np.frombuffer(f" {'  '.join(texts)} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def pair_counts(df: DataFrame, text: str) -> np.ndarray:
     """Exact counts of adjacent characters and single characters over all texts: the sorted keys, the
     count of each, and as the last element the number of characters.
@@ -52,21 +71,18 @@ def pair_counts(df: DataFrame, text: str) -> np.ndarray:
             return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], names=["key", "n"])
 
         for b in batches:
-            for t in b.column(0):
-                if not t.is_valid:
-                    continue
-                c = np.frombuffer(t.as_py().encode("utf-32-le", "surrogatepass"), np.uint32)
-                if not len(c):
-                    continue
-                n += len(c)
-                ascii_counts += np.bincount(c[c < 128], minlength=128)
-                wide = np.r_[np.uint32(32), c, np.uint32(32)]  # a text stands between spaces
-                plain = (wide[:-1] | wide[1:]) < 128
-                ascii_pairs += np.bincount((wide[:-1][plain].astype(np.int64) << 7) | wide[1:][plain], minlength=1 << 14)
+            for texts in _chunks(t for t in b.column(0).to_pylist() if t):
+                c = _codes(texts)
+                n += len(c) - 2 * len(texts)
+                low = c < 128
+                ascii_counts += np.bincount(c[low], minlength=128)
+                ascii_counts[32] -= 2 * len(texts)
+                plain = low[:-1] & low[1:]
+                ascii_pairs += np.bincount((c[:-1][plain].astype(np.int64) << 7) | c[1:][plain], minlength=1 << 14)
+                ascii_pairs[(32 << 7) | 32] -= len(texts) - 1  # between two texts
                 i = np.flatnonzero(~plain)
-                if len(i):
-                    held += [_keys(c[c > 127], _SINGLE), _keys(wide[i], wide[i + 1].astype(np.int64))]
-                    size += len(held[-2]) + len(held[-1])
+                held += [_keys(c[~low], _SINGLE), _keys(c[i], c[i + 1].astype(np.int64))]
+                size += len(held[-2]) + len(held[-1])
                 if size >= FLUSH:
                     yield counted()
                     held, size = [], 0
@@ -183,37 +199,50 @@ def maximal_segments(scores: list[float]) -> list[tuple[int, int]]:
     return [(a, z) for a, z, _, _ in found]
 
 
-def improbable_runs(model: PairModel, text: str, typical: float) -> list[tuple[int, int]]:
-    """Runs of characters beyond ASCII (entities, already resolved, among them) that maximal scoring segments of the whole text reach.
+def improbable_runs(model: PairModel, texts: list[str], typical: float) -> list[list[tuple[int, int]]]:
+    """For each text its runs of characters beyond ASCII that maximal scoring segments of the whole text reach.
 
-    Every adjacent pair of the text scores its surprise less ``typical``. A stretch of ASCII
-    pairs between two others counts with its sum, as one element: no wrong decoding ends inside it.
+    Every adjacent pair of a text scores its surprise less ``typical``. A stretch of ASCII
+    pairs between two others counts with its sum, as one element: no wrong decoding ends inside it. All
+    texts are scored at once; nothing joins two of them. Elements that aren't positive begin and end no segment, so
+    those in a row are one.
     """
-    c = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    out: list[list[tuple[int, int]]] = [[] for _ in texts]
+    c = _codes(texts)
     beyond = np.flatnonzero(c > 127)
     if not len(beyond):
-        return []
-    # pair i stands between the characters i and i + 1, a text between spaces
+        return out
+    # pair i stands between the characters i and i + 1
     mark = np.zeros(len(c), bool)
     mark[beyond - 1] = mark[beyond] = True
     odd = np.flatnonzero(mark)
     own = model.odd(c[odd].astype(np.int64), c[odd + 1].astype(np.int64)) - typical
-    if own.max() <= 0:
-        return []
     ascii_only = np.minimum(c, 127).astype(np.int64)
     scored = model.plain()[(ascii_only[:-1] << 7) | ascii_only[1:]] - typical
     scored[odd] = 0.0
     sums = np.cumsum(scored)
+    first = np.cumsum([1, *[len(t) + 2 for t in texts[:-1]]])  # where each text begins
+    of = np.searchsorted(first, odd + 1, side="right") - 1
     scores = np.empty(2 * len(odd) - 1)
     scores[::2], scores[1::2] = own, sums[odd[1:] - 1] - sums[odd[:-1]]
-    reached = np.zeros(len(odd), bool)
-    for a, z in maximal_segments(scores.tolist()):
-        reached[(a + 1) // 2 : z // 2 + z % 2] = True
-    at = odd[reached]
-    first = np.flatnonzero(np.diff(beyond, prepend=-2) > 1)
-    starts, ends = beyond[first], beyond[np.r_[first[1:], len(beyond)] - 1] + 1
+    scores[1::2][of[1:] != of[:-1]] = -1e12
+    good = np.flatnonzero(scores > 0)
+    if not len(good):
+        return out
+    total = np.cumsum(scores)
+    short = np.empty(2 * len(good) - 1)
+    short[::2], short[1::2] = scores[good], total[good[1:] - 1] - total[good[:-1]]
+    step = np.zeros(len(scores) + 1, np.int64)
+    for a, z in maximal_segments(short.tolist()):
+        step[good[a // 2]] += 1
+        step[good[(z - 1) // 2] + 1] -= 1
+    at = odd[np.cumsum(step[:-1])[::2] > 0]
+    edge = np.flatnonzero(np.diff(beyond, prepend=-2) > 1)
+    starts, ends = beyond[edge], beyond[np.r_[edge[1:], len(beyond)] - 1] + 1
     hit = np.searchsorted(at, ends - 1, side="right") > np.searchsorted(at, starts - 1)
-    return [(a - 1, z - 1) for a, z in zip(starts[hit].tolist(), ends[hit].tolist())]
+    for a, z, i in zip(starts[hit].tolist(), ends[hit].tolist(), (np.searchsorted(first, starts[hit], side="right") - 1).tolist()):
+        out[i].append((a - int(first[i]), z - int(first[i])))
+    return out
 
 
 @lru_cache(None)
@@ -353,12 +382,12 @@ def _resolved(text: str) -> tuple[str, list[int] | None]:
     return "".join(out), at
 
 
-def examine(model: PairModel, text: str, cache: dict, floor: float, typical: float) -> tuple[dict[str, float], list[tuple[int, int, dict[str, tuple[float, str]]]]]:
-    """Evidence by way and the examined runs (start, end, {way: (gain, restored)})."""
-    shown, at = _resolved(text)
+def examine(model: PairModel, text: str, shown: str, at: list[int] | None, spans: list[tuple[int, int]], cache: dict, floor: float, typical: float) -> tuple[dict[str, float], list[tuple[int, int, dict[str, tuple[float, str]]]]]:
+    """Evidence by way and the examined runs (start, end, {way: (gain, restored)}) of a text, of what _resolved()
+    made of it, and of the spans that improbable_runs() found there."""
     seen: dict[tuple[str, str], float] = {}
     runs = []
-    for a, z in improbable_runs(model, shown, typical):
+    for a, z in spans:
         run = shown[a:z]
         space = " " if shown[z : z + 1] == " " else ""  # a no-break space may have become a space
         left, right = shown[a - 1 : a] or " ", shown[z + len(space) : z + len(space) + 1] or " "
@@ -424,24 +453,28 @@ def repair_encoding(docs: DataFrame, key: str = "doc_id", text: str = "text", fl
         model, cache = PairModel(counts), {}
         for b in batches:
             keys, rows = b.column(0), []
-            for i, t in enumerate(b.column(1)):
-                s = t.as_py()
-                if not s or (s.isascii() and "&" not in s):
-                    continue
+            texts = [(i, s, *_resolved(s)) for i, s in enumerate(b.column(1).to_pylist()) if s and not (s.isascii() and "&" not in s)]
+            done = 0
+            for shown in _chunks(t[2] for t in texts):
+                part = texts[done : done + len(shown)]
+                done += len(shown)
                 if len(cache) > 400_000:
                     cache.clear()
-                evidence, runs = examine(model, s, cache, floor, typical)
-                ok = {w for w, e in evidence.items() if e >= (accept_utf8 if w.startswith("utf-8") else accept)}
-                if not ok:
-                    continue
-                best = max(ok - {"lost"} or ok, key=lambda w: (evidence[w], w))
-                pieces, at, n, lost = [], 0, 0, s.count(LOST)
-                for a, z, ways in runs:
-                    good = [(ways[w][0] + (w == best) * 2.0, w) for w in ways if w in ok and w != "lost" and (w == best or ways[w][0] >= floor)]
-                    if good:
-                        pieces += [s[at:a], ways[max(good)[1]][1]]
-                        at, n = z, n + 1
-                rows.append((i, best, round(evidence[best], 3), n, lost, "".join([*pieces, s[at:]])))
+                for (i, s, whole, at_), spans in zip(part, improbable_runs(model, shown, typical)):
+                    if not spans:
+                        continue
+                    evidence, runs = examine(model, s, whole, at_, spans, cache, floor, typical)
+                    ok = {w for w, e in evidence.items() if e >= (accept_utf8 if w.startswith("utf-8") or w == "lost" else accept)}
+                    if not ok:
+                        continue
+                    best = max(ok - {"lost"} or ok, key=lambda w: (evidence[w], w))
+                    pieces, at, n, lost = [], 0, 0, s.count(LOST)
+                    for a, z, ways in runs:
+                        good = [(ways[w][0] + (w == best) * 2.0, w) for w in ways if w in ok and w != "lost" and (w == best or ways[w][0] >= floor)]
+                        if good:
+                            pieces += [s[at:a], ways[max(good)[1]][1]]
+                            at, n = z, n + 1
+                    rows.append((i, best, round(evidence[best], 3), n, lost, "".join([*pieces, s[at:]])))
             if rows:
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(cols[0])), pa.array(cols[1]), pa.array(cols[2]), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.string())], names=schema.names)

@@ -57,8 +57,9 @@ def test_round_trips_and_segments():
 def test_runs_are_found_in_the_whole_text(spark):
     texts = [" ".join(CLEAN[:6]) for _ in range(50)] + ["Der Prüfer hÃ¶rt und schÃ¶n, doch früh"]
     model = PairModel(pair_counts(spark.createDataFrame([(t,) for t in texts], "text string"), "text"))
-    runs = improbable_runs(model, texts[-1], 3.5)
-    assert [texts[-1][a:z] for a, z in runs] == ["Ã¶", "Ã¶"] and improbable_runs(model, "plain text", 3.5) == [] == improbable_runs(model, "", 3.5)
+    assert [texts[-1][a:z] for a, z in improbable_runs(model, [texts[-1]], 3.5)[0]] == ["Ã¶", "Ã¶"]
+    many = ["plain text", texts[-1], "", texts[0], texts[-1], *CLEAN]
+    assert improbable_runs(model, many, 3.5) == [improbable_runs(model, [t], 3.5)[0] for t in many] and improbable_runs(model, [""], 3.5) == [[]]
 
 
 def test_a_single_damaged_symbol_that_no_text_holds(spark):
