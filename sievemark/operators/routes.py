@@ -184,7 +184,7 @@ def imports_of(files: DataFrame, aliases: list[tuple[str, str]] = [], path: str
     wanted = files.select(F.col(path).alias("src"), F.explode(lines).alias("_spec")).select("src", resolve_import(F.col("src"), F.col("_spec"), aliases).alias("_to")).where("_to IS NOT NULL")
     stem = F.regexp_replace(F.regexp_replace(F.col(path), "\\.(?:tsx?|jsx?)$", ""), "/index$", "")
     known = files.select(F.col(path).alias("dst"), stem.alias("_stem"))
-    return wanted.withColumn("_stem", F.regexp_replace("_to", "\\.(?:tsx?|jsx?)$", "")).join(known, "_stem").select("src", "dst").distinct()
+    return wanted.withColumn("_stem", F.regexp_replace(F.regexp_replace("_to", "\\.(?:tsx?|jsx?)$", ""), "/index$", "")).join(known, "_stem").select("src", "dst").distinct()
 
 
 def import_cone(producers: DataFrame, imports: DataFrame, depth: int = 4) -> DataFrame:
