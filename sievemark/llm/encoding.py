@@ -179,24 +179,35 @@ class PairModel:
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int]]:
     """Start and end of every maximal scoring segment: one that no longer or shorter neighbour outscores.
-    Linear but for segments that are joined."""
-    found: list[tuple[int, int, float, float]] = []
+
+    Linear: each candidate knows the nearest one before it that begins on a lower total, so none is passed twice.
+    """
+    begin: list[int] = []
+    end: list[int] = []
+    low: list[float] = []
+    high: list[float] = []
+    lower: list[int] = []
     total = 0.0
     for i, x in enumerate(scores):
         before, total = total, total + x
         if x <= 0:
             continue
-        begin, low, high = i, before, total
+        first, least = i, before
+        j = len(begin) - 1
         while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= low:
-                j -= 1
-            if j < 0 or found[j][3] >= high:
-                found.append((begin, i + 1, low, high))
+            while j >= 0 and low[j] >= least:
+                j = lower[j]
+            if j < 0 or high[j] >= total:
                 break
-            begin, low = found[j][0], found[j][2]
-            del found[j:]
-    return [(a, z) for a, z, _, _ in found]
+            first, least = begin[j], low[j]
+            del begin[j:], end[j:], low[j:], high[j:], lower[j + 1 :]
+            j = lower.pop()
+        begin.append(first)
+        end.append(i + 1)
+        low.append(least)
+        high.append(total)
+        lower.append(j)
+    return list(zip(begin, end))
 
 
 def improbable_runs(model: PairModel, texts: list[str], typical: float) -> list[list[tuple[int, int]]]:
@@ -225,7 +236,7 @@ def improbable_runs(model: PairModel, texts: list[str], typical: float) -> list[
     of = np.searchsorted(first, odd + 1, side="right") - 1
     scores = np.empty(2 * len(odd) - 1)
     scores[::2], scores[1::2] = own, sums[odd[1:] - 1] - sums[odd[:-1]]
-    scores[1::2][of[1:] != of[:-1]] = -1e12
+    scores[1::2][of[1:] != of[:-1]] = 0.0  # between two texts
     good = np.flatnonzero(scores > 0)
     if not len(good):
         return out
@@ -233,9 +244,11 @@ def improbable_runs(model: PairModel, texts: list[str], typical: float) -> list[
     short = np.empty(2 * len(good) - 1)
     short[::2], short[1::2] = scores[good], total[good[1:] - 1] - total[good[:-1]]
     step = np.zeros(len(scores) + 1, np.int64)
-    for a, z in maximal_segments(short.tolist()):
-        step[good[a // 2]] += 1
-        step[good[(z - 1) // 2] + 1] -= 1
+    cuts = np.flatnonzero(np.diff(of[(good + 1) // 2], prepend=-1, append=len(texts)))  # where the elements of a text begin
+    for k, m in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        for a, z in maximal_segments(short[2 * k : 2 * m - 1].tolist()):
+            step[good[k + a // 2]] += 1
+            step[good[k + (z - 1) // 2] + 1] -= 1
     at = odd[np.cumsum(step[:-1])[::2] > 0]
     edge = np.flatnonzero(np.diff(beyond, prepend=-2) > 1)
     starts, ends = beyond[edge], beyond[np.r_[edge[1:], len(beyond)] - 1] + 1
