@@ -12,6 +12,7 @@ from ..functions import urls as U
 from ..operators import content as C
 from ..operators import observations as O
 from ..operators.common import table
+from ..sources.imports import agent_of, listed_agents
 
 
 def _docs(s: SparkSession, d: str) -> DataFrame:
@@ -175,14 +176,7 @@ def agent_tokens(s: SparkSession, d: str) -> DataFrame:
     """Rows per listed crawler by the longest token that a user agent contains."""
     a = table(s, d, "ai_agents").select("token", "role")
     ua = _rows(s, d).where("user_agent IS NOT NULL").groupBy("user_agent").agg(F.count(F.lit(1)).alias("n"))
-    # the list (a fixed table of some dozens) becomes one chained condition
-    known = [(r["token"], r["role"]) for r in a.collect()]
-    low = T.ascii_lower(F.col("user_agent"))
-    best = F.lit(None).cast("string")
-    for t, _ in sorted(known, key=lambda x: (len(x[0]), x[0])):
-        best = F.when(low.contains(t), t).otherwise(best)
-    generic = F.when(low.contains("bot") | low.contains("spider") | low.contains("crawler"), "unknown-bot")
-    return ua.select("n", F.coalesce(best, generic).alias("token")).where("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n_rows"))
+    return ua.select("n", agent_of(F.col("user_agent"), listed_agents(a))["token"].alias("token")).where("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("n_rows"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import observations as O
 from ..operators import planning as P
 from ..operators.common import shared_folder, table
-from ..sources.imports import log_hits, observations_of
+from ..sources.imports import listed_agents, log_hits, observations_of
 from ..streaming import events as E
 from .evidence import _CUR, _rows
 from .history import _REFS, _refs
@@ -46,7 +46,8 @@ def opportunity_plan(s: SparkSession, d: str) -> DataFrame:
 
 def imported_observations(s: SparkSession, d: str) -> DataFrame:
     """Observations in the import files per kind and provider, as delivered."""
-    return observations_of(table(s, d, "import_files")).groupBy("kind", "provider").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("clicks").alias("clicks"), F.countDistinct("url").alias("n_urls"))
+    rows = observations_of(table(s, d, "import_files"), listed_agents(table(s, d, "ai_agents")))
+    return rows.groupBy("kind", "provider", "bot_role").agg(F.count(F.lit(1)).alias("n_rows"), *[F.sum(c).alias(c) for c in ("clicks", "impressions", "hits", "volume")], F.countDistinct("url").alias("n_urls"), F.count("referer").alias("n_referers"), F.max("difficulty").alias("difficulty"))
 
 
 def imported_log_hits(s: SparkSession, d: str) -> DataFrame:
@@ -72,7 +73,19 @@ _ITEMS = f"""{_PG}, {_CUR}, ax AS (SELECT page_url, CASE WHEN i > 0 OR b IS NOT
   UNION ALL SELECT 'content_gap', url, 50, NULL, 40 FROM lp WHERE m.status = 200 AND m.indexable = 'indexable' AND m.title IS NULL
   UNION ALL SELECT CASE v WHEN 'CONSOLIDATE' THEN 'cannibal' WHEN 'NOINDEX_BY_DEFAULT' THEN 'noindex' ELSE 'create_family' END, family, NULL, CASE v WHEN 'CONSOLIDATE' THEN 40 WHEN 'NOINDEX_BY_DEFAULT' THEN 80 ELSE 30 END, 60 FROM (SELECT family, {_VERDICT} AS v FROM fm) WHERE v IN ('CONSOLIDATE', 'NOINDEX_BY_DEFAULT', 'SAFE_IF_REQUIREMENTS_MET')),
   tr AS (SELECT it.*, demand, visibility_gap, CASE WHEN confidence >= 40 AND risk <= 70 THEN 3 WHEN confidence >= 40 AND risk IS NULL THEN 2 WHEN confidence IS NULL AND risk <= 70 THEN 2 WHEN confidence IS NULL AND risk IS NULL THEN 1 ELSE 0 END AS trust FROM it LEFT JOIN ax ON ax.page_url = rtrim(it.subject, '/'))"""
+_KIND_OF = "CASE " + " ".join(f"WHEN replace(lower({{0}}), '-', '_') = '{k}' THEN '{v}'" for k, v in O.KINDS.items()) + " END"
+_IMPLIED = "CASE " + " ".join(f"WHEN provider IN ({', '.join(repr(x) for x in v)}) THEN '{k}'" for k, v in O.PROVIDER_KINDS.items()) + " ELSE 'analytics' END"
+_AGENT = "CASE WHEN ua IS NULL THEN NULL WHEN contains(ua, 'googlebot') AND NOT contains(ua, 'google-extended') THEN 'search_discovery' WHEN contains(ua, 'bingbot') THEN 'search_discovery' ELSE coalesce((SELECT arg_max(role, (length(token), token)) FROM ai_agents a WHERE contains(ua, a.token)), CASE WHEN contains(ua, 'bot') OR contains(ua, 'spider') OR contains(ua, 'crawler') THEN 'other' END) END"
+_IMPORTED = " UNION ALL ".join(f"SELECT provider AS fp, kind AS fk, '{b}' AS branch, unnest({b}) AS r FROM import_files" for b in ("rows", "keywords", "serp", "backlinks"))
 SQL: dict[str, str] = {
+    "imported_observations": f"""WITH e AS (SELECT * FROM ({_IMPORTED}) WHERE r IS NOT NULL), p AS (SELECT *, lower(coalesce(r.provider, fp, 'gsc')) AS provider, translate(r.user_agent, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS ua FROM e), b AS (SELECT *, CASE WHEN branch = 'rows' THEN {_AGENT} END AS bot_role FROM p),
+      t AS (SELECT *, coalesce({_KIND_OF.format('r.kind')}, CASE branch WHEN 'rows' THEN coalesce({_KIND_OF.format('fk')}, {_IMPLIED}) WHEN 'keywords' THEN 'keyword_volume' WHEN 'serp' THEN 'serp_position' ELSE 'backlink' END) AS told FROM b), k AS (SELECT *, CASE WHEN told = 'analytics' AND bot_role IS NOT NULL THEN 'bot_crawl' ELSE told END AS kind FROM t),
+      o AS (SELECT kind, provider, bot_role, coalesce(r.clicks, 0) AS clicks, CASE WHEN kind = 'search_performance' THEN coalesce(r.impressions, 0) ELSE 0 END AS impressions, CASE WHEN kind IN ('search_performance', 'keyword_volume') THEN 0 WHEN kind = 'backlink' THEN greatest(coalesce(r.backlinks, 0), coalesce(r.hits, 0), coalesce(r.impressions, 0), 1) ELSE greatest(coalesce(r.hits, 0), coalesce(r.impressions, 0)) END AS hits,
+        CASE WHEN kind = 'keyword_volume' THEN greatest(coalesce(r.volume, 0), coalesce(r.search_volume, 0), coalesce(r.impressions, 0)) ELSE 0 END AS volume, r.url AS url, coalesce(r.referer, r.source_url) AS referer, coalesce(r.difficulty, r.keyword_difficulty) AS difficulty FROM k),
+      q AS (SELECT lower(coalesce(provider, 'gsc')) AS provider, unnest(prompts) AS p FROM import_files), u AS (SELECT provider, p, list_filter(coalesce(p.cited_urls, []), lambda x: x IS NOT NULL) AS c FROM q WHERE p IS NOT NULL),
+      z AS (SELECT 'ai_citation' AS kind, provider, unnest(c) AS url, 1 AS hits FROM u UNION ALL SELECT 'ai_prompt', provider, 'prompt:' || coalesce(p.platform, ''), 0 FROM u WHERE len(c) = 0),
+      a AS (SELECT * FROM o UNION ALL SELECT kind, provider, NULL, 0, 0, hits, 0, url, NULL, NULL FROM z)
+      SELECT kind, provider, bot_role, count(*) AS n_rows, sum(clicks)::BIGINT AS clicks, sum(impressions)::BIGINT AS impressions, sum(hits)::BIGINT AS hits, sum(volume)::BIGINT AS volume, count(DISTINCT url) AS n_urls, count(referer) AS n_referers, max(difficulty) AS difficulty FROM a GROUP BY 1, 2, 3""",
     "opportunity_rank": f"WITH {_ITEMS} SELECT kind, subject, trust, row_number() OVER (ORDER BY trust DESC, demand IS NOT NULL DESC, coalesce(demand, 0) DESC, coalesce(visibility_gap, 0) DESC, least(coalesce(cost, 0), 100), kind, subject) AS rank, demand, visibility_gap FROM tr",
     "family_matrix": f"WITH {_PG} SELECT *, {_VERDICT} AS verdict FROM fm",
     "opportunity_plan": f"""WITH {_PG}, o AS (SELECT 'link_gap' AS kind, url AS subject, 'LINK' AS action FROM lp WHERE m.status = 200 AND m.indexable = 'indexable' AND m.inbound = 0 AND NOT regexp_matches(url, '^[^:]+://[^/?#]*/?$')

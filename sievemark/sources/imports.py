@@ -30,28 +30,70 @@ def read_imports(spark: SparkSession, path: str) -> DataFrame:
     return parsed.withColumn("input_state", F.when(F.col("_corrupt").isNotNull(), "invalid").when(some | F.col("log").isNotNull(), "connected").otherwise("empty")).drop("_corrupt")
 
 
-def observations_of(files: DataFrame) -> DataFrame:
-    """All observations of import files in one shape.
+def agent_of(user_agent: Column, agents: list[tuple[str, str]]) -> Column:
+    """struct<token, role, verified> of a user agent: the two great search crawlers first, then the longest listed token that it
+    contains, then any bot, spider or crawler; null for others. ``agents`` is the short list of (token, role), which travels inside the
+    expression; for long lists map values to it by llm.canonical instead."""
+    made = lambda token, role, sure: F.struct(token.alias("token"), role.alias("role"), sure.alias("verified"))
+    ordered = sorted(agents, key=lambda a: (len(a[0]), a[0]), reverse=True)
+    known = F.array(*[F.struct(F.lit(t).alias("token"), F.lit(r).alias("role")) for t, r in ordered]) if ordered else F.array().cast("array<struct<token:string,role:string>>")
+
+    def of(low: Column) -> Column:
+        first = F.try_element_at(F.filter(known, lambda a: F.instr(low, a["token"]) > 0), F.lit(1))
+        return (
+            F.when(low.contains("googlebot") & ~low.contains("google-extended"), made(F.lit("googlebot"), F.lit("search_discovery"), low.contains("google.com/bot.html")))
+            .when(low.contains("bingbot"), made(F.lit("bingbot"), F.lit("search_discovery"), low.contains("bing.com/bingbot"))).when(first.isNotNull(), made(first["token"], first["role"], F.lit(True)))
+            .when(low.contains("bot") | low.contains("spider") | low.contains("crawler"), made(F.lit("unknown-bot"), F.lit("other"), F.lit(False)))
+        )
+
+    return F.transform(F.array(ascii_lower(user_agent)), of)[0]
+
+
+def listed_agents(agents: DataFrame) -> list[tuple[str, str]]:
+    """(token, role) of the list of crawlers, some dozens by nature."""
+    return [(r["token"], r["role"]) for r in agents.select("token", "role").where("token IS NOT NULL").collect()]
+
+
+def observations_of(files: DataFrame, agents: list[tuple[str, str]] = []) -> DataFrame:  # noqa: B006
+    """All observations of import files in one shape, but for log lines.
 
     Kind of a row: its own, else the file's, else what the provider's name implies; keywords, serp and
-    backlinks have theirs. A prompt gives one citation per cited URL, else one prompt row.
+    backlinks have theirs unless the row says otherwise. A row of analytics whose user agent is a crawler's is a visit of it. Providers
+    are in lower case, gsc if none is given. Impressions count for searches, volumes for keywords, hits for the rest: the larger of
+    hits and impressions, for backlinks of backlinks too and at least one. A prompt gives one citation per cited
+    URL, else one prompt row.
     """
-    cols = ["query", "url", "clicks", "impressions", "hits", "position", "period", "user_agent", "status", "referer"]
+    cols = ["query", "url", "position", "period", "user_agent", "status"]
+    zero = lambda c: F.coalesce(F.col(f"r.{c}"), F.lit(0).cast("bigint"))
 
-    def branch(name: str, kind: Column | None) -> DataFrame:
+    def branch(name: str, kind: str | None) -> DataFrame:
         r = files.select(F.col("provider").alias("_fp"), F.col("kind").alias("_fk"), F.explode(name).alias("r")).where("r IS NOT NULL")
-        provider = F.coalesce("r.provider", "_fp")
-        own = F.coalesce(parse_kind(F.col("r.kind")), parse_kind(F.col("_fk")), provider_kind(provider)) if kind is None else kind
-        return r.select(own.alias("kind"), *[F.col(f"r.{c}").alias(c) for c in cols], provider.alias("provider"), F.coalesce("r.volume", "r.search_volume").alias("volume"), F.coalesce("r.difficulty", "r.keyword_difficulty").alias("difficulty"), F.col("r.features").alias("serp_features"), F.col("r.referring_domains").alias("referring_domains"))
+        provider = F.lower(F.coalesce("r.provider", "_fp", F.lit("gsc")))
+        bot = agent_of(F.col("r.user_agent"), agents) if kind is None else F.lit(None).cast("struct<token:string,role:string,verified:boolean>")
+        r = r.withColumns({"_provider": provider, "_bot": bot})
+        own = parse_kind(F.col("r.kind"))
+        told = F.coalesce(own, parse_kind(F.col("_fk")), provider_kind(F.col("_provider"))) if kind is None else F.coalesce(own, F.lit(kind))
+        r = r.withColumn("_kind", F.when((told == "analytics") & F.col("_bot").isNotNull(), BOT).otherwise(told))
+        k = F.col("_kind")
+        search, word = k == "search_performance", k == "keyword_volume"
+        hits = F.when(search | word, F.lit(0).cast("bigint")).when(k == "backlink", F.greatest(zero("backlinks"), zero("hits"), zero("impressions"), F.lit(1).cast("bigint"))).otherwise(F.greatest(zero("hits"), zero("impressions")))
+        volume = F.when(word, F.greatest(zero("volume"), zero("search_volume"), zero("impressions"))).otherwise(F.lit(0).cast("bigint"))
+        return r.select(
+            k.alias("kind"), *[F.col(f"r.{c}").alias(c) for c in cols], zero("clicks").alias("clicks"), F.when(search, zero("impressions")).otherwise(F.lit(0).cast("bigint")).alias("impressions"), hits.alias("hits"), F.coalesce("r.referer", "r.source_url").alias("referer"), F.col("_provider").alias("provider"),
+            volume.alias("volume"), F.coalesce("r.difficulty", "r.keyword_difficulty").alias("difficulty"), F.col("r.features").alias("serp_features"), F.col("r.referring_domains").alias("referring_domains"), F.col("_bot.role").alias("bot_role"), F.col("_bot.verified").alias("verified_bot"),
+        )
 
-    prompts = files.select("provider", F.explode("prompts").alias("p")).where("p IS NOT NULL").select("provider", "p", F.explode_outer("p.cited_urls").alias("url"))
+    prompts = files.select(F.lower(F.coalesce("provider", F.lit("gsc"))).alias("provider"), F.explode("prompts").alias("p")).where("p IS NOT NULL")
+    cited = F.filter(F.coalesce("p.cited_urls", F.array().cast("array<string>")), lambda u: u.isNotNull())
+    each = prompts.select("provider", "p", F.explode_outer(cited).alias("_u"))
     null = lambda t: F.lit(None).cast(t)
-    asked = prompts.select(
-        F.when(F.col("url").isNotNull(), "ai_citation").otherwise("ai_prompt").alias("kind"), F.col("p.prompt").alias("query"), "url", null("bigint").alias("clicks"), null("bigint").alias("impressions"), null("bigint").alias("hits"), F.col("p.brand_position").cast("float").alias("position"),
-        F.col("p.period").alias("period"), null("string").alias("user_agent"), null("int").alias("status"), null("string").alias("referer"), F.coalesce("p.platform", "provider").alias("provider"), null("bigint").alias("volume"), null("int").alias("difficulty"), null("array<string>").alias("serp_features"), null("bigint").alias("referring_domains"),
+    no = F.lit(0).cast("bigint")
+    has = F.col("_u").isNotNull()
+    asked = each.select(
+        F.when(has, "ai_citation").otherwise("ai_prompt").alias("kind"), F.col("p.prompt").alias("query"), F.coalesce("_u", F.concat(F.lit("prompt:"), F.coalesce("p.platform", F.lit("")))).alias("url"), F.col("p.brand_position").cast("float").alias("position"), F.col("p.period").alias("period"), null("string").alias("user_agent"), null("int").alias("status"),
+        no.alias("clicks"), no.alias("impressions"), F.when(has, 1).otherwise(0).cast("bigint").alias("hits"), null("string").alias("referer"), "provider", no.alias("volume"), null("int").alias("difficulty"), null("array<string>").alias("serp_features"), null("bigint").alias("referring_domains"), null("string").alias("bot_role"), null("boolean").alias("verified_bot"),
     )
-    out = branch("rows", None).unionByName(branch("keywords", F.lit("keyword_volume"))).unionByName(branch("serp", F.lit("serp_position"))).unionByName(branch("backlinks", F.lit("backlink")))
-    return out.unionByName(asked)
+    return branch("rows", None).unionByName(branch("keywords", "keyword_volume")).unionByName(branch("serp", "serp_position")).unionByName(branch("backlinks", "backlink")).unionByName(asked)
 
 
 def log_hits(files: DataFrame, agents: DataFrame) -> DataFrame:
@@ -65,8 +107,6 @@ def log_hits(files: DataFrame, agents: DataFrame) -> DataFrame:
     l = files.select("origin", F.explode(lines).alias("line")).where(F.col("line").rlike(_LINE) & ~F.col("line").startswith("#"))
     ua = F.regexp_extract("line", '"([^"]*)"\\s*$', 1)
     p = l.select("origin", F.regexp_extract("line", _LINE, 2).alias("path"), F.regexp_extract("line", _LINE, 3).cast("int").alias("status"), ascii_lower(ua).alias("ua"))
-    role = F.when(F.col("ua").contains("bot") | F.col("ua").contains("spider") | F.col("ua").contains("crawler"), "other")
-    for r in sorted(agents.select("token", "role").collect(), key=lambda r: (len(r["token"]), r["token"])):
-        role = F.when(F.col("ua").contains(r["token"]), r["role"]).otherwise(role)
+    role = agent_of(F.col("ua"), listed_agents(agents))["role"]
     url = F.when(F.col("path").rlike("^https?://"), F.col("path")).otherwise(F.concat(F.regexp_replace("origin", "/+$", ""), F.when(F.col("path").startswith("/"), "").otherwise("/"), F.col("path")))
     return p.select(url.alias("url"), role.alias("bot_role"), "status").where("bot_role IS NOT NULL").groupBy("url", "bot_role", "status").agg(F.count(F.lit(1)).alias("hits")).withColumn("kind", F.lit(BOT))
