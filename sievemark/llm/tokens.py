@@ -31,8 +31,8 @@ def encoding(path: str = VOCABULARY):
 def count_tokens(df: DataFrame, text: str, path: str = VOCABULARY, name: str = "n_tokens") -> DataFrame:
     """Replaces the text column by its number of tokens (0 for null and empty texts).
 
-    Whole texts are counted, in small groups so that a batch of long texts needs no more
-    memory than one of short texts.
+    Whole texts are counted, one after the other: beside the batch only one text's tokens are held. The rank
+    file must be at ``path`` on every worker (ship it with SparkContext.addFile where it isn't).
     """
     keep = [c for c in df.columns if c != text]
     schema = T.StructType([*[df.schema[c] for c in keep], T.StructField(name, T.LongType())])
