@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Offset basis and prime of 128-bit FNV-1a.
 OFFSET, PRIME, MASK = 0x6C62272E07BB014262B821756295C58D, (1 << 88) + 315, (1 << 128) - 1
@@ -22,14 +18,6 @@ def fnv(data: bytes) -> int:
     return h
 
 
-@F.pandas_udf(StringType())
-def content_hash(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """32 hex characters of a text's UTF-8 bytes; null for null. Equal texts of a batch are hashed once."""
-    for s in texts:
-        known: dict[str, str] = {}
-        yield s.map(lambda t: None if t is None else known.get(t) or known.setdefault(t, f"{fnv(t.encode()):032x}"))
-
-
 def hash_of(t: Column) -> Column:
     """The same without leaving the JVM, for short strings: four 32-bit limbs folded over the bytes."""
     m = 0xFFFFFFFF
@@ -60,12 +48,6 @@ def fingerprint(code: Column, subject: Column) -> Column:
     return F.concat(code, F.lit(":"), short(hash_of(subject)))
 
 
-def embedding_slot(token: Column) -> Column:
-    """struct<idx, sign> of a token in the 64-dimensional lexical embedding."""
-    h = hash_of(token)
-    return F.struct((F.conv(F.substring(h, 1, 4), 16, 10).cast("int") % 64).alias("idx"), F.when(F.ascii(F.substring(h, 5, 1)) % 2 == 0, 1).otherwise(-1).alias("sign"))
-
-
 def minhash(shingle_hashes: Column, seed: int = 0) -> Column:
     """64 minima of xxhash64(i, shingle hash); null for no shingles. JVM-side."""
     n = F.size(shingle_hashes)

@@ -115,12 +115,13 @@ def answer_cue(t: Column) -> Column:
 
 
 def contains_token(t: Column, needle: str) -> Column:
-    """ASCII needle between non-alphanumerics whatever the case; any other needle anywhere."""
+    """An ASCII needle between characters that are neither ASCII letters nor digits, whatever the case; any
+    other needle anywhere. The pattern is only tried on texts that contain the needle."""
     import re
 
-    if needle.isascii():
-        return t.rlike("(?i)(?<![A-Za-z0-9])" + re.escape(needle) + "(?![A-Za-z0-9])")
-    return t.contains(needle)
+    if not needle.isascii():
+        return t.contains(needle)
+    return ascii_lower(t).contains(needle.lower()) & t.rlike("(?i)(?<![A-Za-z0-9])" + re.escape(needle) + "(?![A-Za-z0-9])")
 
 
 def contains_hebrew(t: Column) -> Column:

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ascii_lower, compact, contains_hebrew
+from ..functions.text import ascii_lower, compact, contains_hebrew, contains_token
 
 # Types that name a place, those that a town page may be bound by, and what binds them to a geography.
 PLACE_TYPES = ["place", "city", "localbusiness", "service", "offer", "aggregateoffer", "professionalservice", "homeandconstructionbusiness"]
@@ -52,16 +52,6 @@ class Signals:
     texts: tuple[tuple[str, str], ...] = field(default_factory=tuple)
 
 
-def has_token(text: Column, needle: str) -> Column:
-    """An ASCII needle between characters that are neither ASCII letters nor digits, whatever the case;
-    any other needle anywhere. The pattern is only tried on texts that contain the needle."""
-    import re
-
-    if not needle.isascii():
-        return text.contains(needle)
-    return ascii_lower(text).contains(needle.lower()) & text.rlike("(?i)(?<![A-Za-z0-9])" + re.escape(needle) + "(?![A-Za-z0-9])")
-
-
 def visible_copy(p: DataFrame) -> Column:
     """Title, headings and text."""
     return F.concat_ws(" ", F.col("title"), F.array_join(F.transform("headings", lambda h: h["text"]), " "), F.col("text"))
@@ -109,7 +99,7 @@ def _of_market(packs: list[Pack], value) -> Column:
 def foreign_labels(packs: list[Pack], text: Column, hebrew_is_foreign: tuple[str, ...] = ()) -> Column:
     """Labels of entities of other markets that a text names; Hebrew script counts as one in the markets named."""
     def of(own: Pack) -> Column:
-        tests = [(label, has_token(text, token)) for p in packs if p.id != own.id for token, label in p.entities]
+        tests = [(label, contains_token(text, token)) for p in packs if p.id != own.id for token, label in p.entities]
         return _labels(tests + ([("Hebrew script", contains_hebrew(text))] if own.market in hebrew_is_foreign else []))
 
     return _of_market(packs, of)
@@ -179,7 +169,7 @@ def source_entities(files: DataFrame, packs: list[Pack], path: str = "path", sou
     parts = None
     for p in packs:
         own = files.where(_contains_any(ascii_lower(F.concat_ws("\n", F.col(path), F.col(source))), p.markers)).where(~F.col(path).rlike("\\.md$"))
-        tests = [(label, has_token(F.col(source), token)) for o in packs if o.id != p.id for token, label in o.entities]
+        tests = [(label, contains_token(F.col(source), token)) for o in packs if o.id != p.id for token, label in o.entities]
         found = _out(own.withColumn("_hits", _labels(tests)).where(F.size("_hits") > 0), "MARKET-001", "error", F.concat(F.lit(p.id + ": "), F.array_join("_hits", ",")), path)
         parts = found if parts is None else parts.unionByName(found)
     return parts
@@ -192,7 +182,7 @@ def entity_findings(p: DataFrame, packs: list[Pack], signals: Signals) -> DataFr
     all such labels; other labels are the page's. Labels are counted per host and met again, so a host is no single task.
     """
     q = with_market(p.where("_html"), signals).withColumns({"_seen": visible_copy(p), "_declared": schema_copy()})
-    missing = _of_market(packs, lambda pack: _labels([(label, has_token(F.col("_seen"), token) & ~has_token(F.col("_declared"), token)) for token, label in pack.entities]))
+    missing = _of_market(packs, lambda pack: _labels([(label, contains_token(F.col("_seen"), token) & ~contains_token(F.col("_declared"), token)) for token, label in pack.entities]))
     per = q.select("_host", "_url", "ordinal", missing.alias("_m")).where(F.size("_m") > 0)
     sizes = p.where("_html").groupBy("_host").agg(F.count(F.lit(1)).alias("_n"))
     counts = per.select("_host", F.explode("_m").alias("_label")).groupBy("_host", "_label").agg(F.count(F.lit(1)).alias("_c"))

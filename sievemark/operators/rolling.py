@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPAN = 64
+STEP = 1 << 16  # days of one entity that are answered at a time
 NODES = 2 * SPAN
 
 
@@ -89,24 +90,18 @@ def build_trees(daily: DataFrame, entity: str, day: str, measures: list[str]) ->
     return packed.mapInArrow(build, schema)
 
 
-def correct_trees(trees: DataFrame, changes: DataFrame, entity: str, day: str, measures: list[str]) -> DataFrame:
-    """Applies late corrections to stored trees.
+def corrected_shards(trees: DataFrame, changes: DataFrame, entity: str, day: str, measures: list[str]) -> DataFrame:
+    """The shards that late corrections touch, corrected: what replaces them in stored trees.
 
     ``changes`` has one difference per entity and day (new minus old value) for each measure,
-    several per day are allowed. Only the nodes above the changed days are touched; shards
-    without a change pass through, shards that did not exist begin empty. A day that is
+    several per day are allowed. Only the nodes above the changed days are touched; shards that did not exist begin empty. A day that is
     corrected down to 0 stays within first_day..last_day.
     """
     diffs = changes.where(F.col(entity).isNotNull() & F.col(day).isNotNull()).withColumn("_d", F.unix_date(day))
     packed = diffs.groupBy(F.col(entity).alias("_e"), F.floor(F.col("_d") / SPAN).cast("int").alias("_s"), "_d").agg(*[F.sum(F.coalesce(F.col(m).cast("long"), F.lit(0))).alias(m) for m in measures])
     packed = packed.groupBy("_e", "_s").agg(F.min("_d").alias("_f"), F.max("_d").alias("_l"), F.collect_list(F.struct(F.pmod("_d", F.lit(SPAN)).cast("int").alias("slot"), *measures)).alias("leaves"))
-    both = trees.join(packed, (trees[entity] == packed["_e"]) & (trees["shard"] == packed["_s"]), "full").select(
-        F.coalesce(trees[entity], packed["_e"]).alias(entity),
-        F.coalesce(trees["shard"], packed["_s"]).alias("shard"),
-        F.least("first_day", "_f").alias("first_day"),
-        F.greatest("last_day", "_l").alias("last_day"),
-        *[trees[m] for m in measures],
-        "leaves",
+    both = trees.join(packed, (trees[entity] == packed["_e"]) & (trees["shard"] == packed["_s"]), "right").select(
+        packed["_e"].alias(entity), packed["_s"].alias("shard"), F.least("first_day", "_f").alias("first_day"), F.greatest("last_day", "_l").alias("last_day"), *[trees[m] for m in measures], "leaves"
     )
     schema = T.StructType([trees.schema[entity], *[T.StructField(c, T.IntegerType()) for c in ("shard", "first_day", "last_day")], *[T.StructField(m, T.ArrayType(T.LongType())) for m in measures]])
 
@@ -122,6 +117,14 @@ def correct_trees(trees: DataFrame, changes: DataFrame, entity: str, day: str, m
     return both.mapInArrow(add, schema)
 
 
+def correct_trees(trees: DataFrame, changes: DataFrame, entity: str, day: str, measures: list[str]) -> DataFrame:
+    """Stored trees with late corrections: untouched shards as they are, which no Python sees, and corrected_shards()."""
+    new = corrected_shards(trees, changes, entity, day, measures)
+    dated = changes.where(F.col(entity).isNotNull() & F.col(day).isNotNull())
+    touched = dated.select(F.col(entity).alias("_e"), F.floor(F.unix_date(day) / SPAN).cast("int").alias("_s")).distinct()
+    return trees.join(touched, (trees[entity] == touched["_e"]) & (trees["shard"] == touched["_s"]), "left_anti").select(new.columns).unionByName(new)
+
+
 def rolling_totals(trees: DataFrame, entity: str, measures: list[str], windows: list[int]) -> DataFrame:
     """Trailing totals of every entity for every day from its first to its last day with a row.
 
@@ -154,26 +157,34 @@ def rolling_totals(trees: DataFrame, entity: str, measures: list[str], windows:
                 first = np.maximum(shard * SPAN, np.asarray(b.column("_from")).astype(np.int64))
                 last = np.where(nxt > -(2**30), nxt * SPAN - 1, np.asarray(b.column("last_day")).astype(np.int64))
                 many = last - first + 1
-                row = np.repeat(np.arange(n), many)
-                day = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
                 levels = [(shard, {m: _matrix(b.column(m), n) for m in measures})]
                 for k in range(1, reach + 1):
                     s = np.asarray(b.column(f"_shard{k}").fill_null(-(2**20))).astype(np.int64)
                     levels.append((s, {m: _matrix(b.column(f"_{m}{k}"), n) for m in measures}))
 
-                def total(m: str, day: np.ndarray, days: int) -> np.ndarray:
+                def total(m: str, row: np.ndarray, day: np.ndarray, days: int) -> np.ndarray:
                     out = np.zeros(len(day), np.int64)
                     for s, t in levels:
                         base = s[row] * SPAN
                         out += range_sum(t[m], row, np.clip(day - days + 1 - base, 0, SPAN), np.clip(day - base, -1, SPAN - 1))
                     return out
 
-                for days in windows:
-                    columns = [x for m in measures for x in (total(m, day, days), total(m, day - 1, days))]
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column(entity).take(pa.array(row)), pa.array(day.astype(np.int32)).cast(pa.date32()), pa.array(np.full(len(day), days, np.int32)), *map(pa.array, columns)],
-                        names=[entity, "day", "window_days", *[f"{m}_{k}" for m in measures for k in ("total", "prior")]],
-                    )
+                # a wrong year makes millions of days: pieces of at most STEP days, some of them at a time
+                pieces = -(-many // STEP)
+                owner = np.repeat(np.arange(n), pieces)
+                nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                begin, size = first[owner] + nth * STEP, np.minimum(many[owner] - nth * STEP, STEP)
+                cuts = [*np.flatnonzero(np.diff(np.cumsum(size) // (4 * STEP), prepend=-1)).tolist(), len(size)]
+                for i, j in zip(cuts[:-1], cuts[1:]):
+                    length = size[i:j]
+                    row = np.repeat(owner[i:j], length)
+                    day = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(begin[i:j], length)
+                    for days in windows:
+                        columns = [x for m in measures for x in (total(m, row, day, days), total(m, row, day - 1, days))]
+                        yield pa.RecordBatch.from_arrays(
+                            [b.column(entity).take(pa.array(row)), pa.array(day.astype(np.int32)).cast(pa.date32()), pa.array(np.full(len(day), days, np.int32)), *map(pa.array, columns)],
+                            names=[entity, "day", "window_days", *[f"{m}_{k}" for m in measures for k in ("total", "prior")]],
+                        )
 
     out = rows.mapInArrow(answer, schema)
     return out.withColumns({f"{m}_avg": F.col(f"{m}_total") / F.col("window_days") for m in measures})

@@ -67,6 +67,11 @@ def similar_pairs(s: SparkSession, d: str) -> DataFrame:
     return links.select("a", "b", "common", F.round("similarity", 6).alias("similarity"))
 
 
+def minhash_pairs(s: SparkSession, d: str) -> DataFrame:
+    """The same links by bands of a signature."""
+    return S.minhash_links(table(s, d, "documents").select("doc_id", "text")).select("a", "b", "common", F.round("similarity", 6).alias("similarity"))
+
+
 def vector_neighbours(s: SparkSession, d: str) -> DataFrame:
     """Ten nearest vectors of every hundredth vector."""
     e = table(s, d, "embeddings").select("vec_id", "embedding")
@@ -90,7 +95,7 @@ def keyword_documents(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (link_degrees, link_templates, link_depth, page_rank, link_components, near_duplicates, similar_pairs, vector_neighbours, link_recommendations, retrieve_documents, keyword_documents)
+    f.__name__: f for f in (link_degrees, link_templates, link_depth, page_rank, link_components, near_duplicates, similar_pairs, minhash_pairs, vector_neighbours, link_recommendations, retrieve_documents, keyword_documents)
 }
 
 _LINKS = "e AS (SELECT DISTINCT edge_id, source AS src, target AS dst, evidence_source AS location FROM fact_edges WHERE source_kind = 'url' AND target_kind = 'url' AND source <> '' AND target <> '')"
@@ -137,4 +142,5 @@ SQL: dict[str, str] = {
     "link_recommendations": "WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS hit_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS c FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, hit_id) AS rank FROM s WHERE c >= 0.12) SELECT query_id, hit_id, rank FROM r WHERE rank <= 3",
     "keyword_documents": "SELECT doc_id, " + " + ".join(f"contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{w}')::INT" for w in _ASKED) + " AS entities FROM documents WHERE text IS NOT NULL ORDER BY entities DESC, doc_id LIMIT 8",
 }
+SQL["minhash_pairs"] = SQL["similar_pairs"]
 SQL["link_components"] = "WITH RECURSIVE e AS (SELECT DISTINCT source AS s, target AS t FROM fact_edges WHERE source <> '' AND target <> '' AND source <> target), b AS (SELECT s, t FROM e UNION SELECT t, s FROM e), c(node, component) USING KEY (node) AS (SELECT s, least(min(t), s) FROM b GROUP BY s UNION SELECT b.s, min(c.component) FROM c JOIN b ON b.t = c.node JOIN recurring.c r ON r.node = b.s WHERE c.component < r.component GROUP BY b.s) SELECT node, component FROM c"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.days import named_day
-from ..operators.common import latest, table
+from ..operators.common import cut_lineage, latest, table
 from ..operators.drift import schema_changes, union_table
 from ..operators.nested import flatten_nested
 from ..operators.references import orphan_counts, orphan_references
@@ -66,7 +66,7 @@ def p2_late_corrections(spark: SparkSession, d: str) -> DataFrame:
     moved = ends.where(~F.struct(*[F.col(f"a.{c}") for c in cols]).eqNullSafe(F.struct(*[F.col(f"z.{c}") for c in cols])))
     minus = moved.select("a.*").withColumns({m: -F.col(m) for m in ("clicks", "impressions")})
     changes = _daily(minus.unionByName(moved.select("z.*")))
-    trees = correct_trees(build_trees(first, "url", "day", ["clicks", "impressions"]), changes, "url", "day", ["clicks", "impressions"])
+    trees = correct_trees(cut_lineage(build_trees(first, "url", "day", ["clicks", "impressions"])), changes, "url", "day", ["clicks", "impressions"])
     return _shown(rolling_totals(trees, "url", ["clicks", "impressions"], WINDOWS))
 
 

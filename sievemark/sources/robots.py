@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 RULES = T.ArrayType(T.StructType([T.StructField("agent", T.StringType()), T.StructField("allow", T.BooleanType()), T.StructField("path", T.StringType())]))
 
@@ -29,10 +31,15 @@ def parse_robots(body: str | None) -> list[tuple[str, bool | None, str]]:
     return out
 
 
+@F.arrow_udf(RULES)
+def _parsed(bodies: pa.Array) -> pa.Array:
+    names = [f.name for f in RULES.elementType]
+    return pa.array([[dict(zip(names, r)) for r in parse_robots(b)] for b in bodies.to_pylist()], to_arrow_type(RULES))
+
+
 def robots_rules(files: DataFrame, key: str = "origin", body: str = "body") -> DataFrame:
     """``key, agent, allow, path, regex``: the rules of robots files as rows."""
-    parse = F.udf(lambda b: parse_robots(b), RULES)  # one small file per site
-    rows = files.select(key, F.explode(parse(body)).alias("r")).select(key, "r.*")
+    rows = files.select(key, F.explode(_parsed(F.col(body))).alias("r")).select(key, "r.*")
     return rows.withColumn("regex", rule_regex(F.col("path")))
 
 

@@ -5,6 +5,7 @@ from sievemark.functions import hashing as H
 from sievemark.functions import measures as M
 from sievemark.functions import text as X
 from sievemark.functions import urls as U
+from sievemark.operators.vectors import lexical_embedding, slot_of
 
 
 def one(spark, value, make, kind="string"):
@@ -54,10 +55,11 @@ def test_tokens_sentences_and_shares(spark):
 def test_hashes(spark):
     known = {"electrician": "b8c83e0d95355b2283a1412a0c1a2db6", "city": "697f5ed344757277b806e97b419937fa", "é": "088093bf9eab1be95aa0733054c70821", "": "6c62272e07bb014262b821756295c58d"}
     df = spark.createDataFrame([(k,) for k in known], "v string")
-    assert {r.v: (r.a, r.b) for r in df.select("v", H.hash_of(F.col("v")).alias("a"), H.content_hash("v").alias("b")).collect()} == {k: (v, v) for k, v in known.items()}
+    assert {r.v: r.a for r in df.select("v", H.hash_of(F.col("v")).alias("a")).collect()} == known == {k: f"{H.fnv(k.encode()):032x}" for k in known}
     slots = {"electrician": (8, -1), "haifa": (63, 1), "licensed": (6, 1), "price": (6, -1)}
-    got = spark.createDataFrame([(k,) for k in slots], "v string").select("v", H.embedding_slot(F.col("v")).alias("s")).collect()
-    assert {r.v: tuple(r.s) for r in got} == slots
+    assert {k: slot_of(k) for k in slots} == slots
+    vectors = spark.createDataFrame([(["price", "licensed", "price"],), ([],), (None,), (["haifa"],)], "t array<string>").select(lexical_embedding("t").alias("v")).collect()
+    assert [None if r.v is None else {i: x for i, x in enumerate(r.v) if x} for r in vectors] == [{6: -1.0}, None, None, {63: 1.0}]
     sig = spark.createDataFrame([([1, 2, 3],), ([],)], "h array<bigint>").select(H.minhash(F.col("h")).alias("m")).collect()
     assert len(sig[0].m) == 64 and sig[1].m is None
     assert one(spark, [1, 2, 3], lambda h: H.estimated_similarity(H.minhash(h), H.minhash(F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint"), F.lit(3).cast("bigint")))), "array<bigint>") == 100

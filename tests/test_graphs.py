@@ -133,3 +133,20 @@ def test_query_language(spark):
     run = lambda text: [tuple(r) for r in dsl.run(text, t).collect()]
     assert run("FROM urls WHERE url = a RETURN n") == [(1,)] and run("FROM urls WHERE url != a RETURN n") == [(20,)] and run("FROM urls WHERE zzz != 1") == [] and run("FROM urls WHERE n > 3 RETURN url") == [("b",)] and run("FROM urls WHERE url > 3") == [] and run("FROM urls WHERE t contains é") == []
     assert dsl.truncated("FROM urls LIMIT 2", t) and not dsl.truncated("FROM urls LIMIT 3", t)
+
+
+def test_bands_find_the_links(spark):
+    import random
+
+    from sievemark.operators.similarity import minhash_links, similar_pairs
+
+    r = random.Random(11)
+    rows = []
+    for g in range(60):
+        words = [f"w{r.randrange(500)}" for _ in range(60)]
+        rows += [(g * 10 + k, " ".join(words[: 60 - k] + [f"x{g}{k}"] * k)) for k in range(5)]
+    rows += [(9000, None), (9001, ""), (9002, "!")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    exact = {(x.a, x.b) for x in similar_pairs(docs)[0].collect()}
+    quick = {(x.a, x.b) for x in minhash_links(docs).collect()}
+    assert quick <= exact and len(exact) > 100 and len(quick) >= 0.98 * len(exact)

@@ -64,3 +64,17 @@ def test_late_corrections_equal_a_rebuild_and_touch_only_ancestors(spark):
 def test_empty(spark):
     trees = build_trees(daily(spark, []), "k", "d", ["a", "b"])
     assert answers(trees, [7]) == [] and correct_trees(trees, spark.createDataFrame([], SCHEMA), "k", "d", ["a", "b"]).count() == 0
+
+
+def test_a_wrong_year_is_answered_in_pieces(spark):
+    from datetime import date
+
+    from pyspark.sql import functions as F
+
+    from sievemark.operators.rolling import build_trees, rolling_totals
+
+    daily = spark.createDataFrame([("u", date(2026, 1, 1), 5), ("u", date(3026, 1, 1), 7), ("v", date(2026, 1, 1), 1)], "url string, day date, clicks long")
+    r = rolling_totals(build_trees(daily, "url", "day", ["clicks"]), "url", ["clicks"], [7])
+    got = r.groupBy("url").agg(F.count("*").alias("n"), F.sum("clicks_total").alias("s"), F.countDistinct("day").alias("d")).collect()
+    n = (date(3026, 1, 1) - date(2026, 1, 1)).days + 1
+    assert {(x.url, x.n, x.s, x.d) for x in got} == {("u", n, 7 * 5 + 7, n), ("v", 1, 1, 1)}

@@ -14,7 +14,7 @@ def test_imports(spark, tmp_path):
     files = read_imports(spark, str(tmp_path))
     assert sorted(r.input_state for r in files.collect()) == ["connected", "empty", "invalid"]
     got = sorted((r.kind, r.query or "", r.url or "", r.provider) for r in observations_of(files).collect())
-    assert got == [("ai_citation", "p", "a", "x"), ("ai_citation", "p", "b", "x"), ("ai_prompt", "r", "", "gsc"), ("bot_crawl", "", "", "gsc"), ("bot_crawl", "", "", "logs"), ("keyword_volume", "k", "", "gsc"), ("search_performance", "q", "u", "gsc")]
+    assert got == [("ai_citation", "p", "a", "gsc"), ("ai_citation", "p", "b", "gsc"), ("ai_prompt", "r", "prompt:", "gsc"), ("bot_crawl", "", "", "gsc"), ("bot_crawl", "", "", "logs"), ("keyword_volume", "k", "", "gsc"), ("search_performance", "q", "u", "gsc")]
 
 
 def test_log_lines(spark):
