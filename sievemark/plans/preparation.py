@@ -116,9 +116,21 @@ def p4_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---- 5: nested records
+BROADCAST_FILES = 500_000  # a list of the files to read of at most this many rows is sent to all tasks, a longer one is shuffled
+
+
 def _files(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "import_files").where("file_id IS NOT NULL").select("file_id", "delivered_at", *BRANCHES).withColumn("_h", F.xxhash64(*BRANCHES))
-    return latest(f, ["file_id"], F.col("delivered_at"), ["_h"])
+    """The latest delivery of each file; equal times are decided by the place of the row in its Parquet file.
+
+    The deliveries are picked by their ids and places alone; then the nested records are read
+    once, and only those picked are kept where they lie.
+    """
+    f = table(spark, d, "import_files").where("file_id IS NOT NULL")
+    place = [F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_row")]
+    picked = latest(f.select("file_id", "delivered_at", *place), ["file_id"], F.col("delivered_at"), ["_path", "_row"]).select("_path", "_row")
+    picked = cut_lineage(picked)
+    picked = F.broadcast(picked) if picked.count() <= BROADCAST_FILES else picked
+    return f.select("file_id", *BRANCHES, *place).join(picked, ["_path", "_row"], "left_semi").drop("_path", "_row")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
