@@ -66,9 +66,19 @@ def origin(p: Column) -> Column:
     return F.concat(p["scheme"], F.lit("://"), host, F.coalesce(F.concat(F.lit(":"), p["port"].cast("string")), F.lit("")))
 
 
+def same_origin(a: Column, b: Column) -> Column:
+    """Whether two URLs (of url_parts()) have scheme, host and port in common."""
+    return origin(a) == origin(b)
+
+
+def request_target(p: Column) -> Column:
+    """Path and query, as a request names them."""
+    return F.concat(p["path"], F.coalesce(F.concat(F.lit("?"), p["query"]), F.lit("")))
+
+
 def url_text(p: Column) -> Column:
     """The URL of url_parts()."""
-    return F.concat(origin(p), p["path"], F.coalesce(F.concat(F.lit("?"), p["query"]), F.lit("")))
+    return F.concat(origin(p), request_target(p))
 
 
 def canonical_url(url: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.measures import percent_delta
@@ -13,6 +13,38 @@ DAY = 86_400
 WINDOW_DAYS, SLACK_DAYS = 28, 10
 
 
+# Axes and the family of findings that each counts.
+AXES = {
+    "technical_discoverability": "CRAWL", "indexability": "IDX", "canonical_integrity": "CANON", "architecture": "LINK", "content_coverage": "CONTENT", "claim_integrity": "CLAIM", "market_integrity": "MARKET", "entity_integrity": "ENTITY", "local_seo": "LOCAL", "international": "I18N",
+    "accessibility": "A11Y", "security": "SEC", "performance": "PERF", "programmatic_safety": "PROG", "observed_search": "OBS", "ai_retrieval_readiness": "AI", "render_reconciliation": "RENDER", "ai_visibility": "",
+}
+
+
+def axis_scores(findings: DataFrame, http: bool = True, source: bool = True, observed: bool = True, rendered: bool = True, cited: bool = True) -> DataFrame:
+    """``axis, errors, warnings, infos, unmeasured``: all 18 axes, with findings (family, severity error, warn or info) or not.
+
+    An axis without findings is unmeasured if what it rests on wasn't there; the visibility in answers counts no findings.
+    """
+    spark = findings.sparkSession
+    missing = {"observed_search": not observed, "ai_retrieval_readiness": not http and not source, "programmatic_safety": not source, "accessibility": not http, "security": not http, "performance": not http}
+    rows = spark.createDataFrame([(a, f, missing.get(a, False)) for a, f in AXES.items()], "axis string, family string, _missing boolean")
+    n = findings.groupBy("family").agg(*[F.count_if(F.col("severity") == s).alias(c) for s, c in (("error", "errors"), ("warn", "warnings"), ("info", "infos"))])
+    j = F.broadcast(rows).join(n, "family", "left")
+    none = F.col("errors").isNull()
+    unmeasured = F.when(F.col("axis") == "ai_visibility", F.lit(not cited)).when(F.col("axis") == "render_reconciliation", F.lit(not rendered)).otherwise(none & F.col("_missing"))
+    return j.select("axis", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("errors", "warnings", "infos")], unmeasured.alias("unmeasured"))
+
+
+def comparable(a: Column, b: Column) -> Column:
+    """Whether two runs (structs of origin, mode, version, rules and config) can be compared: equal in all, where a blank or null
+    matches anything and a site counts as a hybrid."""
+    plain = lambda c, n: F.nullif(F.trim(F.when(c["mode"] == "site", "hybrid").otherwise(c["mode"]) if n == "mode" else c[n]), F.lit(""))
+    out = F.lit(True)
+    for n in ("origin", "mode", "version", "rules", "config"):
+        out = out & F.coalesce(plain(a, n) == plain(b, n), F.lit(True))
+    return out
+
+
 def filled_runs(runs: DataFrame, pages: DataFrame) -> DataFrame:
     """Each snapshot once, with its site (without closing slashes), for snapshots that have pages."""
     once = runs.where("site IS NOT NULL AND snapshot_id IS NOT NULL AND recorded_at IS NOT NULL").groupBy(without_slashes(F.col("site")).alias("site"), "snapshot_id").agg(
@@ -75,7 +107,7 @@ def gate(findings: DataFrame, pages: DataFrame, refs: DataFrame) -> DataFrame:
         F.count_if("_head").alias("n_errors"), F.count_if(F.col("_head") & ~F.col("_base")).alias("n_new"), F.count_if(~F.col("_head") & F.col("_m").isNotNull()).alias("n_resolved"), F.count_if(~F.col("_head") & F.col("_m").isNull()).alias("n_lost")
     )
     n = {c: F.coalesce(c, F.lit(0)) for c in ("n_errors", "n_new", "n_resolved", "n_lost")}
-    plain = lambda c: F.when(F.col(c) == "site", "hybrid").otherwise(F.col(c))
+    side = lambda mode: F.struct(F.col("site").alias("origin"), F.col(mode).alias("mode"), *[F.lit("").alias(n) for n in ("version", "rules", "config")])
     base = F.col("previous").isNotNull()
-    code = F.when(~base & (n["n_errors"] > 0), 1).when(~base, 0).when(plain("mode") != plain("previous_mode"), 11).when((n["n_new"] > 0) | (n["n_lost"] > 0), 10).otherwise(0)
+    code = F.when(~base & (n["n_errors"] > 0), 1).when(~base, 0).when(~comparable(side("mode"), side("previous_mode")), 11).when((n["n_new"] > 0) | (n["n_lost"] > 0), 10).otherwise(0)
     return refs.join(counts, "site", "left").select("site", code.alias("code"), *[F.when(base | (F.lit(k) == "n_errors"), v).alias(k) for k, v in n.items()])

@@ -6,7 +6,7 @@ import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower
@@ -107,24 +107,26 @@ def condition(df: DataFrame, name: str, op: str, value: str) -> Column:
     return F.coalesce({"<": x < number, "<=": x <= number, ">": x > number, ">=": x >= number}[op], F.lit(False))
 
 
-def run(text: str, collections: Mapping[str, DataFrame], order: list[str] | None = None) -> DataFrame:
-    """The query's rows: filtered, limited, then projected to the known fields in name order.
-
-    ``order`` gives the order that the limit follows; filters and fields reach the scan.
-    """
+def _found(text: str, collections: Mapping[str, DataFrame]) -> tuple[Query, DataFrame]:
     q = parse(text, list(collections))
     df = collections[q.collection]
     for f in q.filters:
         df = df.where(condition(df, *f))
-    names = sorted(c for c in df.columns if not q.fields or c in q.fields)
-    keys = [F.col(f"`{c}`").asc_nulls_last() for c in (order or sorted(df.columns))]
-    return df.orderBy(*keys).limit(q.limit).select(*[f"`{c}`" for c in names])
+    return q, df
 
 
-def truncated(text: str, collections: Mapping[str, DataFrame]) -> bool:
-    """Whether the limit cuts rows off: looks for one row more than the limit."""
-    q = parse(text, list(collections))
-    df = collections[q.collection]
-    for f in q.filters:
-        df = df.where(condition(df, *f))
-    return df.limit(q.limit + 1).count() > q.limit
+def run(text: str, collections: Mapping[str, DataFrame], order: list[str] | None = None, flag: str | None = None) -> DataFrame:
+    """The query's rows: filtered, limited, then projected to the known fields in name order.
+
+    ``order`` gives the order that the limit follows; filters and fields reach the scan. ``flag`` names a
+    column that says in every row whether the limit cut rows off: one row more than the limit is looked at, in the same job.
+    """
+    q, df = _found(text, collections)
+    names = sorted(c for c in df.columns if not q.fields or c in q.fields)
+    keys = [F.col(f"`{c}`").asc_nulls_last() for c in (order or sorted(df.columns))]
+    shown = [F.col(f"`{c}`") for c in names]
+    if flag is None:
+        return df.orderBy(*keys).limit(q.limit).select(*shown)
+    few = df.orderBy(*keys).limit(q.limit + 1)  # at most 201 rows
+    numbered = few.withColumns({"_no": F.row_number().over(Window.orderBy(*keys)), "_all": F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))})
+    return numbered.where(F.col("_no") <= q.limit).select(*shown, (F.col("_all") > q.limit).alias(flag))

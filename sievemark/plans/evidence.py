@@ -34,7 +34,7 @@ def _pages(s: SparkSession, d: str) -> DataFrame:
 # ---- URLs
 def url_parts(s: SparkSession, d: str) -> DataFrame:
     """Parts of every page URL."""
-    return table(s, d, "pages").select("url").distinct().select("url", U.url_parts(F.col("url")).alias("p")).select("url", "p.scheme", "p.host", "p.path", "p.query")
+    return table(s, d, "pages").select("url").distinct().select("url", U.url_parts(F.col("url")).alias("p")).select("url", "p.scheme", "p.host", "p.path", "p.query", U.origin(F.col("p")).alias("origin"), U.request_target(F.col("p")).alias("target"), U.same_origin(F.col("p"), U.url_parts(U.join_url(F.col("url"), F.lit("/x")))).alias("keeps_origin"))
 
 
 def url_shapes(s: SparkSession, d: str) -> DataFrame:
@@ -221,7 +221,7 @@ _LEXICAL = f"""e AS (SELECT doc_id, unnest({_TOK}) AS t FROM documents WHERE tex
   CASE WHEN m.n >= 20 THEN CASE WHEN f = 0 THEN 100 ELSE least(m.n * 100 // (f * 10), 100) END END::INT AS mtld FROM g JOIN m USING (doc_id))"""
 
 SQL: dict[str, str] = {
-    "url_parts": "SELECT url, lower(regexp_extract(url, '^([a-z]+)://', 1)) AS scheme, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host, coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), ''), '/') AS path, nullif(regexp_extract(url, '\\?([^#]*)', 1), '') AS query FROM (SELECT DISTINCT url FROM pages)",
+    "url_parts": "SELECT url, lower(regexp_extract(url, '^([a-z]+)://', 1)) AS scheme, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host, coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), ''), '/') AS path, nullif(regexp_extract(url, '\\?([^#]*)', 1), '') AS query, lower(regexp_extract(url, '^[a-z]+://[^/?#]*', 0)) AS origin, coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1), ''), '/') AS target, true AS keeps_origin FROM (SELECT DISTINCT url FROM pages)",
     "url_shapes": f"""WITH p AS (SELECT url, {_PATH} AS path, {_SEGS} AS s, list_filter(string_split(regexp_extract(url, '://[^/]*/(.*)$', 1), '/'), lambda x: x <> '') AS fs FROM (SELECT DISTINCT url FROM pages)),
       q AS (SELECT *, CASE WHEN s[1] IN {_FLOC} THEN s[2:] ELSE s END AS r FROM p), z AS (SELECT *, len(r) = 3 AND r[1] IN ('category', 'services') AND (contains(r[3], '-') OR strlen(r[3]) >= 4) AS ok FROM q)
       SELECT url, CASE WHEN s[1] IN {_LOC} THEN s[1] END AS locale, array_to_string(CASE WHEN len(fs) >= 2 THEN fs[:len(fs) - 1] ELSE fs END, '/') AS family, CASE WHEN len(s) > 0 THEN '/' || array_to_string(s[:2], '/') END AS prefix,

@@ -35,10 +35,11 @@ def gate_verdict(s: SparkSession, d: str) -> DataFrame:
 
 
 def axis_scores(s: SparkSession, d: str) -> DataFrame:
-    """Distinct findings per family and severity in the latest snapshots."""
+    """All axes with the distinct findings of the latest snapshots."""
     last = _refs(s, d).select(F.col("latest").alias("snapshot_id"))
-    f = table(s, d, "findings").join(last, "snapshot_id", "left_semi").select("snapshot_id", "fingerprint", "severity", F.regexp_extract("code", "^([A-Z0-9]+)-", 1).alias("family")).distinct()
-    return f.groupBy("family").agg(*[F.count_if(F.col("severity") == v).alias(f"n_{v}") for v in ("error", "warning", "notice")])
+    level = F.when(F.col("severity") == "warning", "warn").when(F.col("severity") == "notice", "info").otherwise(F.col("severity"))
+    f = table(s, d, "findings").join(last, "snapshot_id", "left_semi").select("snapshot_id", "fingerprint", level.alias("severity"), F.regexp_extract("code", "^([A-Z0-9]+)-", 1).alias("family")).distinct()
+    return H.axis_scores(f, rendered=False)
 
 
 def inventory_counts(s: SparkSession, d: str) -> DataFrame:
@@ -118,7 +119,8 @@ SQL: dict[str, str] = {
       j AS (SELECT r.*, coalesce(n_errors, 0) AS n_errors, coalesce(n_new, 0) AS n_new, coalesce(n_resolved, 0) AS n_resolved, coalesce(n_lost, 0) AS n_lost FROM refs r LEFT JOIN c USING (site))
       SELECT site, CASE WHEN previous IS NULL AND n_errors > 0 THEN 1 WHEN previous IS NULL THEN 0 WHEN mode <> previous_mode THEN 11 WHEN n_new > 0 OR n_lost > 0 THEN 10 ELSE 0 END AS code, n_errors,
       CASE WHEN previous IS NOT NULL THEN n_new END AS n_new, CASE WHEN previous IS NOT NULL THEN n_resolved END AS n_resolved, CASE WHEN previous IS NOT NULL THEN n_lost END AS n_lost FROM j""",
-    "axis_scores": f"WITH {_REFS}, f AS (SELECT DISTINCT snapshot_id, fingerprint, severity, regexp_extract(code, '^([A-Z0-9]+)-', 1) AS family FROM findings WHERE snapshot_id IN (SELECT latest FROM refs)) SELECT family, count(*) FILTER (severity = 'error') AS n_error, count(*) FILTER (severity = 'warning') AS n_warning, count(*) FILTER (severity = 'notice') AS n_notice FROM f GROUP BY 1",
+    "axis_scores": f"""WITH {_REFS}, f AS (SELECT DISTINCT snapshot_id, fingerprint, severity, regexp_extract(code, '^([A-Z0-9]+)-', 1) AS family FROM findings WHERE snapshot_id IN (SELECT latest FROM refs)), n AS (SELECT family, count(*) FILTER (severity = 'error') AS e, count(*) FILTER (severity = 'warning') AS w, count(*) FILTER (severity = 'notice') AS i FROM f GROUP BY 1),
+      a(axis, family) AS (VALUES {", ".join(f"('{a}', '{f}')" for a, f in H.AXES.items())}) SELECT axis, coalesce(e, 0) AS errors, coalesce(w, 0) AS warnings, coalesce(i, 0) AS infos, axis = 'render_reconciliation' AS unmeasured FROM a LEFT JOIN n USING (family)""",
     "inventory_counts": "WITH cur AS (SELECT NULL AS page_url, NULL AS url, NULL AS kind, 0 AS hits, 0 AS impressions), " + _PAGES + " SELECT count(*) AS n_pages, count(*) FILTER (status BETWEEN 200 AND 399) AS n_fetched, count(*) FILTER (status >= 400) AS n_errors, count(*) FILTER (indexable = 'indexable') AS n_indexable, count(*) FILTER (inbound = 0) AS n_unlinked FROM pg",
     "duplicate_titles": f"WITH {_REFS}, p AS (SELECT DISTINCT snapshot_id, url, title FROM pages WHERE snapshot_id IN (SELECT latest FROM refs) AND status = 200 AND indexable = 'indexable' AND trim(title) <> '') SELECT snapshot_id, url, title, class_url, n_urls FROM (SELECT *, min(url) OVER w AS class_url, count(*) OVER w AS n_urls FROM p WINDOW w AS (PARTITION BY snapshot_id, title)) WHERE n_urls > 1",
     "duplicate_content": f"WITH {_REFS}, p AS (SELECT DISTINCT snapshot_id, url, regexp_replace(lower(trim(content_hash)), '^(?:[a-z0-9-]+:|0x)', '') AS h FROM pages WHERE snapshot_id IN (SELECT latest FROM refs) AND status = 200 AND indexable = 'indexable' AND content_hash IS NOT NULL) SELECT snapshot_id, url, class_url, n_urls FROM (SELECT snapshot_id, url, min(url) OVER w AS class_url, count(*) OVER w AS n_urls FROM p WINDOW w AS (PARTITION BY snapshot_id, h)) WHERE n_urls > 1",

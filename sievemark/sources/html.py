@@ -17,7 +17,7 @@ SCHEMA = T.StructType([
     f("alternates", A(T.StructType([f("hreflang", S), f("href", S)]))), f("headings", A(T.StructType([f("level", I), f("text", S)]))),
     f("links", A(T.StructType([f("href", S), f("anchor", S), f("context", S), f("rel", A(S)), f("location", S)]))),
     f("images", A(T.StructType([f("src", S), f("alt", S), f("hidden", B)]))), f("json_ld", A(T.StructType([f("valid_json", B), f("types", A(S)), f("ids", A(S)), f("same_as", A(S)), f("raw", S), f("nodes", A(T.StructType([f("types", A(S)), f("properties", A(S))])))]))),
-    f("text", S), f("has_main", B), f("unlabeled_controls", I),
+    f("text", S), f("has_main", B), f("unlabeled_controls", I), f("payload", S),
 ])
 CHROME = {"nav": "nav", "footer": "footer", "header": "header"}
 
@@ -45,6 +45,7 @@ class _Page(HTMLParser):
         self.taking: list[tuple[str, list[str]]] = []
         self.link: dict | None = None
         self.script: list[str] | None = None
+        self.payload: list[str] | None = None
         self.heading = None
         self.labelled: set[str] = set()
         self.in_label = 0
@@ -77,7 +78,9 @@ class _Page(HTMLParser):
         elif tag in ("title", "h1", "h2", "h3", "h4", "h5", "h6"):
             self.taking.append((tag, []))
         elif tag == "script":
-            self.script = [] if a.get("type", "").lower() == "application/ld+json" else None
+            kind = a.get("type", "").lower()
+            self.script = [] if kind == "application/ld+json" else None
+            self.payload = [] if kind == "application/json" else None
         elif tag == "label":
             self.in_label += 1
             self.labelled.add(a.get("for", ""))
@@ -95,6 +98,9 @@ class _Page(HTMLParser):
         if tag == "script" and self.script is not None:
             self._json("".join(self.script))
             self.script = None
+        if tag == "script" and self.payload is not None:
+            self.out["payload"] = " ".join([self.out["payload"] or "", "".join(self.payload)]).strip()
+            self.payload = None
         if self.taking and self.taking[-1][0] == tag:
             text = " ".join(" ".join(self.taking.pop()[1]).split())
             if tag == "a" and self.link:
@@ -110,6 +116,8 @@ class _Page(HTMLParser):
         if self.stack and self.stack[-1] in ("script", "style"):
             if self.script is not None:
                 self.script.append(data)
+            elif self.payload is not None:
+                self.payload.append(data)
             return
         for _, part in self.taking:
             part.append(data)

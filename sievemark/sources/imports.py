@@ -30,6 +30,19 @@ def read_imports(spark: SparkSession, path: str) -> DataFrame:
     return parsed.withColumn("input_state", F.when(F.col("_corrupt").isNotNull(), "invalid").when(some | F.col("log").isNotNull(), "connected").otherwise("empty")).drop("_corrupt")
 
 
+def read_rendered(spark: SparkSession, path: str) -> DataFrame:
+    """Rendered pages of JSON files: ``url, title, canonical, h1, description, json_ld_types, html_lang``; pages without a url are left out."""
+    page = "struct<url:string,title:string,canonical:string,h1:string,description:string,json_ld_types:array<string>,html_lang:string>"
+    text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\ufeff", "").alias("value"))
+    return text.select(F.explode(F.from_json("value", f"pages array<{page}>")["pages"]).alias("p")).select("p.*").where("url IS NOT NULL")
+
+
+def import_findings(files: DataFrame, label: str = "GSC") -> DataFrame:
+    """OBS-003: import files that can't be read; files without rows are no findings. ``files`` has input_state."""
+    bad = files.where("input_state = 'invalid'").limit(1)  # one finding, however many files
+    return bad.select(F.lit("SE-OBS-003").alias("code"), F.lit("OBS").alias("family"), F.lit("error").alias("severity"), F.lit(f"{label}_INVALID").alias("url"), F.lit(label).alias("subject"))
+
+
 def agent_of(user_agent: Column, agents: list[tuple[str, str]]) -> Column:
     """struct<token, role, verified> of a user agent: the two great search crawlers first, then the longest listed token that it
     contains, then any bot, spider or crawler; null for others. ``agents`` is the short list of (token, role), which travels inside the

@@ -75,6 +75,37 @@ def agent_matrix(files: DataFrame, agents: DataFrame, key: str = "origin") -> Da
     return d.select(key, "agent", "provider", "role", "allowed", F.when(F.col("specificity") == 0, "UNDECLARED").when(F.col("allowed"), "ALLOW").otherwise("BLOCK").alias("policy_intent"))
 
 
+# Where a sitemap is looked for if robots.txt names none.
+SITEMAPS = ["/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml"]
+
+
+def sitemap_candidates(files: DataFrame, key: str = "origin", body: str = "body") -> DataFrame:
+    """``key, loc``: the sitemaps that robots.txt names, else the usual places."""
+    named = F.transform(F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit("(?im)^\\s*sitemap\\s*:\\s*([^\\s#]+)"), F.lit(1)), F.trim)
+    usual = F.array(*[F.concat(F.regexp_replace(key, "/+$", ""), F.lit(p)) for p in SITEMAPS])
+    return files.where(F.col(key).isNotNull()).select(key, F.explode(F.array_distinct(F.when(F.size(named) > 0, named).otherwise(usual))).alias("loc"))
+
+
+def unpacked(bodies: DataFrame, content: str = "content", name: str = "body") -> DataFrame:
+    """Sitemap files as text: compressed ones are known by their first two bytes; what can't be read is null. Each file is one row, as read by binaryFile."""
+
+    @F.arrow_udf("string")
+    def text(data: pa.Array) -> pa.Array:
+        return pa.array([_text(x) for x in data.to_pylist()], pa.string())
+
+    return bodies.withColumn(name, text(content))
+
+
+def _text(data: bytes | None) -> str | None:
+    import gzip
+    import zlib
+
+    try:
+        return None if data is None else (gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data).decode("utf-8", "replace")
+    except (OSError, EOFError, zlib.error):
+        return None
+
+
 def sitemap_urls(files: DataFrame, body: str = "body") -> DataFrame:
     """``kind, loc``: distinct locations of sitemaps (url) and sitemap indexes (sitemap)."""
     kind = F.when(F.lower(body).contains("<sitemapindex"), "sitemap").otherwise("url")

@@ -43,3 +43,45 @@ def test_command_line(spark, tmp_path, capsys):
     df = spark.createDataFrame([("s1", "https://a/", "live", 3, 0)], "snapshot_id string, site string, mode string, measured_urls int, findings int")
     df.write.parquet(str(tmp_path / "runs.parquet"))
     assert main(["query", "--tables", str(tmp_path), "--q", "FROM runs RETURN site"]) == 0 and '{"site":"https://a"}' in capsys.readouterr().out
+
+
+def test_axes_and_comparable_runs(spark):
+    from pyspark.sql import functions as F
+
+    from sievemark.operators.history import AXES, axis_scores, comparable
+
+    f = spark.createDataFrame([("CRAWL", "error"), ("CRAWL", "warn"), ("META", "info"), (None, None)], "family string, severity string")
+    got = {r.axis: (r.errors, r.warnings, r.infos, r.unmeasured) for r in axis_scores(f, http=False, rendered=False, cited=False).collect()}
+    assert len(got) == len(AXES) == 18 and got["technical_discoverability"] == (1, 1, 0, False) and got["security"] == (0, 0, 0, True) and got["ai_visibility"][3] and got["render_reconciliation"][3] and not got["observed_search"][3]
+    kind = "struct<origin:string,mode:string,version:string,rules:string,config:string>"
+    rows = [(("o", "site", "1", "r", ""), ("o", "hybrid", "1", None, "c"), True), (("o", "site", "1", "r", "c"), ("o", "repo", "1", "r", "c"), False), (("o", None, "1", "r", "c"), ("p", "x", "1", "r", "c"), False), ((None,) * 5, ("p", "x", "1", "r", "c"), True)]
+    df = spark.createDataFrame(rows, f"a {kind}, b {kind}, want boolean")
+    assert all(r.want == r.got for r in df.withColumn("got", comparable(F.col("a"), F.col("b"))).collect())
+
+
+def test_sitemaps_payload_and_imports(spark, tmp_path):
+    import gzip
+
+    from pyspark.sql import functions as F
+
+    from sievemark.functions import urls as U
+    from sievemark.sources.html import extract
+    from sievemark.sources.imports import agent_of, import_findings, read_imports, read_rendered
+    from sievemark.sources.robots import SITEMAPS, sitemap_candidates, sitemap_urls, unpacked
+
+    files = spark.createDataFrame([("https://a.x/", "User-agent: *\nSitemap: https://a.x/s.xml # x\n sitemap:https://a.x/t.xml"), ("https://b.x", None), (None, "x")], "origin string, body string")
+    assert {(r.origin, r.loc) for r in sitemap_candidates(files).collect()} == {("https://a.x/", "https://a.x/s.xml"), ("https://a.x/", "https://a.x/t.xml")} | {("https://b.x", f"https://b.x{p}") for p in SITEMAPS}
+    xml = b"<urlset><url><loc>https://a.x/1</loc></url></urlset>"
+    packed = spark.createDataFrame([(bytearray(gzip.compress(xml)),), (bytearray(xml),), (bytearray(b"\x1f\x8bbroken"),), (None,)], "content binary")
+    assert [r.loc for r in sitemap_urls(unpacked(packed)).collect()] == ["https://a.x/1"]
+    page = spark.createDataFrame([('<script type="application/json">{"a": 1}</script><p>Text here</p><script>var x</script>',)], "h string").select(extract("h").alias("p")).first().p
+    assert page.payload == '{"a": 1}' and page.text == "Text here"
+    (tmp_path / "r.json").write_text('{"pages": [{"url": "u", "json_ld_types": ["A"]}, {"title": "x"}, null]}')
+    assert [(r.url, r.json_ld_types) for r in read_rendered(spark, str(tmp_path)).collect()] == [("u", ["A"])]
+    (tmp_path / "s.json").write_text("{")
+    assert [r.code for r in import_findings(read_imports(spark, str(tmp_path))).collect()] == ["SE-OBS-003"]
+    ua = spark.createDataFrame([("Googlebot +google.com/bot.html",), ("Google-Extended googlebot",), ("mirlobot-news x",), ("some spider",), ("Mozilla",), (None,)], "u string")
+    got = [None if r.a is None else tuple(r.a) for r in ua.select(agent_of(F.col("u"), [("mirlobot", "training"), ("mirlobot-news", "search_discovery")]).alias("a")).collect()]
+    assert got == [("googlebot", "search_discovery", True), ("unknown-bot", "other", False), ("mirlobot-news", "search_discovery", True), ("unknown-bot", "other", False), None, None]
+    u = spark.createDataFrame([("https://a.x:443/p?q=1", "https://A.x/z"), ("http://a.x/p", "https://a.x/p")], "a string, b string")
+    assert [(r.s, r.t) for r in u.select(U.same_origin(U.url_parts(F.col("a")), U.url_parts(F.col("b"))).alias("s"), U.request_target(U.url_parts(F.col("a"))).alias("t")).collect()] == [(True, "/p?q=1"), (False, "/p")]
