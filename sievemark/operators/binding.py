@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.urls import join_url, url_parts
+from ..functions.urls import join_url
 
 # How a chain goes on from a page, from its route, from a claim and from the claim's field.
 _FROM_URL = ["rendered_by", "claims", "about", "compared_against", "changed_by"]
@@ -94,8 +94,3 @@ def explain(subjects: DataFrame, facts: DataFrame, nodes: DataFrame) -> DataFram
     best = chain.groupBy("subject", "node").agg(F.min(F.struct("hop", "relation")).alias("m"))
     kinds = nodes.groupBy(F.col("id").alias("node")).agg(F.min("kind").alias("kind"))
     return best.join(kinds, "node", "left").select("subject", "m.hop", "m.relation", "node", F.coalesce("kind", F.split("node", ":")[0]).alias("kind"))
-
-
-def origin_of(url: Column) -> Column:
-    """Host of a URL."""
-    return url_parts(url)["host"]

@@ -62,7 +62,14 @@ def stream_windows(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(f"{at}/result").select(F.date_format("started", "yyyy-MM-dd").alias("started"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (family_matrix, opportunity_rank, opportunity_plan, imported_observations, imported_log_hits, stream_windows)}
+def stream_sessions(s: SparkSession, d: str) -> DataFrame:
+    """Sessions of the event stream, run to its end; a session ends six hours after its last event."""
+    at = f"{shared_folder(s)}/s{uuid.uuid4().hex}"
+    E.keep_result(E.sessions(E.read_events(s, f"{d}/events.parque[t]")), f"{at}/result", f"{at}/progress").awaitTermination()
+    return s.read.parquet(f"{at}/result").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_sessions"), F.sum("n").alias("n_events"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (family_matrix, opportunity_rank, opportunity_plan, imported_observations, imported_log_hits, stream_windows, stream_sessions)}
 
 _PG = f"""{_REFS}, lp AS (SELECT url, struct_pack(status := max(status), indexable := max(indexable), content_hash := max(content_hash), title := max(title), family := max(family), inbound := max(inbound), c := max(gsc_clicks), i := max(gsc_impressions)) AS m FROM pages WHERE snapshot_id IN (SELECT latest FROM refs) GROUP BY url),
 fm AS (SELECT m.family AS family, count(*) AS n_pages, count(*) FILTER (m.indexable = 'indexable') AS n_indexable, count(DISTINCT CASE WHEN m.indexable = 'indexable' THEN regexp_replace(lower(trim(m.content_hash)), '^(?:[a-z0-9-]+:|0x)', '') END) AS n_unique, count(*) FILTER (m.inbound = 0) AS n_unlinked, sum(m.c)::BIGINT AS clicks, sum(m.i)::BIGINT AS impressions FROM lp WHERE m.status = 200 AND m.family IS NOT NULL GROUP BY 1)"""
@@ -93,6 +100,7 @@ SQL: dict[str, str] = {
       UNION SELECT CASE v WHEN 'CONSOLIDATE' THEN 'cannibal' WHEN 'NOINDEX_BY_DEFAULT' THEN 'noindex' ELSE 'create_family' END, family, CASE v WHEN 'CONSOLIDATE' THEN 'CONSOLIDATE' WHEN 'NOINDEX_BY_DEFAULT' THEN 'NOINDEX' ELSE 'CREATE' END FROM (SELECT family, {_VERDICT} AS v FROM fm) WHERE v IN ('CONSOLIDATE', 'NOINDEX_BY_DEFAULT', 'SAFE_IF_REQUIREMENTS_MET')),
       s AS (SELECT *, CASE action WHEN 'CREATE' THEN ['ADD_FACT', 'BIND_ENTITY', 'ADD_SCHEMA', 'CRAWL', 'OBSERVE_GSC'] WHEN 'CONSOLIDATE' THEN ['PICK_CANONICAL', 'CRAWL', 'DIFF'] WHEN 'NOINDEX' THEN ['SET_NOINDEX', 'CRAWL'] WHEN 'LINK' THEN ['ADD_INTERNAL_LINKS', 'CRAWL'] ELSE ['UPDATE_CONTENT', 'CRAWL', 'DIFF', 'OBSERVE_GSC'] END AS s FROM o)
       SELECT kind, subject, action, i::INT AS stage_no, s[i + 1] AS stage, CASE WHEN i > 0 THEN s[i] END AS requires, CASE WHEN i > 0 THEN CASE WHEN s[i + 1] IN ('CRAWL', 'OBSERVE_GSC', 'DIFF') THEN 'VERIFY_AFTER' ELSE 'REQUIRES' END END AS relation FROM s, LATERAL (SELECT unnest(range(len(s))) AS i)""",
+    "stream_sessions": "SELECT user_id, sum(fresh)::BIGINT AS n_sessions, count(*) AS n_events FROM (SELECT user_id, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > ts - INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events) GROUP BY 1",
     "stream_windows": "WITH w AS (SELECT event_type, value, unnest(generate_series(date_trunc('day', ts) - INTERVAL 6 DAY, date_trunc('day', ts), INTERVAL 1 DAY)) AS started FROM events) SELECT strftime(started, '%Y-%m-%d') AS started, event_type, count(*) AS n, round(sum(value), 2) AS total FROM w GROUP BY 1, 2",
     "imported_log_hits": """WITH l AS (SELECT origin, unnest(list_concat(coalesce(lines, []), coalesce(string_split_regex(log, '\\r?\\n'), []))) AS line FROM import_files), p AS (SELECT origin, regexp_extract(line, '^(\\S+) \\S+ \\S+ \\[[^\\]]*\\] "(?:[A-Z]+ )?(\\S+)[^"]*" ([0-9]{3}) .*', ['ip', 'path', 'status']) AS m,
       translate(regexp_extract(line, '"([^"]*)"\\s*$', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS ua FROM l WHERE NOT starts_with(line, '#')),

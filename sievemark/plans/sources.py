@@ -14,6 +14,7 @@ from ..operators import routes as RO
 from ..operators import rules as R
 from ..operators.common import table
 from ..sources import robots as RB
+from ..sources.html import extract
 from ..sources.policy import Policy, allows
 from .history import _REFS, _refs
 from .site import _SITE, site_edges, site_pages
@@ -99,6 +100,27 @@ def robots_paths(s: SparkSession, d: str) -> DataFrame:
     return RB.allowed(asked, RB.robots_rules(files)).groupBy("origin").agg(F.count_if("allowed").alias("n_allowed"), F.count_if(~F.col("allowed")).alias("n_blocked"))
 
 
+# ---- files of a site
+def sitemap_locations(s: SparkSession, d: str) -> DataFrame:
+    """Locations of sitemap files, one file per page, with entities and CDATA."""
+    escaped = F.replace("url", F.lit("&"), F.lit("&amp;"))
+    p = table(s, d, "pages").where("url IS NOT NULL").select("url").distinct()
+    loc = F.when(F.length("url") % 2 == 0, F.concat(F.lit(" "), escaped, F.lit("\n"))).otherwise(F.concat(F.lit("<![CDATA["), escaped, F.lit("]]>")))
+    return RB.sitemap_urls(p.select(F.concat(F.when(F.length("url") % 3 == 0, "<sitemapindex><sitemap><loc>").otherwise("<urlset><url><loc>"), loc, F.lit("</loc></url>")).alias("body")))
+
+
+def page_extraction(s: SparkSession, d: str) -> DataFrame:
+    """What extraction finds in pages written as HTML."""
+    p = site_pages(s, d).select("url", F.coalesce("title", F.lit("")).alias("t"), F.coalesce("family", F.lit("")).alias("f"), "inbound")
+    odd = F.length("url") % 2 == 0
+    html = F.concat(
+        F.lit('<html lang="'), F.when(odd, "de").otherwise("en"), F.lit('"><head><title> '), F.col("t"), F.lit("</title><meta name=robots content=noindex><link rel=canonical href='"), F.col("url"), F.lit("'></head><body><nav><a href=/n>N</a></nav><main><h1>"), F.col("t"),
+        F.lit("</h1><p><b>Some words<br>of "), F.col("f"), F.lit("</p><script>var x = \"</p>\";</script><a href='"), F.col("url"), F.lit("'>here</a>"), F.when(odd, "<h2>More</h2><img src=a alt=''><input>").otherwise("<img src=b>"), F.lit("</main></body></html>"),
+    )
+    e = p.select("url", extract(html).alias("e"))
+    return e.select("url", "e.title", "e.html_lang", "e.canonical", F.array_join("e.robots", ",").alias("robots"), F.size("e.headings").alias("n_headings"), F.size("e.links").alias("n_links"), F.col("e.links")[1]["location"].alias("location"), F.col("e.images")[0]["alt"].alias("alt"), "e.has_main", "e.unlabeled_controls", F.col("e.text").startswith("Some words of").alias("has_text"))
+
+
 # ---- evidence graph
 def page_relations(s: SparkSession, d: str) -> DataFrame:
     """Edges of the pages by relation."""
@@ -128,7 +150,7 @@ def explain_chains(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (route_patterns, route_matches, route_rules, policy_paths, faq_rules, seed_urls, frontier_lanes, public_hosts, agent_rules, robots_paths, page_relations, bound_graph, linked_pages, explain_chains)
+    for f in (route_patterns, route_matches, route_rules, policy_paths, faq_rules, seed_urls, frontier_lanes, public_hosts, agent_rules, robots_paths, sitemap_locations, page_extraction, page_relations, bound_graph, linked_pages, explain_chains)
 }
 
 _PATTERN = "CASE WHEN regexp_matches({0}, '^(.*/)?app/(.*/)?/?page\\.(tsx|ts|jsx|js|mdx)$') THEN '/' || array_to_string(list_transform(list_filter(string_split(regexp_extract({0}, '^(?:.*?/)?app/(.*?)/?page\\.[a-z]+$', 1), '/'), lambda x: x <> ''), lambda x: regexp_replace(regexp_replace(x, '^\\[\\.\\.\\.(.*)\\]$', '*\\1'), '^\\[(.*)\\]$', ':\\1')), '/') END"
@@ -153,6 +175,8 @@ SQL: dict[str, str] = {
     "agent_rules": """WITH st AS (SELECT DISTINCT regexp_replace(site, '/+$', '') AS origin FROM runs WHERE site IS NOT NULL), n AS (SELECT origin, min(token) AS agent FROM st LEFT JOIN ai_agents ON length(token) % 4 = 1 AND length(origin) % 7 = length(token) % 7 GROUP BY 1)
       SELECT 'SE-AI-004' AS code, 'AI' AS family, 'info' AS severity, origin AS url, origin AS subject FROM st WHERE length(origin) % 2 = 0 UNION ALL SELECT 'SE-AI-005', 'AI', CASE WHEN role = 'search_discovery' THEN 'warn' ELSE 'info' END, origin, token FROM n JOIN ai_agents ON starts_with(lower(token), n.agent)""",
     "robots_paths": "WITH p AS (SELECT DISTINCT lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS origin, coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1), ''), '/') AS path FROM pages) SELECT origin, count(*) FILTER (NOT contains(path, '?item=') AND NOT starts_with(path, '/private')) AS n_allowed, count(*) FILTER (contains(path, '?item=') OR starts_with(path, '/private')) AS n_blocked FROM p GROUP BY 1",
+    "sitemap_locations": "SELECT DISTINCT CASE WHEN length(url) % 3 = 0 THEN 'sitemap' ELSE 'url' END AS kind, url AS loc FROM pages WHERE url IS NOT NULL",
+    "page_extraction": f"WITH {_SITE}, p AS (SELECT url, regexp_replace(trim(coalesce(ti, '')), '\\s+', ' ', 'g') AS t, length(url) % 2 = 0 AS odd FROM ap) SELECT url, t AS title, CASE WHEN odd THEN 'de' ELSE 'en' END AS html_lang, url AS canonical, 'noindex' AS robots, CASE WHEN odd THEN 2 ELSE 1 END AS n_headings, 2 AS n_links, 'contextual' AS location, CASE WHEN odd THEN '' END AS alt, true AS has_main, CASE WHEN odd THEN 1 ELSE 0 END AS unlabeled_controls, true AS has_text FROM p",
     "page_relations": f"""WITH {_SITE}, r AS (SELECT url AS src, canonical AS dst, 'canonical_to' AS relation FROM ap WHERE canonical <> url UNION ALL SELECT * FROM (SELECT url AS src, unnest(CASE n_alt WHEN 2 THEN [regexp_replace(url, '/en/', '/de/', 'g'), url || '-gone'] WHEN 1 THEN [regexp_replace(url, '/de/', '/en/', 'g')] ELSE [] END) AS dst, 'alternate_of' FROM ap) WHERE src <> dst
       UNION ALL SELECT url, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || '/x', 'redirects_to' FROM ap WHERE status = 301 UNION ALL SELECT url, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || '/find?city=' || regexp_extract(url, '([a-z]+)$', 1), 'redirects_to' FROM ap WHERE status = 301
       UNION ALL SELECT url, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || '/sitemap.xml', 'listed_in_sitemap' FROM ap WHERE in_map UNION ALL SELECT src, dst, 'links_to' FROM ed) SELECT relation, count(*) AS n_edges, count(DISTINCT src) AS n_sources, count(DISTINCT dst) AS n_targets FROM r GROUP BY 1""",
