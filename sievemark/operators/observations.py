@@ -55,7 +55,10 @@ def provider_kind(provider: Column) -> Column:
 def current_rows(observations: DataFrame, *more: str) -> DataFrame:
     """The latest version of each row, counts without nulls; ties by the row's values. ``more`` columns come along."""
     cols = ["kind", "query", "url", "provider", "clicks", "impressions", "hits", "position", "period", "user_agent", "status", "bot_role"]
-    rows = latest(observations.select("row_id", "loaded_at", *cols, *more), ["row_id"], F.col("loaded_at"), cols)
+    lists = {f.name for f in observations.schema.fields if f.dataType.typeName() == "array"}
+    ties = {f"_tie_{c}": F.array_join(c, "|") if c in lists else F.col(c) for c in more}
+    versions = observations.select("row_id", "loaded_at", *cols, *more, *[v.alias(k) for k, v in ties.items()])
+    rows = latest(versions, ["row_id"], F.col("loaded_at"), [*cols, *ties]).drop(*ties)
     return rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("clicks", "impressions", "hits")})
 
 

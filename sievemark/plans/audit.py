@@ -331,7 +331,7 @@ it AS (SELECT 'link_gap' AS kind, turl AS subject, turl || ' is indexable but ha
   UNION ALL SELECT 'sitemap_gap', turl, turl || ' is linked and indexable but absent from the sitemap' FROM wa WHERE status = 200 AND ix = 'indexable' AND NOT in_map AND inbound > 0 UNION ALL SELECT 'content_gap', turl, turl || ' has no H1' FROM wa WHERE status = 200 AND ix = 'indexable' AND n_h1 = 0
   UNION ALL SELECT 'cannibal', family, family || ' variants should be consolidated' FROM cm WHERE verdict = 'CONSOLIDATE' UNION ALL SELECT 'create_family', family, family || ' needs unique facts before expansion' FROM (SELECT family, verdict FROM cm UNION ALL SELECT '/:locale/category/:city', 'UNMEASURED') WHERE verdict = 'SAFE_IF_REQUIREMENTS_MET' OR (verdict = 'UNMEASURED' AND contains(family, ':'))
   UNION ALL SELECT 'noindex', family, family || ' should stay out of the index by default' FROM cm WHERE verdict = 'NOINDEX_BY_DEFAULT')"""
-_CURX = _CUR.replace("status, bot_role,\n", "status, bot_role, difficulty, serp_features,\n")
+_CURX = _CUR.replace("status, bot_role,\n", "status, bot_role, difficulty, serp_features,\n").replace("bot_role DESC NULLS LAST)", "bot_role DESC NULLS LAST, difficulty DESC NULLS LAST, array_to_string(serp_features, '|') DESC NULLS LAST)")
 _DECORATED = f"""{_ITEMS}, {_CURX}, ob AS (SELECT *, rtrim({_PLACED}, '/') AS pu, array_to_string(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}]+'), ' ') AS qw, CASE WHEN kind = 'serp_position' THEN 8 + CASE WHEN position <= 3 THEN 10 ELSE 0 END ELSE 0 END + CASE WHEN len(list_filter(serp_features, lambda f: contains(f, 'ai_overview') OR f = 'paa')) > 0 THEN 6 ELSE 0 END AS boost FROM cur),
 se AS (SELECT pu, sum(impressions)::BIGINT AS i, sum(clicks)::BIGINT AS c, min(position) AS position, min(position) FILTER (position > 0)::DOUBLE AS best FROM ob WHERE kind = 'search_performance' AND url IS NOT NULL GROUP BY 1),
 ik AS (SELECT *, rtrim(subject, '/') AS k, ' ' || array_to_string(regexp_extract_all(lower(subject), '[\\p{{L}}\\p{{N}}]+'), ' ') || ' ' AS sw, ' ' || array_to_string(regexp_extract_all(lower(summary), '[\\p{{L}}\\p{{N}}]+'), ' ') || ' ' AS mw FROM it),
