@@ -70,7 +70,7 @@ def _outline(text: str) -> dict:
 
 
 def _read(text: str) -> dict:
-    body = text.lstrip("\\ufeff").strip()
+    body = text.lstrip("\ufeff").strip()
     if body.startswith("{"):
         try:
             return json.loads(body)

@@ -62,6 +62,7 @@ def test_routes_meet_paths(spark):
 def test_policy(spark):
     text = "schema: x\nindexability:\n  include:\n    - /:locale/services/**\n    - '/blog/*' # posts\n  exclude: [/services/private]\ninternational:\n  x_default: /en\n"
     assert parse_policy(text) == Policy(("/:locale/services/**", "/blog/*"), ("/services/private",), "/en") == parse_policy('{"indexability": {"include": ["/:locale/services/**", "/blog/*"], "exclude": ["/services/private"]}, "international": {"x_default": "/en"}}')
+    assert parse_policy("\ufefffeed: x\nindexability:\n  include: [/u]\n") == Policy(("/u",)) == parse_policy("indexability:\n  include: [/u]\n")
     for bad in ("{", "- a\n", "x\n"):
         with pytest.raises(PolicyError):
             parse_policy(bad)
