@@ -67,7 +67,7 @@ def _links(candidates: DataFrame, reps: DataFrame, threshold: float) -> DataFram
 
 
 def minhash_links(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The links of similar_pairs() by the cheaper way: sets that share one of 16 bands of a MinHash signature are
+    """The links of similar_pairs() by another way: sets that share one of 16 bands of a MinHash signature are
     compared exactly. Every link it gives is one; it misses one of 0.8 similarity in some 4 000, more of those just below."""
     sets = cut_lineage(shingle_sets(docs, key, text, width))
     reps = sets.groupBy("set_id").agg(F.min(key).alias("rep"), F.first("s").alias("s"), F.first("n").alias("n")).select("rep", "s", "n")
