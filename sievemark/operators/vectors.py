@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -118,11 +119,16 @@ def query_tokens(query: str) -> list[str]:
 def query_embedding(query: str) -> list[float] | None:
     """Lexical embedding of one query; None without tokens."""
     asked = query_tokens(query)
+    return embedding_of(asked) if asked else None
+
+
+def embedding_of(asked: list[str]) -> list[float]:
+    """Lexical embedding of tokens."""
     v = [0.0] * DIM
     for t in asked:
         at, sign = slot_of(t)
         v[at] += sign
-    return v if asked else None
+    return v
 
 
 def _percent(vector: Column, query: list[float]) -> Column:
@@ -131,8 +137,90 @@ def _percent(vector: Column, query: list[float]) -> Column:
 
 
 def _present(text: Column, words: list[str]) -> Column:
-    """How many words a text contains; the lowered text is made once."""
-    return F.transform(F.array(ascii_lower(text)), lambda low: sum((F.when(low.contains(t), 1).otherwise(0) for t in words), F.lit(0)))[0]
+    """How many words a text contains; the lowered text is made once. Words hold no white space and are one literal: a sum of one term a word nests too deep for Spark from some 500 on."""
+    some = F.split(F.lit(" ".join(words)), " ") if words else F.array().cast("array<string>")
+    return F.transform(F.array(ascii_lower(text)), lambda low: F.size(F.filter(some, lambda t: low.contains(t))))[0]
+
+
+def holder(asked: list[str]) -> Callable[[str], list[int]]:
+    """For a token of a text: the places (in the order of ``dict.fromkeys(asked)``) of the asked tokens inside it.
+
+    Costs the lesser of one lookup per part of a possible length and one search per asked token.
+    """
+    place = {t: i for i, t in enumerate(dict.fromkeys(asked))}
+    sizes = sorted({len(t) for t in place})
+
+    def inside(word: str) -> list[int]:
+        n = len(word)
+        if len(place) < n * len(sizes):
+            return [i for t, i in place.items() if t in word]
+        parts = {word[i : i + m] for m in sizes if m <= n for i in range(n - m + 1)}
+        return [place[x] for x in parts if x in place]
+
+    return inside
+
+
+def _held(words: Column, asked: list[str]) -> Column:
+    """``entities, present``: how many of the asked tokens a text contains, those of more than three bytes and all, from the text's tokens.
+
+    An asked token is a run of letters and digits, so a text contains it only inside a token. What a token holds is found
+    once per worker and distinct token, so the cost hardly depends on how many are asked; one asked twice counts twice.
+    """
+    times = Counter(asked)
+    inside = holder(asked)
+    all_of = np.array(list(times.values()), np.int64)
+    long_of = np.array([n if len(t.encode()) > 3 else 0 for t, n in times.items()], np.int64)
+
+    @F.arrow_udf("struct<entities: int, present: int>")
+    def held(lists: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        seen: dict[str, list[int]] = {}
+        kept = 0
+        for s in lists:
+            words = s.flatten().dictionary_encode()
+            found = []
+            for t in words.dictionary.to_pylist():
+                places = seen.get(t)
+                if places is None:
+                    if kept > 2_000_000:
+                        seen.clear()
+                        kept = 0
+                    places = seen[t] = inside(t)
+                    kept += 10 + len(places)
+                found.append(places)
+            n_of = np.array([len(x) for x in found], np.int64)
+            ids = np.array([i for x in found for i in x], np.int64)
+            starts, codes = np.cumsum(n_of) - n_of, np.asarray(words.indices)
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(s), 0), np.int64)
+            ends = np.cumsum(sizes)
+            out = np.zeros((2, len(s)), np.int32)
+            at = 0
+            while at < len(s):  # whole rows of about a million tokens at a time
+                begin = ends[at] - sizes[at]
+                to = max(at + 1, int(np.searchsorted(ends, begin + 1_000_000, "right")))
+                rows = np.repeat(np.arange(to - at), sizes[at:to])
+                pairs = np.unique(rows * len(n_of) + codes[begin : ends[to - 1]]) if len(rows) else np.zeros(0, np.int64)
+                row, code = np.divmod(pairs, max(len(n_of), 1))
+                n = n_of[code]
+                each = np.repeat(starts[code] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                hits = np.unique(np.repeat(row, n) * max(len(all_of), 1) + ids[each])
+                row, asked_at = np.divmod(hits, max(len(all_of), 1))
+                for k, weight in enumerate((long_of, all_of)):
+                    out[k, at:to] = np.bincount(row, weight[asked_at], to - at)
+                at = to
+            yield pa.StructArray.from_arrays([pa.array(out[0]), pa.array(out[1])], names=["entities", "present"])
+
+    return held.asNondeterministic()(words)  # else conditions on scores move below them and texts are scored twice
+
+
+def _best(docs: DataFrame, asked: list[str], k: int, key: str, text: str) -> DataFrame:
+    """``retrieve`` for tokens as tokens() cuts them."""
+    words = tokens(F.col(text))
+    some = docs.where(F.col(text).isNotNull()).where(F.size(words) > 0)
+    if not asked:
+        return some.select(key, F.lit(0).alias("lexical"), F.lit(0).alias("entities")).where("false")
+    scored = some.select(key, _percent(lexical_embedding(words), embedding_of(asked)).alias("lexical"), _held(words, asked).alias("_held"))
+    found = scored.where("lexical >= 40 OR _held.present > 0").select(key, "lexical", F.col("_held.entities").alias("entities"))
+    return found.orderBy(F.desc("lexical"), F.desc("entities"), key).limit(min(max(k, 1), 50))
 
 
 def retrieve(docs: DataFrame, query: str, k: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -140,21 +228,16 @@ def retrieve(docs: DataFrame, query: str, k: int = 8, key: str = "doc_id", text:
 
     lexical is the cosine of lexical embeddings in percent; a text is kept at 40 or more or if it contains a
     query token. Order: lexical, then entities (query tokens of more than three bytes in
-    the text), then key. k is brought between 1 and 50. Only scores are sorted, not texts. A query without tokens finds nothing.
+    the text), then key. k is brought between 1 and 50. Only scores are sorted, not texts. A query without tokens finds nothing; it is cut as texts are, and may be as long as a text.
     """
-    asked, vector = query_tokens(query), query_embedding(query)
-    words = tokens(F.col(text))
-    scored = docs.where(F.col(text).isNotNull()).where(F.size(words) > 0).select(
-        key, (_percent(lexical_embedding(words), vector) if vector else F.lit(0)).alias("lexical"), _present(F.col(text), [t for t in asked if len(t.encode()) > 3]).alias("entities"), _present(F.col(text), asked).alias("_any"),
-    )
-    found = scored.where("lexical >= 40 OR _any > 0") if vector else scored.where("false")
-    return found.drop("_any").orderBy(F.desc("lexical"), F.desc("entities"), key).limit(min(max(k, 1), 50))
+    asked = docs.sparkSession.range(1).select(tokens(F.lit(query))).first()[0]
+    return _best(docs, asked, k, key, text)
 
 
 def similar(docs: DataFrame, of: object, k: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The texts most like that of one key: its own text is the query, and it is then left out, so there may be k - 1."""
-    own = docs.where(F.col(key) == F.lit(of)).select(text).first()  # one text
-    return retrieve(docs, (own[0] or "") if own else "", k, key, text).where(F.col(key) != F.lit(of))
+    own = docs.where(F.col(key) == F.lit(of)).select(tokens(F.col(text))).first()  # one text
+    return _best(docs, (own[0] or []) if own else [], k, key, text).where(F.col(key) != F.lit(of))
 
 
 def chunks_for(chunks: DataFrame, query: str, k: int = 8, text: str = "body", order: tuple[str, ...] = ("url", "chunk_no")) -> DataFrame:

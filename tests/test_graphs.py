@@ -4,7 +4,7 @@ import pytest
 
 from sievemark.operators.graph import components, degrees, depths, page_rank, template_frequency
 from sievemark.operators.similarity import near_duplicate_classes, similar_pairs
-from sievemark.operators.vectors import keyword_retrieve, lexical_embedding, nearest, retrieve
+from sievemark.operators.vectors import holder, keyword_retrieve, lexical_embedding, nearest, query_tokens, retrieve, similar
 from sievemark.plans import dsl, graphs
 
 EDGES = "src string, dst string, location string, node string, rank double"
@@ -122,6 +122,23 @@ def test_retrieval(spark):
     assert docs.select(lexical_embedding("t").alias("e")).count() == 5 if "t" in docs.columns else True
 
 
+def test_long_texts_as_queries(spark):
+    own = " ".join(f"word{i}" for i in range(3000)) + " Word7 word7 ß9 éé é"
+    rows = [(1, own), (2, "Xword7y, WORD12 and a word2999; ß9"), (3, "tomato soup"), (4, None), (5, "!"), (6, "naïve éé" + "x" * 3000 + "word5"), (7, "word")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = query_tokens(own)
+    want = {i: sum(len(t.encode()) > 3 and t in x.lower() for t in asked) for i, x in rows if x and any(t in x.lower() for t in asked)}
+    assert set(want) == {1, 2, 6} and want[2] > 8 and want[6] == 2
+    assert {x.doc_id: x.entities for x in similar(docs, 1).collect()} == {i: n for i, n in want.items() if i != 1}
+    assert {x.doc_id: x.entities for x in retrieve(docs, own).collect()} == want
+    assert {x.doc_id: x.entities for x in keyword_retrieve(docs, own).collect()} == {i: sum(t in x.lower() for t in set(asked)) for i, x in rows if i in want}
+    r = random.Random(2)
+    words = ["".join(r.choice("abé") for _ in range(r.randrange(1, 40))) for _ in range(200)]
+    for some in (words[:2], [w[:5] for w in words]):
+        inside, tokens = holder(some), list(dict.fromkeys(some))
+        assert all(sorted(inside(w)) == [i for i, t in enumerate(tokens) if t in w] for w in words)
+
+
 def test_query_language(spark):
     q = dsl.parse('from URLS where title contains "a AND b = c" and status >= 200 return url, nope limit 999')
     assert (q.collection, q.filters, q.fields, q.limit) == ("urls", [("title", "contains", "a AND b = c"), ("status", ">=", "200")], ["url", "nope"], 200)
